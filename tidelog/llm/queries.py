@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
+from .line_dedup import op2_line_dedup
+from .secrets import op1_secret_scans
 from .token_counts import op6_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scans": op1_secret_scans,
+        "op2_line_dedup": op2_line_dedup,
         "op6_token_counts": op6_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL}
