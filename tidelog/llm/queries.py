@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup
+from .language_id import op4_language_id
 from .line_dedup import op2_line_dedup
+from .quality import op10_quality_classifier
 from .secrets import op1_secret_scans
 from .token_counts import op6_token_counts
 
@@ -16,7 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_line_dedup": op2_line_dedup,
+        "op4_language_id": op4_language_id,
         "op6_token_counts": op6_token_counts,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
