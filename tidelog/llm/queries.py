@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import line_dedup
 from .language_id import op4_language_id
 from .line_dedup import op2_line_dedup
+from .neighbours import op9_nearest_neighbours
 from .quality import op10_quality_classifier
 from .secrets import op1_secret_scans
 from .token_counts import op6_token_counts
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op4_language_id": op4_language_id,
         "op6_token_counts": op6_token_counts,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
