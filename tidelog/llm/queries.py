@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup
+from .decontamination import op5_decontamination
 from .language_id import op4_language_id
 from .line_dedup import op2_line_dedup
 from .neighbours import op9_nearest_neighbours
 from .quality import op10_quality_classifier
 from .secrets import op1_secret_scans
+from .substring_dedup import op7_substring_dedup
 from .token_counts import op6_token_counts
 
 
@@ -20,7 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scans": op1_secret_scans,
         "op2_line_dedup": op2_line_dedup,
         "op4_language_id": op4_language_id,
+        "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_quality_classifier": op10_quality_classifier,
     }
