@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup
 from .decontamination import op5_decontamination
+from .jaccard_join import op8_ngram_jaccard_join
 from .language_id import op4_language_id
 from .line_dedup import op2_line_dedup
 from .neighbours import op9_nearest_neighbours
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_quality_classifier": op10_quality_classifier,
     }
