@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,44 +27,47 @@ LONGEST = 5
 
 @dataclass
 class Model:
-    """langs, prior and, by word and by n-gram, a vector of log frequencies."""
+    """langs, prior, and the rows of logs (log frequencies by language) by word and by n-gram."""
 
     langs: list[str]
     prior: np.ndarray
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    cache: dict[str, np.ndarray | None] = field(default_factory=dict, repr=False)
-
-    def word(self, w: str) -> np.ndarray | None:
-        """Log frequencies of a word, from the word itself or else its longest known n-grams."""
-        found = self.words.get(w)
-        if found is not None:
-            return found
-        if w in self.cache:
-            return self.cache[w]
-        if len(self.cache) > 200_000:
-            self.cache.clear()
-        marked, out = f"<{w}>", None
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
+
+    def rows(self, word: str) -> list[int]:
+        """The row of a known word, or the rows of an unseen word's longest known n-grams."""
+        known = self.words.get(word)
+        if known is not None:
+            return [known]
+        marked, grams = f"<{word}>", self.grams
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            known = [self.grams[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in self.grams]
-            if known:
-                out = np.mean(known, axis=0)
-                break
-        self.cache[w] = out
-        return out
+            found = [grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in grams]
+            if found:
+                return found
+        return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNKNOWN, 0.0
-        freq = Counter(w for w in WORD.findall(text.lower()) if w[0].isalpha() or any(map(str.isalpha, w)))
-        if not freq:
+        freq = Counter(WORD.findall(text.lower()))
+        if not any(any(map(str.isalpha, w)) for w in freq):
             return UNKNOWN, 0.0
-        total, n = self.prior.copy(), 0
+        at: list[int] = []
+        weights: list[float] = []
+        n, words = 0, self.words
         for w, c in freq.items():
-            v = self.word(w)
-            if v is not None:
-                total += c * v
-                n += c
+            known = words.get(w)
+            if known is not None:
+                at.append(known)
+                weights.append(c)
+            elif found := self.rows(w):
+                at += found
+                weights += [c / len(found)] * len(found)
+            else:
+                continue
+            n += c
+        total = self.prior + (np.array(weights) @ self.logs[at] if at else 0)
         total -= total.max()
         # words of one text depend on each other: long texts count as 100 words
         p = np.exp(total * min(1.0, 100 / max(1, n)))
@@ -96,7 +99,10 @@ def tables(word_counts: dict[str, dict[str, int]], docs_per_lang: dict[str, int]
                     g[marked[i : i + n]] += c
         grams[lang] = g
     docs = np.array([docs_per_lang[lang] for lang in langs], float)
-    return Model(langs, np.log((docs + 1) / (docs.sum() + len(langs))) if langs else np.zeros(0), logs(word_counts, n_words, 2), logs(grams, n_grams, 2))
+    by_word, by_gram = logs(word_counts, n_words, 2), logs(grams, n_grams, 2)
+    matrix = np.array([*by_word.values(), *by_gram.values()]).reshape(-1, len(langs))
+    rows = {w: i for i, w in enumerate(by_word)}, {g: len(by_word) + i for i, g in enumerate(by_gram)}
+    return Model(langs, np.log((docs + 1) / (docs.sum() + len(langs))), *rows, matrix)
 
 
 def fit(docs: DataFrame, per_lang: int = 1500, n_words: int = 40_000, n_grams: int = 60_000, max_langs: int = 512, id_col: str = "doc_id") -> Model:
@@ -105,7 +111,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, n_words: int = 40_000, n_grams: i
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(id_col, "lang", "text")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not sizes:
-        return Model([], np.zeros(0), {}, {})
+        return Model([], np.zeros(0), {}, {}, np.zeros((0, 0)))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n)))) if sizes else None
     chosen = rows.where((F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share[F.col("lang")])
 
