@@ -11,6 +11,7 @@ from .decontamination import op5_decontamination
 from .jaccard_join import op8_ngram_jaccard_join
 from .language_id import op4_language_id
 from .line_dedup import op2_line_dedup
+from .mixing import op3_source_mixing
 from .neighbours import op9_nearest_neighbours
 from .quality import op10_quality_classifier
 from .secrets import op1_secret_scans
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_line_dedup": op2_line_dedup,
+        "op3_source_mixing": op3_source_mixing,
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
