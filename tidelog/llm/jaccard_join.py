@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, save, table, text_binary
@@ -29,8 +29,8 @@ POOL = 6
 FREQUENT, HOT = 12, 1 << 20
 #: A posting list up to this length is joined within at once.
 SHORT = 16
-#: Pivots of a long list in the first round; each round takes four times as many.
-PIVOTS = 2
+#: Pivots of a list in the first round (so a short one is done in it); each round takes four times as many.
+PIVOTS = 16
 MOST_MATCHES = 6
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -150,18 +150,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(label, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. Sets are rebuilt from the texts of the documents in
-    pairs; a's set meets the sets of its partners, dealt over a few tasks where they are many."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+def build_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, n and its set (s packed, a as an array) of the documents in wanted, rebuilt from the texts."""
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             built = [max((shingle_set(t) for t in texts), key=lambda s: (len(s), xxhash.xxh3_128_digest(s.tobytes()))) for texts in b["texts"]]
-            yield {"doc": b["doc"], "s": [s.tobytes() for s in built]}
+            yield {"doc": b["doc"], "n": [len(s) for s in built], "s": [s.tobytes() for s in built], "a": [s.view(np.int64) for s in built]}
 
     one = docs.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
-    built = save(map_arrow(one, sets, "doc bigint, s binary"), "sets")
+    return map_arrow(one, sets, "doc bigint, n int, s binary, a array<bigint>")
+
+
+def verify(built: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets (built) reach the similarity."""
 
     def check(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -177,9 +179,15 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFra
     return map_arrow(full.select("a", "b", "sa", "sb"), check, "a bigint, b bigint")
 
 
-def _fits(x: str, y: str, percent: int = PERCENT):
+def _fits(x: Column, y: Column, percent: int = PERCENT) -> Column:
     """Sizes that can reach the similarity."""
-    return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    return (x * 100 >= y * percent) & (y * 100 >= x * percent)
+
+
+def _reaches(n: Column, i: Column, m: Column, j: Column, percent: int = PERCENT) -> Column:
+    """Whether sets of n and m whose first common shingle stands at i and j can still reach the similarity: only
+    what stands there and behind can be common."""
+    return F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -193,27 +201,48 @@ def link_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = save(found.groupBy("doc").agg(F.max(F.struct("n", "key", "l", "prefix")).alias("x")).select("doc", "x.*"), "prefixes")
     classes = base.where("n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
     reps = save(base.where("n > 0").join(classes, (base["key"] == classes["key"]) & (base["doc"] == classes["rep"])).select("doc", "n", "l", "prefix"), "classes")
-    one = reps.select("doc", "n", "l", F.explode("prefix").alias("h"))
+    one = reps.select("doc", "n", "l", F.posexplode("prefix").alias("pos", "h"))
     lengths = one.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     lists = save(one.join(lengths, "h"), "lists")
 
-    # short lists: the number of shared prefix shingles is counted over the lists
-    packed = lists.where(F.col("size") <= SHORT).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "l"))).alias("m"))
+    # short lists: shared prefix shingles are counted over them; as many more may lie in the long lists as both
+    # documents have there
+    hot = lists.where(F.col("size") > SHORT).groupBy("doc").agg(F.count("*").cast("int").alias("hot"))
+    short = lists.where(F.col("size") <= SHORT).join(hot, "doc", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    packed = short.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "l", "pos", "hot"))).alias("m"))
     ordered = packed.select(F.posexplode("m").alias("i", "x"), "m")
-    near = F.filter(F.expr("slice(m, i + 2, size(m))"), lambda y: (y["n"] * 100 >= F.col("x.n") * PERCENT) & (F.col("x.n") * 100 >= y["n"] * PERCENT))
-    cold = ordered.select("x", F.explode(near).alias("y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("need"))
-    pairs = save(cold.where("shared >= need").select("a", "b"), "pairs")
+    near = F.filter(F.expr("slice(m, i + 2, size(m))"), lambda y: _fits(F.col("x.n"), y["n"]))
+    cold = (
+        ordered.select("x", F.explode(near).alias("y"))
+        .groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("need"), F.min(F.least("x.hot", "y.hot")).alias("more"), F.min("x.pos").alias("i"), F.min("y.pos").alias("j"))
+    )
+    able = _reaches(F.col("na"), F.col("i"), F.col("nb"), F.col("j"))
+    pairs = save(cold.where((F.col("shared") + F.col("more") >= F.col("need")) & able).select("a", "b"), "pairs")
     nodes = reps.select(F.col("doc").alias("id"))
-    links = save(verify(texts, pairs), "links")
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    links = save(verify(save(build_sets(texts, ends).drop("a"), "sets"), pairs), "links")
     comp = save(components(nodes, links), "components")
-    long = save(lists.where(F.col("size") > SHORT).select("h", "doc", "n"), "long")
-    comp = _pivot_rounds(texts, long, comp, links)
+    comp = _long_lists(texts, lists.where(F.col("size") > SHORT).select("doc").distinct(), comp)
     c = base.select("doc", "n", "key").join(classes, "key", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     return c.select("doc", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc").alias("rep"), F.coalesce("c", "rep", "doc").alias("component_id"))
 
 
-def _pivot_rounds(texts: DataFrame, long: DataFrame, comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Resolves the long lists; see the module's head."""
+def _long_lists(texts: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links among the documents that stand in long lists. All their shingles are counted and ordered anew by
+    frequency among them, so that what is a document's own comes first and positions bound the overlap well."""
+    sets = save(build_sets(texts, docs), "long-sets")
+    one = sets.select("doc", "n", F.explode("a").alias("h"))
+    known = one.join(one.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")
+    own = Window.partitionBy("doc")
+    pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "h")) - 1
+    least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - 1e-9) + 1
+    long = known.withColumn("pos", pos.cast("int")).where(F.col("pos") < least).select("h", "doc", "n", "pos")
+    return _pivot_rounds(sets.select("doc", "s"), save(long, "long"), comp)
+
+
+def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame) -> DataFrame:
+    """Resolves the lists; see the module's head."""
     done, width, tested = None, PIVOTS, None
     while True:
         now = long.join(comp.withColumnRenamed("id", "doc"), "doc")
@@ -223,10 +252,12 @@ def _pivot_rounds(texts: DataFrame, long: DataFrame, comp: DataFrame, links: Dat
         # in the first round any member may be a pivot, later those outside the largest component
         may = open_ if done is None else open_.where("c <> main").join(done, ["h", "doc"], "left_anti")
         turn = Window.partitionBy("h").orderBy(F.xxhash64("doc"), "doc")
-        chosen = save(may.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= width).select("h", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")), "pivots")
+        chosen = save(may.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= width).select("h", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("c").alias("pc")), "pivots")
         if not chosen.limit(1).count():
             return comp
-        asked = open_.join(chosen, "h").where((F.col("c") != F.col("pc")) & _fits("n", "pn"))
+        # every pair meets in the list of its first common shingle; in another list it may be left out
+        able = _reaches(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"))
+        asked = open_.join(chosen, "h").where((F.col("c") != F.col("pc")) & able)
         pairs = asked.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
         pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
@@ -235,7 +266,7 @@ def _pivot_rounds(texts: DataFrame, long: DataFrame, comp: DataFrame, links: Dat
         width *= 4
         if not pairs.limit(1).count():
             continue
-        new = save(verify(texts, pairs), "links")
+        new = save(verify(sets, pairs), "links")
         old = comp.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
         comp = save(components(comp, old.union(new)), "components")
 
