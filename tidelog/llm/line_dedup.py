@@ -268,7 +268,7 @@ def _dedup_shuffled(source: DataFrame, shards: DataFrame, n_shards: int, min_doc
 
     texts = keyed.select("_t", "text")
     asked = map_arrow(texts, lines, "_t bigint, h1 bigint, h2 bigint, shard bigint, salt bigint")
-    offered = shards.select("shard", "data", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+    offered = shards.select("shard", "data", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
     hits = asked.groupBy("shard", "salt").cogroup(offered.groupBy("shard", "salt")).applyInPandas(probe, "_t bigint, h1 bigint")
     drops = hits.groupBy("_t").agg(F.collect_set("h1").alias("_drop"))
     return map_arrow(keyed.join(drops, "_t", "left"), cut, schema)
