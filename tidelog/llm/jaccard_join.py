@@ -4,7 +4,9 @@ Documents are sets of 3-word shingles; documents with equal sets form a class. A
 order: those of a fixed part of the hash space whose frequency was counted and is low come first, the rest of
 the space by hash next, the counted frequent ones last by frequency. Of a set of n shingles that must share t
 with a partner, the first n - t + l hold at least l common ones; l grows with the estimated candidate cost of the
-prefix, and a pair must share min(l, l') prefix shingles before it is verified exactly.
+prefix, and a pair must share min(l, l') prefix shingles before it is verified exactly. Every set also has a parity
+sketch; the bits in which two sketches differ are never more than the shingles in which the sets differ, so that
+pairs beyond the allowed difference are left out without loss before any set is shipped.
 
 Links become components without listing all pairs of a group. Short posting lists are joined within; in long
 lists a few pivots meet the others, links are merged into components, and only members outside the list's largest
@@ -14,6 +16,7 @@ component become further pivots, until every remaining pair of a list lies in on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -32,6 +35,8 @@ SHORT = 16
 #: Pivots of a list in the first round (so a short one is done in it); each round takes four times as many.
 PIVOTS = 16
 MOST_MATCHES = 6
+#: 64-bit words of a parity sketch.
+SKETCH = 4
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -55,6 +60,12 @@ def overlap_needed(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: each of its bits counts the shingles that fall on it, modulo 2."""
+    odd = np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Order:
     """The global order, from the counted frequent shingles."""
 
@@ -113,13 +124,13 @@ def global_order(docs: DataFrame) -> Order:
 
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
-    """doc, n, key (digest of the set), l, prefix."""
+    """doc, n, key (digest of the set), l, prefix, bits (parity sketch)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         o = shared.value
         for b in batches:
-            out: dict = {"doc": b["doc"], "n": [], "key": [], "l": [], "prefix": []}
+            out: dict = {"doc": b["doc"], "n": [], "key": [], "l": [], "prefix": [], "bits": []}
             for text in b["text"]:
                 h = shingle_set(text)
                 p, l = o.prefix(h) if len(h) else (h, 0)
@@ -127,9 +138,10 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
                 out["key"].append(xxhash.xxh3_128_digest(h.tobytes()))
                 out["l"].append(l)
                 out["prefix"].append(p.view(np.int64))
+                out["bits"].append(parity(h))
             yield out
 
-    return map_arrow(docs, run, "doc bigint, n int, key binary, l int, prefix array<bigint>")
+    return map_arrow(docs, run, "doc bigint, n int, key binary, l int, prefix array<bigint>, bits array<bigint>")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -151,15 +163,15 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def build_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, n and its set (s packed, a as an array) of the documents in wanted, rebuilt from the texts."""
+    """doc, n, bits and its set (s packed, a as an array) of the documents in wanted, rebuilt from the texts."""
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             built = [max((shingle_set(t) for t in texts), key=lambda s: (len(s), xxhash.xxh3_128_digest(s.tobytes()))) for texts in b["texts"]]
-            yield {"doc": b["doc"], "n": [len(s) for s in built], "s": [s.tobytes() for s in built], "a": [s.view(np.int64) for s in built]}
+            yield {"doc": b["doc"], "n": [len(s) for s in built], "bits": [parity(s) for s in built], "s": [s.tobytes() for s in built], "a": [s.view(np.int64) for s in built]}
 
     one = docs.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
-    return map_arrow(one, sets, "doc bigint, n int, s binary, a array<bigint>")
+    return map_arrow(one, sets, "doc bigint, n int, bits array<bigint>, s binary, a array<bigint>")
 
 
 def verify(built: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -190,6 +202,13 @@ def _reaches(n: Column, i: Column, m: Column, j: Column, percent: int = PERCENT)
     return F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
 
 
+def _near(n: Column, x: Column, m: Column, y: Column, percent: int = PERCENT) -> Column:
+    """Whether sets of n and m with the parity sketches x and y can reach the similarity: a sketch bit differs only
+    if the sets do in a shingle that falls on it."""
+    differ = reduce(Column.__add__, (F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH)))
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc, n_shingles, rep (the smallest id with the same set) and component_id of every id of docs.
 
@@ -198,9 +217,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     texts = _keyed(docs, id_col)
     found = prefixes(texts, global_order(texts))
-    base = save(found.groupBy("doc").agg(F.max(F.struct("n", "key", "l", "prefix")).alias("x")).select("doc", "x.*"), "prefixes")
+    base = save(found.groupBy("doc").agg(F.max(F.struct("n", "key", "l", "prefix", "bits")).alias("x")).select("doc", "x.*"), "prefixes")
     classes = base.where("n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
-    reps = save(base.where("n > 0").join(classes, (base["key"] == classes["key"]) & (base["doc"] == classes["rep"])).select("doc", "n", "l", "prefix"), "classes")
+    reps = save(base.where("n > 0").join(classes, (base["key"] == classes["key"]) & (base["doc"] == classes["rep"])).select("doc", "n", "l", "prefix", "bits"), "classes")
     one = reps.select("doc", "n", "l", F.posexplode("prefix").alias("pos", "h"))
     lengths = one.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     lists = save(one.join(lengths, "h"), "lists")
@@ -218,10 +237,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("need"), F.min(F.least("x.hot", "y.hot")).alias("more"), F.min("x.pos").alias("i"), F.min("y.pos").alias("j"))
     )
     able = _reaches(F.col("na"), F.col("i"), F.col("nb"), F.col("j"))
-    pairs = save(cold.where((F.col("shared") + F.col("more") >= F.col("need")) & able).select("a", "b"), "pairs")
+    able &= F.col("shared") + F.col("more") >= F.col("need")
+    sketched = cold.where(able).join(reps.select(F.col("doc").alias("a"), F.col("bits").alias("xa")), "a").join(reps.select(F.col("doc").alias("b"), F.col("bits").alias("xb")), "b")
+    pairs = save(sketched.where(_near(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"))).select("a", "b"), "pairs")
     nodes = reps.select(F.col("doc").alias("id"))
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    links = save(verify(save(build_sets(texts, ends).drop("a"), "sets"), pairs), "links")
+    links = save(verify(save(build_sets(texts, ends).select("doc", "s"), "sets"), pairs), "links")
     comp = save(components(nodes, links), "components")
     comp = _long_lists(texts, lists.where(F.col("size") > SHORT).select("doc").distinct(), comp)
     c = base.select("doc", "n", "key").join(classes, "key", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
@@ -238,7 +259,7 @@ def _long_lists(texts: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFrame
     pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "h")) - 1
     least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - 1e-9) + 1
     long = known.withColumn("pos", pos.cast("int")).where(F.col("pos") < least).select("h", "doc", "n", "pos")
-    return _pivot_rounds(sets.select("doc", "s"), save(long, "long"), comp)
+    return _pivot_rounds(sets.select("doc", "s"), save(long.join(sets.select("doc", "bits"), "doc"), "long"), comp)
 
 
 def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame) -> DataFrame:
@@ -252,11 +273,11 @@ def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame) -> DataFram
         # in the first round any member may be a pivot, later those outside the largest component
         may = open_ if done is None else open_.where("c <> main").join(done, ["h", "doc"], "left_anti")
         turn = Window.partitionBy("h").orderBy(F.xxhash64("doc"), "doc")
-        chosen = save(may.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= width).select("h", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("c").alias("pc")), "pivots")
+        chosen = save(may.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= width).select("h", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("c").alias("pc"), F.col("bits").alias("pb")), "pivots")
         if not chosen.limit(1).count():
             return comp
         # every pair meets in the list of its first common shingle; in another list it may be left out
-        able = _reaches(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"))
+        able = _reaches(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")) & _near(F.col("n"), F.col("bits"), F.col("pn"), F.col("pb"))
         asked = open_.join(chosen, "h").where((F.col("c") != F.col("pc")) & able)
         pairs = asked.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
         pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
