@@ -238,6 +238,15 @@ def test_jaccard(spark, docs):
     assert {d: (len(sets[d]), want[d]) for d in sets} == {d: (r.n_shingles, r.component_id) for d, r in got.items()}
 
 
+def test_parity_is_a_lower_bound():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 20, 300, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n - n // 9], rng.integers(0, 1 << 63, n // 12, dtype=np.uint64)]))
+        differ = np.bitwise_count(jaccard_join.parity(x) ^ jaccard_join.parity(y)).sum()
+        assert jaccard_join.parity(x).size == jaccard_join.SKETCH and differ <= len(np.setxor1d(x, y))
+
+
 def test_jaccard_groups(spark, odd, none, monkeypatch):
     """Large groups of near copies at all distances, through the long lists."""
     import random
