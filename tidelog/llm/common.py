@@ -47,18 +47,20 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with dicts of Python lists or arrays in place of record batches."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, rows: int = 10_000) -> DataFrame:
+    """mapInArrow with dicts of Python lists or arrays in place of record batches, of at most so many rows each."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dicts = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
+        parts = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        dicts = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in parts)
         for out in fn(dicts):
             cols = [pa.array(out[f.name], type=f.type) for f in target]
             yield pa.RecordBatch.from_arrays(cols, schema=target)
+        pa.default_memory_pool().release_unused()  # Spark uses the worker again
 
     return df.mapInArrow(run, struct)
 

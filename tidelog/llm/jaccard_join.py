@@ -35,6 +35,8 @@ SHORT = 16
 #: Pivots of a list in the first round (so a short one is done in it); each round takes four times as many.
 PIVOTS = 16
 MOST_MATCHES = 6
+#: Texts or pairs of sets that a Python worker unpacks at a time.
+ROWS = 512
 #: 64-bit words of a parity sketch.
 SKETCH = 4
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -106,7 +108,7 @@ def count_pool(docs: DataFrame) -> DataFrame:
             h, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
             yield {"h": h.view(np.int64), "n": n.astype(np.int32)}
 
-    return map_arrow(docs.select("text"), run, "h bigint, n int").groupBy("h").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), run, "h bigint, n int", ROWS).groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def global_order(docs: DataFrame) -> Order:
@@ -141,7 +143,7 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
                 out["bits"].append(parity(h))
             yield out
 
-    return map_arrow(docs, run, "doc bigint, n int, key binary, l int, prefix array<bigint>, bits array<bigint>")
+    return map_arrow(docs, run, "doc bigint, n int, key binary, l int, prefix array<bigint>, bits array<bigint>", ROWS)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def build_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield {"doc": b["doc"], "n": [len(s) for s in built], "bits": [parity(s) for s in built], "s": [s.tobytes() for s in built], "a": [s.view(np.int64) for s in built]}
 
     one = docs.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
-    return map_arrow(one, sets, "doc bigint, n int, bits array<bigint>, s binary, a array<bigint>")
+    return map_arrow(one, sets, "doc bigint, n int, bits array<bigint>, s binary, a array<bigint>", ROWS)
 
 
 def verify(built: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -188,7 +190,7 @@ def verify(built: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFr
 
     left = pairs.join(built.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
     full = left.join(built.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
-    return map_arrow(full.select("a", "b", "sa", "sb"), check, "a bigint, b bigint")
+    return map_arrow(full.select("a", "b", "sa", "sb"), check, "a bigint, b bigint", ROWS)
 
 
 def _fits(x: Column, y: Column, percent: int = PERCENT) -> Column:

@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", keep_columns
             yield {k: v for k, v in b.items() if keep_columns or k != "text"} | {"lang_pred": [x[0] for x in got], "score": [x[1] for x in got]}
 
     schema = source.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).drop(*([] if keep_columns else ["text"])).schema
-    return map_arrow(source, run, schema)
+    return map_arrow(source, run, schema, 512)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
