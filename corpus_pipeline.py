@@ -36,9 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of linked documents. Rows with a null id have
-    no component and stay."""
-    others = link_components(docs).where("doc <> component_id").select(F.col("doc").alias("doc_id"))
+    """One document, that with the smallest id, of each component of documents linked by five-word shingles at a
+    similarity of 0.8 or more. Rows with a null id have no component and stay."""
+    others = link_components(docs, words=5, percent=80).where("doc <> component_id").select(F.col("doc").alias("doc_id"))
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -1,5 +1,6 @@
 """run() against the stages' plain meaning on the small table."""
 
+import collections
 import re
 
 from conftest import DATA
@@ -31,3 +32,34 @@ def test_stages_on_odd_rows(spark):
             out = stage(spark, docs, DATA)
             assert out.count() <= docs.count() and out.columns[:5] == df.columns, name
     assert corpus_pipeline.near_copies(spark, df, DATA).where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_near_copies_against_brute_force(spark):
+    """Five-word shingles at 0.8, also where ten words of a hundred are appended, changed or inserted."""
+    docs = table(spark, DATA.replace("sf0.001", "sf0.01"), "documents")
+    base = [f"w{i}" for i in range(100)]
+    planted = [base, [*base, *(f"a{i}" for i in range(10))], [*base[:90], *(f"c{i}" for i in range(10))], [*base[:40], "new", *base[40:70], "words", *base[70:]], base[:70]]
+    rows = [(10**9 + k, " ".join(w)) for k, w in enumerate(planted)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    sets = {}
+    for d, text in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    lists, pairs, parent = collections.defaultdict(list), [], {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d in sorted(sets):
+        shared = collections.Counter(o for s in sets[d] for o in lists[s])
+        for s in sets[d]:
+            lists[s].append(d)
+        pairs += [(o, d) for o, n in shared.items() if 100 * n >= 80 * (len(sets[o]) + len(sets[d]) - n)]
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, DATA).collect()}
+    assert got == {d for d in sets if find(d) == d}
+    assert 10**9 in got and not {10**9 + 1, 10**9 + 2, 10**9 + 3} & got and 10**9 + 4 in got

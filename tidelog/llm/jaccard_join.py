@@ -1,6 +1,6 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents are sets of 3-word shingles; documents with equal sets form a class. All shingles have one global
+Documents are sets of shingles of so many words (3 for the query, 5 for the pipeline); documents with equal sets form a class. All shingles have one global
 order: those of a fixed part of the hash space whose frequency was counted and is low come first, the rest of
 the space by hash next, the counted frequent ones last by frequency. Of a set of n shingles that must share t
 with a partner, the first n - t + l hold at least l common ones; l grows with the estimated candidate cost of the
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, save, table, text_binary
 
+#: The query's shingle length and similarity; other callers name theirs.
 WORDS, PERCENT = 3, 90
 #: The counted part of the hash space: hashes below 2**64 / POOL.
 POOL = 6
@@ -98,22 +99,22 @@ def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), text_binary())
 
 
-def count_pool(docs: DataFrame) -> DataFrame:
+def count_pool(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """h, n: document frequency of the shingles in the counted part of the hash space."""
     edge = np.uint64((1 << 64) // POOL)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            sets = [s[s < edge] for s in map(shingle_set, b["text"])]
+            sets = [s[s < edge] for s in (shingle_set(t, words) for t in b["text"])]
             h, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
             yield {"h": h.view(np.int64), "n": n.astype(np.int32)}
 
     return map_arrow(docs.select("text"), run, "h bigint, n int", ROWS).groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def global_order(docs: DataFrame) -> Order:
+def global_order(docs: DataFrame, words: int = WORDS) -> Order:
     """Counts the pool of all documents; the frequent shingles come to the driver, at most HOT of them."""
-    counts = save(count_pool(docs).where("n > 1"), "pool")
+    counts = save(count_pool(docs, words).where("n > 1"), "pool")
     least = FREQUENT
     while counts.where(F.col("n") >= least).count() > HOT:
         least *= 2
@@ -125,7 +126,7 @@ def global_order(docs: DataFrame) -> Order:
     return Order(hot[by], freq[by], float(rest or 1))
 
 
-def prefixes(docs: DataFrame, order: Order) -> DataFrame:
+def prefixes(docs: DataFrame, order: Order, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc, n, key (digest of the set), l, prefix, bits (parity sketch)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -134,8 +135,8 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
         for b in batches:
             out: dict = {"doc": b["doc"], "n": [], "key": [], "l": [], "prefix": [], "bits": []}
             for text in b["text"]:
-                h = shingle_set(text)
-                p, l = o.prefix(h) if len(h) else (h, 0)
+                h = shingle_set(text, words)
+                p, l = o.prefix(h, percent) if len(h) else (h, 0)
                 out["n"].append(len(h))
                 out["key"].append(xxhash.xxh3_128_digest(h.tobytes()))
                 out["l"].append(l)
@@ -164,12 +165,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(label, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
 
 
-def build_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def build_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """doc, n, bits and its set (s packed, a as an array) of the documents in wanted, rebuilt from the texts."""
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            built = [max((shingle_set(t) for t in texts), key=lambda s: (len(s), xxhash.xxh3_128_digest(s.tobytes()))) for texts in b["texts"]]
+            built = [max((shingle_set(t, words) for t in texts), key=lambda s: (len(s), xxhash.xxh3_128_digest(s.tobytes()))) for texts in b["texts"]]
             yield {"doc": b["doc"], "n": [len(s) for s in built], "bits": [parity(s) for s in built], "s": [s.tobytes() for s in built], "a": [s.view(np.int64) for s in built]}
 
     one = docs.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
@@ -211,14 +212,15 @@ def _near(n: Column, x: Column, m: Column, y: Column, percent: int = PERCENT) ->
     return differ * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc, n_shingles, rep (the smallest id with the same set) and component_id of every id of docs.
+def link_components(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc, n_shingles, rep (the smallest id with the same set) and component_id of every id of docs. Sets of
+    shingles of so many words are linked from a Jaccard similarity of percent / 100 on.
 
     Null and empty texts have no shingles and link with nothing, null ids are left out. Rows that repeat an id
     give one row: that of its largest set (by size, then digest). An empty table gives an empty result; other columns are not read; texts are read whole.
     """
     texts = _keyed(docs, id_col)
-    found = prefixes(texts, global_order(texts))
+    found = prefixes(texts, global_order(texts, words), words, percent)
     base = save(found.groupBy("doc").agg(F.max(F.struct("n", "key", "l", "prefix", "bits")).alias("x")).select("doc", "x.*"), "prefixes")
     classes = base.where("n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
     reps = save(base.where("n > 0").join(classes, (base["key"] == classes["key"]) & (base["doc"] == classes["rep"])).select("doc", "n", "l", "prefix", "bits"), "classes")
@@ -232,39 +234,39 @@ def link_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     short = lists.where(F.col("size") <= SHORT).join(hot, "doc", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     packed = short.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "l", "pos", "hot"))).alias("m"))
     ordered = packed.select(F.posexplode("m").alias("i", "x"), "m")
-    near = F.filter(F.expr("slice(m, i + 2, size(m))"), lambda y: _fits(F.col("x.n"), y["n"]))
+    near = F.filter(F.expr("slice(m, i + 2, size(m))"), lambda y: _fits(F.col("x.n"), y["n"], percent))
     cold = (
         ordered.select("x", F.explode(near).alias("y"))
         .groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("need"), F.min(F.least("x.hot", "y.hot")).alias("more"), F.min("x.pos").alias("i"), F.min("y.pos").alias("j"))
     )
-    able = _reaches(F.col("na"), F.col("i"), F.col("nb"), F.col("j"))
+    able = _reaches(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), percent)
     able &= F.col("shared") + F.col("more") >= F.col("need")
     sketched = cold.where(able).join(reps.select(F.col("doc").alias("a"), F.col("bits").alias("xa")), "a").join(reps.select(F.col("doc").alias("b"), F.col("bits").alias("xb")), "b")
-    pairs = save(sketched.where(_near(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"))).select("a", "b"), "pairs")
+    pairs = save(sketched.where(_near(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"), percent)).select("a", "b"), "pairs")
     nodes = reps.select(F.col("doc").alias("id"))
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    links = save(verify(save(build_sets(texts, ends).select("doc", "s"), "sets"), pairs), "links")
+    links = save(verify(save(build_sets(texts, ends, words).select("doc", "s"), "sets"), pairs, percent), "links")
     comp = save(components(nodes, links), "components")
-    comp = _long_lists(texts, lists.where(F.col("size") > SHORT).select("doc").distinct(), comp)
+    comp = _long_lists(texts, lists.where(F.col("size") > SHORT).select("doc").distinct(), comp, words, percent)
     c = base.select("doc", "n", "key").join(classes, "key", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     return c.select("doc", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc").alias("rep"), F.coalesce("c", "rep", "doc").alias("component_id"))
 
 
-def _long_lists(texts: DataFrame, docs: DataFrame, comp: DataFrame) -> DataFrame:
+def _long_lists(texts: DataFrame, docs: DataFrame, comp: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links among the documents that stand in long lists. All their shingles are counted and ordered anew by
     frequency among them, so that what is a document's own comes first and positions bound the overlap well."""
-    sets = save(build_sets(texts, docs), "long-sets")
+    sets = save(build_sets(texts, docs, words), "long-sets")
     one = sets.select("doc", "n", F.explode("a").alias("h"))
     known = one.join(one.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")
     own = Window.partitionBy("doc")
     pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "h")) - 1
-    least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - 1e-9) + 1
+    least = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
     long = known.withColumn("pos", pos.cast("int")).where(F.col("pos") < least).select("h", "doc", "n", "pos")
-    return _pivot_rounds(sets.select("doc", "s"), save(long.join(sets.select("doc", "bits"), "doc"), "long"), comp)
+    return _pivot_rounds(sets.select("doc", "s"), save(long.join(sets.select("doc", "bits"), "doc"), "long"), comp, percent)
 
 
-def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame) -> DataFrame:
+def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Resolves the lists; see the module's head."""
     done, width, tested = None, PIVOTS, None
     while True:
@@ -279,7 +281,7 @@ def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame) -> DataFram
         if not chosen.limit(1).count():
             return comp
         # every pair meets in the list of its first common shingle; in another list it may be left out
-        able = _reaches(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")) & _near(F.col("n"), F.col("bits"), F.col("pn"), F.col("pb"))
+        able = _reaches(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"), percent) & _near(F.col("n"), F.col("bits"), F.col("pn"), F.col("pb"), percent)
         asked = open_.join(chosen, "h").where((F.col("c") != F.col("pc")) & able)
         pairs = asked.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
         pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -289,7 +291,7 @@ def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame) -> DataFram
         width *= 4
         if not pairs.limit(1).count():
             continue
-        new = save(verify(sets, pairs), "links")
+        new = save(verify(sets, pairs, percent), "links")
         old = comp.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
         comp = save(components(comp, old.union(new)), "components")
 
