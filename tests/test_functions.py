@@ -56,6 +56,36 @@ def test_word_errors_against_distance():
         assert s + d + i == rows[-1] and n == len(a) and len(a) - d + i == len(b)
 
 
+def plain_errors(a, b):
+    rows = [list(range(len(b) + 1))]
+    for k, x in enumerate(a, 1):
+        rows.append(_next(rows[-1], k, x, b))
+    i, j, s, d, n = len(a), len(b), 0, 0, 0
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and j and rows[i][j] == rows[i - 1][j - 1] + 1:
+            i, j, s = i - 1, j - 1, s + 1
+        elif i and rows[i][j] == rows[i - 1][j] + 1:
+            i, d = i - 1, d + 1
+        else:
+            j, n = j - 1, n + 1
+    return s, d, n, len(a)
+
+
+def test_word_errors_against_plain_version(monkeypatch):
+    """Each count, also where rows are computed again from checkpoints, and over long texts."""
+    rng = random.Random(5)
+    pairs = [[[rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(2)] for _ in range(300)]
+    pairs.append([[rng.choice("abcdefgh") for _ in range(n)] for n in (500, 430)])
+    for bits in (N.TRACE_BITS, 0):
+        monkeypatch.setattr(N, "TRACE_BITS", bits)
+        for a, b in pairs:
+            assert N.word_errors(a, b) == plain_errors(a, b)
+    long = [f"w{i}" for i in range(20_000)]
+    assert N.word_errors(long, [*long[:10_000], "x", *long[10_001:-1]]) == (1, 1, 0, 20_000)
+
+
 def _next(last, k, x, b):
     row = [k]
     for j, y in enumerate(b, 1):

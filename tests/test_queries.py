@@ -1,6 +1,10 @@
+import re
+
 import pytest
 from conftest import DATA, same_rows
+from test_functions import plain_errors
 
+from tidelog.functions import text as N
 from tidelog.plans import registry
 
 
@@ -15,6 +19,17 @@ def test_other_queries_have_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_word_errors_of_whole_texts(spark, duck):
+    texts = dict(duck.sql("SELECT doc_id, text FROM documents WHERE doc_id % 8 = 0").fetchall())
+    got = {r.doc_id: tuple(r)[1:] for r in registry.QUERIES["wer_pairs"](spark, DATA).collect()}
+    for d, text in texts.items():
+        w = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+        said = [[] if i % 7 == 6 else ["xx"] if i % 11 == 10 else [x, x] if i % 13 == 12 else [x] for i, x in enumerate(w)]
+        assert got[d] == plain_errors(N.comparable(" ".join(w)), N.comparable(" ".join(x for s in said for x in s)))
+    each = list(got.values())
+    assert tuple(registry.QUERIES["corpus_wer"](spark, DATA).first())[:4] == tuple(map(sum, zip(*each)))
+
+
 def test_both_outcomes(spark):
     kinds = {r.reason for r in registry.QUERIES["endpoint_decisions"](spark, DATA).collect()}
     assert {"complete", "timeout", "flush", "none"} <= kinds

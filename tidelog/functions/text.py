@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from itertools import pairwise
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -150,27 +151,54 @@ def keeps_other_words(before: str, after: str) -> bool:
     return pick(before) == pick(after)
 
 
+#: Most bits of a traceback kept at once; beyond it blocks of rows are computed again from checkpoints.
+TRACE_BITS = 1 << 26
+
+
+def _error_rows(reference: list[str], at: dict[str, int], full: int, start: tuple[int, int], kept: list | None = None) -> tuple[int, int]:
+    """The differences along a row (up, down) behind the reference words, from those before. kept gets, for each
+    word, bits over the hypothesis: cost equal to that before both words; one more than before the reference word."""
+    up, down = start
+    for r in reference:
+        same = at.get(r)
+        level = ((((same & up) + up) ^ up) | same | down) & full if same else down
+        more = down | full ^ (level | up)
+        if kept is not None:
+            kept.append((level, more))
+        shifted = more << 1 | 1
+        up, down = ((level & up) << 1 | ~(level | shifted)) & full, shifted & level
+    return up, down
+
+
 def word_errors(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int, int]:
     """Substitutions, deletions, insertions, reference words of a least alignment; of equal costs a
-    substitution is preferred to a deletion, a deletion to an insertion."""
-    rows = [list(range(len(hypothesis) + 1))]
-    for i, r in enumerate(reference, 1):
-        last, row = rows[-1], [i]
-        for j, h in enumerate(hypothesis, 1):
-            row.append(last[j - 1] if r == h else 1 + min(last[j - 1], last[j], row[-1]))
-        rows.append(row)
-    i, j, s, d, n = len(reference), len(hypothesis), 0, 0, 0
-    while i or j:
-        here = rows[i][j]
-        if i and j and reference[i - 1] == hypothesis[j - 1]:
-            i, j = i - 1, j - 1
-        elif i and j and here == rows[i - 1][j - 1] + 1:
-            i, j, s = i - 1, j - 1, s + 1
-        elif i and here == rows[i - 1][j] + 1:
-            i, d = i - 1, d + 1
-        else:
-            j, n = j - 1, n + 1
-    return s, d, n, len(reference)
+    substitution is preferred to a deletion, a deletion to an insertion. Rows are bit vectors; long texts keep
+    one of about sqrt(n) rows and compute the others again on the way back."""
+    rows, m = len(reference), len(hypothesis)
+    at: dict[str, int] = {}
+    for j, h in enumerate(hypothesis):
+        at[h] = at.get(h, 0) | 1 << j
+    block = max(1, rows if 2 * rows * m <= TRACE_BITS else isqrt(rows))
+    full = (1 << m) - 1
+    marks = [(full, 0)]
+    for k in range(0, rows - block, block):
+        marks.append(_error_rows(reference[k : k + block], at, full, marks[-1]))
+    i, j, s, d, n = rows, m, 0, 0, 0
+    while i and j:
+        first = (i - 1) // block * block
+        kept: list[tuple[int, int]] = []
+        _error_rows(reference[first:i], at, full, marks[first // block], kept)
+        while i > first and j:
+            level, more = kept[i - 1 - first]
+            if reference[i - 1] == hypothesis[j - 1]:
+                i, j = i - 1, j - 1
+            elif not level >> (j - 1) & 1:
+                i, j, s = i - 1, j - 1, s + 1
+            elif more >> (j - 1) & 1:
+                i, d = i - 1, d + 1
+            else:
+                j, n = j - 1, n + 1
+    return s, d + i, n + j, rows
 
 
 @F.pandas_udf(T.StringType())
