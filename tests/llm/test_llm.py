@@ -209,6 +209,22 @@ def test_substrings(spark, odd, none):
     assert {r.doc_id for r in substring_dedup.repeated_spans(odd).collect()} <= {5} and substring_dedup.repeated_spans(none).count() == 0
 
 
+def test_substrings_inside_sentences(spark):
+    """Passages of over 50 words that start and end inside a sentence, in long sentences and in a script without blanks."""
+    cases = []
+    for k, size in enumerate((12, 20, 23, 200)):
+        words = [f"p{k}x{i}" + "." * (i % size == size // 2) for i in range(60)]
+        cases.append(" ".join(words))
+    cases.append("。".join("".join(chr(0x4E00 + 40 * k + i) for i in range(12)) for k in range(8)))
+    same = "and " * 60
+    rows = [(10 * k + n, f"own{k}start{n} of text " + c + f" own{k}end{n} of text.") for k, c in enumerate([*cases, same]) for n in (1, 2)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, c in enumerate(cases):
+        r, text = got[10 * k + 2], rows[2 * k + 1][1]
+        assert r.keep_id == 10 * k + 1 and r.end - r.start >= len(c) / 6 and text[r.start : r.end].strip() in rows[2 * k][1]
+    assert {d for d in got if d % 10 == 1} <= {51} and got[52].n_words >= 20
+
+
 def components(sets):
     parent = {d: d for d in sets}
 

@@ -1,6 +1,7 @@
 """Repeated passages by unit hashing.
 
-Units are sentences of a line (a line without a sentence end is one unit). Each normalised unit becomes a
+Units are sentences of a line (a line without a sentence end is one unit); long ones are cut into pieces where their
+words say so, so that a passage that starts or ends inside one still holds whole units. Each normalised unit becomes a
 128-bit digest with its rank (document id, text, position). Digests are grouped globally; the earliest ranked
 occurrence stays and later ones are repeats. Runs of neighbouring repeats that hold ``min_words`` words or more
 are removed; shorter ones (a common heading, a licence line) stay. Offsets are those of the original text.
@@ -19,9 +20,23 @@ from pyspark.sql import functions as F
 from .common import map_arrow, save, table
 
 #: A unit ends behind sentence marks that white space follows, or at a line break.
-UNIT = re.compile(r"[^\s][^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+UNIT = re.compile(r"[^\s][^\n]*?(?:[.!?]+(?=\s)|[。！？]+|(?=\n)|\Z)")
+#: Scripts that put no blanks between words.
+BLANKLESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]+")
+#: A unit of more words is cut into pieces of at most PIECE words.
+LONG, PIECE = 24, 16
 #: Rows handed on at a time.
-FLUSH = 100_000
+FLUSH = 20_000
+
+
+def _length(words: list[str]) -> int:
+    """Words; in scripts without blanks each letter counts as one."""
+    return len(words) + sum(max(0, sum(map(len, BLANKLESS.findall(w))) - 1) for w in words if not w.isascii())
+
+
+def _cut(words: list[str], k: int, first: int) -> bool:
+    """Whether a piece ends behind word k: where the word itself says so, so that copies are cut alike."""
+    return k - first + 1 >= PIECE or xxhash.xxh3_64_intdigest(words[k].encode("utf-8", "surrogatepass")) % PIECE == 0
 
 
 def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
@@ -29,7 +44,15 @@ def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
     out = []
     for m in UNIT.finditer(text or ""):
         words = m.group().lower().split()
-        out.append((m.start(), m.end(), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+        parts = [(m.start(), m.end(), words)]
+        if len(words) > LONG:
+            parts, at, first = [], [x.span() for x in re.finditer(r"\S+", m.group())], 0
+            words = [m.group()[a:b].lower() for a, b in at]
+            for k in range(len(at)):
+                if k + 1 == len(at) or _cut(words, k, first):
+                    parts.append((m.start() + at[first][0], m.start() + at[k][1], words[first : k + 1]))
+                    first = k + 1
+        out += [(a, b, _length(w), xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass"))) for a, b, w in parts]
     return out
 
 
@@ -61,10 +84,10 @@ def unit_rows(docs: DataFrame, id_col: str) -> DataFrame:
             yield ready()
 
     source = docs.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64("text").alias("t"), "text")
-    return map_arrow(source, run, "doc bigint, t bigint, pos int, start int, end int, words int, h1 bigint, h2 bigint")
+    return map_arrow(source, run, "doc bigint, t bigint, pos int, start int, end int, words int, h1 bigint, h2 bigint", 512)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 40, id_col: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id") -> DataFrame:
     """id_col, start, end, n_units, n_words, keep_id (the document that keeps the run's first unit), text_hash.
 
     A row for each removed run. Null and empty texts have no units, null ids are left out; rows that repeat an
@@ -76,7 +99,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 40, id_col: str = "doc_id")
     found = save(unit_rows(docs, id_col), "units")
     rank = F.struct("doc", "t", "pos")
     first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).where(rank > F.col("first")).dropDuplicates(["doc", "t", "pos"])
+    later = found.join(first, ["h1", "h2"]).where(rank > F.col("first")).select("doc", "t", "pos", "start", "end", "words", "first.doc")
+    later = later.toDF("doc", "t", "pos", "start", "end", "words", "keep").repartition("doc", "t").dropDuplicates(["doc", "t", "pos"])  # one shuffle for all that follows
     order = Window.partitionBy("doc", "t").orderBy("pos")
     runs = later.withColumn("run", F.col("pos") - F.row_number().over(order))
     return (
@@ -86,7 +110,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 40, id_col: str = "doc_id")
             F.max("end").alias("end"),
             F.count("*").alias("n_units"),
             F.sum("words").alias("n_words"),
-            F.min_by(F.col("first.doc"), "pos").alias("keep_id"),
+            F.min_by("keep", "pos").alias("keep_id"),
         )
         .where(F.col("n_words") >= min_words)
         .select(F.col("doc").alias(id_col), "start", "end", "n_units", "n_words", "keep_id", F.col("t").alias("text_hash"))
