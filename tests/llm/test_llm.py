@@ -63,6 +63,15 @@ def test_secrets_decode():
     assert secrets.unpack(b"\x1f\x8bbroken") is None and secrets.scan("")[1] == []
 
 
+def test_secrets_decode_across_blanks():
+    """Escapes beside blanks, and bytes that are no text, hide nothing."""
+    latin = base64.b64encode("caf\xe9 password = hunter2222".encode("latin-1")).decode()
+    for hidden in ("password = \\u0068unter2222", "\\u0070assword = hunter2222", '"password": "%68unter2222', "password=%68unter2222%E9", "%00password=%68unter2222"):
+        text = f"\u00e9\U0001f600 %E9%zz {hidden} \\u00e9"
+        assert any(k == "assign" and "unter2222" in text[a:b] and "assword" in text[a:b] for k, a, b in secrets.scan(text)[1]), hidden
+    assert [k for k, *_ in secrets.scan(f"x {latin} y")[1]] == ["assign"]
+
+
 def test_secrets_base(spark, docs):
     import random
 

@@ -33,12 +33,12 @@ RANK = {name: i for i, (name, *_) in enumerate(KINDS)}
 #: Most bytes that one compressed region may unfold to; a larger one is left alone (a decompression bomb).
 MAX_UNPACKED = 64 << 20
 
-_WORD = re.compile(r"\S+")
 _PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]")
+_STRAY = re.compile("[\udc80-\udcff]")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f]")
 
 
@@ -71,59 +71,73 @@ def findings(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _to_text(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer | None:
-    """Bytes with their sources as a layer, or None if they are no readable text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or _CONTROL.search(text):
-        return None
-    raw = np.frombuffer(data, dtype=np.uint8)
-    first = np.flatnonzero((raw & 0xC0) != 0x80)
-    last = np.append(first[1:], len(raw)) - 1
-    return Layer(text, starts[first], ends[last])
-
-
-def _percent(layer: Layer, a: int, b: int) -> Layer | None:
-    """A word with %XX bytes."""
-    data, starts, ends, at = bytearray(), [], [], a
-    while at < b:
-        m = _PERCENT.match(layer.text, at, b)
-        piece = bytes([int(m[1], 16)]) if m else layer.text[at].encode("utf-8", "surrogatepass")
-        upto = m.end() if m else at + 1
-        data += piece
-        starts += [layer.starts[at]] * len(piece)
-        ends += [layer.ends[upto - 1]] * len(piece)
-        at = upto
-    try:
-        return _to_text(bytes(data), np.array(starts), np.array(ends))
-    except ValueError:
-        return None
+def _sizes(text: str) -> np.ndarray:
+    """Bytes of each character; 1 for a byte that was not UTF-8."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    return np.where((code >= 0xDC80) & (code <= 0xDCFF), 1, size)
 
 
-def _escapes(layer: Layer, a: int, b: int) -> Layer | None:
-    """A word with Unicode escapes; two halves of a surrogate pair become one character."""
-    chars: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    at = a
-    while at < b:
-        m = _ESCAPE.match(layer.text, at, b)
-        upto = m.end() if m else at + 1
-        char = layer.text[at]
+def _to_text(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer | None:
+    """Bytes with their sources as a layer; what is not UTF-8 becomes replacement characters. None if empty."""
+    if not data:
+        return None
+    text = data.decode("utf-8", "surrogateescape")
+    last = np.cumsum(_sizes(text))
+    return Layer(_STRAY.sub("\ufffd", text), starts[np.append(0, last[:-1])], ends[last - 1])
+
+
+def _readable(layer: Layer | None) -> Layer | None:
+    """The layer, if it is clean text or holds anything that a scan or a further step could find."""
+    if layer is None or not ("\ufffd" in layer.text or _CONTROL.search(layer.text)):
+        return layer
+    more = _BASE64.search(layer.text) or _PERCENT.search(layer.text) or _ESCAPE.search(layer.text)
+    return layer if more or findings(layer.text) else None
+
+
+def _percent(layer: Layer) -> Layer | None:
+    """The whole layer with its %XX bytes decoded."""
+    data, starts, ends, at = bytearray(), [], [], 0
+    for m in [*_PERCENT.finditer(layer.text), None]:
+        upto = m.start() if m else len(layer.text)
+        if at < upto:
+            plain = layer.text[at:upto].encode("utf-8", "surrogatepass")
+            size = 1 if len(plain) == upto - at else [len(c.encode("utf-8", "surrogatepass")) for c in layer.text[at:upto]]
+            data += plain
+            starts.append(np.repeat(layer.starts[at:upto], size))
+            ends.append(np.repeat(layer.ends[at:upto], size))
+        if m:
+            data.append(int(m[1], 16))
+            starts.append(layer.starts[upto : upto + 1])
+            ends.append(layer.ends[m.end() - 1 : m.end()])
+            at = m.end()
+    return _to_text(bytes(data), np.concatenate(starts), np.concatenate(ends))
+
+
+def _escapes(layer: Layer) -> Layer | None:
+    """The whole layer with its Unicode escapes decoded; two halves of a surrogate pair become one character."""
+    parts: list[str] = []
+    starts: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+    at = 0
+    for m in [*_ESCAPE.finditer(layer.text), None]:
+        upto = m.start() if m else len(layer.text)
+        if at < upto:
+            parts.append(layer.text[at:upto])
+            starts.append(layer.starts[at:upto])
+            ends.append(layer.ends[at:upto])
         if m:
             code = int(m[7]) if m[7] else int(next(x for x in m.groups()[:6] if x), 16)
-            char = chr(code) if code <= 0x10FFFF else "\ufffd"
-        if m and chars and "\udc00" <= char <= "\udfff" and "\ud800" <= chars[-1] <= "\udbff":
-            chars[-1] = chr(0x10000 + ((ord(chars[-1]) - 0xD800) << 10) + ord(char) - 0xDC00)
-            ends[-1] = layer.ends[upto - 1]
-        else:
-            chars.append(char)
-            starts.append(layer.starts[at])
-            ends.append(layer.ends[upto - 1])
-        at = upto
-    return Layer("".join(chars), np.array(starts), np.array(ends))
+            char, end = chr(code) if code <= 0x10FFFF else "\ufffd", layer.ends[m.end() - 1 : m.end()]
+            if "\udc00" <= char <= "\udfff" and parts and len(parts[-1]) == 1 and "\ud800" <= parts[-1] <= "\udbff":
+                parts[-1] = chr(0x10000 + ((ord(parts[-1]) - 0xD800) << 10) + ord(char) - 0xDC00)
+                ends[-1] = end
+            else:
+                parts.append(char)
+                starts.append(layer.starts[upto : upto + 1])
+                ends.append(end)
+            at = m.end()
+    return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
 def unpack(data: bytes) -> bytes | None:
@@ -161,10 +175,10 @@ def _from_base64(layer: Layer, a: int, b: int) -> Layer | None:
         inner, whole = deeper, True
     if whole:  # every byte of a compressed stream comes from the whole region
         size = len(inner)
-        return _to_text(inner, np.full(size, layer.starts[a]), np.full(size, layer.ends[b - 1]))
+        return _readable(_to_text(inner, np.full(size, layer.starts[a]), np.full(size, layer.ends[b - 1])))
     at = np.arange(len(data))
     source = np.array(keep[:n]) + a
-    return _to_text(data, layer.starts[source[at * 4 // 3]], layer.ends[source[np.minimum((at * 8 + 7) // 6, n - 1)]])
+    return _readable(_to_text(data, layer.starts[source[at * 4 // 3]], layer.ends[source[np.minimum((at * 8 + 7) // 6, n - 1)]]))
 
 
 def _escaped(text: str) -> bool:
@@ -174,13 +188,10 @@ def _escaped(text: str) -> bool:
 def inner_layers(layer: Layer) -> Iterator[Layer]:
     """The layers that one decoding step finds."""
     text = layer.text
-    percent, escaped = "%" in text and _PERCENT.search(text), _escaped(text)
-    if percent or escaped:
-        for m in _WORD.finditer(text):
-            if percent and _PERCENT.search(text, m.start(), m.end()) and (found := _percent(layer, *m.span())):
-                yield found
-            if escaped and _ESCAPE.search(text, m.start(), m.end()) and (found := _escapes(layer, *m.span())):
-                yield found
+    if "%" in text and _PERCENT.search(text) and (found := _percent(layer)):
+        yield found
+    if _escaped(text) and (found := _escapes(layer)):
+        yield found
     longest = 0
     for m in _BASE64.finditer(text):
         longest = max(longest, m.end() - m.start())
