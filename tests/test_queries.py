@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -30,6 +31,13 @@ def test_word_errors_of_whole_texts(spark, duck):
     assert tuple(registry.QUERIES["corpus_wer"](spark, DATA).first())[:4] == tuple(map(sum, zip(*each)))
 
 
+def test_nearest_of_many_labels(spark, tmp_path):
+    rows = [(k, k, [math.cos(k / 400), math.sin(k / 400)]) for k in range(1200)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    best = [r.best for r in registry.QUERIES["nearest_centroid_margin"](spark, str(tmp_path)).select("best").collect()]
+    assert len(best) == 1200 and len(set(best)) > 1000
+
+
 def test_both_outcomes(spark):
     kinds = {r.reason for r in registry.QUERIES["endpoint_decisions"](spark, DATA).collect()}
     assert {"complete", "timeout", "flush", "none"} <= kinds

@@ -318,7 +318,7 @@ def label_centroids(spark, d):
 def nearest_centroid_margin(spark, d):
     s = segments(spark, d)
     c = align.centroids(s.withColumn("one", F.lit(1.0)), "label", "one").withColumnRenamed("label", "best")
-    x = s.select("session", "i", "embedding").crossJoin(F.broadcast(c.limit(1_000)))  # labels: a set of some names
+    x = s.select("session", "i", "embedding").crossJoin(c)  # every label; Spark broadcasts the centroids only if they are small
     x = x.select("session", "i", "best", _R6(X.cosine(F.col("embedding"), F.col("centroid")), "score"))
     w = Window.partitionBy("session", "i").orderBy(F.desc("score"), "best")
     ranked = x.withColumn("r", F.row_number().over(w)).withColumn("nx", F.lead("score", 1, -1.0).over(w)).where("r = 1")
