@@ -72,6 +72,19 @@ def test_secrets_decode_across_blanks():
     assert [k for k, *_ in secrets.scan(f"x {latin} y")[1]] == ["assign"]
 
 
+def test_secrets_in_later_members():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        data = pack(b"nothing here, ") + pack(b"password = hunter2222")
+        assert secrets.unpack(data) == b"nothing here, password = hunter2222"
+        assert [k for k, *_ in secrets.scan(f"x {base64.b64encode(data).decode()} y")[1]] == ["assign"]
+    assert secrets.unpack(gzip.compress(b"abc") + b"more") == b"abc"
+
+
 def test_secrets_base(spark, docs):
     import random
 

@@ -140,8 +140,13 @@ def _escapes(layer: Layer) -> Layer | None:
     return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
-def unpack(data: bytes) -> bytes | None:
-    """The inside of a gzip, zlib, bzip2, xz or zstd stream; None if it is none, broken or too large."""
+def _zstd(data: bytes, all_frames: bool) -> bytes:
+    with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=all_frames) as reader:
+        return reader.read(MAX_UNPACKED + 1)
+
+
+def _member(data: bytes) -> tuple[bytes, bytes] | None:
+    """The inside of the first member of a compressed stream and what follows it."""
     try:
         if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
             d = zlib.decompressobj(wbits=47)
@@ -150,17 +155,28 @@ def unpack(data: bytes) -> bytes | None:
         elif data[:6] == b"\xfd7zXZ\x00":
             d = lzma.LZMADecompressor()
         elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(MAX_UNPACKED + 1)
-            return out if len(out) <= MAX_UNPACKED else None
+            try:
+                return _zstd(data, True), b""
+            except zstandard.ZstdError:  # something else follows the first frame
+                return _zstd(data, False), b""
         else:
             return None
-        out = d.decompress(data, MAX_UNPACKED + 1)
-        return out if len(out) <= MAX_UNPACKED else None
+        return d.decompress(data, MAX_UNPACKED + 1), d.unused_data
     except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
         return None
 
 
+def unpack(data: bytes) -> bytes | None:
+    """The inside of all members of a gzip, zlib, bzip2, xz or zstd stream; None if it is none, broken or too large."""
+    out, found = bytearray(), False
+    while (part := _member(data)) is not None:
+        found, data = True, part[1]
+        out += part[0]
+        if len(out) > MAX_UNPACKED:
+            return None
+    return bytes(out) if found else None
+
+
 def _from_base64(layer: Layer, a: int, b: int) -> Layer | None:
     raw = layer.text[a:b]
     keep = [i for i, c in enumerate(raw) if not _NOT_BASE64.match(c)] if _NOT_BASE64.search(raw) else range(len(raw))
