@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,9 @@ from pyspark.sql import types as T
 
 #: Paths of tables saved by :func:`save` that :func:`release` may delete.
 _SAVED: list[str] = []
+#: Most bytes of an Arrow batch that goes to a Python worker, unless the session names its own limit.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none."""
+    """The folder that all executors share. Where the session names none, a local session gets a temporary one;
+    on a cluster that would be a machine's own folder, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidelog-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -38,21 +47,47 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`save` has written in this process. Only call it when no DataFrame
-    that reads one of them is still needed."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables that :func:`save` has written in this process, all or those named. Only for tables that no
+    DataFrame still in use reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _SAVED:
-        path = jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for p in list(_SAVED) if paths is None else paths:
+        if p in _SAVED:
+            _SAVED.remove(p)
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, and have the shuffle files of finished steps cleaned:
+    Spark drops them only when the driver collects its garbage."""
+    spark = tables[0].sparkSession
+    names = {f.split("/tidelog-", 1)[1].split("/")[0] for df in tables for f in df.inputFiles() if "/tidelog-" in f}
+    release(spark, [p for p in _SAVED if p.rsplit("/tidelog-", 1)[1] in names])
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def saved_paths() -> list[str]:
+    return list(_SAVED)
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system: Spark uses a Python worker again."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, rows: int = 10_000) -> DataFrame:
-    """mapInArrow with dicts of Python lists or arrays in place of record batches, of at most so many rows each."""
+    """mapInArrow with dicts of Python lists or arrays in place of record batches, of at most so many rows each.
+    Batches are limited by bytes, since texts can be very long."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    target = to_arrow_schema(struct)
+    target, spark = to_arrow_schema(struct), df.sparkSession
+    if int(spark.conf.get(_BYTES).rstrip("b")) >= 64 << 20:  # Spark's default
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
@@ -60,7 +95,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
         for out in fn(dicts):
             cols = [pa.array(out[f.name], type=f.type) for f in target]
             yield pa.RecordBatch.from_arrays(cols, schema=target)
-        pa.default_memory_pool().release_unused()  # Spark uses the worker again
+        _give_back()
 
     return df.mapInArrow(run, struct)
 
