@@ -1,10 +1,11 @@
-"""Repeated passages by unit hashing.
-
-Units are sentences of a line (a line without a sentence end is one unit); long ones are cut into pieces where their
-words say so, so that a passage that starts or ends inside one still holds whole units. Each normalised unit becomes a
-128-bit digest with its rank (document id, text, position). Digests are grouped globally; the earliest ranked
-occurrence stays and later ones are repeats. Runs of neighbouring repeats that hold ``min_words`` words or more
-are removed; shorter ones (a common heading, a licence line) stay. Offsets are those of the original text.
+"""Repeated passages by unit hashing, grown to their exact ends.
+
+A line is cut into short units where its words say so, so that copies of a passage are cut alike wherever it
+starts. Each normalised unit becomes a digest with its rank (document id, text, word). Digests are grouped
+globally; the earliest ranked occurrence stays, later ones are repeats. Neighbouring repeats of neighbouring units
+of one kept document are a run. A run grows to both sides, word by word, as far as the text equals the kept
+document's, so a passage that begins and ends inside units is found whole. Passages of ``min_words`` words or more
+are removed; shorter ones (a heading, a licence line) stay. Offsets are those of the original text.
 """
 
 from __future__ import annotations
@@ -14,117 +15,227 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, save, table
-
-#: A unit ends behind sentence marks that white space follows, or at a line break.
-UNIT = re.compile(r"[^\s][^\n]*?(?:[.!?]+(?=\s)|[。！？]+|(?=\n)|\Z)")
-#: Scripts that put no blanks between words.
-BLANKLESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]+")
-#: A unit of more words is cut into pieces of at most PIECE words.
-LONG, PIECE = 24, 16
+from .common import done_with, map_arrow, save, table
+
+#: Scripts that put no blanks between words: there each letter counts as a word.
+_BLANKLESS = "฀-໿က-႟ក-៿々-ヿ㐀-鿿\U00020000-\U0003ffff"
+BLANKLESS = re.compile(f"[{_BLANKLESS}]")
+#: White space that parts words.
+WORD = re.compile(f"[{_BLANKLESS}]|[^\x20\x09-\x0d{_BLANKLESS}]+")
+#: A unit ends behind one word in CUT, chosen by the word itself, and has at most PIECE words.
+CUT, PIECE = 7, 16
+#: A run of fewer words is no reason to compare texts.
+ANCHOR = 8
+#: Words compared beside a run at once; a run that still grows is compared over GROW times as many next.
+BESIDE, GROW = 24, 4
+ASKED = ("w", "n", "kl", "kr")
 #: Rows handed on at a time.
 FLUSH = 20_000
 
 
-def _length(words: list[str]) -> int:
-    """Words; in scripts without blanks each letter counts as one."""
-    return len(words) + sum(max(0, sum(map(len, BLANKLESS.findall(w))) - 1) for w in words if not w.isascii())
-
-
-def _cut(words: list[str], k: int, first: int) -> bool:
-    """Whether a piece ends behind word k: where the word itself says so, so that copies are cut alike."""
-    return k - first + 1 >= PIECE or xxhash.xxh3_64_intdigest(words[k].encode("utf-8", "surrogatepass")) % PIECE == 0
+def word_hashes(line: str) -> np.ndarray:
+    """A 64-bit hash of each word of a lower-cased line."""
+    if line.isascii() or not BLANKLESS.search(line):
+        words = line.encode("utf-8", "surrogatepass").split()
+    else:
+        words = [w.encode("utf-8", "surrogatepass") for w in WORD.findall(line)]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def units(text: str | None) -> list[tuple[int, int, int]]:
+    """(digest, first word, words) of each unit; words are counted through the text."""
+    out, before = [], 0
+    for line in (text or "").lower().split("\n"):
+        h = word_hashes(line)
+        if not len(h):
+            continue
+        cut = h[:-1] % np.uint64(CUT) == 0
+        cut[1:] &= h[1:-1] != h[:-2]  # a word said again and again is no place to cut
+        ends, raw, at = [*(np.flatnonzero(cut) + 1).tolist(), len(h)], h.tobytes(), 0
+        for end in ends:
+            while at < end:
+                upto = min(end, at + PIECE)
+                digest = xxhash.xxh3_64_intdigest(raw[8 * at : 8 * upto])
+                out.append((digest - (1 << 64) if digest >> 63 else digest, before + at, upto - at))
+                at = upto
+        before += len(h)
+    return out
 
 
-def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit, code points, end exclusive."""
-    out = []
-    for m in UNIT.finditer(text or ""):
-        words = m.group().lower().split()
-        parts = [(m.start(), m.end(), words)]
-        if len(words) > LONG:
-            parts, at, first = [], [x.span() for x in re.finditer(r"\S+", m.group())], 0
-            words = [m.group()[a:b].lower() for a, b in at]
-            for k in range(len(at)):
-                if k + 1 == len(at) or _cut(words, k, first):
-                    parts.append((m.start() + at[first][0], m.start() + at[k][1], words[first : k + 1]))
-                    first = k + 1
-        out += [(a, b, _length(w), xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass"))) for a, b, w in parts]
-    return out
+def _documents(docs: DataFrame, id_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64("text").alias("t"), "text")
 
 
-def unit_rows(docs: DataFrame, id_col: str) -> DataFrame:
-    """doc, t (text hash), pos, start, end, words, h1, h2 of every unit."""
+def unit_rows(texts: DataFrame) -> DataFrame:
+    """h, doc, t, w (first word), n (words) of every unit."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict = {k: [] for k in ("doc", "t", "pos", "start", "end", "words")}
-            digests: list[bytes] = []
-
-            def ready(out: dict = out, digests: list[bytes] = digests) -> dict:
-                h = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.int64).reshape(-1, 2)
-                got = out | {"h1": h[:, 0], "h2": h[:, 1]}
-                return {k: list(v) if isinstance(v, list) else v for k, v in got.items()}
-
+            out: dict = {k: [] for k in ("h", "doc", "t", "w", "n")}
             for doc, t, text in zip(b["doc"], b["t"], b["text"], strict=True):
                 found = units(text)
                 out["doc"] += [doc] * len(found)
                 out["t"] += [t] * len(found)
-                out["pos"] += range(len(found))
-                for key, i in (("start", 0), ("end", 1), ("words", 2)):
+                for i, key in enumerate(("h", "w", "n")):
                     out[key] += [x[i] for x in found]
-                digests += [x[3] for x in found]
-                if len(digests) > FLUSH:
-                    yield ready()
-                    for v in (*out.values(), digests):
-                        v.clear()
-            yield ready()
+                if len(out["h"]) > FLUSH:
+                    yield out
+                    out = {k: [] for k in out}
+            yield out
+
+    return map_arrow(texts, run, "h bigint, doc bigint, t bigint, w int, n int", 256)
+
+
+def _beside(text: str, asked: list) -> list[dict]:
+    """For each (w, n, kl, kr) the hashes of kl words before and kr behind the words w to w + n, with their offsets."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    lower = text.lower()
+    if len(lower) == len(text):
+        words = [lower[a:b] for a, b in spans]
+    else:
+        words = [text[a:b].lower() for a, b in spans]
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
+    out = []
+    for x in asked:
+        w, n = x["w"], x["n"]
+        left, right = slice(max(0, w - x["kl"]), w), slice(w + n, w + n + x["kr"])
+        beside = {"lh": h[left][::-1], "ls": [a for a, _ in spans[left]][::-1], "rh": h[right], "re": [b for _, b in spans[right]]}
+        out.append({k: x[k] for k in ASKED} | {"s": spans[w][0], "e": spans[w + n - 1][1]} | beside)
+    return out
 
-    source = docs.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64("text").alias("t"), "text")
-    return map_arrow(source, run, "doc bigint, t bigint, pos int, start int, end int, words int, h1 bigint, h2 bigint", 512)
 
+def surroundings(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """What lies beside the spans asked for (doc, t, w, n, kl, kr): offsets of the span and, nearest first, hashes
+    and offsets of kl words before and kr behind it. One join of the texts, grouped by document; no group is larger
+    than what its text makes possible."""
+    fields = (*ASKED, "s", "e", "lh", "ls", "rh", "re")
 
-def repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id") -> DataFrame:
-    """id_col, start, end, n_units, n_words, keep_id (the document that keeps the run's first unit), text_hash.
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out: dict = {k: [] for k in ("doc", "t", *fields)}
+            for doc, t, text, spans in zip(b["doc"], b["t"], b["text"], b["spans"], strict=True):
+                for at in range(0, len(spans), 512):
+                    found = _beside(text, spans[at : at + 512])
+                    out["doc"] += [doc] * len(found)
+                    out["t"] += [t] * len(found)
+                    for key in fields:
+                        out[key] += [x[key] for x in found]
+                    if len(out["doc"]) > 2_000:
+                        yield out
+                        out = {k: [] for k in out}
+            yield out
+
+    grouped = asked.groupBy("doc", "t").agg(F.collect_set(F.struct(*ASKED)).alias("spans"))
+    schema = "doc bigint, t bigint, w int, n int, kl int, kr int, s int, e int, lh array<bigint>, ls array<int>, rh array<bigint>, re array<int>"
+    return map_arrow(texts.join(grouped, ["doc", "t"]).select("doc", "t", "text", "spans"), run, schema, 256).dropDuplicates(["doc", "t", *ASKED])
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many leading elements are equal."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+    return F.when(differ > 0, differ - 1).otherwise(F.size(a))
+
+
+def anchors(found: DataFrame) -> DataFrame:
+    """Runs of repeats (doc, t, w, n, kd, kt, kw) that follow each other in the document and in the kept one."""
+    least = ANCHOR
 
-    A row for each removed run. Null and empty texts have no units, null ids are left out; rows that repeat an
-    id with its text count as one document, the same id with another text as another, ranked by text hash. An
-    empty table gives an empty result; other columns are not read; texts are read whole. A very common unit is
-    pre-aggregated before the shuffle, and its occurrences join by a splittable shuffle. Units lie in the
-    shared folder.
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, t, hits in zip(b["doc"], b["t"], b["hits"], strict=True):
+                now: list = []
+                for x in sorted((x["w"], x["n"], x["kd"], x["kt"], x["kw"]) for x in hits):
+                    if now and now[0] + now[1] == x[0] and now[2:4] == list(x[2:4]) and now[4] + now[1] == x[4]:
+                        now[1] += x[1]
+                        continue
+                    if now and now[1] >= least:
+                        out.append((doc, t, *now))
+                    now = list(x)
+                if now and now[1] >= least:
+                    out.append((doc, t, *now))
+            yield {k: [x[i] for x in out] for i, k in enumerate(("doc", "t", "w", "n", "kd", "kt", "kw"))}
+
+    grouped = found.groupBy("doc", "t").agg(F.collect_set(F.struct("w", "n", "kd", "kt", "kw")).alias("hits"))
+    return map_arrow(grouped, run, "doc bigint, t bigint, w int, n int, kd bigint, kt bigint, kw int", 256)
+
+
+def grow(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc, t, kd, start, end, w, n of every run, grown as far as both texts are equal. Runs that grow into each
+    other on the same places of the same kept document become one; those whose end is still open grow on."""
+    done, k = None, BESIDE
+    ends = runs.select("doc", "t", "kd", "kt", "w", "n", "kw", F.lit(k).alias("kl"), F.lit(k).alias("kr"))
+    while True:
+        mine, theirs = ["doc", "t", *ASKED], ["kd", "kt", "kw", *ASKED[1:]]
+        asked = ends.select(mine).union(ends.select(theirs)).distinct()
+        beside = save(surroundings(texts, asked), "beside")
+        kept = beside.select(*(F.col(a).alias(b) for a, b in zip(mine, theirs, strict=True)), F.col("lh").alias("klh"), F.col("rh").alias("krh"))
+        both = ends.join(beside, mine).join(kept, theirs)
+        both = both.withColumns({"left": _common(F.col("lh"), F.col("klh")), "right": _common(F.col("rh"), F.col("krh"))})
+        start = F.when(F.col("left") > 0, F.get("ls", F.col("left") - 1)).otherwise(F.col("s"))
+        end = F.when(F.col("right") > 0, F.get("re", F.col("right") - 1)).otherwise(F.col("e"))
+        first, last = F.col("w") - F.col("left"), F.col("w") + F.col("n") + F.col("right")
+        more = lambda side, now: (F.col(side) == F.col(now)) & (F.col(now) > 0)
+        wide = both.select("doc", "t", "kd", "kt", (F.col("kw") - F.col("w")).alias("shift"), first.alias("a"), last.alias("b"), start.alias("start"), end.alias("end"), more("left", "kl").alias("ol"), more("right", "kr").alias("or"))
+        order = Window.partitionBy("doc", "t", "kd", "kt", "shift").orderBy("a", F.desc("b"))
+        fresh = (F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+        wide = wide.withColumn("fresh", F.coalesce(fresh, F.lit(1))).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        grown = wide.groupBy("doc", "t", "kd", "kt", "shift", "island").agg(
+            F.min("a").alias("w"), F.max("b").alias("b"), F.min("start").alias("start"), F.max("end").alias("end"),
+            F.min(F.struct("a", ~F.col("ol"))).getField("col2").alias("sl"), F.max(F.struct("b", ~F.col("or"))).getField("col2").alias("sr"),
+        )
+        grown = save(grown.select("doc", "t", "kd", "kt", "w", (F.col("b") - F.col("w")).alias("n"), (F.col("w") + F.col("shift")).alias("kw"), "start", "end", "sl", "sr"), "grown")
+        done_with(beside)
+        shut = grown.where("sl AND sr")
+        done = shut if done is None else done.union(shut)
+        k *= GROW
+        ends = grown.where("NOT (sl AND sr)").select("doc", "t", "kd", "kt", "w", "n", "kw", *(F.when(F.col(c), 0).otherwise(k).alias(o) for c, o in (("sl", "kl"), ("sr", "kr"))))
+        if not ends.limit(1).count():
+            return done.select("doc", "t", "kd", "start", "end", "w", "n")
+
+
+def repeated_spans(docs: DataFrame, min_words: int = 51, id_col: str = "doc_id", within: bool = False) -> DataFrame:
+    """id_col, start, end, n_words, keep_id (a document that keeps the passage), text_hash.
+
+    A row for each removed span: passages of min_words words or more that an earlier ranked document holds, those
+    that overlap as one. With ``within``, what repeats an earlier place of its own document counts too.
+    Null and empty texts have no units, null ids are left out; rows that repeat an id with its text count as one
+    document, the same id with another text as another, ranked by text hash. Of equal places the first word's
+    number ranks. An empty table gives an empty result; other columns are not read; texts are read whole. A very
+    common unit is pre-aggregated before the shuffle, and its occurrences join by a splittable shuffle. First
+    occurrences, runs and grown passages lie in the shared folder.
     """
-    found = save(unit_rows(docs, id_col), "units")
-    rank = F.struct("doc", "t", "pos")
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).where(rank > F.col("first")).select("doc", "t", "pos", "start", "end", "words", "first.doc")
-    later = later.toDF("doc", "t", "pos", "start", "end", "words", "keep").repartition("doc", "t").dropDuplicates(["doc", "t", "pos"])  # one shuffle for all that follows
-    order = Window.partitionBy("doc", "t").orderBy("pos")
-    runs = later.withColumn("run", F.col("pos") - F.row_number().over(order))
-    return (
-        runs.groupBy("doc", "t", "run")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.count("*").alias("n_units"),
-            F.sum("words").alias("n_words"),
-            F.min_by("keep", "pos").alias("keep_id"),
-        )
-        .where(F.col("n_words") >= min_words)
-        .select(F.col("doc").alias(id_col), "start", "end", "n_units", "n_words", "keep_id", F.col("t").alias("text_hash"))
-    )
+    texts = _documents(docs, id_col)
+    rank = F.struct("doc", "t", "w")
+    grouped = unit_rows(texts).groupBy("h").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    first = save(grouped.where("first <> last").select("h", F.col("first.doc").alias("kd"), F.col("first.t").alias("kt"), F.col("first.w").alias("kw")), "first-units")
+    other = (F.col("doc") != F.col("kd")) | (F.col("t") != F.col("kt"))
+    later = unit_rows(texts).join(first, "h").where(other | (F.col("w") > F.col("kw")) if within else other).drop("h")
+    runs = save(anchors(later), "runs")
+    done_with(first)
+    fit = grow(texts, runs).where(F.col("n") >= min_words).distinct()
+    # overlapping passages of a document become one
+    order = Window.partitionBy("doc", "t").orderBy("start", "end", "kd")
+    fresh = F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = fit.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    words = F.max(F.col("w") + F.col("n")) - F.min("w")
+    merged = islands.groupBy("doc", "t", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), words.alias("n_words"), F.max(F.struct("n", -F.col("kd"))).alias("best"))
+    return merged.select(F.col("doc").alias(id_col), "start", "end", F.col("n_words").cast("bigint"), (-F.col("best.col2")).alias("keep_id"), F.col("t").alias("text_hash"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with the spans cut out of text, and removed: array<struct<start,end>> in the original's offsets."""
     cuts = spans.groupBy(F.col(id_col), F.col("text_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = docs.withColumn("text_hash", F.xxhash64("text")).join(cuts, [id_col, "text_hash"], "left").drop("text_hash")
+    keyed = docs.drop("removed").withColumn("_h", F.xxhash64("text"))
+    joined = keyed.join(cuts.withColumnRenamed("text_hash", "_h"), [id_col, "_h"], "left").drop("_h")
     starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))
     ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length("text")))
     kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns, "removed")
+    cut = joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    return cut.select(*(c for c in docs.columns if c != "removed"), "removed")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
