@@ -2,9 +2,10 @@
 
 Lines become keys (stripped, A-Z lower-cased, hashed to 128 bits). Document frequencies are summed by key;
 keys of two or more documents are dealt into shards by hash, and each shard becomes a minimal perfect hash
-over compact arrays of 32-bit fingerprints and counts. Documents hash their lines and probe the arrays.
-Shards are broadcast while their summed size stays under ``max_broadcast``; beyond it each shard goes to
-the line hashes that fall into it, and the documents get their dropped line numbers back by id.
+over compact arrays of 64-bit fingerprints and counts. Documents hash their lines and probe the arrays; no line is
+joined. Shards go to all tasks while their summed size stays under ``max_broadcast``, which costs a task less than
+sending its lines' hashes away; beyond it the hashes meet their shard in the shard's own task, the most common keys
+being answered where they stand, and the row gets its dropped hashes back.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +27,9 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SHARD_KEYS, GAMMA, LEVELS = 65_536, 2, 24
 #: Tallies are handed on when they reach so many keys.
 FLUSH = 200_000
-#: Random pieces that the rows of a shard are dealt into on the shuffled path, against hot lines.
-SALTS = 16
+#: Where hashes go to shards: a key found in one of so many line entries is answered from a broadcast head (so at
+#: most as many keys); the hashes that a task gets, about.
+HEAD, TASK_LINES = 20_000, 1 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -51,82 +52,84 @@ def _level_hash(h: np.ndarray, level: int) -> np.ndarray:
 
 @dataclass
 class PerfectHash:
-    """Levels of bit arrays: a key sits at its bit of the first level in which no other key had that bit;
-    its slot is the rank of the bit. Keys that collide on every level are listed, sorted, behind the rest."""
+    """Levels of packed bits: a key sits at its bit of the first level in which no other key had that bit; its slot
+    is the rank of the bit. Keys that collide on every level are listed, sorted, behind the rest."""
 
-    bits: list[np.ndarray]
-    ranks: list[np.ndarray]
+    sizes: list[int]  # bits of each level
+    words: np.ndarray  # all levels, each padded to whole 64-bit words
     rest: np.ndarray
     prints: np.ndarray
     counts: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.first = np.concatenate([[0], np.cumsum([-(-n // 64) for n in self.sizes])]).astype(np.int64)
+        ones = np.bitwise_count(self.words).astype(np.int32)
+        self.ranks = np.cumsum(ones, dtype=np.int32) - ones  # ones before each word
+
     @classmethod
     def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> PerfectHash:
-        left, bits, placed = np.arange(len(h1)), [], []
+        left, sizes, words, placed = np.arange(len(h1)), [], [], []
         for level in range(LEVELS):
             if not len(left):
                 break
             size = max(64, GAMMA * len(left))
-            at = _level_hash(h1[left], level) % np.uint64(size)
-            taken = np.bincount(at.astype(np.int64), minlength=size)
-            alone = taken[at.astype(np.int64)] == 1
-            bits.append(taken == 1)
-            placed.append((left[alone], at[alone].astype(np.int64)))
+            at = (_level_hash(h1[left], level) % np.uint64(size)).astype(np.int64)
+            taken = np.bincount(at, minlength=64 * -(-size // 64)) == 1
+            alone = taken[at]
+            sizes.append(size)
+            words.append(np.packbits(taken, bitorder="little").view(np.uint64))
+            placed.append((left[alone], at[alone]))
             left = left[~alone]
         rest = left[np.argsort(h1[left], kind="stable")]
-        self = cls(bits, [], h1[rest], np.zeros(len(h1), np.uint32), np.zeros(len(h1), np.uint32))
-        self._rank()
-        slot = np.empty(len(h1), np.int64)
-        for k, (keys, at) in enumerate(placed):
-            slot[keys] = self.ranks[k][at]
-        slot[rest] = len(h1) - len(rest) + np.arange(len(rest))
-        self.prints[slot] = (h2 & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.counts[slot] = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
+        self = cls(sizes, np.concatenate(words) if words else np.zeros(0, np.uint64), h1[rest], np.zeros(len(h1), np.uint64), np.zeros(len(h1), np.uint32))
+        for level, (keys, at) in enumerate(placed):
+            slot = self._slot(level, at)
+            self.prints[slot], self.counts[slot] = h2[keys], np.minimum(counts[keys], 0xFFFFFFFF)
+        at = len(h1) - len(rest)
+        self.prints[at:], self.counts[at:] = h2[rest], np.minimum(counts[rest], 0xFFFFFFFF)
         return self
 
-    def _rank(self) -> None:
-        base = 0
-        self.ranks = []
-        for b in self.bits:
-            self.ranks.append(base + np.cumsum(b, dtype=np.int32) - b)
-            base += int(b.sum())
+    def _slot(self, level: int, at: np.ndarray) -> np.ndarray:
+        """The rank of bits that are set."""
+        word = self.first[level] + (at >> 6)
+        below = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.ranks[word] + np.bitwise_count(below)
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The count of each key, 0 for a key that isn't in the index."""
         out, open_ = np.zeros(len(h1), np.int64), np.arange(len(h1))
         slots = np.full(len(h1), -1, np.int64)
-        for level, b in enumerate(self.bits):
-            at = (_level_hash(h1[open_], level) % np.uint64(len(b))).astype(np.int64)
-            hit = b[at]
-            slots[open_[hit]] = self.ranks[level][at[hit]]
+        for level, size in enumerate(self.sizes):
+            at = (_level_hash(h1[open_], level) % np.uint64(size)).astype(np.int64)
+            hit = (self.words[self.first[level] + (at >> 6)] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            slots[open_[hit]] = self._slot(level, at[hit])
             open_ = open_[~hit]
         if len(self.rest) and len(open_):
             at = np.minimum(np.searchsorted(self.rest, h1[open_]), len(self.rest) - 1)
             hit = self.rest[at] == h1[open_]
             slots[open_[hit]] = len(self.prints) - len(self.rest) + at[hit]
         found = np.flatnonzero(slots >= 0)
-        same = self.prints[slots[found]] == (h2[found] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        same = self.prints[slots[found]] == h2[found]
         out[found[same]] = self.counts[slots[found[same]]]
         return out
 
     def dump(self) -> bytes:
-        head = np.array([len(self.bits), len(self.rest), len(self.prints), *map(len, self.bits)], np.int64)
-        return b"".join([head.tobytes(), *(np.packbits(b).tobytes() for b in self.bits), self.rest.tobytes(), self.prints.tobytes(), self.counts.tobytes()])
+        head = np.array([len(self.sizes), len(self.words), len(self.rest), len(self.prints), *self.sizes], np.int64)
+        return b"".join(x.tobytes() for x in (head, self.words, self.rest, self.prints, self.counts))
 
     @classmethod
     def load(cls, data: bytes) -> PerfectHash:
-        n_bits, n_rest, n = np.frombuffer(data, np.int64, 3)
-        sizes, at, bits = np.frombuffer(data, np.int64, n_bits, 24), 24 + 8 * int(n_bits), []
-        for size in sizes:
-            width = -(-int(size) // 8)
-            bits.append(np.unpackbits(np.frombuffer(data, np.uint8, width, at), count=int(size)).astype(bool))
-            at += width
-        rest = np.frombuffer(data, np.uint64, n_rest, at)
-        prints = np.frombuffer(data, np.uint32, n, at + 8 * int(n_rest))
-        counts = np.frombuffer(data, np.uint32, n, at + 8 * int(n_rest) + 4 * int(n))
-        self = cls(bits, [], rest, prints, counts)
-        self._rank()
-        return self
+        """The arrays stay views of data."""
+        n_sizes, n_words, n_rest, n = (int(x) for x in np.frombuffer(data, np.int64, 4))
+        at, parts = 32 + 8 * n_sizes, []
+        for kind, size in ((np.uint64, n_words), (np.uint64, n_rest), (np.uint64, n), (np.uint32, n)):
+            parts.append(np.frombuffer(data, kind, size, at))
+            at += size * np.dtype(kind).itemsize
+        return cls(np.frombuffer(data, np.int64, n_sizes, 32).tolist(), *parts)
+
+
+def shard_of(h2: np.ndarray, n_shards: int) -> np.ndarray:
+    return ((h2 >> np.uint64(32)) % np.uint64(n_shards)).astype(np.int64)
 
 
 class Index:
@@ -136,7 +139,7 @@ class Index:
         self.n, self.parts = n_shards, {k: PerfectHash.load(v) for k, v in shards.items()}
 
     def probe(self, h: np.ndarray) -> np.ndarray:
-        out, shard = np.zeros(len(h), np.int64), (h[:, 1] >> np.uint64(32)) % np.uint64(self.n)
+        out, shard = np.zeros(len(h), np.int64), shard_of(h[:, 1], self.n)
         for k, part in self.parts.items():
             at = np.flatnonzero(shard == k)
             if len(at):
@@ -165,19 +168,35 @@ def line_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return map_arrow(docs.select(text_binary()), run, "h1 bigint, h2 bigint, n bigint").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text_binary()), run, "h1 bigint, h2 bigint, n bigint", 1_024).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
 def build_shards(counts: DataFrame, n_shards: int) -> DataFrame:
-    """shard, data (a dumped PerfectHash), bytes."""
+    """shard, data (a dumped PerfectHash), bytes. A task gets whole shards and builds one at a time."""
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h = rows[["h1", "h2"]].to_numpy(np.int64).view(np.uint64)
-        data = PerfectHash.build(h[:, 0].copy(), h[:, 1].copy(), rows["n"].to_numpy()).dump()
-        return pd.DataFrame({"shard": [key[0]], "data": [data], "bytes": [len(data)]})
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        now, parts = None, []
+
+        def done() -> dict:
+            h1, h2, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            data = PerfectHash.build(h1, h2, n).dump()
+            return {"shard": [now], "data": [data], "bytes": [len(data)]}
+
+        for b in batches:
+            shard = np.array(b["shard"], np.int64)
+            cols = [np.array(b["h1"], np.int64).view(np.uint64), np.array(b["h2"], np.int64).view(np.uint64), np.array(b["n"], np.int64)]
+            for at in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                if len(at) and shard[at[0]] != now:
+                    if parts:
+                        yield done()
+                    now, parts = int(shard[at[0]]), []
+                parts.append([c[at] for c in cols])
+        if parts and now is not None:
+            yield done()
 
     shard = F.expr(f"shiftrightunsigned(h2, 32) % {n_shards}").alias("shard")
-    return counts.select("h1", "h2", "n", shard).groupBy("shard").applyInPandas(one, "shard bigint, data binary, bytes bigint")
+    dealt = counts.select("h1", "h2", "n", shard).repartition("shard").sortWithinPartitions("shard")
+    return map_arrow(dealt, run, "shard bigint, data binary, bytes bigint")
 
 
 def _keep(text: bytes | None, dropped: np.ndarray) -> tuple[int, int, str]:
@@ -199,25 +218,25 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", max
     """Drop every line whose key occurs in min_docs documents or more, in all of them.
 
     Returns id_col, n_lines, n_dropped, kept (the other lines, joined by a line feed); with keep_columns all
-    columns of docs, text replaced. Null or empty text is one empty line, and empty keys are never dropped.
-    Every row is a document of its own, repeated ids too. An empty table gives an empty result. Extra columns
-    are not read unless kept. Whole texts. Line counts and shards lie in the shared folder.
+    columns of docs, then these three, which replace columns of docs with their names. Null or empty text is one
+    empty line, and empty keys are never dropped. Every row is a document of its own, repeated ids too. An empty
+    table gives an empty result. Extra columns are not read unless kept. Whole texts. Keys of one document are not
+    indexed: they can't be dropped, and a foreign key passes the 64-bit fingerprint of its slot once in 2**64. Line
+    counts and shards lie in the shared folder.
     """
     spark = docs.sparkSession
-    counts = save(line_counts(docs).where("n >= 2"), "line-counts")
+    counts = save(line_counts(docs).where(F.col("n") >= min(2, min_docs)), "line-counts")
     n_shards = max(1, -(-counts.count() // SHARD_KEYS))
     shards = save(build_shards(counts, n_shards), "line-shards")
     size = shards.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
-    if keep_columns:
-        source = docs.withColumn("text", text_binary())
-        schema = docs.select("*", F.lit(0).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"), F.lit("").alias("kept")).drop("text").schema
-    else:
-        source, schema = docs.select(id_col, text_binary()), None
-        schema = docs.select(id_col, F.lit(0).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"), F.lit("").alias("kept")).schema
+    new = {"n_lines": F.lit(0).cast("bigint"), "n_dropped": F.lit(0).cast("bigint"), "kept": F.lit("")}
+    plain = docs.drop(*new) if keep_columns else docs.select(id_col, "text")
+    source = plain.withColumn("text", text_binary())
+    schema = plain.drop("text").withColumns(new).schema
     if size > max_broadcast:
-        return _dedup_shuffled(source, shards, n_shards, min_docs, schema)
+        return _dedup_by_shard(source, counts, shards, n_shards, min_docs, schema, id_col)
     data = spark.sparkContext.broadcast((n_shards, {r.shard: r.data for r in shards.select("shard", "data").toLocalIterator()}))
-    return map_arrow(source, _Prober(data, min_docs), schema)
+    return map_arrow(source, _Prober(data, min_docs), schema, 1_024)
 
 
 class _Prober:
@@ -235,43 +254,69 @@ class _Prober:
             yield b | {"n_lines": [x[0] for x in done], "n_dropped": [x[1] for x in done], "kept": [x[2] for x in done]}
 
 
-def _dedup_shuffled(source: DataFrame, shards: DataFrame, n_shards: int, min_docs: int, schema) -> DataFrame:
-    """The way beyond the broadcast limit: line hashes go to their shard, dropped line keys come back to the
-    rows by the hash of their text. A row's lines that share a key go once; hot shards are salted."""
-    keyed = source.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(b""))))
+def _dedup_by_shard(source: DataFrame, counts: DataFrame, shards: DataFrame, n_shards: int, min_docs: int, schema, id_col: str) -> DataFrame:
+    """The way beyond the broadcast limit. A row is known by the hash of its id and text; equal rows lose the same
+    lines. A task gets a shard and a part of the hashes that fall into it, in this order, and probes them in batches."""
+    row = F.xxhash64(id_col, "text")
+    keyed = source.withColumn("_row", row)
+    entries = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    common = counts.where((F.col("n") >= min_docs) & (F.col("n") * HEAD >= entries)).select("h1", "h2").collect()
+    head = source.sparkSession.sparkContext.broadcast(frozenset((r.h1, r.h2) for r in common))
+    salts = max(1, -(-entries // (TASK_LINES * n_shards)))
 
     def lines(batches: Iterator[dict]) -> Iterator[dict]:
+        known = head.value
+        for b in batches:
+            out: dict = {k: [] for k in ("_row", "h1", "h2", "shard", "salt")}
+            for r, text in zip(b["_row"], b["text"], strict=True):
+                h = key_hashes(sorted({line_key(x) for x in (text or b"").split(b"\n")} - {b""}))
+                pairs = h.astype(np.int64).tolist()
+                keep = [i for i, p in enumerate(pairs) if tuple(p) not in known]
+                out["_row"] += [r] * len(keep)
+                out["h1"] += [pairs[i][0] for i in keep]
+                out["h2"] += [pairs[i][1] for i in keep]
+                out["shard"] += shard_of(h[keep, 1], n_shards).tolist()
+                out["salt"] += [r % salts] * len(keep)
+                if len(out["h1"]) > FLUSH:
+                    yield out
+                    out = {k: [] for k in out}
+            yield out
+
+    def probe(batches: Iterator[dict]) -> Iterator[dict]:
+        now, part = None, None
         for b in batches:
-            for t, text in zip(b["_t"], b["text"], strict=True):
-                keys = sorted({line_key(x) for x in (text or b"").split(b"\n")} - {b""})
-                h = key_hashes(keys)
-                shard = ((h[:, 1] >> np.uint64(32)) % np.uint64(n_shards)).astype(np.int64)
-                yield {"_t": [t] * len(keys), "h1": h[:, 0].astype(np.int64), "h2": h[:, 1].astype(np.int64), "shard": shard, "salt": [t % SALTS] * len(keys)}
-
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return left[["_t", "h1"]].head(0)
-        part, h = PerfectHash.load(right["data"].iloc[0]), left[["h1", "h2"]].to_numpy(np.int64).view(np.uint64)
-        return left.loc[part.probe(h[:, 0].copy(), h[:, 1].copy()) >= min_docs, ["_t", "h1"]]
+            shard = np.array(b["shard"], np.int64)
+            for at in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                for i in at:
+                    if b["data"][i] is None:
+                        break
+                    now, part = shard[i], PerfectHash.load(b["data"][i])
+                rest = [i for i in at if b["data"][i] is None]
+                if part is None or not rest or shard[rest[0]] != now:
+                    continue
+                h1, h2 = (np.array([b[k][i] for i in rest], np.int64) for k in ("h1", "h2"))
+                gone = np.flatnonzero(part.probe(h1.view(np.uint64), h2.view(np.uint64)) >= min_docs)
+                yield {"_row": [b["_row"][rest[i]] for i in gone], "h1": h1[gone], "h2": h2[gone]}
 
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
+        known = head.value
         for b in batches:
-            b.pop("_t")
+            b.pop("_row")
             done = []
             for text, drop in zip(b.pop("text"), b.pop("_drop"), strict=True):
-                rows = (text or b"").split(b"\n")
-                keys = [line_key(x) for x in rows]
-                gone = set(drop or ())
-                h = key_hashes(keys)[:, 0].astype(np.int64)
-                done.append(_keep(text, np.array([k != b"" and int(x) in gone for k, x in zip(keys, h, strict=True)], bool)))
+                keys = [line_key(x) for x in (text or b"").split(b"\n")]
+                gone = {(x["h1"], x["h2"]) for x in drop or ()} | known
+                pairs = map(tuple, key_hashes(keys).astype(np.int64).tolist())
+                done.append(_keep(text, np.array([k != b"" and p in gone for k, p in zip(keys, pairs, strict=True)], bool)))
             yield b | {"n_lines": [x[0] for x in done], "n_dropped": [x[1] for x in done], "kept": [x[2] for x in done]}
 
-    texts = keyed.select("_t", "text")
-    asked = map_arrow(texts, lines, "_t bigint, h1 bigint, h2 bigint, shard bigint, salt bigint")
-    offered = shards.select("shard", "data", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    hits = asked.groupBy("shard", "salt").cogroup(offered.groupBy("shard", "salt")).applyInPandas(probe, "_t bigint, h1 bigint")
-    drops = hits.groupBy("_t").agg(F.collect_set("h1").alias("_drop"))
-    return map_arrow(keyed.join(drops, "_t", "left"), cut, schema)
+    asked = map_arrow(keyed.select("_row", "text"), lines, "_row bigint, h1 bigint, h2 bigint, shard bigint, salt bigint", 1_024).withColumn("data", F.lit(None).cast("binary"))
+    none = F.lit(None).cast("bigint")
+    offered = shards.select(none.alias("_row"), none.alias("h1"), none.alias("h2"), "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), "data")
+    met = asked.unionByName(offered).repartition("shard", "salt").sortWithinPartitions("salt", "shard", F.col("data").isNull())
+    hits = map_arrow(met, probe, "_row bigint, h1 bigint, h2 bigint")
+    drops = hits.groupBy("_row").agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
+    return map_arrow(keyed.join(drops, "_row", "left"), cut, schema, 1_024)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
