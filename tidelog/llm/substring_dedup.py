@@ -12,98 +12,148 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import done_with, map_arrow, save, table
 
-#: Scripts that put no blanks between words: there each letter counts as a word.
-_BLANKLESS = "฀-໿က-႟ក-៿々-ヿ㐀-鿿\U00020000-\U0003ffff"
-BLANKLESS = re.compile(f"[{_BLANKLESS}]")
+#: Scripts that put no blanks between words, as ranges of code points: there each letter counts as a word.
+BLANKLESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF))
+_BLANKLESS = "".join(f"{chr(a)}-{chr(b)}" for a, b in BLANKLESS)
 #: White space that parts words.
 WORD = re.compile(f"[{_BLANKLESS}]|[^\x20\x09-\x0d{_BLANKLESS}]+")
-#: A unit ends behind one word in CUT, chosen by the word itself, and has at most PIECE words.
-CUT, PIECE = 7, 16
-#: A run of fewer words is no reason to compare texts.
-ANCHOR = 8
+#: A line is cut behind the words whose hash is the least among so many on both sides: a unit has RADIUS + 1 words or
+#: more, about twice that, unless the line ends; one of PIECE words without a cut is cut there.
+RADIUS, PIECE = 4, 24
+#: Repeats with gaps up to GAP words are a stretch; a passage has one of STRETCH words (it loses a unit on each side).
+GAP, STRETCH = 16, 16
 #: Words compared beside a run at once; a run that still grows is compared over GROW times as many next.
-BESIDE, GROW = 24, 4
+BESIDE, GROW = 16, 6
+#: Where texts are asked for: up to so many documents the request is broadcast, beyond it texts and requests meet by a shuffle.
+ASKED_DOCS = 100_000
 ASKED = ("w", "n", "kl", "kr")
-#: Rows handed on at a time.
-FLUSH = 20_000
-
-
-def word_hashes(line: str) -> np.ndarray:
-    """A 64-bit hash of each word of a lower-cased line."""
-    if line.isascii() or not BLANKLESS.search(line):
-        words = line.encode("utf-8", "surrogatepass").split()
-    else:
-        words = [w.encode("utf-8", "surrogatepass") for w in WORD.findall(line)]
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def units(text: str | None) -> list[tuple[int, int, int]]:
-    """(digest, first word, words) of each unit; words are counted through the text."""
-    out, before = [], 0
-    for line in (text or "").lower().split("\n"):
-        h = word_hashes(line)
-        if not len(h):
-            continue
-        cut = h[:-1] % np.uint64(CUT) == 0
-        cut[1:] &= h[1:-1] != h[:-2]  # a word said again and again is no place to cut
-        ends, raw, at = [*(np.flatnonzero(cut) + 1).tolist(), len(h)], h.tobytes(), 0
-        for end in ends:
-            while at < end:
-                upto = min(end, at + PIECE)
-                digest = xxhash.xxh3_64_intdigest(raw[8 * at : 8 * upto])
-                out.append((digest - (1 << 64) if digest >> 63 else digest, before + at, upto - at))
-                at = upto
-        before += len(h)
-    return out
+#: Characters handled at once, longer texts alone; rows handed on at a time.
+CHARS, FLUSH = 1 << 18, 20_000
+_M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def _lower(text: str) -> str:
+    """Lower-cased; a letter whose lower case is longer stays, so that offsets do."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M[1]
+    return x ^ (x >> np.uint64(29))
+
+
+@dataclass
+class Words:
+    """The words of some texts: text number, offsets in it, line (through all texts) and a 64-bit hash."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    line: np.ndarray
+    hash: np.ndarray
+    first: np.ndarray  # number of the first word of each text
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
+        joined = "\n".join([*map(_lower, texts), ""])
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        begin = np.cumsum(size) - size
+        word = (code > 0x20) | (code < 9) | ((code > 13) & (code < 0x20))
+        alone = np.zeros(len(code), bool)
+        if code.max(initial=0) >= BLANKLESS[0][0]:
+            for a, b in BLANKLESS:
+                alone |= (code >= a) & (code <= b)
+        before = np.concatenate([[False], word[:-1]])
+        fresh = word & (~before | alone | np.concatenate([[False], alone[:-1]]))
+        start = np.flatnonzero(fresh)
+        if not len(start):
+            none = np.zeros(0, np.int64)
+            return cls(none, none, none, none, none.astype(np.uint64), np.zeros(len(texts), np.int64))
+        number = np.cumsum(fresh) - 1
+        at = np.flatnonzero(word)
+        length = np.bincount(number[at], minlength=len(start))
+        place = (at - start[number[at]]).astype(np.uint64)
+        letters = _mix(code[at].astype(np.uint64) * _M[0] + place * _M[2])
+        digest = _mix(np.add.reduceat(letters, np.concatenate([[0], np.cumsum(length)[:-1]])) * _M[0])
+        text = np.searchsorted(begin, start, "right") - 1
+        line = np.searchsorted(np.flatnonzero(code == 10), start)
+        return cls(text, start - begin[text], start - begin[text] + length, line, digest, np.searchsorted(text, np.arange(len(texts))))
+
+
+def units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, text number, first word in its text, words) of each unit."""
+    n = len(words.hash)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    # lines lie RADIUS apart, so that a line's cuts depend on the line alone
+    at = np.arange(n) + (RADIUS + 1) * (words.line - words.line[0]) + RADIUS
+    wide = np.full(at[-1] + RADIUS + 1, np.iinfo(np.uint64).max)
+    wide[at] = words.hash
+    cut = np.ones(n, bool)
+    for d in range(1, RADIUS + 1):
+        cut &= (words.hash < wide[at - d]) & (words.hash <= wide[at + d])
+    opens = np.concatenate([[True], cut[:-1] | (words.line[1:] != words.line[:-1])])
+    since = np.arange(n) - np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+    opens |= since % PIECE == 0
+    first = np.flatnonzero(opens)
+    size = np.diff(np.append(first, n))
+    place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
+    digest = _mix(np.add.reduceat(_mix(words.hash + place * _M[2]), first) * _M[0] + size.astype(np.uint64))
+    text = words.text[first]
+    return digest.view(np.int64), text, first - words.first[text], size
 
 
 def _documents(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64("text").alias("t"), "text")
 
 
+def _groups(texts: list[str]) -> Iterator[slice]:
+    """Neighbours of at most CHARS characters in all."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > CHARS:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(text)
+    if texts:
+        yield slice(first, len(texts))
+
+
 def unit_rows(texts: DataFrame) -> DataFrame:
     """h, doc, t, w (first word), n (words) of every unit."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict = {k: [] for k in ("h", "doc", "t", "w", "n")}
-            for doc, t, text in zip(b["doc"], b["t"], b["text"], strict=True):
-                found = units(text)
-                out["doc"] += [doc] * len(found)
-                out["t"] += [t] * len(found)
-                for i, key in enumerate(("h", "w", "n")):
-                    out[key] += [x[i] for x in found]
-                if len(out["h"]) > FLUSH:
-                    yield out
-                    out = {k: [] for k in out}
-            yield out
+            doc, t = np.array(b["doc"], np.int64), np.array(b["t"], np.int64)
+            for part in _groups(b["text"]):
+                h, i, w, n = units(Words.of(b["text"][part]))
+                for a in range(0, max(1, len(h)), FLUSH):
+                    x = slice(a, a + FLUSH)
+                    yield {"h": h[x], "doc": doc[part][i[x]], "t": t[part][i[x]], "w": w[x].astype(np.int32), "n": n[x].astype(np.int32)}
 
     return map_arrow(texts, run, "h bigint, doc bigint, t bigint, w int, n int", 256)
 
 
 def _beside(text: str, asked: list) -> list[dict]:
     """For each (w, n, kl, kr) the hashes of kl words before and kr behind the words w to w + n, with their offsets."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    lower = text.lower()
-    if len(lower) == len(text):
-        words = [lower[a:b] for a, b in spans]
-    else:
-        words = [text[a:b].lower() for a, b in spans]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
-    out = []
+    words, out = Words.of([text]), []
+    h = words.hash.view(np.int64)
     for x in asked:
         w, n = x["w"], x["n"]
         left, right = slice(max(0, w - x["kl"]), w), slice(w + n, w + n + x["kr"])
-        beside = {"lh": h[left][::-1], "ls": [a for a, _ in spans[left]][::-1], "rh": h[right], "re": [b for _, b in spans[right]]}
-        out.append({k: x[k] for k in ASKED} | {"s": spans[w][0], "e": spans[w + n - 1][1]} | beside)
+        beside = {"lh": h[left][::-1], "ls": words.start[left][::-1], "rh": h[right], "re": words.end[right]}
+        out.append({k: x[k] for k in ASKED} | {"s": int(words.start[w]), "e": int(words.end[w + n - 1])} | beside)
     return out
 
 
@@ -114,9 +164,13 @@ def surroundings(texts: DataFrame, asked: DataFrame) -> DataFrame:
     fields = (*ASKED, "s", "e", "lh", "ls", "rh", "re")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        last = None
         for b in batches:
             out: dict = {k: [] for k in ("doc", "t", *fields)}
             for doc, t, text, spans in zip(b["doc"], b["t"], b["text"], b["spans"], strict=True):
+                if (doc, t) == last:  # a repeated row: once is enough
+                    continue
+                last = (doc, t)
                 for at in range(0, len(spans), 512):
                     found = _beside(text, spans[at : at + 512])
                     out["doc"] += [doc] * len(found)
@@ -128,9 +182,10 @@ def surroundings(texts: DataFrame, asked: DataFrame) -> DataFrame:
                         out = {k: [] for k in out}
             yield out
 
-    grouped = asked.groupBy("doc", "t").agg(F.collect_set(F.struct(*ASKED)).alias("spans"))
+    grouped = save(asked.groupBy("doc", "t").agg(F.collect_set(F.struct(*ASKED)).alias("spans")), "asked")
+    few = grouped.count() <= ASKED_DOCS
     schema = "doc bigint, t bigint, w int, n int, kl int, kr int, s int, e int, lh array<bigint>, ls array<int>, rh array<bigint>, re array<int>"
-    return map_arrow(texts.join(grouped, ["doc", "t"]).select("doc", "t", "text", "spans"), run, schema, 256).dropDuplicates(["doc", "t", *ASKED])
+    return map_arrow(texts.join(F.broadcast(grouped) if few else grouped, ["doc", "t"]).select("doc", "t", "text", "spans"), run, schema, 256)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -139,24 +194,32 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(differ > 0, differ - 1).otherwise(F.size(a))
 
 
+def _runs(hits: list[tuple]) -> list[list]:
+    """Runs [w, n, kd, kt, kw] of the sorted hits of a document, those in stretches long enough."""
+    out: list[list] = []
+    stretch: list[list] = []
+    end = begin = 0
+    for x in hits:
+        if not stretch or x[0] > end + GAP:
+            out += stretch if end - begin >= STRETCH else []
+            stretch, begin = [], x[0]
+        now = stretch[-1] if stretch else None
+        if now and now[0] + now[1] == x[0] and now[2] == x[2] and now[3] == x[3] and now[4] + now[1] == x[4]:
+            now[1] += x[1]
+        else:
+            stretch.append(list(x))
+        end = x[0] + x[1]
+    return out + (stretch if end - begin >= STRETCH else [])
+
+
 def anchors(found: DataFrame) -> DataFrame:
     """Runs of repeats (doc, t, w, n, kd, kt, kw) that follow each other in the document and in the kept one."""
-    least = ANCHOR
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out: list[tuple] = []
             for doc, t, hits in zip(b["doc"], b["t"], b["hits"], strict=True):
-                now: list = []
-                for x in sorted((x["w"], x["n"], x["kd"], x["kt"], x["kw"]) for x in hits):
-                    if now and now[0] + now[1] == x[0] and now[2:4] == list(x[2:4]) and now[4] + now[1] == x[4]:
-                        now[1] += x[1]
-                        continue
-                    if now and now[1] >= least:
-                        out.append((doc, t, *now))
-                    now = list(x)
-                if now and now[1] >= least:
-                    out.append((doc, t, *now))
+                out += ((doc, t, *x) for x in _runs(sorted((x["w"], x["n"], x["kd"], x["kt"], x["kw"]) for x in hits)))
             yield {k: [x[i] for x in out] for i, k in enumerate(("doc", "t", "w", "n", "kd", "kt", "kw"))}
 
     grouped = found.groupBy("doc", "t").agg(F.collect_set(F.struct("w", "n", "kd", "kt", "kw")).alias("hits"))
@@ -210,8 +273,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 51, id_col: str = "doc_id",
     """
     texts = _documents(docs, id_col)
     rank = F.struct("doc", "t", "w")
-    grouped = unit_rows(texts).groupBy("h").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    first = save(grouped.where("first <> last").select("h", F.col("first.doc").alias("kd"), F.col("first.t").alias("kt"), F.col("first.w").alias("kw")), "first-units")
+    grouped = unit_rows(texts).groupBy("h").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    first = save(grouped.where("n > 1").select("h", F.col("first.doc").alias("kd"), F.col("first.t").alias("kt"), F.col("first.w").alias("kw")), "first-units")
     other = (F.col("doc") != F.col("kd")) | (F.col("t") != F.col("kt"))
     later = unit_rows(texts).join(first, "h").where(other | (F.col("w") > F.col("kw")) if within else other).drop("h")
     runs = save(anchors(later), "runs")
