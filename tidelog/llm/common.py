@@ -59,11 +59,16 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
 
 
 def done_with(*tables: DataFrame) -> None:
-    """Delete saved tables that nothing reads any more, and have the shuffle files of finished steps cleaned:
-    Spark drops them only when the driver collects its garbage."""
+    """Delete saved tables that nothing reads any more, and clean: Spark drops the shuffle files of finished steps
+    only when the driver collects its garbage."""
     spark = tables[0].sparkSession
     names = {f.split("/tidelog-", 1)[1].split("/")[0] for df in tables for f in df.inputFiles() if "/tidelog-" in f}
     release(spark, [p for p in _SAVED if p.rsplit("/tidelog-", 1)[1] in names])
+    clean(spark)
+
+
+def clean(spark: SparkSession) -> None:
+    """Have the shuffle files of steps whose result is saved cleaned now."""
     gc.collect()
     spark._jvm.System.gc()
 

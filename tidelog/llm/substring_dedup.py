@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import done_with, map_arrow, save, table
+from .common import clean, done_with, map_arrow, save, table
 
 #: Scripts that put no blanks between words, as ranges of code points: there each letter counts as a word.
 BLANKLESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF))
@@ -33,7 +33,7 @@ GAP, STRETCH = 16, 16
 #: Words compared beside a run at once; a run that still grows is compared over GROW times as many next.
 BESIDE, GROW = 16, 6
 #: Where texts are asked for: up to so many documents the request is broadcast, beyond it texts and requests meet by a shuffle.
-ASKED_DOCS = 100_000
+ASKED_DOCS = 20_000
 ASKED = ("w", "n", "kl", "kr")
 #: Characters handled at once, longer texts alone; rows handed on at a time.
 CHARS, FLUSH = 1 << 18, 20_000
@@ -183,6 +183,7 @@ def surroundings(texts: DataFrame, asked: DataFrame) -> DataFrame:
             yield out
 
     grouped = save(asked.groupBy("doc", "t").agg(F.collect_set(F.struct(*ASKED)).alias("spans")), "asked")
+    clean(texts.sparkSession)
     few = grouped.count() <= ASKED_DOCS
     schema = "doc bigint, t bigint, w int, n int, kl int, kr int, s int, e int, lh array<bigint>, ls array<int>, rh array<bigint>, re array<int>"
     return map_arrow(texts.join(F.broadcast(grouped) if few else grouped, ["doc", "t"]).select("doc", "t", "text", "spans"), run, schema, 256)
@@ -235,6 +236,7 @@ def grow(texts: DataFrame, runs: DataFrame) -> DataFrame:
         mine, theirs = ["doc", "t", *ASKED], ["kd", "kt", "kw", *ASKED[1:]]
         asked = ends.select(mine).union(ends.select(theirs)).distinct()
         beside = save(surroundings(texts, asked), "beside")
+        clean(texts.sparkSession)
         kept = beside.select(*(F.col(a).alias(b) for a, b in zip(mine, theirs, strict=True)), F.col("lh").alias("klh"), F.col("rh").alias("krh"))
         both = ends.join(beside, mine).join(kept, theirs)
         both = both.withColumns({"left": _common(F.col("lh"), F.col("klh")), "right": _common(F.col("rh"), F.col("krh"))})
@@ -275,6 +277,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 51, id_col: str = "doc_id",
     rank = F.struct("doc", "t", "w")
     grouped = unit_rows(texts).groupBy("h").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     first = save(grouped.where("n > 1").select("h", F.col("first.doc").alias("kd"), F.col("first.t").alias("kt"), F.col("first.w").alias("kw")), "first-units")
+    clean(docs.sparkSession)
     other = (F.col("doc") != F.col("kd")) | (F.col("t") != F.col("kt"))
     later = unit_rows(texts).join(first, "h").where(other | (F.col("w") > F.col("kw")) if within else other).drop("h")
     runs = save(anchors(later), "runs")
