@@ -31,9 +31,7 @@ RADIUS, PIECE = 4, 24
 #: Repeats with gaps up to GAP words are a stretch; a passage has one of STRETCH words (it loses a unit on each side).
 GAP, STRETCH = 16, 16
 #: Words compared beside a run at once; a run that still grows is compared over GROW times as many next.
-BESIDE, GROW = 16, 6
-#: Where texts are asked for: up to so many documents the request is broadcast, beyond it texts and requests meet by a shuffle.
-ASKED_DOCS = 20_000
+BESIDE, GROW = 16, 8
 ASKED = ("w", "n", "kl", "kr")
 #: Characters handled at once, longer texts alone; rows handed on at a time.
 CHARS, FLUSH = 1 << 18, 20_000
@@ -160,7 +158,7 @@ def _beside(text: str, asked: list) -> list[dict]:
 def surroundings(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """What lies beside the spans asked for (doc, t, w, n, kl, kr): offsets of the span and, nearest first, hashes
     and offsets of kl words before and kr behind it. One join of the texts, grouped by document; no group is larger
-    than what its text makes possible."""
+    than what its text makes possible. What is asked for grows with the corpus, so it is never broadcast."""
     fields = (*ASKED, "s", "e", "lh", "ls", "rh", "re")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -184,9 +182,8 @@ def surroundings(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
     grouped = save(asked.groupBy("doc", "t").agg(F.collect_set(F.struct(*ASKED)).alias("spans")), "asked")
     clean(texts.sparkSession)
-    few = grouped.count() <= ASKED_DOCS
     schema = "doc bigint, t bigint, w int, n int, kl int, kr int, s int, e int, lh array<bigint>, ls array<int>, rh array<bigint>, re array<int>"
-    return map_arrow(texts.join(F.broadcast(grouped) if few else grouped, ["doc", "t"]).select("doc", "t", "text", "spans"), run, schema, 256)
+    return map_arrow(texts.join(grouped.hint("merge"), ["doc", "t"]).select("doc", "t", "text", "spans"), run, schema, 256)
 
 
 def _common(a: Column, b: Column) -> Column:
