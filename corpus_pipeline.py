@@ -7,12 +7,13 @@ as the next stage's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import crc_mod, shared_dir, table
+from tidelog.llm.common import aside, clean, crc_mod, release, save, saved_paths, shared_dir, table
 from tidelog.llm.decontamination import contaminated
 from tidelog.llm.jaccard_join import link_components
 from tidelog.llm.language_id import fit, identify
@@ -20,34 +21,63 @@ from tidelog.llm.line_dedup import dedup_lines
 from tidelog.llm.mixing import mix
 
 
+#: Tables that the stages before have saved; the next stage deletes them, since by then its docs are written.
+_BEFORE: list[str] = []
+
+
+def stage(function: Callable) -> Callable:
+    """A stage deletes the tables that stages before it saved, and names its own for the next one."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _BEFORE)
+        clean(spark)
+        before = set(saved_paths())
+        try:
+            return function(spark, docs, sf_dir)
+        finally:
+            _BEFORE[:] = [p for p in saved_paths() if p not in before]
+
+    return run
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a score of 0.5 or more. Rejected: null texts, texts without
-    a letter, texts that no language explains better than the rest."""
+    a letter, texts that no language explains better than the rest. Columns that clash with the operator's stay."""
     model = fit(docs.where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(True))))
-    found = identify(docs, model, keep_columns=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    plain, back = aside(docs, "lang_pred", "score")
+    found = identify(plain, model, keep_columns=True)
+    return back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*plain.columns))
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten documents or more share; n_chars follows the text. A document that
-    loses all its lines stays with an empty text."""
-    kept = dedup_lines(docs, 10, keep_columns=True)
-    return kept.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}).select(*docs.columns)
+    loses all its lines stays with an empty text, a null text becomes empty. Columns that clash with the operator's stay."""
+    plain, back = aside(docs, "n_lines", "n_dropped", "kept")
+    kept = dedup_lines(plain, 10, keep_columns=True)
+    return back(kept.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}).select(*plain.columns))
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each component of documents linked by five-word shingles at a
-    similarity of 0.8 or more. Rows with a null id have no component and stay."""
-    others = link_components(docs, words=5, percent=80).where("doc <> component_id").select(F.col("doc").alias("doc_id"))
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    similarity of 0.8 or more; of rows that repeat an id all stay or go. Rows with a null id have no component and stay."""
+    others = link_components(docs, words=5, percent=80).where("doc <> component_id").select(F.col("doc").alias("gone"))
+    return docs.join(save(others, "others"), docs["doc_id"] == F.col("gone"), "left_anti").select(*docs.columns)
 
 
+@stage
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window that matches a benchmark item."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct()
-    return docs.withColumn("text_hash", F.xxhash64("text")).join(bad, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    """Documents without a window that matches a benchmark item; of rows that repeat an id only those with a
+    matching text go."""
+    bad = save(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct(), "matches")
+    same = (docs["doc_id"] == bad["gone"]) & (F.xxhash64(docs["text"]) == bad["gone_text"])
+    return docs.join(bad, same, "left_anti").select(*docs.columns)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one copy or more in the mixture, with their rates."""
     return mix(docs, table(spark, sf_dir, "labels")).where("copies >= 1")

@@ -31,6 +31,14 @@ def test_stages_on_odd_rows(spark):
         for docs in (df, df.limit(0)):
             out = stage(spark, docs, DATA)
             assert out.count() <= docs.count() and out.columns[:5] == df.columns, name
+    # columns that clash with those of the operators keep their values, in every stage but the last
+    names = ("lang_pred", "score", "n_lines", "n_dropped", "kept", "text_hash", "gone", "doc", "removed", "component_id", "item", "copies", "rate")
+    wide = table(spark, DATA, "documents").withColumns({n: F.lit(f"own {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, DATA)
+        rows = out.collect()
+        assert out.columns == wide.columns and rows and all(r[n] == f"own {n}" for r in rows for n in names), name
+    assert corpus_pipeline.mixing(spark, wide, DATA).count() > 0
     assert corpus_pipeline.near_copies(spark, df, DATA).where(F.col("doc_id").isNull()).count() == 1
 
 

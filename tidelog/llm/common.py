@@ -105,6 +105,12 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
     return df.mapInArrow(run, struct)
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns of these names renamed, and what gives a DataFrame that has them their names back."""
+    clash = {c: f"_own {c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(clash), lambda out: out.withColumnsRenamed({v: k for k, v in clash.items()})
+
+
 def chunks(batch: dict, rows: int) -> Iterator[dict]:
     """A batch in pieces of at most so many rows."""
     n = len(next(iter(batch.values()))) if batch else 0

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, save, table, text_binary
+from .common import clean, done_with, map_arrow, save, table, text_binary
 
 #: The query's shingle length and similarity; other callers name theirs.
 WORDS, PERCENT = 3, 90
@@ -166,15 +166,26 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def build_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc, n, bits and its set (s packed, a as an array) of the documents in wanted, rebuilt from the texts."""
+    """doc, n, bits and its packed set s of the documents in wanted, rebuilt from the texts."""
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             built = [max((shingle_set(t, words) for t in texts), key=lambda s: (len(s), xxhash.xxh3_128_digest(s.tobytes()))) for texts in b["texts"]]
-            yield {"doc": b["doc"], "n": [len(s) for s in built], "bits": [parity(s) for s in built], "s": [s.tobytes() for s in built], "a": [s.view(np.int64) for s in built]}
+            yield {"doc": b["doc"], "n": [len(s) for s in built], "bits": [parity(s) for s in built], "s": [s.tobytes() for s in built]}
 
     one = docs.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
-    return map_arrow(one, sets, "doc bigint, n int, bits array<bigint>, s binary, a array<bigint>", ROWS)
+    return map_arrow(one, sets, "doc bigint, n int, bits array<bigint>, s binary", ROWS)
+
+
+def members(sets: DataFrame) -> DataFrame:
+    """doc, n, h: a row for each shingle of the sets."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for doc, n, packed in zip(b["doc"], b["n"], b["s"], strict=True):
+                yield {"doc": np.full(n, doc), "n": np.full(n, n, np.int32), "h": np.frombuffer(packed, np.int64)}
+
+    return map_arrow(sets.select("doc", "n", "s"), run, "doc bigint, n int, h bigint", ROWS)
 
 
 def verify(built: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,37 +230,48 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS,
     Null and empty texts have no shingles and link with nothing, null ids are left out. Rows that repeat an id
     give one row: that of its largest set (by size, then digest). An empty table gives an empty result; other columns are not read; texts are read whole.
     """
-    texts = _keyed(docs, id_col)
-    found = prefixes(texts, global_order(texts, words), words, percent)
-    base = save(found.groupBy("doc").agg(F.max(F.struct("n", "key", "l", "prefix", "bits")).alias("x")).select("doc", "x.*"), "prefixes")
-    classes = base.where("n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
-    reps = save(base.where("n > 0").join(classes, (base["key"] == classes["key"]) & (base["doc"] == classes["rep"])).select("doc", "n", "l", "prefix", "bits"), "classes")
-    one = reps.select("doc", "n", "l", F.posexplode("prefix").alias("pos", "h"))
-    lengths = one.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    lists = save(one.join(lengths, "h"), "lists")
+    spark, texts = docs.sparkSession, _keyed(docs, id_col)
+    found = save(prefixes(texts, global_order(texts, words), words, percent), "prefixes")
+    base = save(found.groupBy("doc").agg(F.max(F.struct("n", "key")).alias("x")).select("doc", "x.*"), "documents")
+    classes = save(base.where("n > 0").groupBy("key").agg(F.min("doc").alias("doc")), "classes")
+    reps = found.join(classes, ["doc", "key"]).dropDuplicates(["doc", "key"])
+    # one shuffle by shingle; n, place and l of a row in one number
+    packed = (F.shiftleft(F.col("n").cast("bigint"), 35) + F.shiftleft(F.col("pos").cast("bigint"), 3) + F.col("l")).alias("p")
+    one = reps.select("doc", "n", "l", F.posexplode("prefix").alias("pos", "h")).select("h", "doc", packed)
+    sized = one.withColumn("size", F.count("*").over(Window.partitionBy("h"))).where("size > 1")
+    unpacked = [F.shiftright("p", 35).cast("int").alias("n"), F.shiftright("p", 3).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), F.col("p").bitwiseAND(F.lit(7)).cast("int").alias("l")]
+    lists = save(sized.select("h", "doc", *unpacked, "size"), "lists")
+    clean(spark)
+    long = save(lists.where(F.col("size") > SHORT).groupBy("doc").agg(F.count("*").cast("int").alias("hot")), "long-documents")
+    nodes = save(found.join(classes, ["doc", "key"]).dropDuplicates(["doc"]).select("doc", "bits").join(long, "doc", "left").select("doc", "bits", F.coalesce("hot", F.lit(0)).alias("hot")), "nodes")
+    done_with(found)
 
     # short lists: shared prefix shingles are counted over them; as many more may lie in the long lists as both
     # documents have there
-    hot = lists.where(F.col("size") > SHORT).groupBy("doc").agg(F.count("*").cast("int").alias("hot"))
-    short = lists.where(F.col("size") <= SHORT).join(hot, "doc", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    packed = short.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "l", "pos", "hot"))).alias("m"))
-    ordered = packed.select(F.posexplode("m").alias("i", "x"), "m")
+    short = lists.where(F.col("size") <= SHORT)
+    packs = short.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("doc", "n", "l", "pos"))).alias("m"))
+    ordered = packs.select(F.posexplode("m").alias("i", "x"), "m")
     near = F.filter(F.expr("slice(m, i + 2, size(m))"), lambda y: _fits(F.col("x.n"), y["n"], percent))
     cold = (
         ordered.select("x", F.explode(near).alias("y"))
         .groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("need"), F.min(F.least("x.hot", "y.hot")).alias("more"), F.min("x.pos").alias("i"), F.min("y.pos").alias("j"))
+        .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("need"), F.min("x.pos").alias("i"), F.min("y.pos").alias("j"))
     )
-    able = _reaches(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), percent)
-    able &= F.col("shared") + F.col("more") >= F.col("need")
-    sketched = cold.where(able).join(reps.select(F.col("doc").alias("a"), F.col("bits").alias("xa")), "a").join(reps.select(F.col("doc").alias("b"), F.col("bits").alias("xb")), "b")
-    pairs = save(sketched.where(_near(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"), percent)).select("a", "b"), "pairs")
-    nodes = reps.select(F.col("doc").alias("id"))
+    able = cold.where(_reaches(F.col("na"), F.col("i"), F.col("nb"), F.col("j"), percent))
+    side = lambda c: nodes.select(F.col("doc").alias(c), F.col("bits").alias(f"x{c}"), F.col("hot").alias(f"hot{c}"))
+    enough = F.col("shared") + F.least("hota", "hotb") >= F.col("need")
+    sketched = able.join(side("a"), "a").join(side("b"), "b").where(enough & _near(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb"), percent))
+    pairs = save(sketched.select("a", "b"), "pairs")
+    done_with(lists)
+    ids = nodes.select(F.col("doc").alias("id"))
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    links = save(verify(save(build_sets(texts, ends, words).select("doc", "s"), "sets"), pairs, percent), "links")
-    comp = save(components(nodes, links), "components")
-    comp = _long_lists(texts, lists.where(F.col("size") > SHORT).select("doc").distinct(), comp, words, percent)
-    c = base.select("doc", "n", "key").join(classes, "key", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    sets = save(build_sets(texts, ends, words).select("doc", "s"), "sets")
+    clean(spark)
+    links = save(verify(sets, pairs, percent), "links")
+    done_with(sets)
+    comp = save(components(ids, links), "components")
+    comp = _long_lists(texts, long.select("doc"), comp, words, percent)
+    c = base.join(classes.withColumnRenamed("doc", "rep"), "key", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     return c.select("doc", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc").alias("rep"), F.coalesce("c", "rep", "doc").alias("component_id"))
 
 
@@ -257,13 +279,17 @@ def _long_lists(texts: DataFrame, docs: DataFrame, comp: DataFrame, words: int =
     """Links among the documents that stand in long lists. All their shingles are counted and ordered anew by
     frequency among them, so that what is a document's own comes first and positions bound the overlap well."""
     sets = save(build_sets(texts, docs, words), "long-sets")
-    one = sets.select("doc", "n", F.explode("a").alias("h"))
-    known = one.join(one.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")
+    clean(texts.sparkSession)
+    # one shuffle by shingle gives the frequency, one by document the places
+    known = members(sets).withColumn("f", F.count("*").over(Window.partitionBy("h"))).where("f > 1")
     own = Window.partitionBy("doc")
     pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "h")) - 1
     least = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-    long = known.withColumn("pos", pos.cast("int")).where(F.col("pos") < least).select("h", "doc", "n", "pos")
-    return _pivot_rounds(sets.select("doc", "s"), save(long.join(sets.select("doc", "bits"), "doc"), "long"), comp, percent)
+    places = save(known.withColumn("pos", pos.cast("int")).where(F.col("pos") < least).select("h", "doc", "n", "pos"), "places")
+    clean(texts.sparkSession)
+    long = save(places.join(sets.select("doc", "bits"), "doc"), "long")
+    done_with(places)
+    return _pivot_rounds(sets.select("doc", "s"), long, comp, percent)
 
 
 def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
