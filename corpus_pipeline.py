@@ -64,8 +64,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each component of documents linked by five-word shingles at a
     similarity of 0.8 or more; of rows that repeat an id all stay or go. Rows with a null id have no component and stay."""
-    others = link_components(docs, words=5, percent=80).where("doc <> component_id").select(F.col("doc").alias("gone"))
-    return docs.join(save(others, "others"), docs["doc_id"] == F.col("gone"), "left_anti").select(*docs.columns)
+    others = save(link_components(docs, words=5, percent=80).where("doc <> component_id").select(F.col("doc").alias("gone")), "others")
+    return docs.join(others, docs["doc_id"] == others["gone"], "left_anti").select(*docs.columns)
 
 
 @stage

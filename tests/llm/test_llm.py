@@ -165,6 +165,14 @@ def test_token_counts(spark, docs, odd, none):
     assert len(got) == len(docs)
     for d, text in docs:
         assert (got[d].n_bytes, got[d].n_tokens, got[d].over_limit) == (len((text or "").encode()), size(text), size(text) > 512)
+    import random
+
+    rng, pool = random.Random(3), ["ab", " ", " Z\u00e9", "\u00f1", "'s", "'t", "12", "\u0663", "\u00b2", "\u00bd", "\u00aa", "\u00a0", "\u2009", "\u3000", "\n", "\t", "\x1c", "\U0001f600", "\U0001f3fd", "\u4e2d\u6587", "\u058b", ".,!?-_", "<|endoftext|>", "\u0300", "\u200d", "\u201c"]
+    for _ in range(5000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 30)))
+        found, base = token_counts.pretokens(text, path)
+        assert base + sum(map(size, found)) == size(text), text
+    assert len(token_counts.pretokens("some words \U0001f600 and more of them", path)[0]) == 7
     rows = token_counts.count_tokens(odd, path).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == sorted((d or 0, size(t)) for d, t, *_ in ROWS)
     assert token_counts.count_tokens(none, path).count() == 0
@@ -400,8 +408,34 @@ def test_mixing(spark, odd, none):
     p, t = rows[["p_high", "p_low", "p_toxic"]].to_numpy(), rows["n_tokens"].to_numpy()
     assert (rows["rate"] >= 0).all() and ((rows["copies"] - rows["rate"]).abs() <= 1).all()
     share = (p * (t * rows["rate"].to_numpy())[:, None]).sum(0) / t.sum()
-    assert share == pytest.approx([0.85, 0.10, 0.05], abs=1e-4)
+    assert share == pytest.approx([0.85, 0.10, 0.05], abs=1e-4) and rows["target_gap"].nunique() == 1 and rows["target_gap"][0] < 1e-4
     x = rows.merge(table(spark, d, "labels").toPandas(), on="doc_id")
     assert (x[x.toxic == 1].p_toxic > 0.5).mean() > 0.8 and (x[(x.toxic == 0) & (x.quality == 1)].p_high > 0.5).mean() > 0.95
     labels = spark.createDataFrame([(4, 1, 0), (1, None, 1)], "doc_id bigint, quality int, toxic int")
     assert mixing.mix(odd, labels).count() == len(ROWS) and mixing.mix(odd, labels.limit(0)).count() == len(ROWS) and mixing.mix(none, labels).count() == 0
+
+
+def test_mixing_rates_against_plain_least_squares(spark):
+    """Where targets can be met they are; where they can't, the residual is that of a plain projected gradient run long."""
+    rng = np.random.default_rng(6)
+    for kind in ("wide", "narrow", "one"):
+        p = rng.dirichlet({"wide": (2, 1, 0.5), "narrow": (9, 3, 3), "one": (1, 1, 1)}[kind], 400)
+        if kind == "one":
+            p = np.tile([0.98, 0.01, 0.01], (400, 1))
+        t = rng.integers(0, 900, 400).astype(float)
+        df = spark.createDataFrame([(int(n), [float(x) for x in row]) for n, row in zip(t, p)], "n_tokens bigint, posterior array<double>")
+        steps, report = mixing.fit_rates(df, mixing.TARGETS)
+        r, want = mixing.rates(p, steps), np.array([0.85, 0.10, 0.05]) * t.sum()
+        assert (r >= 0).all() and np.abs((r * t) @ p - want).max() / t.sum() == pytest.approx(report["gap"], abs=1e-9)
+        x, step = np.ones(400), 1 / np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1]
+        for _ in range(4000):
+            x = np.maximum(x + step * (p @ (want - (x * t) @ p)), 0)
+        error = lambda r: np.linalg.norm((r * t) @ p - want) / t.sum()  # noqa: E731, B023
+        assert error(r) <= error(x) + 1e-3, kind
+        assert (report["gap"] < 1e-4) == (kind != "one")
+
+
+def test_mixing_says_when_targets_cannot_be_met(spark, odd):
+    labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
+    with pytest.warns(UserWarning, match="no rates reach"):
+        assert mixing.mix(odd, labels).first().target_gap > 0.01

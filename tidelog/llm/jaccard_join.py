@@ -166,14 +166,15 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def build_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc, n, bits and its packed set s of the documents in wanted, rebuilt from the texts."""
+    """doc, n, bits and its packed set s of the documents in wanted, rebuilt from the texts. What is wanted grows with
+    the corpus, so it is never broadcast."""
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             built = [max((shingle_set(t, words) for t in texts), key=lambda s: (len(s), xxhash.xxh3_128_digest(s.tobytes()))) for texts in b["texts"]]
             yield {"doc": b["doc"], "n": [len(s) for s in built], "bits": [parity(s) for s in built], "s": [s.tobytes() for s in built]}
 
-    one = docs.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
+    one = docs.join(wanted.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
     return map_arrow(one, sets, "doc bigint, n int, bits array<bigint>, s binary", ROWS)
 
 

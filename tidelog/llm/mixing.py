@@ -2,14 +2,18 @@
 
 A classifier learned from the labels table gives each document a posterior over domains (high quality, low
 quality, toxic). Nonnegative document rates are then fitted by projected-gradient least squares so that the
-expected tokens of each domain, the sum of rate * tokens * posterior, match the targets. A step moves each rate
-by its posterior times the residual, scaled by the domains' second moments, and projects onto rates >= 0.
-A rate depends only on the posterior and the residuals so far, so every pass over the documents is one sum of a
+expected tokens of each domain, the sum of rate * tokens * posterior, match the targets. Rates are measured by
+their documents' tokens, so the gradient of a rate is its posterior times the residual; each step projects onto
+rates >= 0. Steps are scaled by the domains' second moments over the documents with a positive rate and shortened until
+the residual shrinks; where that fails the plain step follows, whose length is the inverse of the largest curvature and
+with which projected gradient always descends. The fit ends at the tolerance, or where no step descends any more.
+A rate depends only on the posterior and the steps so far, so every pass over the documents is one sum of a
 few numbers and no rate is stored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,13 +66,15 @@ def train(kinds: list[np.ndarray], y: np.ndarray, epochs: int = 12, seed: int =
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 5_000, id_col: str = "doc_id") -> Classifier:
     """Fit on about max_rows labelled documents chosen by a hash of the id. Rows without both labels are left
-    out; of several labels of a document the largest toxic and the smallest quality count."""
+    out; of several labels of a document the largest toxic and the smallest quality count, of several texts of an
+    id the first in order."""
     fine = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     domain = F.when(F.max("toxic") >= 1, 2).when(F.min("quality") >= 1, 0).otherwise(1)
     marks = fine.groupBy(id_col).agg(domain.alias("y"))
     n = marks.count()
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit("mixing")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_rows / max(1, n)))
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(marks.where(part).limit(2 * max_rows)), id_col).select(id_col, "y", "text")
+    chosen = F.broadcast(marks.where(part).limit(2 * max_rows))  # some max_rows short rows
+    rows = docs.where(F.col("text").isNotNull()).join(chosen, id_col).groupBy(id_col).agg(F.max("y").alias("y"), F.min("text").alias("text"))
 
     def kinds(batches: Iterator[dict]) -> Iterator[dict]:
         bucket = Bucketer()
@@ -102,60 +108,70 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], iterations: int = 25, tolerance: float = 1e-6) -> tuple[list[np.ndarray], dict]:
-    """Steps that bring the expected domain tokens to the target shares of all tokens, and what they reach."""
+def fit_rates(scored: DataFrame, targets: dict[str, float], iterations: int = 40, tolerance: float = 1e-5) -> tuple[list[np.ndarray], dict]:
+    """Steps that bring the expected domain tokens to the target shares of all tokens, and what they reach: shares,
+    and the largest gap between a domain's share and its target, both measured after the last step."""
     d = len(DOMAINS)
     want = np.array([targets[k] for k in DOMAINS], float)
     want = want / want.sum()
 
-    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Domain tokens, second moments of the documents with a rate and of all, all tokens."""
+
         def run(batches: Iterator[dict]) -> Iterator[dict]:
-            have, second, size = np.zeros(d), np.zeros((d, d)), 0.0
+            have, free, every, size = np.zeros(d), np.zeros((d, d)), np.zeros((d, d)), 0.0
             for b in batches:
-                if not b["n_tokens"]:
-                    continue
-                p, t = np.array(b["posterior"]), np.array(b["n_tokens"], float)
-                r = rates(p, steps)
-                have += (r * t) @ p
-                second += (p * (t * (r > 0))[:, None]).T @ p
-                size += t.sum()
-            yield {"v": [np.concatenate([have, second.ravel(), [size]])]}
-
-        sums = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(d + d * d + 1)]
-        row = map_arrow(scored.select("n_tokens", "posterior"), run, "v array<double>").agg(*sums).first()
+                if b["n_tokens"]:
+                    p, t = np.array(b["posterior"]), np.array(b["n_tokens"], float)
+                    r = rates(p, steps)
+                    have += (r * t) @ p
+                    free += (p * (t * (r > 0))[:, None]).T @ p
+                    every += (p * t[:, None]).T @ p
+                    size += t.sum()
+            yield {"v": [np.concatenate([have, free.ravel(), every.ravel(), [size]])]}
+
+        n = d + 2 * d * d + 1
+        row = map_arrow(scored.select("n_tokens", "posterior"), run, "v array<double>").agg(*(F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(n))).first()
         s = np.array([x or 0.0 for x in row])
-        return s[:d], s[d : d + d * d].reshape(d, d), s[-1]
+        return s[:d], s[d : d + d * d].reshape(d, d), s[d + d * d : -1].reshape(d, d), s[-1]
 
     steps: list[np.ndarray] = []
-    best, damp = np.inf, 1.0
-    report: dict = {"iterations": 0, "tokens": 0.0, "shares": want * 0}
-    for k in range(iterations):
-        have, second, size = totals(steps)
-        if not size:
-            break
+    have, free, every, size = totals(steps)
+    while size and len(steps) < iterations:
         miss = want * size - have
-        gap = float(np.abs(miss).max() / size)
-        report = {"iterations": k, "tokens": size, "shares": have / size, "gap": gap}
-        if gap < tolerance or (k and gap > 0.999 * best and damp < 0.1):
+        if np.abs(miss).max() / size < tolerance:
+            break
+        scaled = np.linalg.solve(free + 1e-9 * np.eye(d) * max(1.0, np.trace(free)), miss)
+        plain = miss / np.linalg.eigvalsh(every)[-1]
+        for step in (scaled, scaled / 4, scaled / 16, plain):
+            tried = totals([*steps, step])
+            rest = want * size - tried[0]
+            if rest @ rest < (1 - 1e-3) * (miss @ miss):
+                break
+        else:
             break
-        if gap > best:
-            damp /= 2
-        best = min(best, gap)
-        steps.append(damp * np.linalg.solve(second + 1e-9 * np.eye(d) * max(1.0, np.trace(second)), miss))
-    return steps, report
+        steps.append(step)
+        have, free = tried[:2]
+    if not size:
+        return [], {"steps": 0, "tokens": 0.0, "shares": want * 0, "gap": 0.0}
+    return steps, {"steps": len(steps), "tokens": size, "shares": have / size, "gap": float(np.abs(want - have / size).max())}
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id") -> DataFrame:
-    """All columns of docs, then n_tokens, p_high, p_low, p_toxic, rate and copies.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", allowed_gap: float = 0.01) -> DataFrame:
+    """All columns of docs, then n_tokens, p_high, p_low, p_toxic, rate, target_gap and copies.
 
     copies is rate rounded up or down by a hash of the id, so that the expected number of copies is the rate.
-    Null and empty texts have no tokens, the prior as posterior, and a rate like any other. Repeated rows stay.
-    With empty labels all posteriors are the same and rates move together; an empty table gives an empty
+    target_gap, the same in every row, is the largest difference between a domain's expected share of all tokens and
+    its target; beyond allowed_gap (posteriors that no rates can bring to the targets, as from labels of one class) a
+    warning says so. Null and empty texts have no tokens, the prior as posterior, and a rate like any other. Repeated
+    rows stay. With empty labels all posteriors are the same and rates move together; an empty table gives an empty
     result. Columns of docs with the names of the new ones are replaced. Posteriors lie in the shared folder.
     """
-    new = ["n_tokens", "posterior", "rate", "copies", *(f"p_{k}" for k in DOMAINS)]
+    new = ["n_tokens", "posterior", "rate", "copies", "target_gap", *(f"p_{k}" for k in DOMAINS)]
     scored = save(posteriors(docs.drop(*new), fit_classifier(docs, labels, id_col=id_col)), "posteriors")
-    steps, _ = fit_rates(scored, targets)
+    steps, report = fit_rates(scored, targets)
+    if report["gap"] > allowed_gap:
+        warnings.warn(f"no rates reach the targets: the largest gap of a share is {report['gap']:.3f}", stacklevel=2)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -164,7 +180,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     schema = scored.drop("posterior").withColumns({**{f"p_{k}": F.lit(0.0) for k in DOMAINS}, "rate": F.lit(0.0)}).schema
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return map_arrow(scored, run, schema).withColumn("copies", F.floor(F.col("rate") + chance).cast("bigint"))
+    out = map_arrow(scored, run, schema, 1_024)
+    return out.withColumn("target_gap", F.lit(report["gap"])).withColumn("copies", F.floor(F.col("rate") + chance).cast("bigint"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

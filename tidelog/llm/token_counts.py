@@ -3,10 +3,13 @@
 Pass 1 tallies pre-tokens per partition and sums the tallies; each distinct pre-token is then encoded once.
 Pass 2 tallies each document again. Its frequent pre-tokens (a head of at most HEAD short ones, so of a
 proven size) are summed from a broadcast dictionary; the rest are rows that join the counts by shuffle.
+A blank-delimited piece that holds a code point of uncertain class is one pre-token of its own here: the library
+cuts it further when it is encoded, as it would inside its text.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +23,11 @@ from .common import map_arrow, save, table
 #: The byte-level pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose Unicode class may differ between the regex module and the tokenizer library.
-ODD = "[՘֋֌࢏౜೜₏₝-₟꟎꟏꟒꟔꟝꟢꟱꭬꭭\U00010000-\U0010ffff]"
+ODD = "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d\u209e\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d\U00010000-\U0010ffff]"
+#: The same pattern for texts of these letters, digits and signs, which the standard module matches faster.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+COMMON = re.compile(f"[\\x09-\\x0d\\x20-\\x7e\u00a1\u00a7\u00a9\u00ab\u00b0\u00bb\u00bf\u2010-\u2027\u20ac{_LETTERS}]*")
+COMMON_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 #: Most entries, and most characters of one, in the broadcast dictionary: under 5 MB.
 HEAD, HEAD_CHARS = 1 << 16, 32
 #: Tallies are handed on when they reach so many entries.
@@ -40,24 +47,25 @@ def _tools(path: str):
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
     special = [t["content"] for t in spec.get("added_tokens", [])]
     flagged = any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
-    return tok, regex.compile(PATTERN), regex.compile(ODD), special, plain and not flagged
-
-
-def tally(text: str, path: str) -> tuple[Counter, int]:
-    """Pre-token frequencies of a text, and the tokens that come on top: added tokens found in it, or all
-    tokens of a text that holds a code point of ODD (such a text is encoded whole)."""
-    tok, pat, odd, special, plain = _tools(path)
-    if not text:
-        return Counter(), 0
-    if not plain or odd.search(text):
-        return Counter(), len(tok.encode(text, add_special_tokens=False).ids)
-    if any(s in text for s in special):
-        parts = regex.split("|".join(map(regex.escape, sorted(special, key=len, reverse=True))), text)
-        freq: Counter = Counter()
-        for part in parts:
-            freq.update(pat.findall(part))
-        return freq, len(parts) - 1
-    return Counter(pat.findall(text)), 0
+    cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+    whole = regex.compile(rf" ?\S*?{ODD}\S*|{PATTERN}")
+    return tok, regex.compile(PATTERN), regex.compile(ODD), whole, cut, plain and not flagged
+
+
+def pretokens(text: str, path: str) -> tuple[list[str], int]:
+    """The pre-tokens of a text, and the added tokens found in it (all tokens of the text for a tokenizer of
+    another kind than byte-level, which is not cut into pre-tokens here)."""
+    tok, pattern, odd, whole, cut, plain = _tools(path)
+    if not plain:
+        return [], len(tok.encode(text, add_special_tokens=False).ids)
+    parts = cut.split(text) if cut and cut.search(text) else [text]
+    out: list[str] = []
+    for part in parts:
+        if COMMON.fullmatch(part):
+            out += COMMON_PATTERN.findall(part)
+        else:
+            out += (whole if odd.search(part) else pattern).findall(part)
+    return out, len(parts) - 1
 
 
 def pretoken_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -67,7 +75,7 @@ def pretoken_counts(docs: DataFrame, path: str) -> DataFrame:
         total: Counter = Counter()
         for b in batches:
             for text in b["text"]:
-                total.update(tally(text, path)[0])
+                total.update(pretokens(text, path)[0])
                 if len(total) > FLUSH:
                     yield {"token": list(total), "freq": list(total.values())}
                     total.clear()
@@ -102,9 +110,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         for b in batches:
             out: dict = {k: [] for k in ("id", "h", "rows", "n_bytes", "base", "token", "freq")}
             for ident, h, text in zip(b["id"], b["h"], b["text"], strict=True):
-                freq, base = tally(text or "", path)
+                found, base = pretokens(text or "", path)
                 tail = []
-                for t, f in freq.items():
+                for t, f in Counter(found).items():
                     n = known.get(t)
                     if n is None:
                         tail.append((t, f))
