@@ -393,6 +393,49 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def recall(x, g, found, k=10):
+    d = neighbours.distance(x[:, None, :], g[None, :, :]) if len(x) * len(g) < 3e6 else np.sqrt(((x[:, None, :] - g[None, :, :]) ** 2).sum(2))
+    best = np.sort(d, 1)[:, :k]
+    near = np.where(found >= 0, np.take_along_axis(d, np.maximum(found, 0), 1), np.inf)
+    return np.mean([np.mean(np.sort(a)[:k] <= b[-1] * (1 + 1e-9)) for a, b in zip(near, best, strict=True)])
+
+
+@pytest.mark.parametrize("kind", ["spread", "20 clusters", "4 clusters", "400 clusters", "pairs", "huge", "tiny", "line", "far away"])
+def test_graph_recall(kind):
+    """One shard: also tight clusters, which a graph of nearest nodes alone doesn't connect, and odd magnitudes."""
+    rng, n, dim = np.random.default_rng(3), 4096, 16
+    x = rng.normal(size=(n, dim))
+    if "clusters" in kind:
+        x = rng.normal(size=(int(kind.split()[0]), dim))[rng.integers(0, int(kind.split()[0]), n)] * 100 + x * 0.01
+    x = {"pairs": np.repeat(x[: n // 2], 2, 0) + rng.normal(size=(n, dim)) * 1e-6, "huge": x * 1e25, "tiny": x * 1e-200, "line": np.outer(np.arange(n), np.ones(dim)), "far away": x + 1e6}.get(kind, x)
+    g = neighbours.build(x)
+    assert (neighbours._parts(g.layers[0][1]) == 0).all()
+    q = x[::64] + rng.normal(size=x[::64].shape) * 1e-3 * np.abs(x).max() * (kind == "spread")
+    assert recall(q, x, neighbours.search(g, q, 160)) >= 0.9
+
+
+def test_neighbours_of_large_numbers_and_clusters(spark, monkeypatch):
+    """Through the query: clusters, equal vectors, vectors around 1e25 beside small ones; queries sent and shuffled."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(12, 8)) * 50
+    x = np.concatenate([centers[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 8)) * 0.01, rng.normal(size=(300, 8)) * 1e25, np.tile(rng.normal(size=(1, 8)), (200, 1))]).astype(np.float32)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>")
+    asked = df.where("vec_id % 100 = 0")
+    got = neighbours.nearest(df, asked, 10, shard_rows=300).toPandas()
+    monkeypatch.setattr(neighbours, "SENT_BYTES", 0)
+    again = neighbours.nearest(df, asked, 10, shard_rows=300, block_rows=7).toPandas()
+    key = ["query_id", "rank"]
+    assert got.sort_values(key).values.tolist() == again.sort_values(key).values.tolist()
+    y = x.astype(np.float64)
+    for q in range(0, 2000, 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(2000), d))[:10]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 11)) and len(set(best) & set(mine.vec_id)) >= 9
+        assert np.allclose(mine.score, d[mine.vec_id.to_numpy()], rtol=1e-12)
+
+
 def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (200, None), (300, [0.0, 0.0]), (400, [float("nan"), 1.0]), (500, [1.0, None]), (None, [1.0, 1.0]), (600, [1.0]), (7, [float("inf"), 0.0]), (0, [1.0, 0.0]), (8, [1.0, 2.0])]
     rows += [(k, [1.0, 0.0]) for k in range(1001, 1060)]
