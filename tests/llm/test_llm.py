@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -81,10 +82,53 @@ def test_secrets_in_later_members():
     for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
         data = pack(b"nothing here, ") + pack(b"password = hunter2222")
         assert secrets.unpack(data) == b"nothing here, password = hunter2222"
-        assert [k for k, *_ in secrets.scan(f"x {base64.b64encode(data).decode()} y")[1]] == ["assign"]
+        text = f"x {base64.b64encode(data).decode()} y"  # a later member that stands at a letter's start is found for itself too
+        assert ("assign", 2, len(text) - 2) in (found := secrets.scan(text)[1]) and {k for k, *_ in found} == {"assign"}
     assert secrets.unpack(gzip.compress(b"abc") + b"more") == b"abc"
 
 
+def test_secrets_in_any_nest():
+    """Encodings nested at random and set beside blanks, letters and separators: every secret found, its span on it."""
+    import bz2
+    import lzma
+    import random
+
+    import zstandard
+
+    rng, secret = random.Random(12), "password = hunter2222"
+    b64 = lambda b: (base64.b64encode if rng.random() < 0.5 else base64.urlsafe_b64encode)(b).decode()
+    steps = [
+        lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+        lambda t: urllib.parse.quote(t),
+        lambda t: "".join(f"\\u{ord(c):04x}" if rng.random() < 0.6 else c for c in t),
+        lambda t: "".join(f"&#{ord(c)};" for c in t),
+        lambda t: b64(t.encode()),
+        lambda t: b64(b"caf\xe9 \x00 " + t.encode()),
+        *(lambda t, p=p: b64(p(t.encode())) for p in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress)),
+    ]
+    for k in range(300):
+        text = secret
+        for _ in range(rng.randrange(1, 4)):
+            text = rng.choice(steps)(text)
+        before, behind = rng.choice(["", "x-", "path/", "key_", "a", "\u00e9 ", "v1:", "\n"]), rng.choice(["", " ", "%00", "%ff", "\n", " \\u00e9"])
+        whole = f"some words {before}{text}{behind} and others"
+        found = [(a, b) for kind, a, b in secrets.scan(whole)[1] if kind == "assign"]
+        at = whole.index(text)
+        assert any(a < at + len(text) and b > at for a, b in found), (k, whole)
+
+
+def test_secrets_in_large_streams(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12)
+    monkeypatch.setattr(secrets, "CHUNK", 1 << 12)
+    filler = bytes(range(32, 127)) * 3000
+    inner = base64.b64encode(b"api_key: 123456789")
+    for data in (filler + b" secret=abcdefgh " + filler, filler + b" " + inner + b" " + filler):
+        for packed in (gzip.compress(data), zlib.compress(data), gzip.compress(gzip.compress(data))):
+            text = f"see {base64.b64encode(packed).decode()} end"
+            assert ("assign", 4, len(text) - 4) in secrets.scan(text)[1]
+
+
 def test_secrets_base(spark, docs):
     import random
 

@@ -2,7 +2,9 @@
 
 Every text is scanned as it stands; then URL-encoded, Unicode-escaped, base64 and compressed regions are
 decoded into layers, each layer is scanned and searched for further regions, until no new layer appears.
-A layer carries the source span of each of its characters, so a finding in it maps back to the text.
+A layer carries the source span of each of its characters, so a finding in it maps back to the text. Base64 is read
+at all four alignments, in case letters stand before it; a compressed stream unfolds in overlapping windows of WINDOW
+bytes, so its size has no limit.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ import bz2
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +32,16 @@ KINDS = (
     ("hex", re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}"), 0, 24),
 )
 RANK = {name: i for i, (name, *_) in enumerate(KINDS)}
-#: Most bytes that one compressed region may unfold to; a larger one is left alone (a decompression bomb).
-MAX_UNPACKED = 64 << 20
+#: Bytes of an unfolded stream scanned at once, and how far windows overlap: longer finds across two windows are found
+#: in part, which gives the same span, the region's. A stream inside a stream is read from its first window.
+WINDOW, OVERLAP, CHUNK = 8 << 20, 1 << 20, 1 << 20
 
 _PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
+#: Base64 of the first bytes of gzip, bzip2, xz, zstd and zlib streams.
+_PACKED = re.compile(r"H4sI|Qlpo|[/_]Td6WFo|KLUv|eJ[w-z]|eA[E-H]|eN[o-r]|eF[4-7]")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]")
 _STRAY = re.compile("[\udc80-\udcff]")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f]")
@@ -140,61 +145,91 @@ def _escapes(layer: Layer) -> Layer | None:
     return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
-def _zstd(data: bytes, all_frames: bool) -> bytes:
-    with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=all_frames) as reader:
-        return reader.read(MAX_UNPACKED + 1)
+def _member(data: bytes):
+    """What unfolds the stream that data begins with, or None."""
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
+        return zlib.decompressobj(wbits=47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _member(data: bytes) -> tuple[bytes, bytes] | None:
-    """The inside of the first member of a compressed stream and what follows it."""
+def _unfold(data: bytes) -> Iterator[bytes]:
+    """The inside of all members of a gzip, zlib, bzip2, xz or zstd stream, in chunks; ends where it is broken."""
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-            d = zlib.decompressobj(wbits=47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            try:
-                return _zstd(data, True), b""
-            except zstandard.ZstdError:  # something else follows the first frame
-                return _zstd(data, False), b""
-        else:
-            return None
-        return d.decompress(data, MAX_UNPACKED + 1), d.unused_data
+        if data[:4] == b"\x28\xb5\x2f\xfd":
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
+                while chunk := reader.read(CHUNK):
+                    yield chunk
+            return
+        while (d := _member(data)) is not None:
+            while True:
+                if chunk := d.decompress(data, CHUNK):
+                    yield chunk
+                data = getattr(d, "unconsumed_tail", b"")
+                if d.eof or not (chunk or data):
+                    break
+            data = d.unused_data
     except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-        return None
+        return
+
+
+def windows(data: bytes) -> Iterator[bytes]:
+    """The inside of a stream in overlapping windows; nothing if it is none. A stream in a stream is unfolded too."""
+    buffer, fresh, first = bytearray(), 0, True
+    for chunk in _unfold(data):
+        buffer += chunk
+        fresh += len(chunk)
+        if len(buffer) >= WINDOW:
+            yield from _through(bytes(buffer), first)
+            buffer, fresh, first = buffer[-OVERLAP:], 0, False
+    if fresh:
+        yield from _through(bytes(buffer), first)
+
+
+def _through(data: bytes, first: bool) -> Iterator[bytes]:
+    deeper = False
+    for inner in windows(data) if first else ():
+        deeper = True
+        yield inner
+    if not deeper:
+        yield data
 
 
 def unpack(data: bytes) -> bytes | None:
-    """The inside of all members of a gzip, zlib, bzip2, xz or zstd stream; None if it is none, broken or too large."""
-    out, found = bytearray(), False
-    while (part := _member(data)) is not None:
-        found, data = True, part[1]
-        out += part[0]
-        if len(out) > MAX_UNPACKED:
-            return None
-    return bytes(out) if found else None
+    """The inside of all members of a stream; None if it is none or broken from the start."""
+    out = b"".join(_unfold(data))
+    return out or None
+
 
+def _same(text: str, start: int, end: int) -> Layer:
+    """A layer all of whose characters come from the same place."""
+    return Layer(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text)))
 
-def _from_base64(layer: Layer, a: int, b: int) -> Layer | None:
+
+def _from_base64(layer: Layer, a: int, b: int) -> Iterator[Layer]:
+    """The layers of one region: at each alignment, and those of streams that begin in it."""
     raw = layer.text[a:b]
-    keep = [i for i, c in enumerate(raw) if not _NOT_BASE64.match(c)] if _NOT_BASE64.search(raw) else range(len(raw))
-    n = len(keep) - (len(keep) % 4 == 1)
-    letters = "".join(raw[i] for i in keep[:n]) if len(keep) < len(raw) else raw[:n]
-    try:
-        data = base64.b64decode(letters.translate({45: "+", 95: "/"}) + "=" * (-n % 4))
-    except ValueError:
-        return None
-    inner, whole = data, False
-    while (deeper := unpack(inner)) is not None:
-        inner, whole = deeper, True
-    if whole:  # every byte of a compressed stream comes from the whole region
-        size = len(inner)
-        return _readable(_to_text(inner, np.full(size, layer.starts[a]), np.full(size, layer.ends[b - 1])))
-    at = np.arange(len(data))
-    source = np.array(keep[:n]) + a
-    return _readable(_to_text(data, layer.starts[source[at * 4 // 3]], layer.ends[source[np.minimum((at * 8 + 7) // 6, n - 1)]]))
+    keep = np.flatnonzero([not _NOT_BASE64.match(c) for c in raw]) if _NOT_BASE64.search(raw) else np.arange(len(raw))
+    letters = ("".join(raw[i] for i in keep) if len(keep) < len(raw) else raw).translate({45: "+", 95: "/"})
+
+    def decoded(first: int) -> bytes:
+        n = len(letters) - first
+        n -= n % 4 == 1
+        return base64.b64decode(letters[first : first + n] + "=" * (-n % 4)) if n >= 2 else b""
+
+    for m in _PACKED.finditer(letters):
+        for piece in windows(decoded(m.start())):  # every byte of a stream comes from the whole region
+            text = _STRAY.sub("\ufffd", piece.decode("utf-8", "surrogateescape"))
+            if text and (found := _readable(_same(text, layer.starts[a + keep[m.start()]], layer.ends[b - 1]))):
+                yield found
+    for first in range(4):
+        data = decoded(first)
+        at, last = np.arange(len(data)), len(letters) - 1
+        source = keep + a
+        lows, highs = source[np.minimum(first + at * 4 // 3, last)], source[np.minimum(first + (at * 8 + 7) // 6, last)]
+        if found := _readable(_to_text(data, layer.starts[lows], layer.ends[highs])):
+            yield found
 
 
 def _escaped(text: str) -> bool:
@@ -211,31 +246,33 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
     longest = 0
     for m in _BASE64.finditer(text):
         longest = max(longest, m.end() - m.start())
-        if found := _from_base64(layer, *m.span()):
-            yield found
+        yield from _from_base64(layer, *m.span())
     if longest >= 60:
         for m in _WRAPPED.finditer(text):
-            if found := _from_base64(layer, *m.span()):
-                yield found
+            yield from _from_base64(layer, *m.span())
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
     """Base findings, all findings (mapped to the text, each span once) and the number of layers."""
     base = findings(text)
     spans = set(base)
-    work: deque[Layer] = deque()
+    work: list[Iterator[Layer]] = []  # layers not yet searched, the innermost last; each gives its inner ones in turn
     if _BASE64.search(text) or ("%" in text and _PERCENT.search(text)) or _escaped(text):
-        work.append(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1)))
-    seen, layers = {(text, 0, len(text))}, 0
+        work.append(inner_layers(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))))
+    mark = lambda t: xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
+    seen, layers = {(mark(text), 0, len(text))}, 0
     while work:
-        for new in inner_layers(work.popleft()):
-            key = (new.text, int(new.starts[0]), int(new.ends[-1]))
-            if key in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            spans.update((kind, int(new.starts[a]), int(new.ends[b - 1])) for kind, a, b in findings(new.text))
-            work.append(new)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        key = (mark(new.text), int(new.starts[0]), int(new.ends[-1]))
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        spans.update((kind, int(new.starts[a]), int(new.ends[b - 1])) for kind, a, b in findings(new.text))
+        work.append(inner_layers(new))
     order = lambda s: (s[1], RANK[s[0]], s[2])
     return sorted(base, key=order), sorted(spans, key=order), layers
 
