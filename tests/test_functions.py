@@ -24,6 +24,7 @@ from tidelog.streaming.state import Agreement, Commits, Endpoint, Tracker, Windo
         ("may third", "may 3rd"),
         ("one two three", "one two three"),
         ("one and two", "one and two"),  # an "and" behind no scale joins nothing
+        ("and twenty five and more", "and 25 and more"),  # a number starts with no "and"
         ("twenty, five", "twenty, five"),  # punctuation ends a number
         ("twenty percent", "twenty percent"),
         ("ten", "ten"),

@@ -73,9 +73,11 @@ def terminal_completeness(text: Column) -> Column:
 
 
 def label_of(n: Column) -> Column:
-    """0, 1, ... to A..Z, AA, AB, ... for n below 702."""
-    letter = lambda k: F.call_function("char", (k + 65).cast("bigint"))
-    return F.when(n < 26, letter(n)).otherwise(F.concat(letter(F.floor(n / 26) - 1), letter(n % 26)))
+    """0, 1, ... to A..Z, AA, AB, ..."""
+    letter = lambda k: F.call_function("char", (k % 26 + 65).cast("bigint"))
+    start = F.struct(n.cast("bigint").alias("n"), F.lit("").alias("s"))
+    step = lambda acc: F.when(acc["n"] < 0, acc).otherwise(F.struct((F.floor(acc["n"] / 26) - 1).alias("n"), F.concat(letter(acc["n"]), acc["s"]).alias("s")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(13)), start, lambda acc, _: step(acc))["s"]  # 13 letters hold any bigint
 
 
 def passing_prefix(words: Column, least: float) -> Column:

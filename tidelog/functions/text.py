@@ -108,7 +108,7 @@ def _numbers(tokens: list[str]) -> list[str]:
     at = 0
     while at < len(tokens):
         end = at
-        while end < len(tokens) and _bare(tokens[end]) in _CLASS:
+        while end < len(tokens) and _bare(tokens[end]) in _CLASS and (end > at or _bare(tokens[end]) != "and"):
             end += 1
             if _tail(tokens[end - 1]):
                 break

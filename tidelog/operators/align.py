@@ -49,9 +49,10 @@ def by_neighbours(words: DataFrame, segs: DataFrame, session: str, max_gap: floa
 
 
 def centroids(segs: DataFrame, by: str, weight: str) -> DataFrame:
-    """Weighted mean vector of each group; weight 0 counts as 1."""
-    w = F.when(F.col(weight) == 0, 1.0).otherwise(F.col(weight))
-    parts = segs.select(by, w.alias("w"), F.posexplode("embedding").alias("pos", "v")).groupBy(by, "pos").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+    """Weighted mean vector of each group; weights that sum to 0 divide by 1."""
+    total = F.sum("w")
+    mean = F.sum(F.col("v") * F.col("w")) / F.when(total == 0, 1.0).otherwise(total)
+    parts = segs.select(by, F.col(weight).alias("w"), F.posexplode("embedding").alias("pos", "v")).groupBy(by, "pos").agg(mean.alias("v"))
     return parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("centroid"))
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schema import TOLERANCE
 
+#: Places in a session's order that share a join key.
+SPAN_BLOCK = 64
+
 
 def with_seq(df: DataFrame, session: str, *order: str) -> DataFrame:
     """seq: 0, 1, ... within the session."""
@@ -54,8 +57,10 @@ def turn_index(df: DataFrame, session: str, order: list[str], speaker: str) -> D
 
 def display_text(words: DataFrame, spans: DataFrame, session: str) -> DataFrame:
     """Words (session, seq, text) with each span (session, from_seq, to_seq, text) in place of its words."""
-    s = spans.select(F.col(session).alias("_s"), "from_seq", "to_seq", F.col("text").alias("span_text"))
-    joined = words.join(s, (F.col(session) == F.col("_s")) & F.col("seq").between(F.col("from_seq"), F.col("to_seq")), "left")
+    block = lambda c: F.floor(F.col(c) / SPAN_BLOCK)  # noqa: E731  a word meets the spans of its own block only
+    s = spans.select(F.col(session).alias("_s"), "from_seq", "to_seq", F.col("text").alias("span_text"), F.explode(F.sequence(block("from_seq"), block("to_seq"))).alias("_b"))
+    here = (F.col(session) == F.col("_s")) & (block("seq") == F.col("_b")) & F.col("seq").between(F.col("from_seq"), F.col("to_seq"))
+    joined = words.join(s, here, "left")
     shown = joined.where(F.col("from_seq").isNull() | (F.col("seq") == F.col("from_seq"))).withColumn("shown", F.coalesce("span_text", "text"))
     return joined_text(shown, session, "seq", "shown", "display")
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import polish, signal
 from ..functions import text as N
-from ..operators import align, log, score
+from ..operators import align, log, protocol, score
 from ..policy import PRESETS, policies
 from ..schema import FINAL_KINDS
 from ..sources.adapters import CW_SQL, EV_SQL, SEG_SQL, event_log, segments, table, truth_turns, words
@@ -298,8 +299,8 @@ def merge_candidates(spark, d):
 
 @query(
     """WITH p AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
-    w AS (SELECT label, k, v, CASE WHEN vec_id % 4 = 0 THEN 1.0::DOUBLE ELSE (vec_id % 4)::DOUBLE END AS w FROM p)
-    SELECT label::BIGINT AS label, k::BIGINT AS dim, round(sum(v * w) / sum(w), 6) AS v FROM w GROUP BY label, k"""
+    w AS (SELECT label, k, v, (vec_id % 4)::DOUBLE AS w FROM p)
+    SELECT label::BIGINT AS label, k::BIGINT AS dim, round(sum(v * w) / CASE WHEN sum(w) = 0 THEN 1 ELSE sum(w) END, 6) AS v FROM w GROUP BY label, k"""
 )
 def label_centroids(spark, d):
     e = table(spark, d, "embeddings").withColumn("weight", (F.col("vec_id") % 4).cast("double")).withColumn("embedding", F.col("embedding").cast("array<double>"))
@@ -489,12 +490,187 @@ def display_text(spark, d):
     return log.display_text(w.drop("turn"), spans, "conv_id")
 
 
-@query()
+_TURN_TEXT = "tx AS (SELECT conv_id, turn, string_agg(CASE WHEN g % 20 = 9 THEN 'twenty' WHEN g % 20 = 10 THEN 'five' ELSE word END, ' ' ORDER BY g) AS before FROM cw GROUP BY ALL)"
+
+
+def _turn_texts(spark, d) -> DataFrame:
+    """Turns as one text each; here and there two words are a spoken number."""
+    said = F.when(F.col("g") % 20 == 9, "twenty").when(F.col("g") % 20 == 10, "five").otherwise(F.col("word"))
+    w = words(spark, d).withColumn("word", said).withColumn("k", F.struct("conv_id", "turn"))
+    return log.joined_text(w, "k", "g", "word", "before").select("k.conv_id", "k.turn", "before")
+
+
+@query(with_(CW_SQL, _TURN_TEXT) + "SELECT conv_id, turn, replace(before, 'twenty five', '25') AS after, contains(before, 'twenty five') AS changed, 0::BIGINT AS rejected FROM tx")
 def polish_utterances(spark, d):
-    """Inverse text normalisation of each turn, where it changes the text and keeps the other words."""
-    t = log.joined_text(words(spark, d).withColumn("k", F.struct("conv_id", "turn")), "k", "g", "word", "before")
-    x = t.withColumn("after", N.inverse_normalise_udf("before"))
-    return x.select("k.conv_id", "k.turn", "after", (F.col("before") != F.col("after")).alias("changed"))
+    """Each turn through the chain of stages, with the end of the turn before as context."""
+    before = F.lag("before", 1, "").over(Window.partitionBy("conv_id").orderBy("turn"))
+    x = _turn_texts(spark, d).withColumn("p", polish.polish_udf(polish.Chain())("before", before))
+    return x.select("conv_id", "turn", F.col("p.text").alias("after"), (F.col("before") != F.col("p.text")).alias("changed"), F.size("p.rejected").cast("bigint").alias("rejected"))
+
+
+@query(
+    with_(CW_SQL, _TURN_TEXT)
+    + """SELECT conv_id, turn, coalesce(array_to_string(list_slice(l, greatest(len(l) - 5, 1), len(l)), ' '), '') AS context
+    FROM (SELECT conv_id, turn, string_split(lag(before) OVER (PARTITION BY conv_id ORDER BY turn), ' ') AS l FROM tx)"""
+)
+def utterance_context(spark, d):
+    """The last six words of the turn before."""
+    before = F.split(F.lag("before").over(Window.partitionBy("conv_id").orderBy("turn")), " ")
+    tail = F.when(F.size("l") > polish.CONTEXT_WORDS, F.slice("l", -polish.CONTEXT_WORDS, polish.CONTEXT_WORDS)).otherwise(F.col("l"))
+    x = _turn_texts(spark, d).withColumn("l", before)
+    return x.select("conv_id", "turn", F.coalesce(F.array_join(tail, " "), F.lit("")).alias("context"))
+
+
+_LOG = """lg AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY "at", event_id) - 1 AS seq, kind, floor("at") AS "at", event_id,
+  'e' || event_id AS text, (event_id % 7) / 4::DOUBLE AS delay, CASE WHEN event_id % 3 > 0 THEN 'S' || event_id % 3 END AS speaker, event_id % 5 AS turn FROM ev)"""
+
+
+def _full_log(spark, d) -> DataFrame:
+    """events as a log with every payload column filled, also those that a kind doesn't have."""
+    e = log.with_seq(event_log(spark, d).withColumnRenamed("user_id", "session_id"), "session_id", "at", "event_id")
+    n = F.col("event_id")
+    return e.select(
+        "session_id", "seq", "kind", F.floor("at").cast("double").alias("at"), F.concat(F.lit("e"), n).alias("text"), (n / 8).alias("audio_start"), (n / 8 + 0.1234567).alias("audio_end"),
+        (n / 8 + 1).alias("emitted_at"), (n % 7 / 4.0).alias("delay"), F.when(n % 3 > 0, F.concat(F.lit("S"), n % 3)).alias("speaker"), F.lit(0.5).alias("confidence"), (n % 5).cast("int").alias("turn"),
+        F.when(n % 2 == 0, n).alias("target_seq"), F.lit("timeout").alias("reason"), (n % 10 / 10).alias("completeness"), (n % 2 == 0).alias("degraded"), F.col("lag"), n.alias("from_seq"), n.alias("to_seq"),
+    )
+
+
+@query(
+    with_(EV_SQL, _LOG)
+    + """SELECT session_id, seq, kind, "at", CASE WHEN kind IN ('commit', 'partial') THEN text END AS text, CASE WHEN kind IN ('commit', 'partial', 'speaker') THEN round(event_id / 8 + 0.1234567::DOUBLE, 6) END AS audio_end,
+    CASE WHEN kind IN ('commit', 'turn_start', 'speaker') THEN speaker END AS speaker, CASE WHEN kind <> 'partial' THEN turn END AS turn, CASE WHEN kind = 'endpoint' THEN 'timeout' END AS reason,
+    CASE WHEN kind = 'endpoint' THEN event_id % 10 / 10::DOUBLE END AS completeness FROM lg"""
+)
+def protocol_round_trip(spark, d):
+    """Every event to its JSON line and back: the fields of its kind only, floats rounded."""
+    back = protocol.decode(protocol.encode(_full_log(spark, d)))
+    return back.select("session_id", "seq", "kind", "at", "text", "audio_end", "speaker", F.col("turn").cast("bigint").alias("turn"), "reason", "completeness")
+
+
+@query("SELECT '{\"kind\":\"hello\",\"policy\":\"' || p || '\",\"protocol\":\"1.0\",\"sample_rate\":16000}' AS line FROM (VALUES ('agent'), ('conversation'), ('dictation')) t(p)")
+def hello_lines(spark, d):
+    from functools import reduce
+
+    return reduce(DataFrame.union, (protocol.hello(spark, name) for name in sorted(PRESETS)))
+
+
+@query(
+    with_(EV_SQL, _LOG)
+    + """SELECT session_id, seq, printf('%3d  %6.2f s  %-12s  %s', seq, "at", kind, CASE kind WHEN 'commit' THEN printf('[%s] %s  %+.2f s', coalesce(speaker, '-'), text, delay) WHEN 'partial' THEN text
+    WHEN 'turn_start' THEN printf('turn %d, speaker %s', turn, coalesce(speaker, '-')) WHEN 'endpoint' THEN 'timeout'
+    WHEN 'speaker' THEN CASE WHEN event_id % 2 = 0 THEN printf('word %d is %s', event_id, coalesce(speaker, '-')) ELSE printf('turn %d is %s', turn, coalesce(speaker, '-')) END END) AS line FROM lg"""
+)
+def rendered_log(spark, d):
+    return protocol.render(_full_log(spark, d))
+
+
+@query(
+    with_(SEG_SQL)
+    + """SELECT session, i, problem FROM (SELECT session, i, CASE WHEN vec_id % 17 = 0 THEN 'ends before it starts' WHEN vec_id % 19 = 0 THEN 'no embedding' END AS problem FROM seg) WHERE problem IS NOT NULL"""
+)
+def quarantined_segments(spark, d):
+    """Segments that can't stand, with the reason."""
+    s = segments(spark, d)
+    end = F.when(F.col("vec_id") % 17 == 0, F.col("start") - 1).otherwise(F.col("end"))
+    vector = F.when(F.col("vec_id") % 19 == 0, F.array().cast("array<double>")).otherwise(F.col("embedding"))
+    x = s.select("session", "i", F.struct("start", end.alias("end"), vector.alias("embedding")).alias("s"))
+    return protocol.quarantine(x, protocol.segment_problem(F.col("s")))[1].select("session", "i", "problem")
+
+
+@query(r"SELECT doc_id, n::BIGINT AS words FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM documents) WHERE n >= 8 AND n * 0.3::DOUBLE BETWEEN 5 AND 14")
+def clip_filter(spark, d):
+    """Texts of 5 to 14 seconds, at 0.3 s a word, and of eight words or more."""
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).cast("bigint")
+    return table(spark, d, "documents").select("doc_id", n.alias("words")).where((F.col("words") >= 8) & (F.col("words") * F.lit(0.3)).between(5, 14))
+
+
+@query("SELECT event_id, round(CASE WHEN event_id % 10 < 5 THEN 0.5 ELSE 1 / (1 + exp(-(value - 250) / 100)) END, 6) AS score FROM events")
+def turn_scores(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.round(signal.turn_score((F.col("value") - 250) / 100, F.col("event_id") % 10 / 10), 6).alias("score"))
+
+
+@query("SELECT event_id, round((value - avg(value) OVER u) / sqrt(var_pop(value) OVER u + 1e-7), 5) AS z FROM events WINDOW u AS (PARTITION BY user_id)")
+def standardised_values(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(signal.standardised(F.col("value"), "user_id"), 5).alias("z"))
+
+
+@query(
+    with_(CW_SQL)
+    + """SELECT conv_id, g, word, round(audio_start, 6) AS audio_start, round(least(greatest(l + 0.08, audio_start), greatest(cap, audio_start)), 6) AS audio_end, round(exp(-0.05 * (n + 1) / 2), 6) AS confidence
+    FROM (SELECT *, audio_start + 0.15::DOUBLE * (n - 1) AS l, coalesce(lead(audio_start) OVER (PARTITION BY conv_id ORDER BY g), 1e9) AS cap FROM (SELECT *, ceil(length(word) / 3) AS n FROM cw))"""
+)
+def assembled_words(spark, d):
+    """Pieces of three letters, a leading blank for the first of a word, put together again."""
+    w = words(spark, d)
+    piece = F.transform(F.sequence(F.lit(0), F.ceil(F.length("word") / 3).cast("int") - 1), lambda k: F.concat(F.when(k == 0, " ").otherwise(""), F.substring(F.col("word"), k * 3 + 1, F.lit(3))))
+    p = w.select("conv_id", "audio_start", "g", F.posexplode(piece).alias("pos", "piece"))
+    p = p.select("conv_id", F.col("g").alias("og"), "pos", "piece", (F.col("audio_start") + 0.15 * F.col("pos")).alias("at"), (-0.05 * (F.col("pos") + 1)).alias("logp"))
+    order = Window.partitionBy("conv_id").orderBy("og", "pos")
+    p = p.withColumn("g", F.sum(F.col("piece").startswith(" ").cast("bigint")).over(order) - 1)
+    items = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    x = p.groupBy("conv_id", "g").agg(F.trim(F.array_join(F.transform(items, lambda i: i["piece"]), "")).alias("word"), F.min("at").alias("audio_start"), F.max("at").alias("last"), X.log_mean_confidence(F.col("logp")).alias("confidence"))
+    cap = F.coalesce(F.lead("audio_start").over(Window.partitionBy("conv_id").orderBy("g")), F.lit(1e9))
+    return x.select("conv_id", "g", "word", _R6("audio_start"), _R6(signal.word_end(F.col("last"), F.col("audio_start"), cap), "audio_end"), _R6("confidence"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'two hundred five' WHEN p_size % 3 = 1 THEN 'you and me' ELSE 'five and me and thousand one' END AS words FROM part"""
+)
+def number_and(spark, d):
+    """An "and" between two number words goes, any other stays."""
+    n = F.col("p_size") % 3
+    said = F.when(n == 0, "two hundred and five").when(n == 1, "you and me").otherwise("five and me and thousand and one")
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.drop_number_and(F.split(said, " "), N.NUMBER_VOCABULARY), " ").alias("words"))
+
+
+@query("SELECT doc_id, list_has_any(CASE doc_id % 3 WHEN 0 THEN ['casing'] WHEN 1 THEN ['digits'] ELSE ['none'] END, ['punctuation', 'casing']) AS skipped FROM documents")
+def skipped_stages(spark, d):
+    """Whether what a stage adds is there already."""
+    n = F.col("doc_id") % 3
+    there = F.array(F.when(n == 0, "casing").when(n == 1, "digits").otherwise("none"))
+    return table(spark, d, "documents").select("doc_id", F.arrays_overlap(there, F.array(F.lit("punctuation"), F.lit("casing"))).alias("skipped"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity > 30)")
+def unused_items(spark, d):
+    """Set difference: what no row refers to."""
+    used = table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+
+
+@query("SELECT session, sum(CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) > 0 AS any_fifth, bool_and(vec_id % 5 > 0) AS no_fifth, round(sum(\"end\" - \"start\") / 100, 6) AS factor FROM (" + with_(SEG_SQL) + "SELECT * FROM seg) GROUP BY session")
+def session_flags(spark, d):
+    """Any, all, and work per second of audio."""
+    s = segments(spark, d)
+    return s.groupBy("session").agg(F.bool_or(F.col("vec_id") % 5 == 0).alias("any_fifth"), F.bool_and(F.col("vec_id") % 5 > 0).alias("no_fifth"), F.round(F.sum(F.col("end") - F.col("start")) / 100, 6).alias("factor"))
+
+
+@query()
+def wer_comparable(spark, d):
+    """The words that an error rate compares, with digits spoken."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(N.comparable_udf("text"), " ").alias("words"))
+
+
+@query()
+def agreed_words(spark, d):
+    """Words as a recogniser that runs over its whole buffer every second settles them."""
+    from ..streaming.state import Passes
+
+    def step(session, frame):
+        rows = frame.sort_values("g").to_dict("records")
+        heard = [{"text": r["word"], "audio_start": r["audio_start"], "audio_end": r["audio_end"]} for r in rows]
+        # a pass misreads the word that its buffer ends in
+        transcribe = lambda a, b: [w if w["audio_end"] + 0.3 <= b else {**w, "text": w["text"][:1]} for w in heard if a <= w["audio_start"] and w["audio_end"] <= b + 1e-6]
+        p, out, told = Passes(), [], 0
+        for _ in range(int(rows[-1]["audio_end"] / 0.3 + 0.5)):
+            h = p.push(0.3, transcribe)
+            out += [(session, w["text"], w["audio_start"], p.at) for w in (h["stable"][told:] if h else [])]
+            told = len(p.stable)
+        return out + [(session, w["text"], w["audio_start"], p.at) for w in p.flush(transcribe)["stable"][told:]]
+
+    return _per_session(words(spark, d).withColumnRenamed("conv_id", "session"), "session bigint, word string, audio_start double, agreed_at double", step)
 
 
 @query()

@@ -19,33 +19,41 @@ COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinator input from conversations: a row per word; behind each turn a voice segment and silence."""
-    w = words(spark, sf_dir)
-    none_w = F.expr("cast(null as array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>)")
-    none_s = F.expr("cast(null as array<struct<start:double,end:double,embedding:array<double>,overlap:boolean>>)")
-    word = F.array(F.struct(F.col("word").alias("text"), "audio_start", "audio_end", "confidence"))
-    spoken = w.select("conv_id", "g", F.lit(0).alias("part"), F.greatest(F.col("audio_end"), F.col("emitted_at")).alias("at"), F.lit(True).alias("speaking"), word.alias("words"), none_s.alias("segments"))
-    voice = F.when(F.col("role") == "user", F.array(*map(F.lit, (1.0, 0.0, 0.0)))).when(F.col("role") == "assistant", F.array(*map(F.lit, (0.0, 1.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 0.0, 1.0))))
-    ends = w.groupBy("conv_id", "turn", "role").agg(F.max("g").alias("g"), F.min("audio_start").alias("s"), F.max("audio_end").alias("e"), F.max("emitted_at").alias("at"))
-    seg = F.array(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), voice.alias("embedding"), F.lit(False).alias("overlap")))
-    quiet = ends.select("conv_id", "g", F.lit(1).alias("part"), (F.col("at") + 0.0).alias("at"), F.lit(False).alias("speaking"), none_w.alias("words"), seg.alias("segments"))
-    both = spoken.union(quiet)
+    """Coordinator input from conversations. A row per word shows it as tentative and makes the word before it final;
+    behind each turn a voice segment and 2, 4 or 7 rows of silence, 0.3 s apart, so that an utterance goes on, is
+    complete by its score or times out. The last word of a turn is settled by silence or comes with the next turn.
+    Here and there two words become a spoken number, which the chain writes in digits."""
     from pyspark.sql import Window
 
+    w = words(spark, sf_dir)
+    quiet_rows = F.element_at(F.array(F.lit(2), F.lit(4), F.lit(7)), (F.col("turn") % 3 + 1).cast("int"))
+    turns = w.groupBy("conv_id", "turn", "role").agg(F.max("g").alias("g"), F.min("audio_start").alias("s"), F.max("audio_end").alias("e"), F.max("emitted_at").alias("own_at"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("rows", quiet_rows).withColumn("pause", F.coalesce(F.sum(F.col("rows") * 0.3).over(before), F.lit(0.0)))
+    said = F.when(F.col("g") % 20 == 9, "twenty").when(F.col("g") % 20 == 10, "five").otherwise(F.col("word"))
+    word = F.struct(said.alias("text"), "audio_start", "audio_end", "confidence")
+    none_w = F.lit(None).cast("array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>")
+    none_s = F.lit(None).cast("array<struct<start:double,end:double,embedding:array<double>,overlap:boolean>>")
+    final = F.lag(word).over(Window.partitionBy("conv_id").orderBy("g"))
+    spoken = w.withColumn("final", final).join(turns.select("conv_id", "turn", "pause"), ["conv_id", "turn"])
+    at = F.greatest(F.col("audio_end"), F.col("emitted_at")) + F.col("pause")
+    spoken = spoken.select("conv_id", "turn", "g", F.lit(0).alias("part"), at.alias("own_at"), F.lit(True).alias("speaking"), F.when(F.col("final").isNotNull(), F.array("final")).alias("words"), F.array(word).alias("tentative"), none_s.alias("segments"))
+    voice = F.when(F.col("role") == "user", F.array(*map(F.lit, (1.0, 0.0, 0.0)))).when(F.col("role") == "assistant", F.array(*map(F.lit, (0.0, 1.0, 0.0)))).otherwise(F.array(*map(F.lit, (0.0, 0.0, 1.0))))
+    seg = F.array(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), voice.alias("embedding"), (F.col("turn") % 5 == 4).alias("overlap")))
+    quiet = turns.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    quiet = quiet.select("conv_id", "turn", "g", "part", (F.col("own_at") + F.col("pause") + 0.3 * F.col("part")).alias("own_at"), F.lit(False).alias("speaking"), none_w.alias("words"), none_w.alias("tentative"), F.when(F.col("part") == 1, seg).alias("segments"))
     order = Window.partitionBy("conv_id").orderBy("g", "part")
-    at = F.max("at").over(order)  # the clock never goes back
-    last = F.lead("g").over(order).isNull()
-    return both.select(
+    return spoken.union(quiet).select(
         F.col("conv_id").alias("session_id"),
         (F.row_number().over(order) - 1).cast("bigint").alias("chunk_no"),
-        at.alias("at"),
+        F.max("own_at").over(order).alias("at"),  # the clock never goes back
         "speaking",
         F.when(F.col("g") % 97 == 96, 2.0).otherwise(0.1).alias("lag"),
-        F.lit(0.9).alias("score"),
+        ((F.col("turn") * 53 + F.col("conv_id") * 31) % 100 / 100).alias("score"),
         "words",
-        none_w.alias("tentative"),
+        "tentative",
         "segments",
-        last.alias("last"),
+        F.lead("g").over(order).isNull().alias("last"),
     )
 
 
@@ -104,7 +112,10 @@ def run_stream(chunks: DataFrame, policy: Policy) -> DataFrame:
 def stream_log(chunks: DataFrame, policy: Policy, parts: int = 3) -> DataFrame:
     """Replays a table of chunk rows as a stream of so many micro-batches into a table and reads it back."""
     spark = chunks.sparkSession
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/tidelog-stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = f"{shared.rstrip('/')}/tidelog-stream-{uuid.uuid4().hex}"
     for k in range(parts):
         chunks.where(F.col("chunk_no") % parts == k).coalesce(4).write.mode("append").parquet(f"{root}/in")
     source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EACH = 0.3
+#: Voice segments of a session: sessions grow in number with the table, not in length.
+SESSION_ROWS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,8 @@ def truth_turns(cw: DataFrame) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").withColumn("session", F.col("vec_id") % 10)
+    e = table(spark, sf_dir, "embeddings")
+    e = e.withColumn("session", F.col("vec_id") % max(10, e.count() // SESSION_ROWS))
     i = F.row_number().over(Window.partitionBy("session").orderBy("vec_id")) - 1
     return (
         e.withColumn("i", i.cast("bigint"))
@@ -73,8 +76,9 @@ cw AS (SELECT conv_id, turn, role, g, word, g * 0.3::DOUBLE AS audio_start, (g +
     ELSE CASE role WHEN 'user' THEN 'A' WHEN 'assistant' THEN 'B' END END AS predicted FROM w1),
 ct AS (SELECT conv_id, turn, min(audio_start) AS "start", max(audio_end) AS "end", min(role) AS speaker FROM cw GROUP BY ALL)"""
 SEG_SQL = """
-s0 AS (SELECT vec_id % 10 AS session, vec_id, label::INT AS label, embedding::DOUBLE[] AS embedding,
-  row_number() OVER (PARTITION BY vec_id % 10 ORDER BY vec_id) - 1 AS i FROM embeddings),
+n0 AS (SELECT greatest(10, count(*) // 200) AS n FROM embeddings),
+s0 AS (SELECT vec_id % n AS session, vec_id, label::INT AS label, embedding::DOUBLE[] AS embedding,
+  row_number() OVER (PARTITION BY vec_id % n ORDER BY vec_id) - 1 AS i FROM embeddings, n0),
 seg AS (SELECT session, i, vec_id, 2.0::DOUBLE * i AS "start", 2.0::DOUBLE * i + 1.0::DOUBLE + 0.4::DOUBLE * (i % 5) AS "end",
   vec_id % 13 = 0 AS overlap, label, embedding FROM s0)"""
 EV_SQL = """

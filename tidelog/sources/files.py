@@ -63,3 +63,53 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+
+
+def list_audio(spark: SparkSession, path: str, suffix: str = "wav", limit: int | None = None) -> DataFrame:
+    """path of the audio files below path in order, the first so many where a limit is asked for."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path")
+    return names if limit is None else names.limit(limit)
+
+
+def with_transcripts(audio: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """audio (path, ...) with the text whose key is the file's stem; files without one are left out."""
+    return audio.withColumn("key", stem(F.col("path"))).join(transcripts, "key")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """stem, incomplete, complete, cut_after, cut_at of the items of an index file: pairs of cut and whole clips."""
+    schema = "stem string, incomplete string, complete string, cut_after string, cut_at double"
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+def problem_text(problems: Column) -> Column:
+    """Reasons as one text, or null for none."""
+    return F.when(F.size(problems) > 0, F.concat_ws("; ", problems))
+
+
+def wav_bytes(pcm: bytes, sample_rate: int = 16_000) -> bytes:
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(sample_rate)
+        w.writeframes(pcm)
+    return out.getvalue()
+
+
+def _joined(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda p: wav_bytes(b"".join(p)))
+
+
+def recordings(chunks: DataFrame) -> DataFrame:
+    """session_id and wav, one file each: the chunks (session_id, chunk_no, chunk) put together in order."""
+    wav = F.pandas_udf(_joined, T.BinaryType())
+    items = F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))
+    return chunks.groupBy("session_id").agg(F.transform(items, lambda x: x["chunk"]).alias("parts")).select("session_id", wav("parts").alias("wav"))
+
+
+def write_truth(turns: DataFrame, path: str) -> None:
+    """A JSON file for each session with its speakers and turns, as :func:`read_truth_turns` reads them."""
+    items = F.sort_array(F.collect_list(F.struct("turn_idx", "speaker", "start", "end")))
+    files = turns.groupBy("session_id").agg(F.sort_array(F.collect_set("speaker")).alias("speakers"), F.transform(items, lambda x: F.struct(x["speaker"].alias("speaker"), x["start"].alias("start"), x["end"].alias("end"))).alias("turns"))
+    files.repartition("session_id").write.mode("overwrite").partitionBy("session_id").json(path)

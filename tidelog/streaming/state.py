@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from ..functions.polish import Chain
+from ..functions.signal import TOKEN_TAIL
 from ..policy import CommitPolicy, EndpointPolicy, Policy, SpeakerPolicy
 
 EPS = 1e-6
@@ -85,15 +87,25 @@ class Endpoint:
     fired: bool = False
     had_speech: bool = False
 
+    def held(self, at: float) -> float:
+        """Seconds of silence behind speech."""
+        return 0.0 if self.silence_since is None else at - self.silence_since
+
+    @property
+    def wants_score(self) -> bool:
+        return self.had_speech and self.silence_since is not None and not self.fired
+
     def observe(self, speaking: bool, at: float, score: float) -> str | None:
         if speaking:
             self.silence_since, self.fired, self.had_speech = None, False, True
             return None
+        if not self.had_speech:
+            return None
         if self.silence_since is None:
             self.silence_since = at
             return None
-        held = at - self.silence_since
-        if self.fired or not self.had_speech:
+        held = self.held(at)
+        if self.fired:
             return None
         reason = "timeout" if held >= self.policy.timeout else "complete" if held >= self.policy.silence and score >= self.policy.threshold else None
         if reason:
@@ -114,8 +126,8 @@ class Cluster:
     last_heard: float
 
     def centroid(self) -> list[float]:
-        total = sum(w or 1.0 for _, w in self.ring)
-        return [sum(v[i] * (w or 1.0) for v, w in self.ring) / total for i in range(len(self.ring[0][0]))]
+        total = sum(w for _, w in self.ring) or 1.0
+        return [sum(v[i] * w for v, w in self.ring) / total for i in range(len(self.ring[0][0]))]
 
 
 def cosine(a: list[float], b: list[float]) -> float:
@@ -143,7 +155,17 @@ class Tracker:
         return self.minted - 1
 
     def observe(self, seg: dict) -> tuple[str | None, str]:
-        """Label and reason ('', 'new', or why there is none)."""
+        """Label and reason ('', 'new', or why there is none). Merges follow every segment; the label is that before them."""
+        index, reason = self._assign(seg)
+        if index is not None:
+            self.spans.append((seg["start"], seg["end"], index))
+            newest = max(s[1] for s in self.spans)
+            self.spans = [s for s in self.spans if s[1] >= newest - self.policy.memory]
+        label = None if index is None else label_name(self.resolve(index))
+        self._merge()
+        return label, reason
+
+    def _assign(self, seg: dict) -> tuple[int | None, str]:
         if seg["overlap"]:
             return None, "overlap"
         if seg["end"] - seg["start"] < self.policy.min_duration:
@@ -151,19 +173,13 @@ class Tracker:
         scored = sorted(((cosine(c.centroid(), seg["embedding"]), -i) for i, c in enumerate(self.clusters)), reverse=True)
         best, second = (scored[0][0] if scored else -1.0), (scored[1][0] if len(scored) > 1 else -1.0)
         if best < self.policy.threshold:
-            index, reason = self._new(seg), "new"
-        elif best - second < self.policy.margin:
+            return self._new(seg), "new"
+        if best - second < self.policy.margin:
             return None, "ambiguous"
-        else:
-            c = self.clusters[-scored[0][1]]
-            c.ring = [*c.ring, (seg["embedding"], seg["end"] - seg["start"])][-self.policy.history :]
-            c.last_heard = seg["end"]
-            index, reason = c.index, ""
-            self._merge()
-        self.spans.append((seg["start"], seg["end"], index))
-        newest = max(s[1] for s in self.spans)
-        self.spans = [s for s in self.spans if s[1] >= newest - self.policy.memory]
-        return label_name(self.resolve(index)), reason
+        c = self.clusters[-scored[0][1]]
+        c.ring = [*c.ring, (seg["embedding"], seg["end"] - seg["start"])][-self.policy.history :]
+        c.last_heard = seg["end"]
+        return c.index, ""
 
     def resolve(self, index: int) -> int:
         for _ in range(len(self.merged) + 1):
@@ -197,11 +213,13 @@ class Tracker:
 
 @dataclass
 class Windower:
-    """Speech regions that outlive short pauses, in fixed windows; the tail of a region if it is long enough."""
+    """Speech regions that outlive short pauses, in fixed windows; the tail of a region if it is long enough. A
+    region that has run for `most` seconds without a window closes."""
 
     pause: float = 0.35
     window: float = 2.0
     least: float = 1.5
+    most: float = 30.0
     region: float | None = None
     last_speech: float = 0.0
 
@@ -210,16 +228,46 @@ class Windower:
         if speaking:
             self.region = at if self.region is None else self.region
             self.last_speech = at
-            while at - self.region >= self.window - 1e-9:
-                out.append((self.region, self.region + self.window))
-                self.region += self.window
+            if at - self.region >= self.most - 1e-9:
+                return self.close()
+            out = self._whole(at)
         elif self.region is not None and at - self.last_speech >= self.pause - 1e-9:
             out = self.close()
         return out
 
+    def _whole(self, upto: float) -> list[tuple[float, float]]:
+        out = []
+        while upto - self.region >= self.window - 1e-9:
+            out.append((self.region, self.region + self.window))
+            self.region += self.window
+        return out
+
     def close(self) -> list[tuple[float, float]]:
-        start, self.region = self.region, None
-        return [(start, self.last_speech)] if start is not None and self.last_speech - start >= self.least - 1e-9 else []
+        if self.region is None:
+            return []
+        out, start = self._whole(self.last_speech), self.region
+        self.region = None
+        return [*out, (start, self.last_speech)] if self.last_speech - start >= self.least - 1e-9 else out
+
+
+@dataclass
+class Frames:
+    """Samples in frames of one size, however they are cut up."""
+
+    size: int = 512
+    rest: bytes = b""
+
+    def push(self, pcm: bytes) -> list[bytes]:
+        data, step = self.rest + pcm, 2 * self.size
+        n = len(data) // step
+        self.rest = data[n * step :]
+        return [data[k * step : (k + 1) * step] for k in range(n)]
+
+    def flush(self, padding: float = 0.0, rate: int = 16_000) -> list[bytes]:
+        """The rest behind so many seconds of silence, the last frame filled up with it."""
+        out = self.push(b"\0" * (2 * int(padding * rate)))
+        last, self.rest = self.rest, b""
+        return [*out, last.ljust(2 * self.size, b"\0")] if last else out
 
 
 @dataclass
@@ -239,9 +287,80 @@ class Agreement:
             stable.append(b)
         self.last = words
         if stable:
-            self.frontier = stable[-1]["audio_end"]
+            self.frontier = max(self.frontier, stable[-1]["audio_end"])
         return stable
 
+    def open(self) -> list[dict]:
+        return [w for w in self.last if w["audio_start"] + EPS >= self.frontier]
+
+
+@dataclass
+class Passes:
+    """A recogniser that runs over its whole buffer every `interval` seconds of audio. Agreed words are stable; the
+    buffer keeps `context` seconds before them and `most` seconds in all. transcribe(from, to) gives a pass's words."""
+
+    interval: float = 1.0
+    context: float = 2.0
+    most: float = 28.0
+    begin: float = 0.0
+    at: float = 0.0
+    pending: float = 0.0
+    stable: list[dict] = field(default_factory=list)
+    agreement: Agreement = field(default_factory=Agreement)
+
+    def _heard(self, transcribe) -> list[dict]:
+        cut = [{**w, "audio_end": min(w["audio_end"], self.at)} for w in transcribe(self.begin, self.at) if w["text"].strip()]
+        return [w for w in cut if w["audio_end"] >= w["audio_start"] >= self.begin - EPS]
+
+    def push(self, seconds: float, transcribe) -> dict | None:
+        """None while no pass is due; else stable (all so far) and tentative words."""
+        self.at += seconds
+        self.pending += seconds
+        if self.pending < self.interval - 1e-9:
+            return None
+        self.pending = 0.0
+        self.stable += self.agreement.observe(self._heard(transcribe))
+        self.begin = min(self.at, max(self.begin, self.agreement.frontier - self.context, self.at - self.most))
+        return {"stable": list(self.stable), "tentative": self.agreement.open(), "consumed_to": self.at}
+
+    def flush(self, transcribe) -> dict:
+        """The end: nothing can disagree any more."""
+        rest = [w for w in self._heard(transcribe) if w["audio_start"] + EPS >= self.agreement.frontier]
+        self.stable = sorted([*self.stable, *rest], key=lambda w: w["audio_start"])
+        return {"stable": list(self.stable), "tentative": [], "consumed_to": self.at}
+
+
+def assemble(pieces: list[tuple[str, float, float]], cap: float) -> dict:
+    """One word of pieces (text, start, log probability)."""
+    start, last = pieces[0][1], pieces[-1][1]
+    sure = math.exp(sum(p[2] for p in pieces) / len(pieces))
+    return {"text": "".join(p[0] for p in pieces).strip(), "audio_start": start, "audio_end": min(max(last + TOKEN_TAIL, start), max(cap, start)), "confidence": min(1.0, sure)}
+
+
+@dataclass
+class Pieces:
+    """Pieces of a recogniser that only ever appends: a leading blank starts a word and completes the one before. The
+    last word is tentative and may be a fragment."""
+
+    taken: int = 0
+    words: list[dict] = field(default_factory=list)
+    pending: list[tuple] = field(default_factory=list)
+
+    def push(self, pieces: list[tuple[str, float, float]], consumed_to: float, final: bool = False) -> dict | None:
+        """All pieces so far; None if there is no new one."""
+        if len(pieces) <= self.taken and not final:
+            return None
+        for piece in pieces[self.taken :]:
+            if piece[0].startswith(" ") and self.pending:
+                self.words.append(assemble(self.pending, piece[1]))
+                self.pending = []
+            self.pending.append(piece)
+        self.taken = max(self.taken, len(pieces))
+        tail = [assemble(self.pending, consumed_to)] if self.pending else []
+        if final:
+            return {"stable": self.words + tail, "tentative": [], "consumed_to": consumed_to, "fragment": False}
+        return {"stable": list(self.words), "tentative": tail, "consumed_to": consumed_to, "fragment": True}
+
 
 @dataclass
 class Coordinator:
@@ -259,10 +378,12 @@ class Coordinator:
     endpoint: Endpoint | None = None
     tracker: Tracker | None = None
     open_words: list = field(default_factory=list)  # (seq, start, end) without a label
-    silent_since: float | None = None
-    tentative: list = field(default_factory=list)
-    scored_at: float | None = None
-    score: float = 1.0
+    heard: dict | None = None  # the last hypothesis
+    scored_at: float = -math.inf
+    score: float = 0.0
+    chain: Chain | None = field(default_factory=Chain)
+    utterance: list = field(default_factory=list)  # (seq, text) since the last endpoint
+    context: str = ""
 
     def __post_init__(self) -> None:
         self.commits = self.commits or Commits(self.policy.commit)
@@ -287,11 +408,13 @@ class Coordinator:
             out.append(self._event("speaker", turn=self.turn, speaker=label))
         fields = {k: w[k] for k in ("text", "audio_start", "audio_end", "confidence")}
         out.append(self._event("commit", **fields, emitted_at=self.at, delay=self.at - w["audio_end"], speaker=label, turn=self.turn))
+        self.utterance.append((self.seq - 1, w["text"]))
         if label is None:
             self.open_words.append((self.seq - 1, w["audio_start"], w["audio_end"]))
         return out
 
     def _fills(self) -> list[dict]:
+        """Labels that have become known; they name words only, never a turn."""
         out, still = [], []
         for seq, start, end in self.open_words:
             label = self.tracker.label(start, end)
@@ -299,12 +422,40 @@ class Coordinator:
                 still.append((seq, start, end))
             else:
                 out.append(self._event("speaker", target_seq=seq, speaker=label, audio_start=start, audio_end=end, turn=self.turn))
-                if self.turn_unnamed:
-                    self.speaker, self.turn_unnamed = label, False
-                    out.append(self._event("speaker", turn=self.turn, speaker=label))
         self.open_words = still
         return out
 
+    def _polish(self) -> list[dict]:
+        """The utterance as the chain renders it, if that differs."""
+        said, self.utterance = self.utterance, []
+        if self.chain is None or not said:
+            return []
+        before = " ".join(text for _, text in said)
+        after, _ = self.chain.run(before, self.context)
+        self.context = after
+        return [] if after == before else [self._event("polished", text=after, from_seq=said[0][0], to_seq=said[-1][0], turn=self.turn)]
+
+    def _end(self, reason: str, score: float) -> list[dict]:
+        out = [self._event("endpoint", reason=reason, completeness=score, turn=self.turn)]
+        out += [] if self.policy.solo else self._fills()
+        self.open_words = []  # what has no label now keeps none
+        return out + self._polish()
+
+    @staticmethod
+    def _scored(row: dict, out: list[dict]) -> float:
+        """A row's score can be a function of the words that its push has made final."""
+        return row["score"]([e["text"] for e in out if e["kind"] == "commit"]) if callable(row["score"]) else row["score"]
+
+    def _score(self, row: dict, out: list[dict]) -> float:
+        """The row's score where it can decide; taken at most every turn_interval. Without a scorer nothing objects."""
+        if row["score"] is None:
+            return 1.0
+        if not self.endpoint.wants_score or self.endpoint.held(self.at) < self.policy.endpoint.silence:
+            return 0.0
+        if self.at - self.scored_at >= self.policy.turn_interval:
+            self.scored_at, self.score = self.at, self._scored(row, out)
+        return self.score
+
     def push(self, row: dict) -> list[dict]:
         if row["at"] < self.at - EPS:
             raise ValueError(f"the clock goes back from {self.at} to {row['at']}")
@@ -321,31 +472,27 @@ class Coordinator:
         if not self.policy.solo:
             for seg in row["segments"] or []:
                 self.tracker.observe(seg)
-        stable, tentative = list(row["words"] or []), list(row["tentative"] or [])
-        for w in self.commits.take(stable, tentative, self.at):
-            out += self._word(w)
-        shown = [w for w in tentative if w["audio_start"] >= self.commits.frontier]
-        if shown and not self.degraded:
-            out.append(self._event("partial", text=" ".join(w["text"] for w in shown), audio_start=shown[0]["audio_start"], audio_end=shown[-1]["audio_end"]))
+        if row["words"] is not None or row["tentative"] is not None:  # else the recogniser has nothing to say
+            stable, tentative = list(row["words"] or []), list(row["tentative"] or [])
+            self.heard = {"tentative": tentative}
+            for w in self.commits.take(stable, tentative, self.at):
+                out += self._word(w)
+            shown = [w for w in tentative if w["audio_start"] >= self.commits.frontier]
+            if shown and not self.degraded:
+                out.append(self._event("partial", text=" ".join(w["text"] for w in shown), audio_start=shown[0]["audio_start"], audio_end=shown[-1]["audio_end"]))
         if row["segments"] and not self.policy.solo:
             out += self._fills()  # labels change with the segments only
-        self.tentative = shown
-        self.silent_since = None if speaking else self.at if self.silent_since is None else self.silent_since
-        silent = 0.0 if self.silent_since is None else self.at - self.silent_since
-        if not speaking and silent >= self.policy.endpoint.silence and (self.scored_at is None or self.at - self.scored_at >= self.policy.turn_interval):
-            if self.tentative:
-                for w in self.commits.settle([w for w in self.tentative if w["audio_end"] <= self.at + EPS]):
-                    out += self._word(w)
-                self.tentative = []
-            self.scored_at, self.score = self.at, 1.0 if row["score"] is None else row["score"]
-        reason = self.endpoint.observe(speaking, self.at, self.score)
+        if self.heard and self.endpoint.held(self.at) >= self.policy.endpoint.silence:
+            for w in self.commits.settle(self.heard["tentative"]):
+                out += self._word(w)
+        score = self._score(row, out)
+        reason = self.endpoint.observe(speaking, self.at, score)
         if reason:
-            out.append(self._event("endpoint", reason=reason, completeness=self.score, turn=self.turn))
-            self.open_words, self.scored_at = [], None
+            out += self._end(reason, score)
         if row["last"]:
-            for w in self.commits.flush([w for w in self.tentative if w["audio_end"] <= self.at + EPS]):
+            for w in self.commits.flush(self.heard["tentative"] if self.heard else []):
                 out += self._word(w)
             out += [] if self.policy.solo else self._fills()
             reason = self.endpoint.flush()
-            out += [self._event("endpoint", reason=reason, completeness=self.score, turn=self.turn)] if reason else []
+            out += self._end(reason, 1.0 if row["score"] is None else self._scored(row, out)) if reason else self._polish()
         return out
