@@ -105,9 +105,11 @@ def tables(word_counts: dict[str, dict[str, int]], docs_per_lang: dict[str, int]
     return Model(langs, np.log((docs + 1) / (docs.sum() + len(langs))), *rows, matrix)
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, n_words: int = 40_000, n_grams: int = 60_000, max_langs: int = 512, id_col: str = "doc_id") -> Model:
-    """Fit on labelled rows (id_col, text, lang): about per_lang documents of each of the max_langs most
-    frequent languages, and of each language's words in them the 4 * n_words most frequent. Deterministic."""
+def fit(docs: DataFrame, per_lang: int = 1500, n_words: int = 40_000, n_grams: int = 60_000, max_langs: int = 10_000, id_col: str = "doc_id") -> Model:
+    """Fit on labelled rows (id_col, text, lang): about per_lang documents of each of the max_langs most frequent
+    languages, and of the words in them that occur twice or more the 4 * n_words most frequent. Deterministic. The
+    sample and the sizes of the model are bounded by these parameters; whatever is predicted sees whole texts. Columns
+    named lang_pred or score don't matter here; :func:`identify` replaces them where it keeps columns."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(id_col, "lang", "text")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not sizes:
@@ -125,7 +127,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, n_words: int = 40_000, n_grams: i
 
     counts = map_arrow(chosen.select("lang", "text"), tallies, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    top = counts.where("n >= 2 AND length(word) <= 64").orderBy(F.desc("n"), "lang", "word").limit(4 * n_words)
+    top = counts.where("n >= 2").orderBy(F.desc("n"), "lang", "word").limit(4 * n_words)
     for r in top.toLocalIterator():
         by[r.lang][r.word] = r.n
     return tables(by, sizes, n_words, n_grams)
@@ -134,6 +136,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, n_words: int = 40_000, n_grams: i
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", keep_columns: bool = False) -> DataFrame:
     """id_col (or all columns of docs), lang_pred and score of every row.
 
+    With keep_columns, columns of docs named lang_pred and score are replaced.
     Null text, and text without a letter: lang_pred 'und', score 0. Ties go to the first language by name.
     Repeated rows stay, an empty table gives an empty result; with an empty model every row is 'und'. Only the
     text is an input. Whole texts; one narrow pass, so a lost executor costs only its own tasks.

@@ -142,8 +142,8 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 7) -> Netw
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_chars: int = 40_000_000, id_col: str = "doc_id") -> tuple[np.ndarray, Network]:
-    """Word vectors and network from at most about max_rows labelled documents with max_chars characters in
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_pieces: int = 20_000_000, id_col: str = "doc_id") -> tuple[np.ndarray, Network]:
+    """Word vectors and network from at most about max_rows labelled documents with max_pieces words and signs in
     all, chosen by a hash of the id. A document with several labels takes their mean, 0.5 counting as 1."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     n = marks.count()
@@ -160,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_chars: in
     found, size = [], 0
     for r in got.orderBy(F.xxhash64("id"), "id", "ids").toLocalIterator():
         found.append((np.frombuffer(r.ids, np.uint16).astype(np.int64), r.y))
-        size += len(r.ids)
-        if size > max_chars:
+        size += len(r.ids) // 2
+        if size > max_pieces:
             break
     ids, y = [x[0] for x in found], np.array([x[1] for x in found], np.float64)
     vectors = word_vectors(ids)
