@@ -268,7 +268,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS,
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     sets = save(build_sets(texts, ends, words).select("doc", "s"), "sets")
     clean(spark)
-    links = save(verify(sets, pairs, percent), "links")
+    # pairs grow with the corpus, so they meet the sets by a shuffle at every size
+    links = save(verify(sets, pairs.hint("merge"), percent), "links")
     done_with(sets)
     comp = save(components(ids, links), "components")
     comp = _long_lists(texts, long.select("doc"), comp, words, percent)
