@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Paths of tables saved by :func:`save` that :func:`release` may delete.
 _SAVED: list[str] = []
+#: Catalog names of those saved by :func:`save_by`, by path.
+_NAMED: dict[str, str] = {}
 #: Most bytes of an Arrow batch that goes to a Python worker, unless the session names its own limit.
 BATCH_BYTES = 4 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -47,6 +49,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like :func:`save`, in buckets by key, one for each shuffle partition: a join on key reads such a table in place
+    and shuffles only its other side, however often it is joined."""
+    spark = df.sparkSession
+    unique = f"tidelog-{name}-{uuid.uuid4().hex}"
+    path, named = f"{shared_dir(spark)}/{unique}", unique.replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(named)
+    _SAVED.append(path)
+    _NAMED[path] = named
+    return spark.table(named)
+
+
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete tables that :func:`save` has written in this process, all or those named. Only for tables that no
     DataFrame still in use reads."""
@@ -54,6 +69,8 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     for p in list(_SAVED) if paths is None else paths:
         if p in _SAVED:
             _SAVED.remove(p)
+            if p in _NAMED:
+                spark.sql(f"DROP TABLE IF EXISTS {_NAMED.pop(p)}")
             path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clean, done_with, map_arrow, save, table, text_binary
+from .common import clean, done_with, map_arrow, save, save_by, table, text_binary
 
 #: The query's shingle length and similarity; other callers name theirs.
 WORDS, PERCENT = 3, 90
@@ -166,16 +166,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def build_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc, n, bits and its packed set s of the documents in wanted, rebuilt from the texts. What is wanted grows with
-    the corpus, so it is never broadcast."""
+    """doc, long, n, bits and its packed set s of the documents in wanted (doc, long; a row each), rebuilt from the texts.
+    What is wanted grows with the corpus, so it is never broadcast."""
 
     def sets(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             built = [max((shingle_set(t, words) for t in texts), key=lambda s: (len(s), xxhash.xxh3_128_digest(s.tobytes()))) for texts in b["texts"]]
-            yield {"doc": b["doc"], "n": [len(s) for s in built], "bits": [parity(s) for s in built], "s": [s.tobytes() for s in built]}
+            yield {"doc": b["doc"], "long": b["long"], "n": [len(s) for s in built], "bits": [parity(s) for s in built], "s": [s.tobytes() for s in built]}
 
-    one = docs.join(wanted.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
-    return map_arrow(one, sets, "doc bigint, n int, bits array<bigint>, s binary", ROWS)
+    one = docs.join(wanted.hint("merge"), "doc").groupBy("doc").agg(F.first("long").alias("long"), F.collect_set("text").alias("texts"))
+    return map_arrow(one, sets, "doc bigint, long boolean, n int, bits array<bigint>, s binary", ROWS)
 
 
 def members(sets: DataFrame) -> DataFrame:
@@ -190,7 +190,8 @@ def members(sets: DataFrame) -> DataFrame:
 
 
 def verify(built: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets (built) reach the similarity."""
+    """The pairs (a, b) whose sets (built, in buckets by doc) reach the similarity. Only pairs, and the sets they name,
+    are shuffled."""
 
     def check(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -265,30 +266,30 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", words: int = WORDS,
     pairs = save(sketched.select("a", "b"), "pairs")
     done_with(lists)
     ids = nodes.select(F.col("doc").alias("id"))
-    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = save(build_sets(texts, ends, words).select("doc", "s"), "sets")
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
+    wanted = ends.withColumn("long", F.lit(False)).union(long.select("doc", F.lit(True))).groupBy("doc").agg(F.max("long").alias("long"))
+    # one shuffle of the texts for the pairs of short lists and for the documents in long ones
+    sets = save_by(build_sets(texts, wanted, words), "doc", "sets")
     clean(spark)
     # pairs grow with the corpus, so they meet the sets by a shuffle at every size
     links = save(verify(sets, pairs.hint("merge"), percent), "links")
-    done_with(sets)
     comp = save(components(ids, links), "components")
-    comp = _long_lists(texts, long.select("doc"), comp, words, percent)
+    comp = _long_lists(sets.where("long"), comp, percent)
+    done_with(sets)
     c = base.join(classes.withColumnRenamed("doc", "rep"), "key", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     return c.select("doc", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc").alias("rep"), F.coalesce("c", "rep", "doc").alias("component_id"))
 
 
-def _long_lists(texts: DataFrame, docs: DataFrame, comp: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _long_lists(sets: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links among the documents that stand in long lists. All their shingles are counted and ordered anew by
     frequency among them, so that what is a document's own comes first and positions bound the overlap well."""
-    sets = save(build_sets(texts, docs, words), "long-sets")
-    clean(texts.sparkSession)
     # one shuffle by shingle gives the frequency, one by document the places
     known = members(sets).withColumn("f", F.count("*").over(Window.partitionBy("h"))).where("f > 1")
     own = Window.partitionBy("doc")
     pos = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "h")) - 1
     least = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
     places = save(known.withColumn("pos", pos.cast("int")).where(F.col("pos") < least).select("h", "doc", "n", "pos"), "places")
-    clean(texts.sparkSession)
+    clean(sets.sparkSession)
     long = save(places.join(sets.select("doc", "bits"), "doc"), "long")
     done_with(places)
     return _pivot_rounds(sets.select("doc", "s"), long, comp, percent)
