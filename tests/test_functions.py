@@ -128,11 +128,39 @@ def word(text, start, end, confidence=1.0):
     return {"text": text, "audio_start": start, "audio_end": end, "confidence": confidence}
 
 
-def test_commits_keep_held_words():
+def texts(words):
+    return [w["text"] for w in words]
+
+
+def test_commits_hold_back_what_is_behind_an_unsure_word():
     c = Commits(CommitPolicy(gate=0.5))
-    assert c.take([word("a", 0, 0.3, 0.2)], [], 0.3) == []
-    assert [w["text"] for w in c.settle([word("b", 0.3, 0.6)])] == ["a", "b"]
-    assert c.settle([word("b", 0.3, 0.6)]) == []
+    said = [word("a", 0, 0.3, 0.2), word("b", 0.3, 0.6)]
+    assert c.take(said, [], 0.3) == [] and c.frontier == 0
+    assert texts(c.settle(said, [word("c", 0.6, 0.9)])) == ["a", "b", "c"]  # on silence nothing is left out
+    assert c.settle(said, [word("c", 0.6, 0.9)]) == []
+    c = Commits(CommitPolicy(gate=0.8, slow=0.5))
+    assert [texts(c.take([word("maybe", 0, 0.3, 0.4)], [], at)) for at in (0.3, 0.6, 0.9)] == [[], [], ["maybe"]]
+
+
+def test_commits_drop_what_the_recogniser_takes_back():
+    c = Commits(CommitPolicy(gate=0.6))
+    assert c.take([word("foo", 0.0, 0.4, 0.3)], [], 0.4) == []
+    assert texts(c.take([word("bar", 0.0, 0.4, 0.9), word("baz", 0.4, 0.8, 0.9)], [], 0.5)) == ["bar", "baz"]
+    c = Commits(CommitPolicy(gate=0.6))
+    c.take([word("foo", 0.0, 0.4, 0.3)], [], 0.4)
+    c.take([word("fou", 0.0, 0.4, 0.3)], [], 0.6)  # another word waits anew
+    assert c.take([word("foo", 0.0, 0.4, 0.3)], [], 0.8) == [] and c.take([word("foo", 0.0, 0.4, 0.3)], [], 1.0) == []
+    assert texts(c.take([word("foo", 0.0, 0.4, 0.3)], [], 1.2)) == ["foo"]
+
+
+def test_commits_take_tentative_words_early():
+    c = Commits(CommitPolicy(early=0.9))
+    two, one = word("two", 0.2, 0.4, 0.95), word("one", 0.0, 0.2, 0.99)
+    late = [word("four", 0.6, 0.8, 0.99), word("three", 0.4, 0.6, 0.1)]
+    assert c.take([], [word("Ja", 0.0, 0.2, 0.99)], 1.0, fragment=True) == [] and c.frontier == 0
+    assert texts(c.take([], [two, *late, one], 1.0)) == ["one", "two"]
+    assert Commits().take([], [one], 1.0) == []
+    assert texts(Commits(CommitPolicy(early=0.9, gate=0.5)).take([word("b", 0.5, 0.7)], [word("c", 0.7, 0.9, 0.99)], 1.0)) == ["b", "c"]
 
 
 def test_commits_take_zero_length_words_once():
@@ -157,10 +185,25 @@ def test_tracker_abstains():
     assert t.label(0.8, 1.1) == "A" and t.label(1.9, 2.4) == "B" and t.label(4.5, 4.8) == "B"
 
 
+def region_windows(spans, seconds, chunk, **k):
+    w, n, out = Windower(**k), int(chunk * 16_000), []
+    for i in range(1, round(seconds / chunk) + 1):
+        out += w.observe(any(a <= i * chunk < b for a, b in spans), n, i * n)
+    return [(a / 16_000, b / 16_000) for a, b in out + w.close()]
+
+
+def test_long_runs_of_digits_stay():
+    long = "7" * 5000
+    assert N.comparable(f"a {long} b 21st") == ["a", long, "b", "twenty", "first"] and N.comparable(long + "th") == [long + "th"]
+
+
 def test_windows_and_agreement():
-    w = Windower()
-    out = [x for i in range(60) for x in w.observe(i < 45, i / 10)]
-    assert [round(b - a, 6) for a, b in out] == [2.0, 2.0]
+    regions = lambda spans, seconds, **k: region_windows(spans, seconds, 0.02, **k)
+    assert regions([(0, 1.3)], 3) == [(0.0, 1.64)]  # pauses and the silence that ends a region count
+    assert regions([(0, 2.5)], 3.5) == [(0.0, 2.0)] and regions([(0, 3.8)], 4.5) == [(0.0, 2.0), (2.0, 4.0)]
+    assert regions([], 3) == [] and all(a >= 3.9 for a, _ in regions([(4.0, 9.0)], 10))
+    assert any(a < 3.2 < b for a, b in regions([(0, 3), (3.2, 6)], 7)) and not any(a < 4 < b for a, b in regions([(0, 3), (5, 8)], 9))
+    assert region_windows([(0, 60)], 20, 0.02, window=40.0, most=6.0)[0] == (0.0, 6.0)
     a = Agreement()
     assert a.observe([word("x", 0, 1), word("y", 1, 2)]) == []
     assert [v["text"] for v in a.observe([word("X", 0, 1), word("q", 1, 2)])] == ["X"]

@@ -56,12 +56,18 @@ def say_ordinal(n: int) -> str:
     return " ".join([*head, last])
 
 
+#: A longer run of digits is no number and stays; Python reads no more into one either.
+MOST_DIGITS = 4300
+
+
 def speak_digits(text: str) -> str:
     text = text.replace("%", " percent").replace("$", " dollars ")
 
     def say(m: re.Match) -> str:
-        n = int(m[1].replace(",", ""))
-        return say_ordinal(n) if m[2] else say_number(n)
+        digits = m[1].replace(",", "")
+        if len(digits) > MOST_DIGITS:
+            return m[0]
+        return say_ordinal(int(digits)) if m[2] else say_number(int(digits))
 
     return re.sub(r"(\d[\d,]*)(st|nd|rd|th)?", say, text)
 

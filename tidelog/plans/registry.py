@@ -714,32 +714,90 @@ def cluster_online(spark, d):
     return _per_session(segments(spark, d), "session bigint, i bigint, label string, reason string", step)
 
 
-@query()
+_CHUNKS = """ch AS (SELECT user_id AS session, row_number() OVER u - 1 AS k, kind IS NOT DISTINCT FROM 'commit' AS speaking, p AS "at", p - coalesce(lag(p) OVER u, 0) AS n
+  FROM (SELECT *, round("at" / 36000 * 16000)::BIGINT AS p FROM ev) WINDOW u AS (PARTITION BY user_id ORDER BY p, event_id))"""
+_REGION = """rg AS (SELECT session, -1::BIGINT AS k, NULL::BIGINT AS s, 0::BIGINT AS held, 0::BIGINT AS quiet, []::STRUCT(a BIGINT, b BIGINT)[] AS out FROM (SELECT DISTINCT session FROM ch)
+  UNION ALL SELECT session, k, CASE WHEN NOT closes THEN s1 + w * 32000 END, CASE WHEN closes OR s1 IS NULL THEN 0 ELSE h1 - w * 32000 END, CASE WHEN closes OR s1 IS NULL THEN 0 ELSE q1 END,
+    CASE WHEN s1 IS NULL THEN [] ELSE list_concat(list_transform(range(0, w), lambda i: {'a': s1 + i * 32000, 'b': s1 + (i + 1) * 32000}),
+      CASE WHEN closes AND h1 - w * 32000 >= 24000 THEN [{'a': s1 + w * 32000, 'b': s1 + h1}] ELSE [] END) END
+  FROM (SELECT *, h1 // 32000 AS w, s1 IS NOT NULL AND (h1 >= 480000 OR q1 / 16000 >= 0.35::DOUBLE) AS closes
+    FROM (SELECT ch.session, ch.k, coalesce(rg.s, CASE WHEN speaking THEN greatest(0, ch."at" - ch.n) END) AS s1, rg.held + ch.n AS h1, CASE WHEN speaking THEN 0 ELSE rg.quiet + ch.n END AS q1
+      FROM rg JOIN ch ON ch.session = rg.session AND ch.k = rg.k + 1)))"""
+
+
+@query(
+    with_(EV_SQL, _CHUNKS, _REGION).replace("WITH", "WITH RECURSIVE", 1)
+    + """SELECT session, x.a / 16000 AS window_start, x.b / 16000 AS window_end FROM (SELECT session, unnest(out) AS x FROM rg
+    UNION ALL SELECT session, unnest(list_concat(list_transform(range(0, held // 32000), lambda i: {'a': s + i * 32000, 'b': s + (i + 1) * 32000}),
+      CASE WHEN held % 32000 >= 24000 THEN [{'a': s + held // 32000 * 32000, 'b': s + held}] ELSE [] END)) FROM rg WHERE s IS NOT NULL AND k = (SELECT max(k) FROM ch WHERE ch.session = rg.session))"""
+)
 def region_windows(spark, d):
-    """Speech windows of each user's log, seconds scaled down by STRETCH."""
+    """Speech windows of each user's log: a row is the audio since the row before, seconds scaled down by STRETCH."""
     from ..streaming.state import Windower
 
     def step(session, frame):
-        w, out = Windower(), []
-        for r in frame.sort_values(["at", "event_id"]).to_dict("records"):
-            out += w.observe(r["kind"] == "commit", r["at"] / STRETCH)
-        return [(session, a, b) for a, b in out + w.close()]
-
-    return _per_session(event_log(spark, d).withColumnRenamed("user_id", "session"), "session bigint, window_start double, window_end double", step)
+        w, out, before = Windower(), [], 0
+        for r in frame.sort_values(["p", "event_id"]).to_dict("records"):
+            out += w.observe(r["kind"] == "commit", r["p"] - before, r["p"])
+            before = r["p"]
+        return [(session, a / w.rate, b / w.rate) for a, b in out + w.close()]
+
+    place = F.round(F.col("at") / STRETCH * 16_000).cast("bigint")
+    return _per_session(event_log(spark, d).select(F.col("user_id").alias("session"), "event_id", "kind", place.alias("p")), "session bigint, window_start double, window_end double", step)
+
+
+_GATE, _EARLY = 0.6, 0.9
+_SAID = """hy AS (SELECT conv_id, g, emitted_at AS "at", list_concat(
+    list_transform(list_filter([b3, b2, b1], lambda x: x IS NOT NULL), lambda x: {'t': CASE WHEN x.g % 5 = 4 AND x.g = g - 1 THEN 'uh' ELSE x.t END, 's': x.s, 'e': x.e, 'c': CASE WHEN x.g % 5 = 4 AND x.g = g - 1 THEN 0.1::DOUBLE ELSE x.c END}),
+    CASE WHEN g % 3 = 0 OR b0.c < 0.9::DOUBLE THEN [] WHEN f1.c >= 0.9::DOUBLE THEN [{'t': b0.t, 's': b0.s, 'e': b0.e, 'c': b0.c}, {'t': f1.t, 's': f1.s, 'e': f1.e, 'c': f1.c}] ELSE [{'t': b0.t, 's': b0.s, 'e': b0.e, 'c': b0.c}] END) AS c,
+    b0, f1 FROM (SELECT conv_id, g, emitted_at, w AS b0, lag(w) OVER o AS b1, lag(w, 2) OVER o AS b2, lag(w, 3) OVER o AS b3, lead(w) OVER o AS f1
+      FROM (SELECT *, {'g': g, 't': word, 's': audio_start, 'e': audio_end, 'c': confidence} AS w FROM cw) WINDOW o AS (PARTITION BY conv_id ORDER BY g)))"""
+_TAKE = """tk AS (SELECT conv_id, -1::BIGINT AS g, 0::DOUBLE AS frontier, NULL::STRUCT(t VARCHAR, s DOUBLE, since DOUBLE) AS held, []::STRUCT(t VARCHAR, s DOUBLE, e DOUBLE, c DOUBLE)[] AS out, 0::DOUBLE AS "at" FROM (SELECT DISTINCT conv_id FROM hy)
+  UNION ALL SELECT conv_id, g, greatest(frontier, coalesce(list_max(list_transform(ready, lambda x: x.e)), 0)),
+    CASE WHEN bad.t IS NOT NULL THEN {'t': bad.t, 's': round(bad.s, 4), 'since': CASE WHEN held.t = bad.t AND held.s = round(bad.s, 4) THEN held.since ELSE "at" END} END, ready, "at"
+  FROM (SELECT *, CASE WHEN stop = 0 THEN fresh ELSE fresh[1:stop - 1] END AS ready, fresh[nullif(stop, 0)] AS bad
+    FROM (SELECT *, coalesce(list_position(list_transform(fresh, lambda x: x.c >= 0.6::DOUBLE OR coalesce(held.t = x.t AND held.s = round(x.s, 4) AND "at" - held.since >= 0.35::DOUBLE, false)), false), 0) AS stop
+      FROM (SELECT hy.conv_id, hy.g, hy."at", tk.frontier, tk.held, list_filter(hy.c, lambda x: x.s + 1e-6 >= tk.frontier) AS fresh
+        FROM tk JOIN hy ON hy.conv_id = tk.conv_id AND hy.g = tk.g + 1))))"""
 
 
-@query()
+@query(
+    with_(CW_SQL, _SAID, _TAKE).replace("WITH", "WITH RECURSIVE", 1)
+    + """SELECT conv_id AS session, x.t AS word, x.s AS audio_start, "at" AS released_at FROM (SELECT conv_id, "at", unnest(out) AS x FROM tk
+    UNION ALL SELECT tk.conv_id, tk."at", unnest(list_filter(list_concat(list_transform(list_filter([b3, b2, b1], lambda x: x IS NOT NULL), lambda x: {'t': CASE WHEN x.g % 5 = 4 AND x.g = n.g - 1 THEN 'uh' ELSE x.t END, 's': x.s, 'e': x.e, 'c': x.c}),
+        [{'t': CASE WHEN n.g % 3 = 0 THEN left(b0.t, 2) ELSE b0.t END, 's': b0.s, 'e': b0.e, 'c': b0.c}]), lambda x: x.s + 1e-6 >= tk.frontier)) AS x
+      FROM tk JOIN (SELECT conv_id, g, w AS b0, lag(w) OVER o AS b1, lag(w, 2) OVER o AS b2, lag(w, 3) OVER o AS b3 FROM (SELECT *, {'g': g, 't': word, 's': audio_start, 'e': audio_end, 'c': confidence} AS w FROM cw)
+        WINDOW o AS (PARTITION BY conv_id ORDER BY g) QUALIFY g = max(g) OVER (PARTITION BY conv_id)) n ON n.conv_id = tk.conv_id AND n.g = tk.g)"""
+)
 def commit_policy(spark, d):
-    """Words as a confidence-gated commit policy releases them."""
+    """Words as a confidence-gated policy releases them. A recogniser says the last three words, misreads each fifth
+    at first, and shows the word it is at and the next one in wrong order; every third of these may be half a word."""
     from ..policy import CommitPolicy
     from ..streaming.state import Commits
 
     def step(session, frame):
-        c, out = Commits(CommitPolicy(gate=0.6)), []
-        rows = frame.sort_values("g").to_dict("records")
-        for r in rows:
-            word = {"text": r["word"], "audio_start": r["audio_start"], "audio_end": r["audio_end"], "confidence": r["confidence"]}
-            out += [(session, w["text"], w["audio_start"], r["emitted_at"]) for w in c.take([word], [], r["emitted_at"])]
-        return out + [(session, w["text"], w["audio_start"], rows[-1]["emitted_at"]) for w in c.flush([])]
+        c, out = Commits(CommitPolicy(gate=_GATE, early=_EARLY)), []
+        for r in frame.sort_values("g").to_dict("records"):
+            stable, tentative = ([_heard(x) for x in r[k]] for k in ("stable", "tentative"))
+            out += [(session, w["text"], w["audio_start"], r["emitted_at"]) for w in c.take(stable, tentative, r["emitted_at"], r["fragment"])]
+        return out + [(session, w["text"], w["audio_start"], r["emitted_at"]) for w in c.flush(stable, tentative)]
+
+    return _per_session(said_words(spark, d), "session bigint, word string, audio_start double, released_at double", step)
+
 
-    return _per_session(words(spark, d).withColumnRenamed("conv_id", "session"), "session bigint, word string, audio_start double, released_at double", step)
+def _heard(x) -> dict:
+    x = x if isinstance(x, dict) else x.asDict()
+    return {k: x[k] for k in ("text", "audio_start", "audio_end", "confidence")}
+
+
+def said_words(spark, d) -> DataFrame:
+    """session, g, emitted_at, stable, tentative, fragment: a hypothesis for each word of conversations."""
+    order = Window.partitionBy("conv_id").orderBy("g")
+    word = lambda text, sure: F.struct(text.alias("text"), "audio_start", "audio_end", sure.alias("confidence"))
+    half = F.col("g") % 3 == 0
+    w = words(spark, d)
+    plain, cut = word(F.col("word"), F.col("confidence")), word(F.when(half, F.substring("word", 1, 2)).otherwise(F.col("word")), F.col("confidence"))
+    misread = word(F.when(F.col("g") % 5 == 4, "uh").otherwise(F.col("word")), F.when(F.col("g") % 5 == 4, 0.1).otherwise(F.col("confidence")))
+    stable = F.array_compact(F.array(F.lag(plain, 3).over(order), F.lag(plain, 2).over(order), F.lag(misread).over(order)))
+    tentative = F.array_compact(F.array(F.lead(plain).over(order), cut))
+    return w.select(F.col("conv_id").alias("session"), "g", "emitted_at", stable.alias("stable"), tentative.alias("tentative"), half.alias("fragment"))

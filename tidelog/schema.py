@@ -17,7 +17,7 @@ CHUNK = (
     "session_id bigint, chunk_no bigint, at double, speaking boolean, lag double, score double, "
     "words array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>, "
     "tentative array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>, "
-    "segments array<struct<start:double,end:double,embedding:array<double>,overlap:boolean>>, last boolean"
+    "segments array<struct<start:double,end:double,embedding:array<double>,overlap:boolean>>, last boolean, fragment boolean"
 )
 SAMPLE_RATE = 16_000
 TOLERANCE = 1e-6

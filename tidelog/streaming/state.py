@@ -32,7 +32,7 @@ class Commits:
 
     policy: CommitPolicy = CommitPolicy()
     frontier: float = 0.0
-    held: dict | None = None
+    held: dict | None = None  # name (place, text) and since
     seen: set = field(default_factory=set)
 
     def _open(self, words: list[dict]) -> list[dict]:
@@ -50,30 +50,27 @@ class Commits:
         self.seen = {k for k in self.seen if k[0] + 1 >= self.frontier}
         return out
 
-    def take(self, stable: list[dict], tentative: list[dict], at: float) -> list[dict]:
-        """Stable words, and tentative ones of a confident prefix. With the gate on, a word below it waits for
-        `slow` seconds and holds back those behind it."""
-        confident = []
-        for w in tentative:
-            if w["confidence"] < self.policy.early:
-                break
-            confident.append(w)
-        ready = []
-        for w in self._open([*([self.held["word"]] if self.held else []), *stable, *confident]):
-            same = self.held and self.held["word"] == w
-            if w["confidence"] < self.policy.gate and not (same and at - self.held["since"] >= self.policy.slow):
-                if not same:
-                    self.held = {"word": w, "since": at}
-                return self._commit(ready)
+    def take(self, stable: list[dict], tentative: list[dict], at: float, fragment: bool = False) -> list[dict]:
+        """Stable words, and tentative ones of a confident prefix unless the last of them may be half a word. With
+        the gate on, a word below it waits for `slow` seconds and holds back those behind it; the wait counts only
+        while the recogniser goes on saying that word at that place."""
+        later = [] if fragment or self.policy.early > 1.0 else sorted(tentative, key=lambda w: w["audio_start"])
+        sure = next((i for i, w in enumerate(later) if w["confidence"] < self.policy.early), len(later))
+        ready, waited, self.held = [], self.held, None
+        for w in self._open(stable) + self._open(later[:sure]):
+            if w["confidence"] < self.policy.gate:
+                name = (round(w["audio_start"], 4), w["text"])
+                again = waited is not None and waited["name"] == name
+                if not again or at - waited["since"] < self.policy.slow:
+                    self.held = waited if again else {"name": name, "since": at}
+                    break
             ready.append(w)
-        self.held = None
         return self._commit(ready)
 
-    def settle(self, tentative: list[dict]) -> list[dict]:
-        """On silence: the held word first, so that no hole stays, then what is tentative."""
-        words = [*([self.held["word"]] if self.held else []), *tentative]
+    def settle(self, stable: list[dict], tentative: list[dict]) -> list[dict]:
+        """On silence and at the end: all that the recogniser still says, in order, so that no hole stays."""
         self.held = None
-        return self._commit(self._open(words))
+        return self._commit(self._open([*stable, *tentative]))
 
     flush = settle
 
@@ -213,41 +210,46 @@ class Tracker:
 
 @dataclass
 class Windower:
-    """Speech regions that outlive short pauses, in fixed windows; the tail of a region if it is long enough. A
-    region that has run for `most` seconds without a window closes."""
+    """Speech regions in fixed windows, counted in samples. A region starts with the chunk that speech is heard in and
+    holds every sample from there on, those of pauses too; `pause` seconds of silence end it, and its rest is a window if
+    it is long enough. A region that holds `most` seconds beyond its windows ends as well."""
 
     pause: float = 0.35
     window: float = 2.0
     least: float = 1.5
     most: float = 30.0
-    region: float | None = None
-    last_speech: float = 0.0
-
-    def observe(self, speaking: bool, at: float) -> list[tuple[float, float]]:
-        out: list[tuple[float, float]] = []
-        if speaking:
-            self.region = at if self.region is None else self.region
-            self.last_speech = at
-            if at - self.region >= self.most - 1e-9:
-                return self.close()
-            out = self._whole(at)
-        elif self.region is not None and at - self.last_speech >= self.pause - 1e-9:
-            out = self.close()
+    rate: int = 16_000
+    start: int | None = None  # of what is held, in samples
+    held: int = 0
+    quiet: int = 0
+
+    def observe(self, speaking: bool, samples: int, at: int) -> list[tuple[int, int]]:
+        """Windows, as sample positions, that are complete with a chunk of so many samples that ends at sample `at`."""
+        if self.start is None:
+            if not speaking:
+                return []
+            self.start = max(0, at - samples)
+        self.held += samples
+        self.quiet = 0 if speaking else self.quiet + samples
+        if self.held >= int(self.most * self.rate) or self.quiet / self.rate >= self.pause:
+            return self.close()
+        return self._whole()
+
+    def _whole(self) -> list[tuple[int, int]]:
+        size = int(self.window * self.rate)
+        n = self.held // size
+        out = [(self.start + k * size, self.start + (k + 1) * size) for k in range(n)]
+        self.start, self.held = self.start + n * size, self.held - n * size
         return out
 
-    def _whole(self, upto: float) -> list[tuple[float, float]]:
-        out = []
-        while upto - self.region >= self.window - 1e-9:
-            out.append((self.region, self.region + self.window))
-            self.region += self.window
-        return out
-
-    def close(self) -> list[tuple[float, float]]:
-        if self.region is None:
+    def close(self) -> list[tuple[int, int]]:
+        if self.start is None:
             return []
-        out, start = self._whole(self.last_speech), self.region
-        self.region = None
-        return [*out, (start, self.last_speech)] if self.last_speech - start >= self.least - 1e-9 else out
+        out = self._whole()
+        if self.held >= int(self.least * self.rate):
+            out.append((self.start, self.start + self.held))
+        self.start, self.held, self.quiet = None, 0, 0
+        return out
 
 
 @dataclass
@@ -474,8 +476,8 @@ class Coordinator:
                 self.tracker.observe(seg)
         if row["words"] is not None or row["tentative"] is not None:  # else the recogniser has nothing to say
             stable, tentative = list(row["words"] or []), list(row["tentative"] or [])
-            self.heard = {"tentative": tentative}
-            for w in self.commits.take(stable, tentative, self.at):
+            self.heard = {"stable": stable, "tentative": tentative}
+            for w in self.commits.take(stable, tentative, self.at, bool(row.get("fragment"))):
                 out += self._word(w)
             shown = [w for w in tentative if w["audio_start"] >= self.commits.frontier]
             if shown and not self.degraded:
@@ -483,14 +485,14 @@ class Coordinator:
         if row["segments"] and not self.policy.solo:
             out += self._fills()  # labels change with the segments only
         if self.heard and self.endpoint.held(self.at) >= self.policy.endpoint.silence:
-            for w in self.commits.settle(self.heard["tentative"]):
+            for w in self.commits.settle(**self.heard):
                 out += self._word(w)
         score = self._score(row, out)
         reason = self.endpoint.observe(speaking, self.at, score)
         if reason:
             out += self._end(reason, score)
         if row["last"]:
-            for w in self.commits.flush(self.heard["tentative"] if self.heard else []):
+            for w in self.commits.flush(**self.heard) if self.heard else []:
                 out += self._word(w)
             out += [] if self.policy.solo else self._fills()
             reason = self.endpoint.flush()
