@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +11,9 @@ from pyspark.sql import functions as F
 from ..policy import Policy
 from ..schema import EVENT
 from ..sources.adapters import words
+from ..streaming.lifecycle import chunk_dicts, event_frame, session_events
 from ..streaming.state import Coordinator
 
-COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
-
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinator input from conversations. A row per word shows it as tentative and makes the word before it final;
@@ -54,71 +51,53 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tentative",
         "segments",
         F.lead("g").over(order).isNull().alias("last"),
+        F.lit(False).alias("fragment"),
     )
 
 
-def _rows(frame: pd.DataFrame) -> list[dict]:
-    """Rows in chunk order, arrays and structs as plain lists and dicts."""
-    plain = lambda v: [dict(x) if isinstance(x, dict) else x.asDict(True) if hasattr(x, "asDict") else x for x in v] if v is not None else None
-    out = []
-    for r in frame.sort_values("chunk_no").to_dict("records"):
-        for k in ("words", "tentative", "segments"):
-            r[k] = plain(r[k])
-        for s in r["segments"] or []:
-            s["embedding"] = [float(x) for x in s["embedding"]]
-        out.append(r)
-    return out
-
-
-def _frame(session: int, events: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame([{"session_id": session, **e} for e in events], columns=COLUMNS).astype({"session_id": "int64", "seq": "int64"})
-
-
-def _typed(frame: pd.DataFrame) -> pd.DataFrame:
-    for c in ("turn", "target_seq", "from_seq", "to_seq"):
-        frame[c] = frame[c].astype("Int64")
-    frame["degraded"] = frame["degraded"].astype("boolean")
-    return frame
-
-
 def run_batch(chunks: DataFrame, policy: Policy) -> DataFrame:
     """The log of every session. A session is one task's work, as its events depend on all before them."""
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         c = Coordinator(policy)
-        return _typed(_frame(key[0], [e for r in _rows(frame) for e in c.push(r)]))
+        return event_frame(key[0], [e for r in chunk_dicts(frame) for e in c.push(r)])
 
     return chunks.groupBy("session_id").applyInPandas(one, EVENT)
 
 
-def run_stream(chunks: DataFrame, policy: Policy) -> DataFrame:
-    """The same log from a streaming DataFrame of chunk rows; the state is the pickled coordinator and rows that
-    came before their predecessor."""
+def run_stream(chunks: DataFrame, policy: Policy, idle: float | None = None) -> DataFrame:
+    """The same log from a streaming DataFrame of chunk rows; see :func:`session_events`."""
+    return session_events(chunks, policy, idle)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        c, nxt, waiting = pickle.loads(state.get[0]) if state.exists else (Coordinator(policy), 0, {})
-        for frame in frames:
-            waiting |= {r["chunk_no"]: r for r in _rows(frame)}
-        events = []
-        while nxt in waiting:
-            events += c.push(waiting.pop(nxt))
-            nxt += 1
-        state.update((pickle.dumps((c, nxt, waiting)),))
-        yield _typed(_frame(key[0], events))
 
-    return chunks.groupBy("session_id").applyInPandasWithState(step, EVENT, "data binary", "append", "NoTimeout")
-
-
-def stream_log(chunks: DataFrame, policy: Policy, parts: int = 3) -> DataFrame:
-    """Replays a table of chunk rows as a stream of so many micro-batches into a table and reads it back."""
-    spark = chunks.sparkSession
+def shared_root(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{shared.rstrip('/')}/tidelog-stream-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/tidelog-{name}-{uuid.uuid4().hex}"
+
+
+#: How far rows can lie behind the newest one and still count; files of one step can fall into two triggers.
+LATE_SECONDS = 30
+
+
+def as_source(rows: DataFrame, root: str, parts: int, idle: float, files: int = 4) -> DataFrame:
+    """A table of rows with chunk_no as a streaming DataFrame of so many steps, which mix the order of chunks, and a last
+    one that only moves the clock on, beyond every session's timer."""
+    spark = rows.sparkSession
     for k in range(parts):
-        chunks.where(F.col("chunk_no") % parts == k).coalesce(4).write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    query = run_stream(source, policy).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start(f"{root}/log")
+        arrived = F.timestamp_seconds(F.lit(float(k + 1))).alias("arrived")
+        rows.where(F.col("chunk_no") % parts == k).select("*", arrived).coalesce(files).write.mode("append").parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    tick = {"session_id": "CAST(-1 AS BIGINT)", "arrived": f"timestamp_seconds({parts + LATE_SECONDS + 3 * idle})"}
+    spark.range(1).selectExpr(*(f"{tick.get(f.name, f'CAST(NULL AS {f.dataType.simpleString()})')} AS `{f.name}`" for f in schema)).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in").withWatermark("arrived", f"{LATE_SECONDS} seconds")
+
+
+def stream_log(chunks: DataFrame, policy: Policy, parts: int = 3, idle: float = 60.0) -> DataFrame:
+    """Replays a table of chunk rows as a stream into a table and reads it back."""
+    root = shared_root(chunks.sparkSession, "stream")
+    source = as_source(chunks, root, parts, idle)
+    query = run_stream(source, policy, idle).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start(f"{root}/log")
     query.awaitTermination()
-    return spark.read.schema(EVENT).parquet(f"{root}/log")
+    return chunks.sparkSession.read.schema(EVENT).parquet(f"{root}/log")

@@ -159,6 +159,13 @@ class Session:
         segments = [] if self.voices is None else self.voices.push(pcm, at)
         return self._step(self.recogniser.push(pcm, at), segments, speaking, lag, False)
 
+    def remembered(self) -> tuple:
+        """All but the coordinator."""
+        return self.recogniser, self.speech, self.voices, self.turns, self.samples, self.recent, self.text
+
+    def recall(self, parts: tuple) -> None:
+        self.recogniser, self.speech, self.voices, self.turns, self.samples, self.recent, self.text = parts
+
     def finish(self) -> list[dict]:
         segments = [] if self.voices is None else self.voices.flush()
         return self._step(self.recogniser.flush(), segments, False, 0.0, True)
