@@ -52,3 +52,47 @@ def test_idle_sessions_are_finished(spark, chunks, tmp_path):
     last = chunks.sparkSession.createDataFrame([(s, 40, 1e6, False, 0.0, None, None, None, None, True, False) for s in by], CHUNK)
     ended = runner.run_batch(cut.unionByName(last.withColumn("at", F.lit(None).cast("double"))).join(cut.groupBy("session_id").agg(F.max("at").alias("end")), "session_id").withColumn("at", F.coalesce("at", "end")).drop("end"), PRESETS["conversation"])
     assert collections.Counter(got) == collections.Counter(tuple(r[c] for c in KEYS) for r in ended.collect())
+
+
+@pytest.fixture(scope="module")
+def frames(spark, tmp_path_factory):
+    from tidelog.sources.adapters import audio_frames
+
+    path = str(tmp_path_factory.mktemp("frames") / "f")
+    audio_frames(spark, DATA).where("session_id < 5").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_audio_in_a_stream_gives_the_log_of_the_batch(spark, frames, tmp_path):
+    from tidelog.plans import audio
+
+    policy = PRESETS["conversation"]
+    rows = audio.audio_log(frames, policy).collect()
+    want = collections.Counter(tuple(r[c] for c in KEYS) for r in rows)
+    assert {"speech_onset", "turn_start", "partial", "commit", "endpoint", "speaker"} <= {r.kind for r in rows}
+    assert len({r.speaker for r in rows if r.kind == "commit" and r.speaker}) > 1
+    root = str(tmp_path)
+    noise = frames.limit(1).selectExpr("session_id", "CAST(1000000 AS BIGINT) AS chunk_no", "'chatter' AS kind", "pcm", "lag", "words", "tentative", "fragment")
+    got, states = replay(runner.as_source(frames.unionByName(noise), root, 2, 60.0, files=1), root, policy=policy, idle=60.0, make=lambda session: audio.heard_session(policy))
+    assert collections.Counter(got) == want and states[-1]["numRowsTotal"] == 0
+
+
+def test_speech_does_not_depend_on_chunks(spark, frames):
+    """The same samples in rows of 20 ms to a second."""
+    from pyspark.sql import Window
+
+    from tidelog.plans.audio import speech_frames
+    from tidelog.streaming.detect import EnergySpeech
+
+    audio = frames.where("kind = 'audio' AND session_id < 2")
+    want = {(r.session_id, r.frame_no): r.speaking for r in speech_frames(audio).collect()}
+    assert {True, False} == set(want.values())
+    whole = {r.session_id: b"".join(bytes(x.pcm) for x in r.x) for r in audio.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "pcm"))).alias("x")).collect()}
+    for seconds in (0.02, 0.0301, 0.3, 1.0):
+        size = int(seconds * 16_000) * 2
+        rows = [(s, k, bytearray(pcm[at : at + size])) for s, pcm in whole.items() for k, at in enumerate(range(0, len(pcm), size))]
+        cut = spark.createDataFrame(rows, "session_id bigint, chunk_no bigint, pcm binary").repartition(3)
+        assert {(r.session_id, r.frame_no): r.speaking for r in speech_frames(cut).collect()} == want
+    loud, d = b"\x00\x10" * 16_000, EnergySpeech()
+    assert d.decide(b"\x05\x00" * 16_000 + loud)[-1] and not any(EnergySpeech().decide(b"\0\0" * 16_000))
+    assert not EnergySpeech().decide(loud)[-1]  # what never changes is the floor

@@ -13,8 +13,8 @@ from ..functions import text as N
 from ..operators import align, log, protocol, score
 from ..policy import PRESETS, policies
 from ..schema import FINAL_KINDS
-from ..sources.adapters import CW_SQL, EV_SQL, SEG_SQL, event_log, segments, table, truth_turns, words
-from . import runner
+from ..sources.adapters import CW_SQL, EV_SQL, SEG_SQL, audio_frames, event_log, segments, table, truth_turns, words
+from . import audio, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -801,3 +801,27 @@ def said_words(spark, d) -> DataFrame:
     stable = F.array_compact(F.array(F.lag(plain, 3).over(order), F.lag(plain, 2).over(order), F.lag(misread).over(order)))
     tentative = F.array_compact(F.array(F.lead(plain).over(order), cut))
     return w.select(F.col("conv_id").alias("session"), "g", "emitted_at", stable.alias("stable"), tentative.alias("tentative"), half.alias("fragment"))
+
+
+_LEVELS = """lv AS (SELECT conv_id, g, CASE WHEN g % 40 >= 20 THEN 20 * (1 + turn % 5) ELSE 2000 END AS a FROM cw),
+fr AS (SELECT conv_id, i, (coalesce(x.a, 0)::BIGINT * coalesce(x.a, 0) * o + coalesce(y.a, 0)::BIGINT * coalesce(y.a, 0) * (512 - o)) / 512 AS e
+  FROM (SELECT conv_id, i, 512 * i // 640 AS k, least(512, 640 * (512 * i // 640 + 1) - 512 * i) AS o FROM (SELECT conv_id, unnest(range(0, count(*) * 640 // 512)) AS i FROM lv GROUP BY conv_id))
+  JOIN lv x USING (conv_id) LEFT JOIN lv y ON y.conv_id = x.conv_id AND y.g = k + 1 WHERE x.g = k)"""
+_DECIDE = """dc AS (SELECT conv_id, -1::BIGINT AS i, NULL::DOUBLE AS f, false AS sp, 0 AS run FROM (SELECT DISTINCT conv_id FROM fr)
+  UNION ALL SELECT conv_id, i, f1, CASE WHEN r1 >= need THEN loud ELSE sp END, CASE WHEN r1 >= need THEN 0 ELSE r1 END
+  FROM (SELECT *, CASE WHEN loud <> sp THEN run + 1 ELSE 0 END AS r1, CASE WHEN sp THEN 8 ELSE 2 END AS need
+    FROM (SELECT *, e >= CASE WHEN sp THEN 2 ELSE 4 END * f1 AS loud
+      FROM (SELECT fr.conv_id, fr.i, fr.e, dc.sp, dc.run, greatest(1::DOUBLE, CASE WHEN dc.f IS NULL THEN fr.e ELSE least(fr.e, dc.f * CASE WHEN dc.sp THEN 1.001::DOUBLE ELSE 1.01::DOUBLE END) END) AS f1
+        FROM dc JOIN fr ON fr.conv_id = dc.conv_id AND fr.i = dc.i + 1))))"""
+
+
+@query(with_(CW_SQL, _LEVELS, _DECIDE).replace("WITH", "WITH RECURSIVE", 1) + "SELECT conv_id AS session_id, i AS frame_no, sp AS speaking FROM dc WHERE i >= 0")
+def speech_frames(spark, d):
+    """Speech by energy over an adaptive floor, decided on frames that don't fall together with the rows of audio."""
+    return audio.speech_frames(audio_frames(spark, d).where("kind = 'audio'"))
+
+
+@query()
+def audio_log(spark, d):
+    """The log of sessions that come as audio: detected speech, voices by spectrum, words beside the audio."""
+    return audio.audio_log(audio_frames(spark, d), PRESETS["conversation"])

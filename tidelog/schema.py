@@ -19,7 +19,11 @@ CHUNK = (
     "tentative array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>, "
     "segments array<struct<start:double,end:double,embedding:array<double>,overlap:boolean>>, last boolean, fragment boolean"
 )
-#: One frame of a connection: audio, or the word that ends it; other kinds are ignored.
-FRAME = "session_id bigint, chunk_no bigint, kind string, pcm binary, lag double"
+#: One frame of a connection: audio, with what a recogniser beside it says, or the end (kind finish); other kinds are ignored.
+FRAME = (
+    "session_id bigint, chunk_no bigint, kind string, pcm binary, lag double, "
+    "words array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>, "
+    "tentative array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>, fragment boolean"
+)
 SAMPLE_RATE = 16_000
 TOLERANCE = 1e-6

@@ -55,6 +55,35 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Samples of a word's audio, the level of speech, half periods by role, and how many words of each 40 are a pause.
+WORD_SAMPLES, LOUD, HALF_PERIODS, PAUSE_WORDS = 640, 2000, (8, 16, 32), 20
+
+
+def _wave(level: int, half: int) -> str:
+    """One period of a square wave as the hex text of 16-bit samples."""
+    return (level.to_bytes(2, "little", signed=True) * half + (-level).to_bytes(2, "little", signed=True) * half).hex()
+
+
+def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as frames of audio, one for each word: a square wave, its pitch by role, with pauses of low noise
+    that is louder from turn to turn. Words come with their frames; a frame ends each session."""
+    w = words(spark, sf_dir)
+    quiet = F.col("g") % 40 >= 40 - PAUSE_WORDS
+    half = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
+    level = F.when(quiet, F.col("turn") % 5).otherwise(5).cast("int")
+    waves = F.array(*(F.array(*(F.lit(_wave(a, h) * (WORD_SAMPLES // 2 // h)) for h in HALF_PERIODS)) for a in (20, 40, 60, 80, 100, LOUD)))
+    order = Window.partitionBy("conv_id").orderBy("g")
+    word = F.struct(F.col("word").alias("text"), (F.col("g") * 0.04).alias("audio_start"), ((F.col("g") + 1) * 0.04).alias("audio_end"), "confidence")
+    said = F.when(~quiet, word)
+    before = F.last(said, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    frames = w.select(
+        F.col("conv_id").alias("session_id"), F.col("g").alias("chunk_no"), F.lit("audio").alias("kind"), F.unhex(F.get(F.get(waves, level), half)).alias("pcm"), F.lit(0.1).alias("lag"),
+        F.when(~quiet & before.isNotNull(), F.array(before)).alias("words"), F.when(~quiet, F.array(word)).alias("tentative"), F.lit(False).alias("fragment"),
+    )
+    ends = w.groupBy("conv_id").agg((F.max("g") + 1).alias("chunk_no")).withColumnRenamed("conv_id", "session_id").withColumn("kind", F.lit("finish"))
+    return frames.unionByName(ends, allowMissingColumns=True)
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a log per user: at in seconds since the user's first event."""
     e = table(spark, sf_dir, "events")

@@ -108,6 +108,17 @@ def put_together(policy: Policy, chain: Chain | None, rows: dict[str, list[tuple
     return c
 
 
+def take_frame(session: Session, frame: dict) -> list[dict]:
+    """The events of one frame: audio is pushed, `finish` ends, anything else is nothing."""
+    if frame["kind"] == "finish":
+        return session.finish()
+    if frame["kind"] != "audio":
+        return []
+    quiet = frame["words"] is None and frame["tentative"] is None
+    said = None if quiet else {"stable": frame["words"] or [], "tentative": frame["tentative"] or [], "fragment": bool(frame["fragment"])}
+    return session.push(bytes(frame["pcm"] or b""), frame["lag"] or 0.0, said)
+
+
 class SessionLog(StatefulProcessor):
     """Chunk rows of one session to its events. With `make`, rows are frames of audio for the parts of a session: the
     coordinator's state is typed as well, that of the parts is theirs to pickle."""
@@ -161,11 +172,7 @@ class SessionLog(StatefulProcessor):
             self.values["over"].update((True,))
 
     def _push(self, thing: Session | Coordinator, row: dict) -> list[dict]:
-        if not self.make:
-            return thing.push(row)
-        if row["kind"] == "finish":
-            return thing.finish()
-        return thing.push(bytes(row["pcm"] or b""), row["lag"] or 0.0) if row["kind"] == "audio" else []
+        return take_frame(thing, row) if self.make else thing.push(row)
 
     def _last(self, row: dict) -> bool:
         return row["kind"] == "finish" if self.make else bool(row["last"])

@@ -3,6 +3,7 @@ ones with weights live outside this library and come in as makers."""
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,63 +19,81 @@ class Recogniser(Protocol):
 
     def flush(self) -> dict | None: ...
 
+    def reset(self) -> None: ...
+
 
 class VoiceFrontend(Protocol):
     def push(self, pcm: bytes, at: float) -> list[dict]: ...
 
     def flush(self) -> list[dict]: ...
 
+    def reset(self) -> None: ...
+
 
 class SpeechDetector(Protocol):
     def push(self, pcm: bytes, at: float) -> bool: ...
 
+    def reset(self) -> None: ...
+
 
 class TurnDetector(Protocol):
     def completeness(self, text: str, pcm: bytes) -> float: ...
 
 
 @dataclass
-class ScriptedWords:
-    """Hypotheses (stable, tentative) due at given times; of several due at once the last counts."""
+class Replay:
+    """Rows that fall due by time: (due, row), in order. What a part of a session gives out is a view of it."""
+
+    rows: list[tuple[float, Any]]
+    next: int = 0
+
+    def until(self, at: float = math.inf) -> list[Any]:
+        first = self.next
+        while self.next < len(self.rows) and self.rows[self.next][0] <= at + 1e-9:
+            self.next += 1
+        return [row for _, row in self.rows[first : self.next]]
 
-    script: list[tuple[float, dict]]
-    given: int = 0
+    def reset(self) -> None:
+        self.next = 0
+
+
+class ScriptedWords(Replay):
+    """Hypotheses (stable, tentative); of several due at once the last counts."""
 
     def push(self, pcm: bytes, at: float) -> dict | None:
-        due = [h for t, h in self.script[self.given :] if t <= at + 1e-9]
-        self.given += len(due)
-        return due[-1] if due else None
+        return next(reversed(self.until(at)), None)
 
     def flush(self) -> dict | None:
-        rest, self.given = self.script[self.given :], len(self.script)
-        return rest[-1][1] if rest else None
+        return self.push(b"", math.inf)
 
 
-@dataclass
-class ScriptedVoices:
+class ScriptedVoices(Replay):
     """Segments are given out when they have ended."""
 
-    segments: list[dict]
-    given: int = 0
+    def __init__(self, segments: list[dict]) -> None:
+        super().__init__([(s["end"], s) for s in segments])
 
     def push(self, pcm: bytes, at: float) -> list[dict]:
-        out = [s for s in self.segments[self.given :] if s["end"] <= at + 1e-9]
-        self.given += len(out)
-        return out
+        return self.until(at)
 
     def flush(self) -> list[dict]:
-        out, self.given = self.segments[self.given :], len(self.segments)
-        return out
+        return self.until()
 
 
-@dataclass
-class ScriptedSpeech:
-    """Speech in half-open spans."""
+class ScriptedSpeech(Replay):
+    """Speech in half-open spans: their edges fall due."""
 
-    spans: list[tuple[float, float]]
+    def __init__(self, spans: list[tuple[float, float]]) -> None:
+        super().__init__(sorted((t, up) for a, b in spans if a < b for t, up in ((a, 1), (b, -1))))
+        self.open = 0
 
     def push(self, pcm: bytes, at: float) -> bool:
-        return any(a <= at < b for a, b in self.spans)
+        self.open += sum(self.until(at))
+        return self.open > 0
+
+    def reset(self) -> None:
+        super().reset()
+        self.open = 0
 
 
 class TextTurns:
@@ -113,9 +132,9 @@ def shared_model(key: tuple, make: Callable[[], Any]) -> Any:
 
 @dataclass(frozen=True)
 class Backends:
-    """Makers of the parts, and whether the recogniser punctuates."""
+    """Makers of the parts, and whether the recogniser punctuates. Without a recogniser its words come with the audio."""
 
-    recogniser: Callable[[], Recogniser]
+    recogniser: Callable[[], Recogniser] | None
     speech: Callable[[], SpeechDetector] | None = None
     voices: Callable[[], VoiceFrontend] | None = None
     audio_turns: Callable[[], TurnDetector] | None = None
@@ -128,7 +147,7 @@ class Session:
     """One stream: PCM in, events out. Time is counted in samples, so chunk sizes don't matter."""
 
     policy: Policy
-    recogniser: Recogniser
+    recogniser: Recogniser | None
     speech: SpeechDetector | None
     voices: VoiceFrontend | None
     turns: TurnDetector | None
@@ -141,14 +160,15 @@ class Session:
     def _step(self, words: dict | None, segments: list[dict], speaking: bool | None, lag: float, last: bool) -> list[dict]:
         at = self.samples / self.rate
         row = {
-            "at": at, "lag": lag, "speaking": bool(speaking), "segments": segments, "last": last, "words": words and words.get("stable", []), "tentative": words and words.get("tentative", []),
+            "at": at, "lag": lag, "speaking": bool(speaking), "segments": segments, "last": last, "words": words and words.get("stable", []), "tentative": words and words.get("tentative", []), "fragment": bool(words and words.get("fragment")),
             "score": self.turns and (lambda new: self.turns.completeness(" ".join(self.text + new), self.recent)),  # asked only where it can decide
         }
         events = self.coordinator.push(row)
         self.text += [e["text"] for e in events if e["kind"] == "commit"]
         return events
 
-    def push(self, pcm: bytes, lag: float = 0.0) -> list[dict]:
+    def push(self, pcm: bytes, lag: float = 0.0, said: dict | None = None) -> list[dict]:
+        """said: what a recogniser beside the session makes of the audio, where the session has none of its own."""
         if len(pcm) % 2:
             raise ValueError("half a sample")
         self.samples += len(pcm) // 2
@@ -157,7 +177,7 @@ class Session:
             self.recent = (self.recent + pcm)[-int(self.policy.turn_context * self.rate) * 2 :]
         speaking = None if self.speech is None else self.speech.push(pcm, at)
         segments = [] if self.voices is None else self.voices.push(pcm, at)
-        return self._step(self.recogniser.push(pcm, at), segments, speaking, lag, False)
+        return self._step(said if self.recogniser is None else self.recogniser.push(pcm, at), segments, speaking, lag, False)
 
     def remembered(self) -> tuple:
         """All but the coordinator."""
@@ -168,7 +188,7 @@ class Session:
 
     def finish(self) -> list[dict]:
         segments = [] if self.voices is None else self.voices.flush()
-        return self._step(self.recogniser.flush(), segments, False, 0.0, True)
+        return self._step(None if self.recogniser is None else self.recogniser.flush(), segments, False, 0.0, True)
 
 
 def build(backends: Backends, policy: Policy) -> Session:
@@ -182,7 +202,7 @@ def build(backends: Backends, policy: Policy) -> Session:
     turns = TextTurns() if backends.punctuates else backends.audio_turns() if backends.audio_turns else None
     voices = None if policy.solo or backends.voices is None else backends.voices()
     coordinator = Coordinator(policy, chain=Chain(tuple(stages)))
-    return Session(policy, backends.recogniser(), backends.speech() if backends.speech else None, voices, turns, coordinator)
+    return Session(policy, backends.recogniser() if backends.recogniser else None, backends.speech() if backends.speech else None, voices, turns, coordinator)
 
 
 def demo(policy: Policy, seconds: float = 6.0, chunk: float = 0.02) -> list[dict]:
