@@ -5,6 +5,7 @@ import json
 
 import pytest
 from conftest import DATA
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.plans import runner
@@ -79,7 +80,6 @@ def test_audio_in_a_stream_gives_the_log_of_the_batch(spark, frames, tmp_path):
 
 def test_speech_does_not_depend_on_chunks(spark, frames):
     """The same samples in rows of 20 ms to a second."""
-    from pyspark.sql import Window
 
     from tidelog.plans.audio import speech_frames
     from tidelog.streaming.detect import EnergySpeech
@@ -96,3 +96,58 @@ def test_speech_does_not_depend_on_chunks(spark, frames):
     loud, d = b"\x00\x10" * 16_000, EnergySpeech()
     assert d.decide(b"\x05\x00" * 16_000 + loud)[-1] and not any(EnergySpeech().decide(b"\0\0" * 16_000))
     assert not EnergySpeech().decide(loud)[-1]  # what never changes is the floor
+
+
+class Broken(RuntimeError):
+    pass
+
+
+def test_frames_come_once_whatever_fails(spark, chunks, tmp_path):
+    """A query that dies behind its frames, before they count; started again, and then anew without its checkpoint."""
+    from tidelog.operators.protocol import encode
+    from tidelog.streaming.sink import FrameSink
+
+    class Dying(FrameSink):
+        def _mark(self, spark, number, batch):
+            if number == 1 and not broken:
+                broken.append(number)
+                raise Broken
+            super()._mark(spark, number, batch)
+
+    want = [(r.session_id, r.seq, r.line) for r in encode(runner.run_batch(chunks, PRESETS["conversation"]), "seq").orderBy("session_id", "seq").collect()]
+    # chunks in order, a third at a time
+    source = chunks.withColumn("step", F.floor(F.col("chunk_no") * 3 / (F.max("chunk_no").over(Window.partitionBy("session_id")) + 1)))
+    for k in range(3):
+        source.where(F.col("step") == k).drop("step").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    broken, sink = [], Dying(f"{tmp_path}/out")
+
+    def run(state):
+        rows = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        session_events(rows, PRESETS["conversation"]).writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/{state}").trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="Broken"):
+        run("state")
+    assert broken and 0 < sink.frames(spark).count() < len(want)
+    run("state")
+    rows = [tuple(r) for r in sink.frames(spark).collect()]
+    assert sorted(rows, key=lambda r: r[:2]) == want
+    for session in {r[0] for r in rows}:
+        seqs = [r[1] for r in rows if r[0] == session]
+        assert len(seqs) == len(set(seqs))
+    run("other")
+    assert sorted((tuple(r) for r in sink.frames(spark).collect()), key=lambda r: r[:2]) == want
+    assert json.loads(want[0][2])["seq"] == 0
+
+
+def test_recordings_of_a_stream(spark, frames, tmp_path):
+    from tidelog.sources.files import parse_wav, recordings
+    from tidelog.streaming.sink import RecordingSink
+
+    sink = RecordingSink(f"{tmp_path}/audio")
+    frames.repartition(3).write.parquet(f"{tmp_path}/in")
+    spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start().awaitTermination()
+    sink(frames.limit(50), 0)  # a batch that is repeated
+    sink(frames, 1)
+    wavs = {r.session_id: parse_wav(bytes(r.wav)) for r in recordings(sink.chunks(spark)).collect()}
+    whole = {r.session_id: b"".join(bytes(x.pcm) for x in r.x) for r in frames.where("kind = 'audio'").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "pcm"))).alias("x")).collect()}
+    assert wavs == {k: (v, []) for k, v in whole.items()}

@@ -40,8 +40,9 @@ def known_kind(kind: Column) -> Column:
     return F.when(kind.isin(*KINDS), kind).otherwise(F.raise_error(F.concat(F.lit("no such kind of event: "), F.coalesce(kind, F.lit("null")))))
 
 
-def encode(log: DataFrame) -> DataFrame:
-    """session_id and line: one JSON object an event, keys sorted, the fields of its kind only, floats rounded."""
+def encode(log: DataFrame, *keep: str) -> DataFrame:
+    """session_id, what is to be kept, and line: one JSON object an event, keys sorted, the fields of its kind only, floats
+    rounded."""
     types = {f.name: f.dataType for f in log.schema}
     field = lambda n: rounded(F.col(n), types[n]).alias(n)
     line = F.lit(None).cast("string")
@@ -49,7 +50,7 @@ def encode(log: DataFrame) -> DataFrame:
         payload = F.struct(*map(field, names)) if names else F.create_map().cast("map<string,string>")
         json = F.to_json(F.struct(field("at"), F.col("kind"), payload.alias("payload"), F.col("seq")), {"ignoreNullFields": "false"})
         line = F.when(F.col("kind") == kind, json).otherwise(line)
-    return log.select("session_id", F.when(known_kind(F.col("kind")).isNotNull(), line).alias("line"))
+    return log.select("session_id", *keep, F.when(known_kind(F.col("kind")).isNotNull(), line).alias("line"))
 
 
 def decode(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -59,10 +60,9 @@ def decode(lines: DataFrame, line: str = "line") -> DataFrame:
     return x.select(*(c for c in lines.columns if c != line), "_event.seq", known_kind(F.col("_event.kind")).alias("kind"), "_event.at", "_event.payload.*")
 
 
-def hello(spark: SparkSession, policy: str) -> DataFrame:
+def hello(policy: Column) -> Column:
     """The line before a session's events."""
-    fields = F.struct(F.lit("hello").alias("kind"), F.lit(policy).alias("policy"), F.lit(VERSION).alias("protocol"), F.lit(SAMPLE_RATE).alias("sample_rate"))
-    return spark.range(1).select(F.to_json(fields).alias("line"))
+    return F.to_json(F.struct(F.lit("hello").alias("kind"), policy.alias("policy"), F.lit(VERSION).alias("protocol"), F.lit(SAMPLE_RATE).alias("sample_rate")))
 
 
 def render(log: DataFrame) -> DataFrame:

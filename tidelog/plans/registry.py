@@ -11,7 +11,7 @@ from ..functions import exprs as X
 from ..functions import polish, signal
 from ..functions import text as N
 from ..operators import align, log, protocol, score
-from ..policy import PRESETS, policies
+from ..policy import PRESETS, known_policy, policies
 from ..schema import FINAL_KINDS
 from ..sources.adapters import CW_SQL, EV_SQL, SEG_SQL, audio_frames, event_log, segments, table, truth_turns, words
 from . import audio, runner
@@ -536,23 +536,41 @@ def _full_log(spark, d) -> DataFrame:
     )
 
 
-@query(
+_ROUND_TRIP = (
     with_(EV_SQL, _LOG)
     + """SELECT session_id, seq, kind, "at", CASE WHEN kind IN ('commit', 'partial') THEN text END AS text, CASE WHEN kind IN ('commit', 'partial', 'speaker') THEN round(event_id / 8 + 0.1234567::DOUBLE, 6) END AS audio_end,
     CASE WHEN kind IN ('commit', 'turn_start', 'speaker') THEN speaker END AS speaker, CASE WHEN kind <> 'partial' THEN turn END AS turn, CASE WHEN kind = 'endpoint' THEN 'timeout' END AS reason,
     CASE WHEN kind = 'endpoint' THEN event_id % 10 / 10::DOUBLE END AS completeness FROM lg"""
 )
+
+
+@query(_ROUND_TRIP)
 def protocol_round_trip(spark, d):
     """Every event to its JSON line and back: the fields of its kind only, floats rounded."""
     back = protocol.decode(protocol.encode(_full_log(spark, d)))
     return back.select("session_id", "seq", "kind", "at", "text", "audio_end", "speaker", F.col("turn").cast("bigint").alias("turn"), "reason", "completeness")
 
 
-@query("SELECT '{\"kind\":\"hello\",\"policy\":\"' || p || '\",\"protocol\":\"1.0\",\"sample_rate\":16000}' AS line FROM (VALUES ('agent'), ('conversation'), ('dictation')) t(p)")
-def hello_lines(spark, d):
-    from functools import reduce
+@query(_ROUND_TRIP)
+def delivered_frames(spark, d):
+    """The same events as a stream of several steps into frames that are written once each, in order, and read back."""
+    from ..streaming.sink import FrameSink
 
-    return reduce(DataFrame.union, (protocol.hello(spark, name) for name in sorted(PRESETS)))
+    root, full = runner.shared_root(spark, "frames"), _full_log(spark, d)
+    for low, high in ((0, 5), (5, 12), (12, 1 << 40)):
+        full.where((F.col("seq") >= low) & (F.col("seq") < high)).repartition(2, "session_id").write.mode("append").parquet(f"{root}/in")
+    sink = FrameSink(f"{root}/out")
+    source = spark.readStream.schema(full.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    back = protocol.decode(sink.frames(spark).drop("seq"))
+    return back.select("session_id", "seq", "kind", "at", "text", "audio_end", "speaker", F.col("turn").cast("bigint").alias("turn"), "reason", "completeness")
+
+
+@query("""SELECT conv_id, '{"kind":"hello","policy":"' || ['agent', 'conversation', 'dictation'][1 + conv_id % 3] || '","protocol":"1.0","sample_rate":16000}' AS line FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def hello_lines(spark, d):
+    """The first line of each session, by its policy."""
+    name = F.get(F.array(*map(F.lit, sorted(PRESETS))), (F.col("conv_id") % 3).cast("int"))
+    return table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", protocol.hello(known_policy(name)).alias("line"))
 
 
 @query(
