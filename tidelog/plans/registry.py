@@ -13,6 +13,7 @@ from ..functions import text as N
 from ..operators import align, log, protocol, score
 from ..policy import PRESETS, known_policy, policies
 from ..schema import FINAL_KINDS
+from ..sources import adapters
 from ..sources.adapters import CW_SQL, EV_SQL, SEG_SQL, audio_frames, event_log, segments, table, truth_turns, words
 from . import audio, runner
 
@@ -843,3 +844,20 @@ def speech_frames(spark, d):
 def audio_log(spark, d):
     """The log of sessions that come as audio: detected speech, voices by spectrum, words beside the audio."""
     return audio.audio_log(audio_frames(spark, d), PRESETS["conversation"])
+
+
+_WAVES = "wv(a, role, hex) AS (VALUES " + ", ".join(f"({a}, '{r}', '{adapters._wave(a, h).upper()}')" for a in (20, 40, 60, 80, 100, adapters.LOUD) for r, h in zip(("user", "assistant", "other"), adapters.HALF_PERIODS, strict=True)) + ")"
+_PCM = """pw AS (SELECT conv_id, g, repeat(hex, (2560 // length(hex))::BIGINT) AS h FROM (SELECT *, CASE WHEN g % 40 >= 20 THEN 20 * (1 + turn % 5) ELSE 2000 END AS a, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'other' END AS r FROM cw) x
+  JOIN wv ON wv.a = x.a AND wv.role = x.r),
+pc AS (SELECT conv_id, string_agg(h, '' ORDER BY g) AS h FROM pw GROUP BY conv_id)"""
+
+
+@query(with_(CW_SQL, _WAVES, _PCM) + "SELECT conv_id::VARCHAR AS session, k AS chunk_no, 1600 * k AS begin, md5(h[6400 * k + 1:6400 * (k + 1)]) AS digest FROM (SELECT conv_id, h, unnest(range(0, (length(h) + 6399) // 6400)) AS k FROM pc)")
+def recording_chunks(spark, d):
+    """Sessions written as WAV files and read back in chunks of 0.1 s, by byte ranges that cut files anywhere."""
+    from ..sources.recordings import read_recordings, write_recordings
+
+    root = runner.shared_root(spark, "recordings")
+    write_recordings(audio_frames(spark, d).where("kind = 'audio'").withColumn("session", F.col("session_id").cast("string")), root)
+    chunks = read_recordings(spark, root, 0.1, 250_001)
+    return chunks.select("session", "chunk_no", "begin", F.md5(F.hex("pcm").cast("binary")).alias("digest"))
