@@ -110,10 +110,12 @@ def test_pieces_make_words():
     p = Pieces()
     h = p.push(pieces[:2], 0.25)
     assert h["stable"] == [] and h["tentative"][0]["text"] == "Janu" and h["fragment"]
-    assert p.push(pieces[:2], 0.3) is None
-    h = p.push(pieces, 1.0)
+    assert p.push([], 0.3) is None
+    h = p.push(pieces[2:], 1.0)
     assert h["stable"] == [{"text": "January", "audio_start": 0.1, "audio_end": pytest.approx(0.38), "confidence": pytest.approx(0.5)}]
-    assert [w["text"] for w in p.push(pieces, 1.0, final=True)["stable"]] == ["January", "first"]
+    assert [w["text"] for w in p.push([], 1.0, final=True)["stable"]] == ["January", "first"]
+    p.push([(" later", 30.0, 0.0)], 30.2)
+    assert p.words == []
 
 
 def test_mel_filters_and_features():

@@ -615,17 +615,25 @@ def standardised_values(spark, d):
     return table(spark, d, "events").select("event_id", F.round(signal.standardised(F.col("value"), "user_id"), 5).alias("z"))
 
 
-@query(
+_ASSEMBLED = (
     with_(CW_SQL)
     + """SELECT conv_id, g, word, round(audio_start, 6) AS audio_start, round(least(greatest(l + 0.08, audio_start), greatest(cap, audio_start)), 6) AS audio_end, round(exp(-0.05 * (n + 1) / 2), 6) AS confidence
     FROM (SELECT *, audio_start + 0.15::DOUBLE * (n - 1) AS l, coalesce(lead(audio_start) OVER (PARTITION BY conv_id ORDER BY g), 1e9) AS cap FROM (SELECT *, ceil(length(word) / 3) AS n FROM cw))"""
 )
-def assembled_words(spark, d):
-    """Pieces of three letters, a leading blank for the first of a word, put together again."""
+
+
+def _word_pieces(spark, d) -> DataFrame:
+    """Words in pieces of three letters, a leading blank for the first of a word: conv_id, g, pos, piece, start, logp."""
     w = words(spark, d)
     piece = F.transform(F.sequence(F.lit(0), F.ceil(F.length("word") / 3).cast("int") - 1), lambda k: F.concat(F.when(k == 0, " ").otherwise(""), F.substring(F.col("word"), k * 3 + 1, F.lit(3))))
     p = w.select("conv_id", "audio_start", "g", F.posexplode(piece).alias("pos", "piece"))
-    p = p.select("conv_id", F.col("g").alias("og"), "pos", "piece", (F.col("audio_start") + 0.15 * F.col("pos")).alias("at"), (-0.05 * (F.col("pos") + 1)).alias("logp"))
+    return p.select("conv_id", "g", "pos", "piece", (F.col("audio_start") + 0.15 * F.col("pos")).alias("start"), (-0.05 * (F.col("pos") + 1)).alias("logp"))
+
+
+@query(_ASSEMBLED)
+def assembled_words(spark, d):
+    """Pieces of three letters, a leading blank for the first of a word, put together again."""
+    p = _word_pieces(spark, d).withColumnsRenamed({"g": "og", "start": "at"})
     order = Window.partitionBy("conv_id").orderBy("og", "pos")
     p = p.withColumn("g", F.sum(F.col("piece").startswith(" ").cast("bigint")).over(order) - 1)
     items = F.array_sort(F.collect_list(F.struct("at", "piece")))
@@ -634,6 +642,31 @@ def assembled_words(spark, d):
     return x.select("conv_id", "g", "word", _R6("audio_start"), _R6(signal.word_end(F.col("last"), F.col("audio_start"), cap), "audio_end"), _R6("confidence"))
 
 
+@query(_ASSEMBLED)
+def drained_words(spark, d):
+    """The same pieces as a recogniser appends them, five to a row that can end inside a word: each word as it becomes
+    stable, from chunk rows of which the last word may be half a one."""
+    from ..streaming.drain import drained_batch
+
+    chunks = drained_batch(piece_rows(spark, d))
+    said = chunks.select("session_id", "chunk_no", F.explode("words").alias("w"))
+    first = said.groupBy("session_id", "w").agg(F.min("chunk_no").alias("chunk_no"))
+    g = F.row_number().over(Window.partitionBy("session_id").orderBy("w.audio_start")) - 1
+    return first.select(F.col("session_id").alias("conv_id"), g.cast("bigint").alias("g"), F.col("w.text").alias("word"), _R6(F.col("w.audio_start"), "audio_start"), _R6(F.col("w.audio_end"), "audio_end"), _R6(F.col("w.confidence"), "confidence"))
+
+
+def piece_rows(spark, d, size: int = 5) -> DataFrame:
+    """PIECES: so many pieces a row, and a row that ends the session."""
+    p = _word_pieces(spark, d)
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("g", "pos")) - 1
+    rows = p.withColumn("n", n).withColumn("chunk_no", F.floor(F.col("n") / size)).groupBy("conv_id", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("n", "start", "piece", "logp"))).alias("x"), F.max("start").alias("heard"))
+    so_far = F.max("heard").over(Window.partitionBy("conv_id").orderBy("chunk_no"))
+    rows = rows.select(F.col("conv_id").alias("session_id"), "chunk_no", (so_far + 0.1).alias("at"), F.transform("x", lambda s: F.struct(s["piece"].alias("piece"), s["start"].alias("start"), s["logp"].alias("logp"))).alias("pieces"))
+    ends = rows.groupBy("session_id").agg((F.max("chunk_no") + 1).alias("chunk_no"), (F.max("at") + 5).alias("at")).withColumn("last", F.lit(True))
+    every = rows.withColumn("last", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    return every.withColumns({"speaking": ~F.col("last"), "lag": F.lit(0.0), "score": F.lit(None).cast("double")})
+
+
 @query(
     """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'two hundred five' WHEN p_size % 3 = 1 THEN 'you and me' ELSE 'five and me and thousand one' END AS words FROM part"""
 )

@@ -25,5 +25,7 @@ FRAME = (
     "words array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>, "
     "tentative array<struct<text:string,audio_start:double,audio_end:double,confidence:double>>, fragment boolean"
 )
+#: New pieces of words that a recogniser has appended since the row before.
+PIECES = "session_id bigint, chunk_no bigint, at double, pieces array<struct<piece:string,start:double,logp:double>>, speaking boolean, lag double, score double, last boolean"
 SAMPLE_RATE = 16_000
 TOLERANCE = 1e-6

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,12 +21,11 @@ from .state import Cluster, Coordinator
 COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 #: One row each.
 VALUES = {
-    "clock": "next bigint, due bigint, at double, seq bigint, onset boolean, degraded boolean, turn int, speaker string, turn_unnamed boolean, scored_at double, score double, context string",
+    "clock": "at double, seq bigint, onset boolean, degraded boolean, turn int, speaker string, turn_unnamed boolean, scored_at double, score double, context string",
     "frontier": "frontier double, place double, text string, since double",
     "endpoint": "silence_since double, fired boolean, had_speech boolean",
     "voices": "minted int",
     "parts": "data binary",
-    "over": "over boolean",
 }
 #: Any number of rows, each list bounded by the policy or by an utterance.
 LISTS = {
@@ -54,7 +54,7 @@ def chunk_dicts(frame: pd.DataFrame) -> list[dict]:
     """Rows in chunk order; without words, tentative words or segments where they are null."""
     out = []
     for r in frame.sort_values("chunk_no").to_dict("records"):
-        for k in ("words", "tentative", "segments"):
+        for k in ("words", "tentative", "segments", "pieces"):
             if k in r:
                 r[k] = None if r[k] is None else [plain(x) for x in r[k]]
         for s in r.get("segments") or []:
@@ -119,63 +119,65 @@ def take_frame(session: Session, frame: dict) -> list[dict]:
     return session.push(bytes(frame["pcm"] or b""), frame["lag"] or 0.0, said)
 
 
-class SessionLog(StatefulProcessor):
-    """Chunk rows of one session to its events. With `make`, rows are frames of audio for the parts of a session: the
-    coordinator's state is typed as well, that of the parts is theirs to pickle."""
+class InOrder(StatefulProcessor):
+    """Rows of one session, taken once each in the order of chunk_no, by a thing that lies in typed state between
+    triggers. A subclass says what the thing is and how it is kept."""
 
-    def __init__(self, policy: Policy, idle_ms: int | None, make: Callable[[int], Session] | None = None) -> None:
-        self.policy, self.idle_ms, self.make = policy, idle_ms, make
-        self.row = FRAME if make else CHUNK
-        self.fields = [f.split()[0] for f in self.row.split(", ")]
+    values: dict[str, str] = {}
+    lists: dict[str, str] = {}
+    maps: dict[str, tuple[str, str]] = {}
+
+    def __init__(self, row: str, idle_ms: int | None) -> None:
+        self.row, self.idle_ms = row, idle_ms
+        self.fields = [f.split()[0] for f in row.split(", ")]
+
+    # what a subclass gives
+    def load(self, session: int, rows: dict[str, list[tuple]] | None) -> Any: ...
+
+    def rows(self, thing: Any) -> dict[str, list[tuple]]: ...
+
+    def push(self, thing: Any, row: dict) -> list: ...
+
+    def is_last(self, row: dict) -> bool: ...
+
+    def finish(self, thing: Any) -> list: ...
+
+    def frame(self, session: int, out: list) -> pd.DataFrame: ...
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.values = {k: handle.getValueState(k, s) for k, s in VALUES.items()}
-        self.lists = {k: handle.getListState(k, s) for k, s in LISTS.items()}
-        self.maps = {k: handle.getMapState(k, *s) for k, s in MAPS.items()}
+        own = {"place": "next bigint, due bigint", "over": "over boolean"}
+        self.value = {k: handle.getValueState(k, s) for k, s in (own | self.values).items()}
+        self.list = {k: handle.getListState(k, s) for k, s in self.lists.items()}
+        self.map = {k: handle.getMapState(k, *s) for k, s in self.maps.items()}
         self.waiting = handle.getMapState("waiting", "chunk_no bigint", self.row)
 
-    def _load(self, session: int) -> tuple[Session | Coordinator, int, int | None]:
-        clock = self.values["clock"].get() if self.values["clock"].exists() else None
-        thing = self.make(session) if self.make else Coordinator(self.policy)
-        if clock is None:
-            return thing, 0, None
-        rows = {k: [v.get()] for k, v in self.values.items() if v.exists()} | {k: list(v.get()) for k, v in self.lists.items()}
-        rows |= {k: [(*a, *b) for a, b in v.iterator()] for k, v in self.maps.items()}
-        nxt, due, *rest = clock
-        rows["clock"] = [tuple(rest)]
-        if self.make:
-            thing.coordinator = put_together(self.policy, thing.coordinator.chain, rows)
-            thing.recall(pickle.loads(rows["parts"][0][0]))
-            return thing, nxt, due
-        return put_together(self.policy, thing.chain, rows), nxt, due
-
-    def _keep(self, thing: Session | Coordinator, nxt: int, due: int | None) -> None:
-        rows = taken_apart(thing.coordinator if self.make else thing)
-        rows["clock"] = [(nxt, due, *rows["clock"][0])]
-        if self.make:
-            rows["parts"] = [(pickle.dumps(thing.remembered()),)]
-        for k, v in self.values.items():
+    def _load(self, session: int) -> tuple[Any, int, int | None]:
+        place = self.value["place"].get() if self.value["place"].exists() else None
+        if place is None:
+            return self.load(session, None), 0, None
+        rows = {k: [self.value[k].get()] for k in self.values if self.value[k].exists()} | {k: list(v.get()) for k, v in self.list.items()}
+        rows |= {k: [(*a, *b) for a, b in v.iterator()] for k, v in self.map.items()}
+        return self.load(session, rows), *place
+
+    def _keep(self, thing: Any, nxt: int, due: int | None) -> None:
+        rows = self.rows(thing)
+        self.value["place"].update((nxt, due))
+        for k in self.values:
             if k in rows:
-                v.update(rows[k][0])
-        for k, v in self.lists.items():
+                self.value[k].update(rows[k][0])
+        for k, v in self.list.items():
             v.put(rows[k]) if rows[k] else v.clear()
-        for k, v in self.maps.items():
+        for k, v in self.map.items():
             v.clear()
-            for index, older in rows[k]:
-                v.updateValue((index,), (older,))
+            for key, *rest in rows[k]:
+                v.updateValue((key,), tuple(rest))
 
     def _forget(self, due: int | None) -> None:
-        for v in (*self.values.values(), *self.lists.values(), *self.maps.values(), self.waiting):
+        for v in (*self.value.values(), *self.list.values(), *self.map.values(), self.waiting):
             v.clear()
         if due is not None:  # chunks that are sent again find the session over, until its timer
-            self.values["over"].update((True,))
-
-    def _push(self, thing: Session | Coordinator, row: dict) -> list[dict]:
-        return take_frame(thing, row) if self.make else thing.push(row)
-
-    def _last(self, row: dict) -> bool:
-        return row["kind"] == "finish" if self.make else bool(row["last"])
+            self.value["over"].update((True,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
         new, arrived = {}, None
@@ -184,17 +186,17 @@ class SessionLog(StatefulProcessor):
                 arrived = max(int(frame["arrived_ms"].max()), arrived or 0)
             frame = frame[frame["chunk_no"].notna()]
             new |= {int(r["chunk_no"]): {k: r[k] for k in self.fields} for r in chunk_dicts(frame)}
-        if not new or self.values["over"].exists():
+        if not new or self.value["over"].exists():
             return
         thing, nxt, due = self._load(key[0])
         stored = {k[0] for k in self.waiting.keys()}
         wait = {k for k in stored | set(new) if k >= nxt}
-        events, over = [], False
+        out, over = [], False
         while not over and (nxt in wait or len(wait) > MOST_WAITING):
             nxt = nxt if nxt in wait else min(wait)
             row = new[nxt] if nxt in new else self._stored(nxt)
-            events += self._push(thing, row)
-            over = self._last(row)
+            out += self.push(thing, row)
+            over = self.is_last(row)
             wait.discard(nxt)
             nxt += 1
         if arrived is not None:
@@ -207,8 +209,8 @@ class SessionLog(StatefulProcessor):
             for k in wait - stored:
                 self.waiting.updateValue((k,), tuple(new[k][f] for f in self.fields))
             self._keep(thing, nxt, due)
-        if events:
-            yield event_frame(key[0], events)
+        if out:
+            yield self.frame(key[0], out)
 
     def _stored(self, chunk_no: int) -> dict:
         return dict(zip(self.fields, (plain(v) for v in self.waiting.getValue((chunk_no,))), strict=True))
@@ -223,26 +225,63 @@ class SessionLog(StatefulProcessor):
         return at
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.values["over"].exists() or not self.values["clock"].exists():
-            self.values["over"].clear()
+        if self.value["over"].exists() or not self.value["place"].exists():
+            self.value["over"].clear()
             return
-        thing, nxt, due = self._load(key[0])
-        events, over = [], False
+        thing, _, _ = self._load(key[0])
+        out, over = [], False
         for k in sorted(k[0] for k in self.waiting.keys()):  # what never came is lost
             if not over:
                 row = self._stored(k)
-                events += self._push(thing, row)
-                over = self._last(row)
-        if not over:
-            events += thing.finish() if self.make else thing.push(finish_row(thing.at))
+                out += self.push(thing, row)
+                over = self.is_last(row)
+        out += [] if over else self.finish(thing)
         self._forget(None)
-        if events:
-            yield event_frame(key[0], events)
+        if out:
+            yield self.frame(key[0], out)
 
     def close(self) -> None:
         pass
 
 
+class SessionLog(InOrder):
+    """Chunk rows of one session to its events. With `make`, rows are frames of audio for the parts of a session: the
+    coordinator's state is typed as well, that of the parts is theirs to pickle."""
+
+    values, lists, maps = VALUES, LISTS, MAPS
+
+    def __init__(self, policy: Policy, idle_ms: int | None, make: Callable[[int], Session] | None = None) -> None:
+        super().__init__(FRAME if make else CHUNK, idle_ms)
+        self.policy, self.make = policy, make
+
+    def load(self, session: int, rows: dict[str, list[tuple]] | None) -> Session | Coordinator:
+        thing = self.make(session) if self.make else Coordinator(self.policy)
+        if rows is None:
+            return thing
+        if not self.make:
+            return put_together(self.policy, thing.chain, rows)
+        thing.coordinator = put_together(self.policy, thing.coordinator.chain, rows)
+        thing.recall(pickle.loads(rows["parts"][0][0]))
+        return thing
+
+    def rows(self, thing: Session | Coordinator) -> dict[str, list[tuple]]:
+        if not self.make:
+            return taken_apart(thing)
+        return taken_apart(thing.coordinator) | {"parts": [(pickle.dumps(thing.remembered()),)]}
+
+    def push(self, thing: Session | Coordinator, row: dict) -> list[dict]:
+        return take_frame(thing, row) if self.make else thing.push(row)
+
+    def is_last(self, row: dict) -> bool:
+        return row["kind"] == "finish" if self.make else bool(row["last"])
+
+    def finish(self, thing: Session | Coordinator) -> list[dict]:
+        return thing.finish() if self.make else thing.push(finish_row(thing.at))
+
+    def frame(self, session: int, out: list[dict]) -> pd.DataFrame:
+        return event_frame(session, out)
+
+
 def finish_row(at: float) -> dict:
     """The row that ends a session whose last row never came."""
     return {"at": at, "speaking": False, "lag": 0.0, "score": None, "words": None, "tentative": None, "segments": None, "last": True, "fragment": False}
@@ -256,9 +295,12 @@ def session_events(rows: DataFrame, policy: Policy, idle: float | None = None, m
     (timestamp) with a watermark: a session that gets no row for so long by event time is finished as it stands, and one
     that has ended is remembered so long for rows that are sent again. Rows without a chunk_no only move the clock.
     """
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    fields = [f.split()[0] for f in (FRAME if make else CHUNK).split(", ")]
+    row = FRAME if make else CHUNK
+    return keyed(rows, row, idle, lambda ms: SessionLog(policy, ms, make), EVENT)
+
+
+def keyed(rows: DataFrame, row: str, idle: float | None, processor: Callable[[int | None], InOrder], out: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     arrived = [] if idle is None else ["arrived", F.unix_millis("arrived").alias("arrived_ms")]
-    processor = SessionLog(policy, None if idle is None else int(idle * 1000), make)
-    return rows.select(*fields, *arrived).groupBy("session_id").transformWithStateInPandas(processor, EVENT, "append", "None" if idle is None else "EventTime")
+    dealt = rows.select(*(f.split()[0] for f in row.split(", ")), *arrived).groupBy("session_id")
+    return dealt.transformWithStateInPandas(processor(None if idle is None else int(idle * 1000)), out, "append", "None" if idle is None else "EventTime")

@@ -341,28 +341,32 @@ def assemble(pieces: list[tuple[str, float, float]], cap: float) -> dict:
 
 @dataclass
 class Pieces:
-    """Pieces of a recogniser that only ever appends: a leading blank starts a word and completes the one before. The
-    last word is tentative and may be a fragment."""
+    """New pieces of a recogniser that only ever appends, as they come: a leading blank starts a word and completes the
+    one before. The last word is tentative and may be a fragment. Complete words stay in the hypothesis for `keep` seconds,
+    longer than any policy holds one back."""
 
-    taken: int = 0
+    keep: float = 10.0
     words: list[dict] = field(default_factory=list)
     pending: list[tuple] = field(default_factory=list)
 
     def push(self, pieces: list[tuple[str, float, float]], consumed_to: float, final: bool = False) -> dict | None:
-        """All pieces so far; None if there is no new one."""
-        if len(pieces) <= self.taken and not final:
+        """The hypothesis behind these pieces; None if there is no new one."""
+        if not pieces and not final:
             return None
-        for piece in pieces[self.taken :]:
+        for piece in pieces:
             if piece[0].startswith(" ") and self.pending:
                 self.words.append(assemble(self.pending, piece[1]))
                 self.pending = []
             self.pending.append(piece)
-        self.taken = max(self.taken, len(pieces))
-        tail = [assemble(self.pending, consumed_to)] if self.pending else []
+        tail, self.words = [assemble(self.pending, consumed_to)] if self.pending else [], [w for w in self.words if w["audio_end"] >= consumed_to - self.keep]
         if final:
-            return {"stable": self.words + tail, "tentative": [], "consumed_to": consumed_to, "fragment": False}
+            self.words, self.pending = self.words + tail, []
+            return {"stable": list(self.words), "tentative": [], "consumed_to": consumed_to, "fragment": False}
         return {"stable": list(self.words), "tentative": tail, "consumed_to": consumed_to, "fragment": True}
 
+    def reset(self) -> None:
+        self.words, self.pending = [], []
+
 
 @dataclass
 class Coordinator:
