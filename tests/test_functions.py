@@ -124,6 +124,18 @@ def test_best_mapping():
     assert best_mapping(many)["p0"] == "t1"
 
 
+@given(st.lists(st.tuples(st.sampled_from("ABCDE"), st.sampled_from("vwxyz"), st.integers(1, 4)), max_size=12, unique_by=lambda x: x[:2]))
+def test_assignment_equals_every_order(pairs):
+    """The first of the best assignments, in the order in which labels appear."""
+    from itertools import permutations
+
+    mine, true = (list(dict.fromkeys(p[k] for p in pairs)) for k in (0, 1))
+    count, size = {(p, t): n for p, t, n in pairs}, max(len(mine), len(true))
+    orders = permutations([*true, *[None] * (size - len(true))], len(mine))
+    best = max(orders, key=lambda o: sum(count.get(x, 0) for x in zip(mine, o, strict=True)))
+    assert best_mapping(pairs) == {p: t for p, t in zip(mine, best, strict=True) if t is not None}
+
+
 def word(text, start, end, confidence=1.0):
     return {"text": text, "audio_start": start, "audio_end": end, "confidence": confidence}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,20 +9,17 @@ from pyspark.sql import functions as F
 from ..functions.exprs import rate
 from ..functions.text import word_errors_udf
 
-#: Up to so many labels on both sides the assignment is exhaustive.
-EXHAUSTIVE = 7
+#: Up to so many labels on both sides the assignment is the best there is.
+EXACT = 7
 
 
 def best_mapping(pairs: list[tuple[str, str, int]]) -> dict[str, str]:
     """Predicted to true label, for the most agreement. pairs: (predicted, true, count) in order of first
-    appearance. Beyond EXHAUSTIVE labels: greedily by count, earlier pairs first."""
+    appearance. Beyond EXACT labels: greedily by count, earlier pairs first."""
     mine, true = list(dict.fromkeys(p[0] for p in pairs)), list(dict.fromkeys(p[1] for p in pairs))
     count = {(p, t): n for p, t, n in pairs}
-    if max(len(mine), len(true), 0) <= EXHAUSTIVE:
-        size = max(len(mine), len(true))
-        padded = [*true, *[None] * (size - len(true))]
-        best = max(permutations(padded, len(mine)), key=lambda order: sum(count.get(x, 0) for x in zip(mine, order, strict=True)), default=())
-        return {p: t for p, t in zip(mine, best, strict=True) if t is not None}
+    if max(len(mine), len(true), 0) <= EXACT:
+        return _most_agreement(mine, true, count)
     out: dict[str, str] = {}
     for p, t, _ in sorted(pairs, key=lambda x: -x[2]):
         if p not in out and t not in out.values():
@@ -32,6 +27,27 @@ def best_mapping(pairs: list[tuple[str, str, int]]) -> dict[str, str]:
     return out
 
 
+def _most_agreement(mine: list[str], true: list[str], count: dict) -> dict[str, str]:
+    """By dynamic programming over sets of taken true labels: most[i][taken] is the most agreement that mine[i:] can
+    have beside them. Read from the front, each label takes the first true one that still reaches it; of assignments
+    that agree equally, that is the first in order. One without a partner comes last."""
+    places = max(len(mine), len(true))
+    gain = [[count.get((p, t), 0) for t in true] + [0] * (places - len(true)) for p in mine]
+    most = [[0] * (1 << places) for _ in range(len(mine) + 1)]
+    free = lambda taken: [j for j in range(places) if not taken >> j & 1]
+    for i in range(len(mine) - 1, -1, -1):
+        for taken in range(1 << places):
+            if taken.bit_count() == i:
+                most[i][taken] = max(gain[i][j] + most[i + 1][taken | 1 << j] for j in free(taken))
+    out, taken = {}, 0
+    for i, p in enumerate(mine):
+        j = next(j for j in free(taken) if gain[i][j] + most[i + 1][taken | 1 << j] == most[i][taken])
+        taken |= 1 << j
+        if j < len(true):
+            out[p] = true[j]
+    return out
+
+
 def contingency(words: DataFrame, session: str) -> DataFrame:
     """session, predicted, truth, n, first (earliest g)."""
     both = words.where(F.col("predicted").isNotNull() & F.col("truth").isNotNull())

@@ -6,13 +6,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..policy import Policy
-from ..schema import EVENT, FRAME
+from ..schema import EVENT, FRAME, SAMPLE_RATE
 from ..streaming.detect import EnergySpeech, SpectralVoices
 from ..streaming.lifecycle import chunk_dicts, event_frame, take_frame
-from ..streaming.models import Backends, Session, build
+from ..streaming.models import Backends, Session, TurnDetector, build, shared_model
 
 FIELDS = [f.split()[0] for f in FRAME.split(", ")]
 
@@ -40,6 +42,46 @@ def speech_frames(frames: DataFrame, make: Callable[[], EnergySpeech] = EnergySp
     return in_order(frames.select("session_id", "chunk_no", "pcm")).mapInPandas(run, "session_id bigint, frame_no bigint, speaking boolean")
 
 
+def rolling_audio(frames: DataFrame, wanted: Column, seconds: float = 8.0, text: Column | None = None) -> DataFrame:
+    """session_id, chunk_no, text, pcm: the last seconds of audio up to each wanted row of frames. Rows that are not
+    wanted only pass through a task's buffer."""
+    size = int(seconds * SAMPLE_RATE) * 2
+    rows = frames.select("session_id", "chunk_no", "pcm", F.coalesce(wanted, F.lit(False)).alias("wanted"), (F.lit("") if text is None else text).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tail = None, b""
+        for batch in batches:
+            out = []
+            for session, chunk, pcm, want, said in zip(*(batch[c] for c in ("session_id", "chunk_no", "pcm", "wanted", "text")), strict=True):
+                if session != now:
+                    now, tail = session, b""
+                tail = (tail + bytes(pcm or b""))[-size:]
+                if want:
+                    out.append((session, chunk, said, tail))
+                if len(out) >= ROLLED:
+                    yield pd.DataFrame(out, columns=["session_id", "chunk_no", "text", "pcm"])
+                    out = []
+            yield pd.DataFrame(out, columns=["session_id", "chunk_no", "text", "pcm"])
+
+    return in_order(rows).mapInPandas(run, "session_id bigint, chunk_no bigint, text string, pcm binary")
+
+
+#: Tails of audio in a batch: 8 s are 256 kB.
+ROLLED = 64
+
+
+def completeness_udf(name: str, make: Callable[[], TurnDetector]):
+    """(text, pcm) to the score of a turn detector, which each worker makes once, however many batches and tasks."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = shared_model(("turns", name), make)
+        for text, pcm in batches:
+            yield pd.Series([model.completeness(t or "", bytes(p or b"")) for t, p in zip(text, pcm, strict=True)], dtype=float)
+
+    return score
+
+
 def heard_session(policy: Policy) -> Session:
     """A session that needs no model: speech by energy, voices by spectrum, words with the audio."""
     return build(Backends(None, EnergySpeech, SpectralVoices), policy)

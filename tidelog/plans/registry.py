@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import polish, signal
 from ..functions import text as N
-from ..operators import align, log, protocol, score
+from ..operators import admission, align, log, protocol, score
 from ..policy import PRESETS, known_policy, policies
 from ..schema import FINAL_KINDS
 from ..sources import adapters
@@ -894,3 +894,30 @@ def recording_chunks(spark, d):
     write_recordings(audio_frames(spark, d).where("kind = 'audio'").withColumn("session", F.col("session_id").cast("string")), root)
     chunks = read_recordings(spark, root, 0.1, 250_001)
     return chunks.select("session", "chunk_no", "begin", F.md5(F.hex("pcm").cast("binary")).alias("digest"))
+
+
+_ASKED = """aq AS (SELECT user_id % 8 AS server, event_id AS session_id, (epoch_us(ts) // 1000000)::DOUBLE AS "start", (epoch_us(ts) // 1000000 + 3600 + event_id * 7919 % 20000)::DOUBLE AS "end",
+  row_number() OVER (PARTITION BY user_id % 8 ORDER BY epoch_us(ts) // 1000000, event_id) AS k FROM events)"""
+_ADMIT = """ad AS (SELECT server, 0::BIGINT AS k, NULL::BIGINT AS session_id, false AS ok, []::DOUBLE[] AS ends FROM (SELECT DISTINCT server FROM aq)
+  UNION ALL SELECT server, k, session_id, len(live) < 4, CASE WHEN len(live) < 4 THEN list_append(live, "end") ELSE live END
+  FROM (SELECT aq.server, aq.k, aq.session_id, aq."end", list_filter(ad.ends, lambda e: e > aq."start") AS live FROM ad JOIN aq ON aq.server = ad.server AND aq.k = ad.k + 1))"""
+
+
+@query(with_(_ASKED, _ADMIT).replace("WITH", "WITH RECURSIVE", 1) + "SELECT server, session_id, ok AS admitted FROM ad WHERE k > 0")
+def admitted_sessions(spark, d):
+    """Sessions of events, some hours long, on eight servers of which each takes four at once."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    e = table(spark, d, "events").select((F.col("user_id") % 8).alias("server"), F.col("event_id").alias("session_id"), at.alias("start"), (at + 3600 + F.col("event_id") * 7919 % 20000).alias("end"))
+    return admission.admitted(e, 4, bucket_rows=500).select("server", "session_id", "admitted")
+
+
+_AUDIO_TURN = """tq AS (SELECT conv_id, g, count(*) OVER w AS n, count(*) FILTER (WHERE g % 40 >= 20) OVER w AS quiet FROM cw WINDOW w AS (PARTITION BY conv_id ORDER BY g ROWS 24 PRECEDING))"""
+
+
+@query(with_(CW_SQL, _AUDIO_TURN) + "SELECT conv_id AS session_id, g AS chunk_no, round(CASE WHEN (g + 1) * 640 < 8000 THEN 0.5 ELSE 1 / (1 + exp(-(6 * quiet / n - 3))) END, 6) AS score FROM tq WHERE g % 10 = 4")
+def audio_turn_scores(spark, d):
+    """Completeness of turns by the audio before each tenth frame, by a model that each worker makes once."""
+    from ..streaming.models import SilenceTurns
+
+    tails = audio.rolling_audio(audio_frames(spark, d).where("kind = 'audio'"), F.col("chunk_no") % 10 == 4)
+    return tails.select("session_id", "chunk_no", F.round(audio.completeness_udf("silence", SilenceTurns)("text", "pcm"), 6).alias("score"))

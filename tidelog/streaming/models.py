@@ -9,8 +9,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import numpy as np
+
 from ..functions.polish import NUMBERS, Chain, Stage
 from ..policy import Policy
+from ..schema import SAMPLE_RATE
 from .state import Coordinator
 
 
@@ -104,6 +107,22 @@ class TextTurns:
         return 0.5 if not bare else float(bare[-1] in ".?!")
 
 
+@dataclass
+class SilenceTurns:
+    """Complete by the share of quiet samples in the last second; a stand-in for a model of turns by audio."""
+
+    level: int = 500
+    seconds: float = 1.0
+    least: float = 0.5
+
+    def completeness(self, text: str, pcm: bytes) -> float:
+        x = np.frombuffer(pcm, "<i2").astype(np.int32)
+        if len(x) < self.least * SAMPLE_RATE:
+            return 0.5
+        x = x[-int(self.seconds * SAMPLE_RATE) :]
+        return 1 / (1 + math.exp(-(6 * float((np.abs(x) < self.level).mean()) - 3)))
+
+
 @dataclass
 class ScriptedTurns:
     """A fixed score, scores by text, or complete behind a sentence mark."""
