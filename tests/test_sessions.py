@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 import tidelog
@@ -201,5 +202,59 @@ def test_command_line(capsys, spark, tmp_path):
     assert main(["wer", str(tmp_path / "pairs")]) == 0 and "0.333333" in capsys.readouterr().out
 
 
+def test_commands_on_folders(capsys, spark, tmp_path):
+    """Recordings with their words and truth, pairs of clips with one of them missing, and two folders of transcripts."""
+    from pyspark.sql import Window
+
+    from tidelog.sources import adapters, fixtures
+    from tidelog.sources.recordings import write_recordings
+
+    frames = adapters.audio_frames(spark, DATA).where("kind = 'audio' AND session_id < 2").withColumn("session", F.concat(F.lit("s"), "session_id"))
+    write_recordings(frames, f"{tmp_path}/mix/audio")
+    frames.select("session", F.col("chunk_no") * 2 + 1, "words", "tentative", "fragment").toDF("session", "chunk_no", "words", "tentative", "fragment").write.parquet(f"{tmp_path}/words")
+    w = adapters.words(spark, DATA).where("conv_id < 2")
+    turns = w.groupBy(F.concat(F.lit("s"), "conv_id").alias("session_id"), "turn").agg(F.min("role").alias("speaker"), (F.min("g") * 0.04).alias("start"), ((F.max("g") + 1) * 0.04).alias("end"))
+    files.write_truth(turns.withColumn("turn_idx", F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1), f"{tmp_path}/mix/truth")
+    assert main(["bench", f"{tmp_path}/mix", "--words", f"{tmp_path}/words"]) == 0
+    out = capsys.readouterr().out
+    assert "confusion_rate" in out and "p90_latency" in out and " s0" in out and " s1" in out
+    assert main(["transcribe", f"{tmp_path}/mix/audio", f"{tmp_path}/lines", "--audio", "--words", f"{tmp_path}/words"]) == 0
+    lines = spark.read.text(f"{tmp_path}/lines").where("session = 's0'").collect()
+    assert any(json.loads(r.value)["kind"] == "commit" for r in lines)
+    clip = lambda n: bytearray((b"\x00\x10" * 1600 + b"\x00\x00" * 0) * n)
+    said = lambda n: [{"text": "The," if k == n // 2 else "word", "audio_end": 0.1 * (k + 1)} for k in range(n)]
+    clips = [(f"c{n}", clip(n), said(n)) for n in (60, 80, 20, 200)]
+    df = spark.createDataFrame(clips, "stem string, pcm binary, words array<struct<text:string,audio_end:double>>")
+    assert {(r.stem, r.cut_after, r.cut_at, len(r.cut)) for r in fixtures.cut_clips(df).collect()} == {("c60", "The,", 3.1, 99_200), ("c80", "The,", 4.1, 131_200)}
+    fixtures.write_pairs(df, f"{tmp_path}/pairs")
+    (tmp_path / "pairs" / "audio" / "c80_complete.wav").unlink()
+    (tmp_path / "pairs" / "audio" / "c60_complete.wav").write_bytes(b"nothing")
+    problems = {(r.stem, r.complete): r.problems for r in fixtures.pair_scores(spark, f"{tmp_path}/pairs", "text", models.TextTurns).collect()}
+    assert problems["c80", True] == ["no such file"] and "not a WAV" in problems["c60", True][0] and problems["c80", False] == []
+    assert main(["endpoints", f"{tmp_path}/pairs"]) == 0 and "false_rate" in capsys.readouterr().out
+    assert main(["endpoints", f"{tmp_path}/none"]) == 1
+    for name, text in (("ref", "a1 one two three\n"), ("hyp", "a1 one too three\na2 lost\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.trans.txt").write_text(text)
+    assert main(["wer", f"{tmp_path}/ref", f"{tmp_path}/hyp"]) == 0 and "0.333333" in capsys.readouterr().out
+
+
+def test_parts_start_anew():
+    """What a part remembers is gone behind reset."""
+    from tidelog.streaming.detect import EnergySpeech, SpectralVoices
+
+    loud, quiet = b"\x00\x10" * 8000, b"\x01\x00" * 8000
+    for part in (EnergySpeech(), SpectralVoices()):
+        first = [part.push(x, 0.5 * (k + 1)) for k, x in enumerate((quiet, loud, quiet, quiet))]
+        part.reset()
+        assert first == [part.push(x, 0.5 * (k + 1)) for k, x in enumerate((quiet, loud, quiet, quiet))]
+    words = models.ScriptedWords([(1.0, {"stable": []}), (2.0, {"stable": [1]})])
+    assert words.push(b"", 0.5) is None and words.push(b"", 2.5) == {"stable": [1]} and words.flush() is None
+    words.reset()
+    assert words.push(b"", 1.0) == {"stable": []}
+    speech = models.ScriptedSpeech([(0.5, 1.0), (1.0, 2.0), (3.0, 3.0)])
+    assert [speech.push(b"", t) for t in (0.4, 0.5, 1.0, 1.99, 2.0, 3.0)] == [False, True, True, True, False, False]
+
+
 def test_public_names():
     assert all(hasattr(tidelog, n) for n in tidelog.__all__)

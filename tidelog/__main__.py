@@ -1,4 +1,5 @@
-"""python -m tidelog COMMAND: demo, policies, queries, run, transcribe, wer. Exit 0 fine, 1 failed, 2 wrong usage."""
+"""python -m tidelog COMMAND: demo, policies, queries, run, transcribe, endpoints, bench, wer. Exit 0 fine, 1 failed, 2
+wrong usage."""
 
 from __future__ import annotations
 
@@ -27,15 +28,74 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("name")
     run.add_argument("data")
     run.add_argument("--out")
-    transcribe = sub.add_parser("transcribe", help="a table of chunk rows to JSON lines")
-    transcribe.add_argument("chunks")
+    transcribe = sub.add_parser("transcribe", help="a table of chunk rows, or a folder of recordings, to JSON lines")
+    transcribe.add_argument("source")
     transcribe.add_argument("out")
     transcribe.add_argument("--policy", default="conversation")
-    wer = sub.add_parser("wer", help="word errors of a table with reference and hypothesis")
-    wer.add_argument("pairs")
+    transcribe.add_argument("--audio", action="store_true", help="source is a folder of recordings")
+    transcribe.add_argument("--words", help="a table of what a recogniser said: session, chunk_no, words, tentative, fragment")
+    endpoints = sub.add_parser("endpoints", help="how a turn detector does on an index of whole and cut clips")
+    endpoints.add_argument("folder")
+    endpoints.add_argument("--index", default="index")
+    bench = sub.add_parser("bench", help="speakers of recordings (FOLDER/audio) against true turns (FOLDER/truth)")
+    bench.add_argument("folder")
+    bench.add_argument("--words", required=True, help="a table of what a recogniser said")
+    bench.add_argument("--policy", default="conversation")
+    wer = sub.add_parser("wer", help="word errors of a table with reference and hypothesis, or of two folders of transcripts")
+    wer.add_argument("paths", nargs="+")
     return p
 
 
+def _log(args, folder: str):
+    """The log of a folder of recordings, and the sessions' names."""
+    from .plans.audio import audio_log, recorded_frames
+    from .sources.recordings import read_recordings
+
+    spark = _spark()
+    frames = recorded_frames(read_recordings(spark, folder), spark.read.parquet(args.words) if args.words else None)
+    return audio_log(frames, policy(args.policy)), frames.select("session", "session_id").distinct()
+
+
+def transcribe(args) -> None:
+    from .operators.protocol import encode
+    from .plans.runner import run_batch
+    from .schema import CHUNK
+
+    if args.audio:
+        log, names = _log(args, args.source)
+        lines = encode(log, "seq").join(names, "session_id").select("session", "seq", "line")
+    else:
+        chosen = policy(args.policy)
+        lines = encode(run_batch(_spark().read.schema(CHUNK).parquet(args.source), chosen), "seq").withColumnRenamed("session_id", "session")
+    lines.repartition("session").sortWithinPartitions("session", "seq").drop("seq").write.mode("overwrite").partitionBy("session").text(args.out)
+
+
+def bench(args) -> None:
+    from pyspark.sql import functions as F
+
+    from .operators.score import log_report
+    from .sources.files import read_truth_turns
+
+    log, names = _log(args, f"{args.folder}/audio")
+    turns = read_truth_turns(_spark(), f"{args.folder}/truth").withColumn("session", F.regexp_extract("path", r"session_id=([^/]+)", 1))
+    report = log_report(log, turns.join(names, "session").drop("session", "path"))
+    print(report.join(names, "session_id").drop("session_id").orderBy("session").toPandas().to_string(index=False))
+
+
+def word_errors(paths: list[str]) -> None:
+    from pyspark.sql import functions as F
+
+    from .operators.score import corpus_errors
+    from .sources.files import read_transcripts
+
+    if len(paths) == 1:
+        pairs = _spark().read.parquet(paths[0])
+    else:
+        true, said = (read_transcripts(_spark(), p) for p in paths[:2])
+        pairs = true.withColumnRenamed("text", "reference").join(said.select("key", F.col("text").alias("hypothesis")), "key")
+    print(corpus_errors(pairs).toPandas().to_string(index=False))
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         args = parser().parse_args(argv)
@@ -63,17 +123,18 @@ def main(argv: list[str] | None = None) -> int:
             df = registry.QUERIES[args.name](_spark(), args.data)
             df.write.mode("overwrite").parquet(args.out) if args.out else df.show(20, False)
         elif args.command == "transcribe":
-            from .operators.protocol import encode
-            from .plans.runner import run_batch
-            from .schema import CHUNK
-
-            chosen, spark = policy(args.policy), _spark()
-            log = run_batch(spark.read.schema(CHUNK).parquet(args.chunks), chosen)
-            encode(log).repartition("session_id").write.mode("overwrite").partitionBy("session_id").text(args.out)
+            transcribe(args)
+        elif args.command == "endpoints":
+            from .policy import policies
+            from .sources.fixtures import gate_report
+            from .streaming.models import SilenceTurns
+
+            spark = _spark()
+            print(gate_report(spark, args.folder, "silence", SilenceTurns, policies(spark), args.index).orderBy("policy").toPandas().to_string(index=False))
+        elif args.command == "bench":
+            bench(args)
         else:
-            from .operators.score import corpus_errors
-
-            print(corpus_errors(_spark().read.parquet(args.pairs)).toPandas().to_string(index=False))
+            word_errors(args.paths)
     except KeyError as e:
         print(e.args[0], file=sys.stderr)
         return 2

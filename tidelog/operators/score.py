@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rate
+from ..functions.exprs import effective_speaker, floor_percentile, rate
 from ..functions.text import word_errors_udf
+from .align import at_point
 
 #: Up to so many labels on both sides the assignment is the best there is.
 EXACT = 7
@@ -76,6 +77,28 @@ def speaker_report(words: DataFrame, turns: DataFrame, session: str) -> DataFram
     return out.withColumns({"null_rate": F.round(rate(F.col("unlabelled"), F.col("words")), 6), "confusion_rate": F.round(rate(F.col("confused"), F.col("labelled")), 6)})
 
 
+def named_words(log: DataFrame) -> DataFrame:
+    """session_id, g (the commit's seq), audio_start, audio_end, at, predicted of a log's commits: the label of the word,
+    else the last that came for it, else the last that came for its turn."""
+    late = log.where("kind = 'speaker'")
+    by_word = late.where("target_seq IS NOT NULL").groupBy("session_id", F.col("target_seq").alias("seq")).agg(F.max_by("speaker", "seq").alias("by_word"))
+    by_turn = late.where("target_seq IS NULL").groupBy("session_id", "turn").agg(F.max_by("speaker", "seq").alias("by_turn"))
+    x = log.where("kind = 'commit'").join(by_word, ["session_id", "seq"], "left").join(by_turn, ["session_id", "turn"], "left")
+    return x.select("session_id", F.col("seq").alias("g"), "audio_start", "audio_end", "at", effective_speaker(F.col("speaker"), F.col("by_word"), F.col("by_turn")).alias("predicted"))
+
+
+def log_report(log: DataFrame, turns: DataFrame) -> DataFrame:
+    """The speaker report of each session of a log against its true turns (session_id, turn_idx, speaker, start, end), with
+    percentiles of the time from a turn's start to its first named word."""
+    words = at_point(named_words(log), turns, "session_id")
+    report = speaker_report(words, turns, "session_id")
+    first = words.where("predicted IS NOT NULL").withColumn("mid", (F.col("audio_start") + F.col("audio_end")) / 2)
+    hit = first.join(turns, "session_id").where(F.col("mid").between(F.col("start"), F.col("end"))).groupBy("session_id", "turn_idx", "start").agg(F.min("at").alias("at"))
+    late = hit.groupBy("session_id").agg(F.collect_list(F.greatest(F.col("at") - F.col("start"), F.lit(0.0))).alias("l"))
+    p = lambda q, name: F.round(floor_percentile(F.col("l"), q), 6).alias(name)
+    return report.join(late.select("session_id", p(0.5, "p50_latency"), p(0.9, "p90_latency")), "session_id", "left")
+
+
 def endpoint_report(scores: DataFrame, policies: DataFrame) -> DataFrame:
     """scores (score, complete) under each policy: wrong endpoints on incomplete, missed ones on complete."""
     both = scores.crossJoin(F.broadcast(policies))  # a policy table has a few fixed rows

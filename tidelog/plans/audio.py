@@ -110,3 +110,13 @@ def audio_log(frames: DataFrame, policy: Policy, make: Callable[[int], Session]
             yield event_frame(now, session.finish())
 
     return in_order(frames.select(*FIELDS).where("session_id IS NOT NULL")).mapInPandas(run, EVENT)
+
+
+def recorded_frames(recordings: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """FRAME rows of recordings (session, chunk_no, pcm) and of what a recogniser said beside each chunk (session,
+    chunk_no, words, tentative, fragment). session_id is a hash of the session's name, beside it."""
+    good = recordings.where("chunk_no IS NOT NULL")
+    said = good if words is None else good.join(words, ["session", "chunk_no"], "left")
+    kinds = dict(zip(FIELDS, (f.split(" ", 1)[1] for f in FRAME.split(", ")), strict=True))
+    fields = [(F.col(c) if c in said.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in ("pcm", "words", "tentative", "fragment")]
+    return said.select("session", F.xxhash64("session").alias("session_id"), "chunk_no", F.lit("audio").alias("kind"), F.lit(0.0).alias("lag"), *fields)

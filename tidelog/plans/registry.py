@@ -15,6 +15,7 @@ from ..policy import PRESETS, known_policy, policies
 from ..schema import FINAL_KINDS
 from ..sources import adapters
 from ..sources.adapters import CW_SQL, EV_SQL, SEG_SQL, audio_frames, event_log, segments, table, truth_turns, words
+from ..sources.fixtures import samples_of
 from . import audio, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -921,3 +922,63 @@ def audio_turn_scores(spark, d):
 
     tails = audio.rolling_audio(audio_frames(spark, d).where("kind = 'audio'"), F.col("chunk_no") % 10 == 4)
     return tails.select("session_id", "chunk_no", F.round(audio.completeness_udf("silence", SilenceTurns)("text", "pcm"), 6).alias("score"))
+
+
+def _turn_clips(spark, d) -> DataFrame:
+    """Turns as clips: stem, pcm (a square wave, 0.3 s a word) and words. The last three words of three turns in four are
+    spoken low."""
+    w = words(spark, d).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("g", "word"))).alias("w"))
+    wave = {level: adapters._wave(level, 8) * 300 for level in (100, adapters.LOUD)}
+    low = lambda i: (F.col("turn") % 4 != 3) & (i >= F.size("w") - 3)
+    pcm = F.unhex(F.array_join(F.transform("w", lambda x, i: F.when(low(i), wave[100]).otherwise(wave[adapters.LOUD])), ""))
+    said = F.transform("w", lambda x, i: F.struct(x["word"].alias("text"), ((i + 1) * 0.3).alias("audio_end")))
+    short = w.where(F.size("w").between(10, 60))  # others are no clips
+    return short.select(F.concat(F.lit("c"), "conv_id", F.lit("t"), "turn").alias("stem"), pcm.alias("pcm"), said.alias("words"))
+
+
+_PAIRS = r"""pr AS (SELECT conv_id, turn, n, (SELECT min(k) FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS k) WHERE regexp_replace(lower(x), '^[.,]+|[.,]+$', '', 'g') IN (%s)
+  AND k * 0.3::DOUBLE / (n * 0.3::DOUBLE) BETWEEN 0.4::DOUBLE AND 0.75::DOUBLE) AS cut FROM (SELECT conv_id, turn, count(*) AS n, list(word ORDER BY g) AS l FROM cw GROUP BY ALL) WHERE n BETWEEN 17 AND 46),
+sc AS (SELECT false AS complete, 1 / (1 + exp(3)) AS score FROM pr WHERE cut IS NOT NULL UNION ALL SELECT true, CASE WHEN turn %% 4 = 3 THEN 1 / (1 + exp(3)) ELSE 1 / (1 + exp(-(6 * 0.9 - 3))) END FROM pr WHERE cut IS NOT NULL)""" % _FN
+
+
+@query(
+    with_(CW_SQL, _PAIRS, _POL)
+    + """SELECT policy, count(*) FILTER (WHERE NOT complete) AS incomplete, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE NOT complete AND score >= threshold) AS false_endpoints,
+    count(*) FILTER (WHERE complete AND score < threshold) AS missed_endpoints, round(coalesce(count(*) FILTER (WHERE NOT complete AND score >= threshold) / nullif(count(*) FILTER (WHERE NOT complete), 0), 0), 6) AS false_rate,
+    round(coalesce(count(*) FILTER (WHERE complete AND score < threshold) / nullif(count(*) FILTER (WHERE complete), 0), 0), 6) AS missed_rate, 0::BIGINT AS unread FROM sc, pol GROUP BY policy"""
+)
+def gate_from_folder(spark, d):
+    """Turns written as pairs of whole and cut clips with their index; read back, scored by their audio, and reported."""
+    from ..sources.fixtures import gate_report, write_pairs
+    from ..streaming.models import SilenceTurns
+
+    root = runner.shared_root(spark, "pairs")
+    write_pairs(_turn_clips(spark, d), root)
+    return gate_report(spark, root, "silence", SilenceTurns, policies(spark))
+
+
+@query(
+    with_(CW_SQL)
+    + """SELECT conv_id AS session_id, turn_idx, speaker, round("at" / 16000, 3) AS "start", round(("at" + n) / 16000, 3) AS "end", n AS samples FROM (SELECT *, coalesce(sum(n + 11200) OVER (PARTITION BY conv_id ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "at"
+    FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_idx, min(role) AS speaker, least(160000, count(*) * 640) AS n FROM cw GROUP BY conv_id, turn))"""
+)
+def mixed_turns(spark, d):
+    """Turns mixed to one recording for each session and written with their truth; read back: each turn's place, and the
+    samples that are not silent there."""
+    from ..sources.files import read_truth_turns
+    from ..sources.fixtures import write_mixed
+    from ..sources.recordings import read_recordings
+
+    root = runner.shared_root(spark, "mixed")
+    f = audio_frames(spark, d).where("kind = 'audio'").select("session_id", "chunk_no", "pcm")
+    w = words(spark, d).select(F.col("conv_id").alias("session_id"), F.col("g").alias("chunk_no"), "turn", "role")
+    parts = f.join(w, ["session_id", "chunk_no"]).groupBy("session_id", "turn").agg(F.min("role").alias("speaker"), F.array_sort(F.collect_list(F.struct("chunk_no", "pcm"))).alias("x"))
+    pcm = F.unhex(F.array_join(F.transform("x", lambda x: F.hex(x["pcm"])), ""))
+    index = F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1
+    write_mixed(parts.select("session_id", index.alias("turn_idx"), "speaker", pcm.alias("pcm")), root)
+    session = F.regexp_extract("path", r"session_id=(\d+)", 1).cast("bigint").alias("session_id")
+    truth = read_truth_turns(spark, f"{root}/truth").select(session, "turn_idx", "speaker", "start", "end")
+    # 10 ms chunks: none of the waves is silent, a gap is nothing else
+    heard = read_recordings(spark, f"{root}/audio", 0.01).where(F.length(F.regexp_replace(F.hex("pcm"), "0", "")) > 0).select(F.col("session").cast("bigint").alias("session_id"), (F.col("begin") / 16_000).alias("at"), samples_of(F.col("pcm")).alias("samples"))
+    loud = heard.join(truth, "session_id").where((F.col("at") >= F.col("start") - 0.0004) & (F.col("at") < F.col("end") - 0.0004)).groupBy("session_id", "turn_idx").agg(F.sum("samples").alias("samples"))
+    return truth.withColumn("turn_idx", F.col("turn_idx").cast("bigint")).join(loud, ["session_id", "turn_idx"])

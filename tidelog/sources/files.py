@@ -76,10 +76,11 @@ def with_transcripts(audio: DataFrame, transcripts: DataFrame) -> DataFrame:
     return audio.withColumn("key", stem(F.col("path"))).join(transcripts, "key")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """stem, incomplete, complete, cut_after, cut_at of the items of an index file: pairs of cut and whole clips."""
+def read_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """stem, incomplete, complete, cut_after, cut_at of the items of an index: pairs of cut and whole clips, as one array
+    or a line each."""
     schema = "stem string, incomplete string, complete string, cut_after string, cut_at double"
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
 def problem_text(problems: Column) -> Column:
