@@ -342,6 +342,38 @@ def test_substrings_against_brute_force(spark, docs):
         assert len(want[d] - got.get(d, set())) <= 2 * sum(a == b for a, b in zip(w, w[1:], strict=False)), d
 
 
+def test_substrings_held_whole_by_a_later_document(spark):
+    """The pieces of a passage lie in documents before the one that holds it whole, and that one is not the last."""
+    p = [f"w{k}x{k * 7919 % 1000}" for k in range(84)]
+    rows = [(1, " ".join(["own", "one", *p[:50]])), (2, " ".join([*p[34:], "own", "two"])), (5, " ".join(["five", *p])), (9, " ".join([*p, "nine"]))]
+    got = covered(rows, substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == plain_repeats(rows) and got[9] == set(range(84)) and 5 not in got
+
+
+def test_substrings_recombined(spark):
+    """Documents cut and joined from a dozen others at random places, so that a hundred hold a piece of each passage: no
+    word too many, and of those to be found at most one in fifty missed (where every holder looked at ends sooner)."""
+    import random
+
+    rng = random.Random(21)
+    own = lambda n: [rng.choice("abcd") + str(rng.randrange(10**7)) for _ in range(n)]
+    rows, pool = [], [own(rng.randrange(60, 200)) for _ in range(12)]
+    for d in range(500):
+        words = own(rng.randrange(3, 9))
+        for _ in range(rng.randrange(1, 5)):
+            source = rng.choice(pool)
+            a = rng.randrange(len(source))
+            words += source[a : a + rng.randrange(5, 110)] + (own(rng.randrange(1, 6)) if rng.random() < 0.7 else [])
+        rows.append((d, " ".join(words)))
+        if rng.random() < 0.1:
+            pool.append(words)
+    got = covered(rows, substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect())
+    want = plain_repeats(rows)
+    missed = sum(len(want[d] - got.get(d, set())) for d in want)
+    assert all(got[d] <= want.get(d, set()) for d in got)
+    assert missed <= 0.02 * sum(map(len, want.values())), missed
+
+
 def test_substrings_within_and_ranks(spark):
     """A repeat in its own document counts only if asked for; equal ids with other texts are ranked by text."""
     passage = " ".join(f"w{i}" for i in range(60))

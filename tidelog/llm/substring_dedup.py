@@ -3,9 +3,11 @@
 A line is cut into short units where its words say so, so that copies of a passage are cut alike wherever it
 starts. Each normalised unit becomes a digest with its rank (document id, text, word). Digests are grouped
 globally; the earliest ranked occurrence stays, later ones are repeats. Neighbouring repeats of neighbouring units
-of one kept document are a run. A run grows to both sides, word by word, as far as the text equals the kept
-document's, so a passage that begins and ends inside units is found whole. Passages of ``min_words`` words or more
-are removed; shorter ones (a heading, a licence line) stay. Offsets are those of the original text.
+of one kept document are a run. Where one run gives way to another, the units on both sides together are a longer
+unit with an earliest occurrence of its own: a document can hold a passage whole whose pieces all lie in others before
+it. A run grows to both sides, word by word, as far as the text equals the kept document's, so a passage that begins
+and ends inside units is found whole. Passages of ``min_words`` words or more are removed; shorter ones (a heading, a
+licence line) stay. Offsets are those of the original text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import clean, done_with, map_arrow, save, table
+from .common import clean, done_with, map_arrow, save, save_by, table
 
 #: Scripts that put no blanks between words, as ranges of code points: there each letter counts as a word.
 BLANKLESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF))
@@ -30,6 +32,11 @@ WORD = re.compile(f"[{_BLANKLESS}]|[^\x20\x09-\x0d{_BLANKLESS}]+")
 RADIUS, PIECE = 4, 24
 #: Repeats with gaps up to GAP words are a stretch; a passage has one of STRETCH words (it loses a unit on each side).
 GAP, STRETCH = 16, 16
+#: Most units of a longer unit across the place where runs change: such a one has RADIUS + 1 words or more for each unit,
+#: with the halves of units beside it as much as a passage.
+ACROSS = 8
+#: Ranges of ids, in each of which the earliest holder of a longer unit is compared with.
+RANGES = 8
 #: Words compared beside a run at once; a run that still grows is compared over GROW times as many next.
 BESIDE, GROW = 16, 8
 ASKED = ("w", "n", "kl", "kr")
@@ -113,7 +120,14 @@ def units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _documents(docs: DataFrame, id_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64("text").alias("t"), "text")
+    """doc, t, text and their key k, once in buckets by it: rounds of growth read the texts in place and shuffle only what
+    they ask for."""
+    texts = docs.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64("text").alias("t"), "text")
+    return save_by(texts.withColumn("k", _key()).repartition("k"), "k", "texts")
+
+
+def _key() -> Column:
+    return F.xxhash64("doc", "t")
 
 
 def _groups(texts: list[str]) -> Iterator[slice]:
@@ -165,8 +179,8 @@ def surroundings(texts: DataFrame, asked: DataFrame) -> DataFrame:
         last = None
         for b in batches:
             out: dict = {k: [] for k in ("doc", "t", *fields)}
-            for doc, t, text, spans in zip(b["doc"], b["t"], b["text"], b["spans"], strict=True):
-                if (doc, t) == last:  # a repeated row: once is enough
+            for doc, t, text, spans, *asked_of in zip(b["doc"], b["t"], b["text"], b["spans"], b["ad"], b["at"], strict=True):
+                if (doc, t) == last or [doc, t] != asked_of:  # a repeated row: once is enough; two documents with one key
                     continue
                 last = (doc, t)
                 for at in range(0, len(spans), 512):
@@ -180,10 +194,11 @@ def surroundings(texts: DataFrame, asked: DataFrame) -> DataFrame:
                         out = {k: [] for k in out}
             yield out
 
-    grouped = save(asked.groupBy("doc", "t").agg(F.collect_set(F.struct(*ASKED)).alias("spans")), "asked")
+    spans = asked.groupBy("doc", "t").agg(F.collect_set(F.struct(*ASKED)).alias("spans"))
+    grouped = save(spans.select(_key().alias("k"), F.col("doc").alias("ad"), F.col("t").alias("at"), "spans"), "asked")
     clean(texts.sparkSession)
     schema = "doc bigint, t bigint, w int, n int, kl int, kr int, s int, e int, lh array<bigint>, ls array<int>, rh array<bigint>, re array<int>"
-    return map_arrow(texts.join(grouped.hint("merge"), ["doc", "t"]).select("doc", "t", "text", "spans"), run, schema, 256)
+    return map_arrow(texts.join(grouped.hint("merge"), "k").select("doc", "t", "text", "spans", "ad", "at"), run, schema, 256)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -192,36 +207,84 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(differ > 0, differ - 1).otherwise(F.size(a))
 
 
-def _runs(hits: list[tuple]) -> list[list]:
-    """Runs [w, n, kd, kt, kw] of the sorted hits of a document, those in stretches long enough."""
-    out: list[list] = []
-    stretch: list[list] = []
+def _stretches(hits: list[tuple]) -> Iterator[list[list[tuple]]]:
+    """The sorted hits (w, n, kd, kt, kw) of a document as runs, lists of hits that follow each other in it and in the
+    kept one; of each stretch that is long enough."""
+    stretch: list[list[tuple]] = []
     end = begin = 0
     for x in hits:
         if not stretch or x[0] > end + GAP:
-            out += stretch if end - begin >= STRETCH else []
+            if end - begin >= STRETCH:
+                yield stretch
             stretch, begin = [], x[0]
-        now = stretch[-1] if stretch else None
-        if now and now[0] + now[1] == x[0] and now[2] == x[2] and now[3] == x[3] and now[4] + now[1] == x[4]:
-            now[1] += x[1]
+        now = stretch[-1][-1] if stretch else None
+        if now and now[0] + now[1] == x[0] and now[2:4] == x[2:4] and now[4] + now[1] == x[4]:
+            stretch[-1].append(x)
         else:
-            stretch.append(list(x))
+            stretch.append([x])
         end = x[0] + x[1]
-    return out + (stretch if end - begin >= STRETCH else [])
+    if end - begin >= STRETCH:
+        yield stretch
+
+
+def _across(stretch: list[list[tuple]], min_words: int) -> Iterator[tuple]:
+    """(key, w, n) of the longer units, up to ACROSS units, across each place where one run gives way to the next without
+    a gap. Documents that hold such a unit have the same hits there, and so the same key. Two runs that are passages
+    themselves need none."""
+    words = [sum(x[1] for x in run) for run in stretch]
+    for i in range(len(stretch) - 1):
+        left, right = stretch[i][-1], stretch[i + 1][0]
+        if left[0] + left[1] != right[0] or min(words[i], words[i + 1]) >= min_words:
+            continue
+        before, after = _beyond(stretch, i, -1), _beyond(stretch, i + 1, 1)
+        for a in range(1, min(ACROSS, len(before) + 1)):
+            for b in range(1, min(ACROSS - a, len(after)) + 1):
+                unit = before[:a][::-1] + after[:b]
+                # hash() of whole numbers is the same in every process
+                yield hash(tuple(x[1:] for x in unit)), unit[0][0], unit[-1][0] + unit[-1][1] - unit[0][0]
+
+
+def _beyond(stretch: list[list[tuple]], i: int, step: int) -> list[tuple]:
+    """Up to ACROSS hits from the end of run i on, away from its neighbour, as long as they touch."""
+    out: list[tuple] = []
+    while 0 <= i < len(stretch) and len(out) < ACROSS:
+        for x in stretch[i][::-1] if step < 0 else stretch[i]:
+            last = out[-1] if out else None
+            if len(out) == ACROSS or last and (x[0] + x[1] != last[0] if step < 0 else last[0] + last[1] != x[0]):
+                return out
+            out.append(x)
+        i += step
+    return out
 
 
-def anchors(found: DataFrame) -> DataFrame:
-    """Runs of repeats (doc, t, w, n, kd, kt, kw) that follow each other in the document and in the kept one."""
+def anchors(found: DataFrame, min_words: int) -> DataFrame:
+    """Runs of repeats (doc, t, w, n, kd, kt, kw), of units and of longer units where runs change."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out: list[tuple] = []
             for doc, t, hits in zip(b["doc"], b["t"], b["hits"], strict=True):
-                out += ((doc, t, *x) for x in _runs(sorted((x["w"], x["n"], x["kd"], x["kt"], x["kw"]) for x in hits)))
-            yield {k: [x[i] for x in out] for i, k in enumerate(("doc", "t", "w", "n", "kd", "kt", "kw"))}
-
+                for stretch in _stretches(sorted((x["w"], x["n"], x["kd"], x["kt"], x["kw"]) for x in hits)):
+                    out += ((doc, t, r[0][0], sum(x[1] for x in r), *r[0][2:], None) for r in stretch)
+                    out += ((doc, t, w, n, None, None, None, key) for key, w, n in _across(stretch, min_words))
+                if len(out) >= FLUSH:
+                    yield {k: [x[i] for x in out] for i, k in enumerate(names)}
+                    out = []
+            yield {k: [x[i] for x in out] for i, k in enumerate(names)}
+
+    names = ("doc", "t", "w", "n", "kd", "kt", "kw", "key")
     grouped = found.groupBy("doc", "t").agg(F.collect_set(F.struct("w", "n", "kd", "kt", "kw")).alias("hits"))
-    return map_arrow(grouped, run, "doc bigint, t bigint, w int, n int, kd bigint, kt bigint, kw int", 256)
+    both = save(map_arrow(grouped, run, "doc bigint, t bigint, w int, n int, kd bigint, kt bigint, kw int, key bigint", 256), "runs")
+    wide = both.where("key IS NOT NULL").select("key", "doc", "t", "w", "n")
+    # the earliest holder can end sooner than a later one: one of each range of ids is looked at
+    edges = [r.edge for r in wide.select(F.explode(F.percentile_approx("doc", [k / RANGES for k in range(1, RANGES)], 1000)).alias("edge")).collect()]
+    part = sum(((F.col("doc") > e).cast("int") for e in edges), F.lit(0))
+    wide = wide.withColumn("part", part)
+    first = wide.groupBy("key", "part").agg(F.min(F.struct("doc", "t", "w")).alias("first")).select("key", F.col("part").alias("kept_part"), F.col("first.doc").alias("kd"), F.col("first.t").alias("kt"), F.col("first.w").alias("kw"))
+    later = wide.join(first, "key").where("kept_part <= part AND (doc > kd OR doc = kd AND t > kt)")
+    # one of those that lie alike in both documents is enough to grow from
+    alike = later.groupBy("doc", "t", "kd", "kt", (F.col("kw") - F.col("w")).alias("shift")).agg(F.min(F.struct("w", "n")).alias("x"))
+    return both.where("key IS NULL").drop("key").unionByName(alike.select("doc", "t", "x.w", "x.n", "kd", "kt", (F.col("x.w") + F.col("shift")).alias("kw")))
 
 
 def grow(texts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -267,8 +330,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 51, id_col: str = "doc_id",
     Null and empty texts have no units, null ids are left out; rows that repeat an id with its text count as one
     document, the same id with another text as another, ranked by text hash. Of equal places the first word's
     number ranks. An empty table gives an empty result; other columns are not read; texts are read whole. A very
-    common unit is pre-aggregated before the shuffle, and its occurrences join by a splittable shuffle. First
-    occurrences, runs and grown passages lie in the shared folder.
+    common unit is pre-aggregated before the shuffle, and its occurrences join by a splittable shuffle. Texts (once, in
+    buckets), first occurrences, runs and grown passages lie in the shared folder.
     """
     texts = _documents(docs, id_col)
     rank = F.struct("doc", "t", "w")
@@ -277,7 +340,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 51, id_col: str = "doc_id",
     clean(docs.sparkSession)
     other = (F.col("doc") != F.col("kd")) | (F.col("t") != F.col("kt"))
     later = unit_rows(texts).join(first, "h").where(other | (F.col("w") > F.col("kw")) if within else other).drop("h")
-    runs = save(anchors(later), "runs")
+    runs = save(anchors(later, min_words), "anchors")
     done_with(first)
     fit = grow(texts, runs).where(F.col("n") >= min_words).distinct()
     # overlapping passages of a document become one
