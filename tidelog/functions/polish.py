@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -49,6 +50,32 @@ def _digits(text: str, context: str) -> str:
 NUMBERS = Stage("numbers", 90, frozenset({"digits"}), _digits, keeps_other_words)
 
 
+@dataclass(frozen=True)
+class Rendered:
+    """A text on its way through the stages: what is in it by now, and who was turned down."""
+
+    text: str
+    present: frozenset[str]
+    rejected: tuple[str, ...]
+
+    def through(self, stage: Stage, context: str) -> Rendered:
+        if not stage.adds.isdisjoint(self.present):
+            return self
+        offer = _offer(stage, self.text, context)
+        if offer is None:
+            return replace(self, rejected=(*self.rejected, stage.name))
+        return self if offer == self.text else replace(self, text=offer, present=self.present | stage.adds)
+
+
+def _offer(stage: Stage, text: str, context: str) -> str | None:
+    """A stage's text, or None where it fails or its own check doesn't hold."""
+    try:
+        new = stage.apply(text, context)
+        return new if new == text or stage.verify(text, new) else None
+    except Exception:  # noqa: BLE001  one stage must not take the utterance with it
+        return None
+
+
 @dataclass
 class Chain:
     """Stages by their order. A stage that raises or fails its check leaves the text as it was."""
@@ -58,21 +85,11 @@ class Chain:
 
     def run(self, text: str, context: str = "") -> tuple[str, list[str]]:
         """The text and the names of the stages that were turned down."""
-        rejected: list[str] = []
-        there = set(self.present)
-        for stage in sorted(self.stages, key=lambda s: s.order) if text.strip() else ():
-            if stage.adds & there:
-                continue
-            try:
-                new = stage.apply(text, context)
-                fine = new == text or stage.verify(text, new)
-            except Exception:  # noqa: BLE001  one stage must not take the utterance with it
-                fine = False
-            if not fine:
-                rejected.append(stage.name)
-            elif new != text:
-                text, there = new, there | stage.adds
-        return text, rejected
+        if not text.strip():
+            return text, []
+        begin = Rendered(text, self.present, ())
+        end = reduce(lambda now, stage: now.through(stage, context), sorted(self.stages, key=lambda s: s.order), begin)
+        return end.text, list(end.rejected)
 
 
 def polish_udf(chain: Chain):

@@ -23,6 +23,8 @@ CURRENCIES = {"dollar": "$", "dollars": "$", "pound": "£", "pounds": "£", "eur
 #: Words between two of which an "and" is left out.
 NUMBER_VOCABULARY = [*UNITS, *TENS, *SCALES, *IRREGULAR.values()]
 
+_OTHER = re.compile(r"[^\w'\s]")
+_REPLACED, _SPOKEN = set(EQUIVALENTS), set(NUMBER_VOCABULARY)
 _MARKS = ".,!?;:"
 _VALUE = {w: n for n, w in enumerate(UNITS)} | {w: 10 * n for n, w in enumerate(TENS, 2)}
 _ORDINAL = {w: n for n, w in enumerate(ORDINALS, 1)} | {"thirtieth": 30}
@@ -74,12 +76,13 @@ def speak_digits(text: str) -> str:
 
 def comparable(text: str | None) -> list[str]:
     """The words that a word error rate compares."""
-    plain = re.sub(r"[^\w'\s]", " ", speak_digits((text or "").lower()))
-    words = [EQUIVALENTS.get(w, w) for w in plain.split()]
-    numbers = set(NUMBER_VOCABULARY)
-    inside = {i for i in range(1, len(words) - 1) if words[i] == "and" and {words[i - 1], words[i + 1]} <= numbers}
-    return [w for i, w in enumerate(words) if i not in inside]
-
+    words = _OTHER.sub(" ", speak_digits((text or "").lower())).split()
+    if _REPLACED & set(words):
+        words = [EQUIVALENTS.get(w, w) for w in words]
+    if "and" in words:
+        last = len(words) - 1
+        words = [w for i, w in enumerate(words) if not (w == "and" and 0 < i < last and words[i - 1] in _SPOKEN and words[i + 1] in _SPOKEN)]
+    return words
 
 def spelled_value(words: list[str]) -> int | None:
     """The one number that words spell, or None: a count-off and an 'and' after no scale are several."""

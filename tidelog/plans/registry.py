@@ -686,27 +686,61 @@ def skipped_stages(spark, d):
     return table(spark, d, "documents").select("doc_id", F.arrays_overlap(there, F.array(F.lit("punctuation"), F.lit("casing"))).alias("skipped"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity > 30)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity > 48)")
 def unused_items(spark, d):
     """Set difference: what no row refers to."""
-    used = table(spark, d, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 
-@query("SELECT session, sum(CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) > 0 AS any_fifth, bool_and(vec_id % 5 > 0) AS no_fifth, round(sum(\"end\" - \"start\") / 100, 6) AS factor FROM (" + with_(SEG_SQL) + "SELECT * FROM seg) GROUP BY session")
+@query("SELECT session, sum(CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) > 0 AS any_fifth, bool_and(vec_id % 5 > 0) AS no_fifth FROM (" + with_(SEG_SQL) + "SELECT * FROM seg) GROUP BY session")
 def session_flags(spark, d):
-    """Any, all, and work per second of audio."""
-    s = segments(spark, d)
-    return s.groupBy("session").agg(F.bool_or(F.col("vec_id") % 5 == 0).alias("any_fifth"), F.bool_and(F.col("vec_id") % 5 > 0).alias("no_fifth"), F.round(F.sum(F.col("end") - F.col("start")) / 100, 6).alias("factor"))
+    """Any and all."""
+    return segments(spark, d).groupBy("session").agg(F.bool_or(F.col("vec_id") % 5 == 0).alias("any_fifth"), F.bool_and(F.col("vec_id") % 5 > 0).alias("no_fifth"))
 
 
-@query()
+_SAY = """un AS (SELECT list(w ORDER BY n) AS w FROM (SELECT n, concat_ws(' ', CASE WHEN n >= 100 THEN u[n // 100 + 1] || ' hundred' END, CASE WHEN n % 100 >= 20 THEN t[n % 100 // 10 - 1] WHEN n % 100 > 0 THEN u[n % 100 + 1] END,
+    CASE WHEN n % 100 >= 20 AND n % 10 > 0 THEN u[n % 10 + 1] END) AS w FROM (SELECT unnest(range(0, 1000)) AS n), (SELECT {units} AS u, {tens} AS t))),
+dg AS (SELECT doc_id, k, m, regexp_replace(m, '[^0-9]', '', 'g')::BIGINT AS n, regexp_matches(m, '[a-z]$') AS o FROM
+    (SELECT doc_id, unnest(regexp_extract_all(x, '{pat}')) AS m, generate_subscripts(regexp_extract_all(x, '{pat}'), 1) AS k FROM lw)),
+sy AS (SELECT doc_id, k, o, CASE WHEN n = 0 THEN 'zero' ELSE trim(concat_ws(' ', nullif(w[n // 1000000000000000 % 1000 + 1], ''), CASE WHEN n // 1000000000000000 % 1000 > 0 THEN 'million' END,
+    nullif(w[n // 1000000000000 % 1000 + 1], ''), CASE WHEN n // 1000000000000 % 1000 > 0 THEN 'thousand' END, nullif(w[n // 1000000000 % 1000 + 1], ''), CASE WHEN n >= 1000000000 THEN 'billion' END,
+    nullif(w[n // 1000000 % 1000 + 1], ''), CASE WHEN n // 1000000 % 1000 > 0 THEN 'million' END, nullif(w[n // 1000 % 1000 + 1], ''), CASE WHEN n // 1000 % 1000 > 0 THEN 'thousand' END, nullif(w[n % 1000 + 1], ''))) END AS said FROM dg, un),
+ow AS (SELECT doc_id, k, CASE WHEN NOT o THEN said ELSE regexp_replace(said, '[a-z]+$', coalesce({irregular}[regexp_extract(said, '[a-z]+$')],
+    CASE WHEN said LIKE '%y' THEN regexp_extract(said, '([a-z]+)y$', 1) || 'ieth' ELSE regexp_extract(said, '[a-z]+$') || 'th' END)) END AS said FROM sy),
+sp AS (SELECT lw.doc_id, list_reduce(list_concat([''], list_transform(list_zip(regexp_split_to_array(x, '{pat}'), list_concat(coalesce(l, []), [''])), lambda z: z[1] || z[2])), lambda a, b: a || b) AS x
+    FROM lw LEFT JOIN (SELECT doc_id, list(said ORDER BY k) AS l FROM ow GROUP BY doc_id) USING (doc_id)),
+wd AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(x, '[^\\p{{L}}\\p{{N}}_''\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''), lambda x: coalesce({eq}[x], x)) AS w FROM sp)"""
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+_SAY = _SAY.format(
+    units=_listed(N.UNITS), tens=_listed(N.TENS), eq=_EQ, pat="[0-9][0-9,]*(?:st|nd|rd|th)?", irregular="MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in N.IRREGULAR.items()) + "}"
+)
+_LOWERED = "lw AS (SELECT doc_id, replace(replace(lower(text), '%', ' percent'), '$', ' dollars ') AS x FROM documents)"
+
+
+@query(with_(_LOWERED, _SAY) + f"SELECT doc_id, array_to_string(list_filter(w, lambda x, i: NOT (x = 'and' AND i > 1 AND i < len(w) AND list_contains({_listed(N.NUMBER_VOCABULARY)}, w[i - 1]) AND list_contains({_listed(N.NUMBER_VOCABULARY)}, w[i + 1]))), ' ') AS words FROM wd")
 def wer_comparable(spark, d):
     """The words that an error rate compares, with digits spoken."""
     return table(spark, d, "documents").select("doc_id", F.array_join(N.comparable_udf("text"), " ").alias("words"))
 
 
-@query()
+_AGREED = """ck AS (SELECT 0::BIGINT AS k, 0::DOUBLE AS "at" UNION ALL SELECT k + 1, "at" + 0.3::DOUBLE FROM ck WHERE k < (SELECT max(g) + 2 FROM cw)),
+ag AS (SELECT cw.*, max(g) OVER (PARTITION BY conv_id) + 1 AS steps, length(regexp_replace(word, '[^\\p{L}\\p{N}_'']+', '', 'g')) = length(regexp_replace(left(word, 1), '[^\\p{L}\\p{N}_'']+', '', 'g')) AS same FROM cw),
+hd AS (SELECT ag.*, (SELECT min(k) FROM ck WHERE k % 4 = 0 AND audio_end <= ck."at" + 1e-6 AND (same OR audio_end + 0.3::DOUBLE <= ck."at")) AS first FROM ag),
+-- a word is agreed on one pass behind the first that reads it and all before it as the next one does
+wh AS (SELECT *, max(first) OVER (PARTITION BY conv_id ORDER BY g) + 4 AS agreed FROM hd)"""
+
+
+@query(
+    with_(CW_SQL, _AGREED).replace("WITH", "WITH RECURSIVE", 1)
+    + """SELECT conv_id AS session, CASE WHEN agreed <= steps OR audio_end + 0.3::DOUBLE <= l."at" THEN word ELSE left(word, 1) END AS word, audio_start, CASE WHEN agreed <= steps THEN c."at" ELSE l."at" END AS agreed_at
+    FROM wh JOIN ck l ON l.k = steps LEFT JOIN ck c ON c.k = agreed"""
+)
 def agreed_words(spark, d):
     """Words as a recogniser that runs over its whole buffer every second settles them."""
     from ..streaming.state import Passes
@@ -982,3 +1016,9 @@ def mixed_turns(spark, d):
     heard = read_recordings(spark, f"{root}/audio", 0.01).where(F.length(F.regexp_replace(F.hex("pcm"), "0", "")) > 0).select(F.col("session").cast("bigint").alias("session_id"), (F.col("begin") / 16_000).alias("at"), samples_of(F.col("pcm")).alias("samples"))
     loud = heard.join(truth, "session_id").where((F.col("at") >= F.col("start") - 0.0004) & (F.col("at") < F.col("end") - 0.0004)).groupBy("session_id", "turn_idx").agg(F.sum("samples").alias("samples"))
     return truth.withColumn("turn_idx", F.col("turn_idx").cast("bigint")).join(loud, ["session_id", "turn_idx"])
+
+
+@query(with_(CW_SQL) + "SELECT conv_id, round(max(emitted_at) / max(audio_end), 6) AS factor FROM cw GROUP BY conv_id")
+def real_time_factor(spark, d):
+    """Seconds until a session's last word was out, by seconds of its audio."""
+    return words(spark, d).groupBy("conv_id").agg(F.round(X.rate(F.max("emitted_at"), F.max("audio_end")), 6).alias("factor"))
