@@ -73,6 +73,46 @@ def test_secrets_decode_across_blanks():
     assert [k for k, *_ in secrets.scan(f"x {latin} y")[1]] == ["assign"]
 
 
+@pytest.mark.parametrize("width", [16, 17, 20, 30, 40, 48, 56, 60, 64, 72, 76, 80, 100, 119, 120])
+def test_secrets_in_wrapped_base64(width):
+    """Lines of any width, indented or quoted, with the secret at any place: also across two lines."""
+    for k in range(40):
+        text = base64.b64encode(("a word " * 30)[: 100 + k].encode() + b" password = hunter2222 " + b"and more words " * 3).decode()
+        for indent in ("", "    ", "> "):
+            lines = "\n".join(indent + text[a : a + width] for a in range(0, len(text), width))
+            whole = f"dear all,\n{lines}\nbye now"
+            assert any(kind == "assign" for kind, *_ in secrets.scan(whole)[1]), (width, k, indent)
+
+
+def test_secrets_in_streams_in_streams(monkeypatch):
+    """An inner stream far larger than a window: as bytes, as base64 on one line and on many, three deep."""
+    monkeypatch.setattr(secrets, "WINDOW", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 500)
+    monkeypatch.setattr(secrets, "CHUNK", 700)
+    rng = np.random.default_rng(8)
+    noise = lambda n: base64.b85encode(rng.bytes(n)).replace(b"%", b"~").replace(b"&", b"~")
+    inner = noise(20_000) + b" token=abcdef123 " + noise(9000)
+    for pack in (gzip.compress, zlib.compress, __import__("bz2").compress, __import__("lzma").compress, __import__("zstandard").ZstdCompressor().compress):
+        packed = pack(inner)
+        on_lines = base64.encodebytes(packed)
+        for middle in (packed, b"text before " + base64.b64encode(packed) + b" and behind", b"mail:\n" + on_lines + b"\nend", gzip.compress(b"deep " + base64.b64encode(packed))):
+            text = f"see {base64.b64encode(gzip.compress(middle)).decode()} there"
+            found = secrets.scan(text)[1]
+            assert ("assign", 4, len(text) - 6) in found, (pack, middle[:20])
+    assert secrets.scan("x^plain text token=abcdef123")[1] == [("assign", 13, 28)]
+    looks = base64.b64encode(b"x^ but text, token=abcdef123, " * 400).decode()
+    assert any(k == "assign" for k, *_ in secrets.scan(looks)[1])
+
+
+def test_secrets_in_a_text_of_megabytes():
+    import time
+
+    rng = np.random.default_rng(3)
+    text = base64.b64encode(rng.bytes(4_500_000) + b" password = hunter2222 " + rng.bytes(4_500_000)).decode()
+    began = time.process_time()
+    assert any(k == "assign" for k, *_ in secrets.scan(text)[1]) and time.process_time() - began < 15
+
+
 def test_secrets_in_later_members():
     import bz2
     import lzma

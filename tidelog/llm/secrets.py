@@ -3,8 +3,10 @@
 Every text is scanned as it stands; then URL-encoded, Unicode-escaped, base64 and compressed regions are
 decoded into layers, each layer is scanned and searched for further regions, until no new layer appears.
 A layer carries the source span of each of its characters, so a finding in it maps back to the text. Base64 is read
-at all four alignments, in case letters stand before it; a compressed stream unfolds in overlapping windows of WINDOW
-bytes, so its size has no limit.
+at all four alignments, in case letters stand before it, and over line ends of any width and indent. A compressed stream
+unfolds as it is fed, in overlapping windows of WINDOW bytes, and so do the streams in it, whether they begin it or lie
+in it as base64: neither size nor depth has a limit. Of bytes that are no text only runs of ASCII are looked at, since
+nothing that is searched for has any other character.
 """
 
 from __future__ import annotations
@@ -33,16 +35,24 @@ KINDS = (
 )
 RANK = {name: i for i, (name, *_) in enumerate(KINDS)}
 #: Bytes of an unfolded stream scanned at once, and how far windows overlap: longer finds across two windows are found
-#: in part, which gives the same span, the region's. A stream inside a stream is read from its first window.
+#: in part, which gives the same span, the region's.
 WINDOW, OVERLAP, CHUNK = 8 << 20, 1 << 20, 1 << 20
 
 _PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
+#: Base64 over several lines: from a long run at the end of a line, or a line of letters only, over such lines to the
+#: letters that begin the next one; lines can be indented or quoted.
+_LINES = re.compile(r"(?:(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}|^[ \t>]*[A-Za-z0-9+/_-]{8,})[ \t]*\r?\n(?:[ \t>]*[A-Za-z0-9+/_-]{8,}[ \t]*\r?\n)*[ \t>]*[A-Za-z0-9+/_-]+={0,2}", re.MULTILINE)
 #: Base64 of the first bytes of gzip, bzip2, xz, zstd and zlib streams.
 _PACKED = re.compile(r"H4sI|Qlpo|[/_]Td6WFo|KLUv|eJ[w-z]|eA[E-H]|eN[o-r]|eF[4-7]")
-_NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]")
+_PACKED_BYTES = re.compile(_PACKED.pattern.encode())
+LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+BETWEEN = b" \t\r\n>"
+_IS_LETTER = np.isin(np.arange(128), np.frombuffer(LETTERS, np.uint8))
+_PLAIN_LETTERS = bytes.maketrans(b"-_", b"+/")
+#: Runs of ASCII that can hold a find: the shortest has 12 characters.
+_ASCII = re.compile(rb"[\t\n\x0c\r\x20-\x7e]{12,}")
 _STRAY = re.compile("[\udc80-\udcff]")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f]")
 
@@ -92,12 +102,13 @@ def _to_text(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer | None:
     return Layer(_STRAY.sub("\ufffd", text), starts[np.append(0, last[:-1])], ends[last - 1])
 
 
-def _readable(layer: Layer | None) -> Layer | None:
-    """The layer, if it is clean text or holds anything that a scan or a further step could find."""
-    if layer is None or not ("\ufffd" in layer.text or _CONTROL.search(layer.text)):
-        return layer
-    more = _BASE64.search(layer.text) or _PERCENT.search(layer.text) or _ESCAPE.search(layer.text)
-    return layer if more or findings(layer.text) else None
+def _islands(data: bytes) -> Iterator[tuple[int, int]]:
+    """All of data if it is clean text, else its runs of ASCII."""
+    try:
+        clean = not _CONTROL.search(data.decode())
+    except UnicodeDecodeError:
+        clean = False
+    yield from [(0, len(data))] if clean else (m.span() for m in _ASCII.finditer(data))
 
 
 def _percent(layer: Layer) -> Layer | None:
@@ -145,91 +156,216 @@ def _escapes(layer: Layer) -> Layer | None:
     return Layer("".join(parts), np.concatenate(starts), np.concatenate(ends))
 
 
+class _Zstd:
+    """A zstd stream with the interface of the others: input goes in small pieces, since output can't be limited."""
+
+    def __init__(self) -> None:
+        self.inner, self.rest = zstandard.ZstdDecompressor().decompressobj(), b""
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        data, out, at, size = self.rest + data, [], 0, 0
+        while at < len(data) and size < most and not self.eof:
+            out.append(self.inner.decompress(data[at : at + 64]))
+            at, size = at + 64, size + len(out[-1])
+        self.rest = data[at:]
+        return b"".join(out)
+
+    @property
+    def eof(self) -> bool:
+        return self.inner.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.inner.unused_data + self.rest
+
+
 def _member(data: bytes):
     """What unfolds the stream that data begins with, or None."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
+    if data[:2] == b"\x1f\x8b" or (len(data) > 1 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
         return zlib.decompressobj(wbits=47)
     if data[:3] == b"BZh":
         return bz2.BZ2Decompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return _Zstd()
     return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _unfold(data: bytes) -> Iterator[bytes]:
-    """The inside of all members of a gzip, zlib, bzip2, xz or zstd stream, in chunks; ends where it is broken."""
-    try:
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
-                while chunk := reader.read(CHUNK):
-                    yield chunk
+#: Bytes by which every kind of stream is known.
+MAGIC = 6
+
+
+class Unfolder:
+    """The inside of all members of a gzip, zlib, bzip2, xz or zstd stream that is fed in pieces; it ends where the
+    stream is broken."""
+
+    def __init__(self) -> None:
+        self.member, self.rest, self.over = None, b"", False
+
+    def feed(self, data: bytes, last: bool = False) -> Iterator[bytes]:
+        data, self.rest = self.rest + data, b""
+        try:
+            while data and not self.over:
+                if self.member is None:
+                    if len(data) < MAGIC and not last:
+                        self.rest = data
+                        return
+                    self.member = _member(data)
+                    self.over = self.member is None
+                    continue
+                while True:
+                    if chunk := self.member.decompress(data, CHUNK):
+                        yield chunk
+                    data = getattr(self.member, "unconsumed_tail", b"")
+                    if self.member.eof or not (chunk or data):
+                        break
+                if self.member.eof:
+                    data, self.member = self.member.unused_data, None
+        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+            self.over = True
+
+
+class Stream:
+    """A compressed stream that is fed in pieces, as windows of the text in it."""
+
+    def __init__(self) -> None:
+        self.unfolder, self.inside, self.any = Unfolder(), Inside(), False
+
+    @property
+    def over(self) -> bool:
+        return self.unfolder.over
+
+    def feed(self, data: bytes, last: bool = False) -> Iterator[bytes]:
+        for chunk in self.unfolder.feed(data, last):
+            self.any = True
+            yield from self.inside.feed(chunk)
+        if last:
+            yield from self.inside.feed(b"", True)
+
+
+class Letters:
+    """A stream as base64 letters, which can lie on several lines; it is over where other characters come."""
+
+    def __init__(self) -> None:
+        self.stream, self.rest, self.ended = Stream(), b"", False
+
+    @property
+    def over(self) -> bool:
+        return self.ended or self.stream.over
+
+    def feed(self, data: bytes, last: bool = False) -> Iterator[bytes]:
+        if self.over:
             return
-        while (d := _member(data)) is not None:
-            while True:
-                if chunk := d.decompress(data, CHUNK):
-                    yield chunk
-                data = getattr(d, "unconsumed_tail", b"")
-                if d.eof or not (chunk or data):
-                    break
-            data = d.unused_data
-    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-        return
+        after = data.lstrip(LETTERS + BETWEEN)
+        letters = self.rest + data[: len(data) - len(after)].translate(_PLAIN_LETTERS, BETWEEN)
+        self.ended = last or bool(after)
+        n = len(letters) - len(letters) % 4
+        whole, self.rest = letters[:n], letters[n:]
+        if self.ended and len(self.rest) > 1:
+            whole += self.rest + b"=" * (4 - len(self.rest))
+        yield from self.stream.feed(base64.b64decode(whole), self.ended)
+
+
+class Inside:
+    """What a stream holds, as it comes: windows of it, or of the stream that it begins with. Streams that lie in it as
+    base64 and go beyond a window are fed on; those within one are found in the window."""
+
+    def __init__(self) -> None:
+        self.buffer, self.fresh, self.known = bytearray(), 0, 0
+        self.inner: Stream | None = None
+        self.begun = False
+        self.open: list[Letters] = []
+
+    def feed(self, data: bytes, last: bool = False) -> Iterator[bytes]:
+        if self.inner is not None and self.inner.any:
+            yield from self.inner.feed(data, last)
+            return
+        for part in self.open:
+            yield from part.feed(data, last)
+        self.open = [part for part in self.open if not part.over]
+        self.buffer += data
+        self.fresh += len(data)
+        if not self.begun and (len(self.buffer) >= MAGIC or last):
+            self.begun = True
+            if _member(bytes(self.buffer[:MAGIC])) is not None:
+                self.inner, data = Stream(), bytes(self.buffer)
+        if self.inner is not None:
+            yield from self.inner.feed(data, last)
+            if self.inner.any:  # a stream; else text that looks like one
+                self.buffer.clear()
+                return
+            if self.inner.over:
+                self.inner = None
+        if len(self.buffer) >= WINDOW or last and self.fresh:
+            window = bytes(self.buffer)
+            yield window
+            yield from () if last else self._opened(window)
+            self.buffer, self.fresh = self.buffer[-OVERLAP:], 0
+            self.known = len(self.buffer) - 16
+
+    def _opened(self, window: bytes) -> Iterator[bytes]:
+        """Streams whose letters begin in a window and reach its end."""
+        begin = max(len(window.rstrip(LETTERS + BETWEEN)), self.known)
+        letters = window[begin:].translate(_PLAIN_LETTERS, BETWEEN)
+        for m in _PACKED_BYTES.finditer(letters):
+            if _begins(letters, m.start()):
+                part = Letters()
+                yield from part.feed(letters[m.start() :])
+                if not part.over:
+                    self.open.append(part)
 
 
 def windows(data: bytes) -> Iterator[bytes]:
     """The inside of a stream in overlapping windows; nothing if it is none. A stream in a stream is unfolded too."""
-    buffer, fresh, first = bytearray(), 0, True
-    for chunk in _unfold(data):
-        buffer += chunk
-        fresh += len(chunk)
-        if len(buffer) >= WINDOW:
-            yield from _through(bytes(buffer), first)
-            buffer, fresh, first = buffer[-OVERLAP:], 0, False
-    if fresh:
-        yield from _through(bytes(buffer), first)
-
-
-def _through(data: bytes, first: bool) -> Iterator[bytes]:
-    deeper = False
-    for inner in windows(data) if first else ():
-        deeper = True
-        yield inner
-    if not deeper:
-        yield data
+    stream = Stream()
+    for at in range(0, len(data), CHUNK):
+        yield from stream.feed(data[at : at + CHUNK], at + CHUNK >= len(data))
+
+
+def _begins(letters: bytes, at: int) -> bool:
+    return _member(base64.b64decode(letters[at : at + 8].ljust(8, b"A"))) is not None
+
+
+def _packed(letters: bytes, at: int) -> Iterator[bytes]:
+    """The windows of a stream in base64, fed only as far as it goes."""
+    if _begins(letters, at):
+        part = Letters()
+        while at < len(letters) and not part.over:
+            yield from part.feed(letters[at : at + CHUNK], at + CHUNK >= len(letters))
+            at += CHUNK
 
 
 def unpack(data: bytes) -> bytes | None:
     """The inside of all members of a stream; None if it is none or broken from the start."""
-    out = b"".join(_unfold(data))
-    return out or None
+    return b"".join(Unfolder().feed(data, True)) or None
 
 
 def _same(text: str, start: int, end: int) -> Layer:
     """A layer all of whose characters come from the same place."""
-    return Layer(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text)))
+    return Layer(text, np.broadcast_to(np.int32(start), len(text)), np.broadcast_to(np.int32(end), len(text)))
 
 
 def _from_base64(layer: Layer, a: int, b: int) -> Iterator[Layer]:
     """The layers of one region: at each alignment, and those of streams that begin in it."""
-    raw = layer.text[a:b]
-    keep = np.flatnonzero([not _NOT_BASE64.match(c) for c in raw]) if _NOT_BASE64.search(raw) else np.arange(len(raw))
-    letters = ("".join(raw[i] for i in keep) if len(keep) < len(raw) else raw).translate({45: "+", 95: "/"})
+    code = np.frombuffer(layer.text[a:b].encode("utf-32-le", "surrogatepass"), np.uint32)
+    source = (np.flatnonzero(_IS_LETTER[np.minimum(code, 127)]) + a).astype(np.int32)  # 127 is no letter
+    letters = code[source - a].astype(np.uint8).tobytes().translate(_PLAIN_LETTERS)
 
     def decoded(first: int) -> bytes:
         n = len(letters) - first
         n -= n % 4 == 1
-        return base64.b64decode(letters[first : first + n] + "=" * (-n % 4)) if n >= 2 else b""
+        return base64.b64decode(letters[first : first + n] + b"=" * (-n % 4)) if n >= 2 else b""
 
-    for m in _PACKED.finditer(letters):
-        for piece in windows(decoded(m.start())):  # every byte of a stream comes from the whole region
-            text = _STRAY.sub("\ufffd", piece.decode("utf-8", "surrogateescape"))
-            if text and (found := _readable(_same(text, layer.starts[a + keep[m.start()]], layer.ends[b - 1]))):
-                yield found
+    for m in _PACKED_BYTES.finditer(letters):
+        for piece in _packed(letters, m.start()):  # every byte of a stream comes from the whole region
+            for p, q in _islands(piece):
+                yield _same(piece[p:q].decode(), layer.starts[source[m.start()]], layer.ends[b - 1])
     for first in range(4):
         data = decoded(first)
-        at, last = np.arange(len(data)), len(letters) - 1
-        source = keep + a
-        lows, highs = source[np.minimum(first + at * 4 // 3, last)], source[np.minimum(first + (at * 8 + 7) // 6, last)]
-        if found := _readable(_to_text(data, layer.starts[lows], layer.ends[highs])):
-            yield found
+        for p, q in _islands(data):
+            at, last = np.arange(p, q), len(letters) - 1
+            lows, highs = source[np.minimum(first + at * 4 // 3, last)], source[np.minimum(first + (at * 8 + 7) // 6, last)]
+            if found := _to_text(data[p:q], layer.starts[lows], layer.ends[highs]):
+                yield found
 
 
 def _escaped(text: str) -> bool:
@@ -243,22 +379,31 @@ def inner_layers(layer: Layer) -> Iterator[Layer]:
         yield found
     if _escaped(text) and (found := _escapes(layer)):
         yield found
-    longest = 0
+    lines = [m.span() for m in _LINES.finditer(text)] if "\n" in text else []
+    for span in lines:
+        yield from _from_base64(layer, *span)
+    whole = iter([span for span in lines if _even(text[slice(*span)])] + [(len(text), len(text))])
+    first, last = next(whole)
     for m in _BASE64.finditer(text):
-        longest = max(longest, m.end() - m.start())
-        yield from _from_base64(layer, *m.span())
-    if longest >= 60:
-        for m in _WRAPPED.finditer(text):
+        while last <= m.start() < len(text):
+            first, last = next(whole)
+        if not (first <= m.start() and m.end() <= last):
             yield from _from_base64(layer, *m.span())
 
 
+def _even(region: str) -> bool:
+    """Lines of one width in whole groups of four letters: read together they are what each is by itself."""
+    width = {len(line.strip(" \t\r>")) for line in region.split("\n")[:-1]}
+    return len(width) == 1 and width.pop() % 4 == 0
+
+
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
     """Base findings, all findings (mapped to the text, each span once) and the number of layers."""
     base = findings(text)
     spans = set(base)
     work: list[Iterator[Layer]] = []  # layers not yet searched, the innermost last; each gives its inner ones in turn
     if _BASE64.search(text) or ("%" in text and _PERCENT.search(text)) or _escaped(text):
-        work.append(inner_layers(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))))
+        work.append(inner_layers(Layer(text, np.arange(len(text), dtype=np.int32), np.arange(1, len(text) + 1, dtype=np.int32))))
     mark = lambda t: xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
     seen, layers = {(mark(text), 0, len(text))}, 0
     while work:
