@@ -326,12 +326,12 @@ def _begins(letters: bytes, at: int) -> bool:
 
 
 def _packed(letters: bytes, at: int) -> Iterator[bytes]:
-    """The windows of a stream in base64, fed only as far as it goes."""
+    """The windows of a stream in base64, fed only as far as it goes; most that look like one are none."""
     if _begins(letters, at):
-        part = Letters()
+        part, size = Letters(), 1024
         while at < len(letters) and not part.over:
-            yield from part.feed(letters[at : at + CHUNK], at + CHUNK >= len(letters))
-            at += CHUNK
+            yield from part.feed(letters[at : at + size], at + size >= len(letters))
+            at, size = at + size, min(CHUNK, 8 * size)
 
 
 def unpack(data: bytes) -> bytes | None:
