@@ -21,22 +21,27 @@ from tidelog.llm.line_dedup import dedup_lines
 from tidelog.llm.mixing import mix
 
 
-#: Tables that the stages before have saved; the next stage deletes them, since by then its docs are written.
-_BEFORE: list[str] = []
+#: Tables that the stage before has saved, by session and input folder; the next stage of that run deletes them.
+_BEFORE: dict[tuple[int, str], list[str]] = {}
 
 
 def stage(function: Callable) -> Callable:
-    """A stage deletes the tables that stages before it saved, and names its own for the next one."""
+    """A stage deletes the tables that the stage before it in the same run saved, once its own docs no longer read them,
+    and names its own for the next one."""
 
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _BEFORE)
-        clean(spark)
+        old = _BEFORE.pop(run_of := (id(spark), sf_dir), [])
+        names = [p.rsplit("/", 1)[1] for p in old]
+        still = any(name in f for f in docs.inputFiles() for name in names) if names else False
+        if not still:
+            release(spark, old)
+            clean(spark)
         before = set(saved_paths())
         try:
             return function(spark, docs, sf_dir)
         finally:
-            _BEFORE[:] = [p for p in saved_paths() if p not in before]
+            _BEFORE[run_of] = [p for p in saved_paths() if p not in before] + (old if still else [])
 
     return run
 
