@@ -71,3 +71,13 @@ def test_near_copies_against_brute_force(spark):
     got = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, DATA).collect()}
     assert got == {d for d in sets if find(d) == d}
     assert 10**9 in got and not {10**9 + 1, 10**9 + 2, 10**9 + 3} & got and 10**9 + 4 in got
+
+
+def test_stages_chained_without_writing(spark):
+    """A stage's result stays readable while another run's stages, and the next ones of its own, are called."""
+    docs = table(spark, DATA, "documents")
+    kept = corpus_pipeline.near_copies(spark, docs, DATA)
+    other = corpus_pipeline.near_copies(spark, docs, DATA.replace("sf0.001", "sf0.01"))
+    last = corpus_pipeline.benchmark(spark, kept, DATA)
+    n = kept.count()
+    assert 0 < last.count() < n < docs.count() and other.count() == n
