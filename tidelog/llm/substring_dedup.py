@@ -32,11 +32,10 @@ WORD = re.compile(f"[{_BLANKLESS}]|[^\x20\x09-\x0d{_BLANKLESS}]+")
 RADIUS, PIECE = 4, 24
 #: Repeats with gaps up to GAP words are a stretch; a passage has one of STRETCH words (it loses a unit on each side).
 GAP, STRETCH = 16, 16
-#: Most units of a longer unit across the place where runs change: such a one has RADIUS + 1 words or more for each unit,
-#: with the halves of units beside it as much as a passage.
-ACROSS = 8
+#: Units on each side, in a longer unit across the place where runs change.
+ACROSS = (1, 2, 4)
 #: Ranges of ids, in each of which the earliest holder of a longer unit is compared with.
-RANGES = 8
+RANGES = 4
 #: Words compared beside a run at once; a run that still grows is compared over GROW times as many next.
 BESIDE, GROW = 16, 8
 ASKED = ("w", "n", "kl", "kr")
@@ -123,7 +122,9 @@ def _documents(docs: DataFrame, id_col: str) -> DataFrame:
     """doc, t, text and their key k, once in buckets by it: rounds of growth read the texts in place and shuffle only what
     they ask for."""
     texts = docs.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64("text").alias("t"), "text")
-    return save_by(texts.withColumn("k", _key()).repartition("k"), "k", "texts")
+    kept = save_by(texts.withColumn("k", _key()).repartition("k"), "k", "texts")
+    clean(docs.sparkSession)
+    return kept
 
 
 def _key() -> Column:
@@ -228,29 +229,29 @@ def _stretches(hits: list[tuple]) -> Iterator[list[list[tuple]]]:
 
 
 def _across(stretch: list[list[tuple]], min_words: int) -> Iterator[tuple]:
-    """(key, w, n) of the longer units, up to ACROSS units, across each place where one run gives way to the next without
-    a gap. Documents that hold such a unit have the same hits there, and so the same key. Two runs that are passages
-    themselves need none."""
+    """(place, key, w, n) of the longer units across each place where one run gives way to the next without a gap.
+    Documents that hold such a unit have the same hits there, and so the same key. Two runs that are passages themselves
+    need none."""
     words = [sum(x[1] for x in run) for run in stretch]
     for i in range(len(stretch) - 1):
         left, right = stretch[i][-1], stretch[i + 1][0]
         if left[0] + left[1] != right[0] or min(words[i], words[i + 1]) >= min_words:
             continue
         before, after = _beyond(stretch, i, -1), _beyond(stretch, i + 1, 1)
-        for a in range(1, min(ACROSS, len(before) + 1)):
-            for b in range(1, min(ACROSS - a, len(after)) + 1):
+        for a in (k for k in ACROSS if k <= len(before)):
+            for b in (k for k in ACROSS if k <= len(after)):
                 unit = before[:a][::-1] + after[:b]
                 # hash() of whole numbers is the same in every process
-                yield hash(tuple(x[1:] for x in unit)), unit[0][0], unit[-1][0] + unit[-1][1] - unit[0][0]
+                yield right[0], hash(tuple(x[1:] for x in unit)), unit[0][0], unit[-1][0] + unit[-1][1] - unit[0][0]
 
 
 def _beyond(stretch: list[list[tuple]], i: int, step: int) -> list[tuple]:
-    """Up to ACROSS hits from the end of run i on, away from its neighbour, as long as they touch."""
+    """Up to ACROSS[-1] hits from the end of run i on, away from its neighbour, as long as they touch."""
     out: list[tuple] = []
-    while 0 <= i < len(stretch) and len(out) < ACROSS:
+    while 0 <= i < len(stretch) and len(out) < ACROSS[-1]:
         for x in stretch[i][::-1] if step < 0 else stretch[i]:
             last = out[-1] if out else None
-            if len(out) == ACROSS or last and (x[0] + x[1] != last[0] if step < 0 else last[0] + last[1] != x[0]):
+            if len(out) == ACROSS[-1] or last and (x[0] + x[1] != last[0] if step < 0 else last[0] + last[1] != x[0]):
                 return out
             out.append(x)
         i += step
@@ -266,7 +267,7 @@ def anchors(found: DataFrame, min_words: int) -> DataFrame:
             for doc, t, hits in zip(b["doc"], b["t"], b["hits"], strict=True):
                 for stretch in _stretches(sorted((x["w"], x["n"], x["kd"], x["kt"], x["kw"]) for x in hits)):
                     out += ((doc, t, r[0][0], sum(x[1] for x in r), *r[0][2:], None) for r in stretch)
-                    out += ((doc, t, w, n, None, None, None, key) for key, w, n in _across(stretch, min_words))
+                    out += ((doc, t, w, n, None, None, place, key) for place, key, w, n in _across(stretch, min_words))
                 if len(out) >= FLUSH:
                     yield {k: [x[i] for x in out] for i, k in enumerate(names)}
                     out = []
@@ -275,13 +276,14 @@ def anchors(found: DataFrame, min_words: int) -> DataFrame:
     names = ("doc", "t", "w", "n", "kd", "kt", "kw", "key")
     grouped = found.groupBy("doc", "t").agg(F.collect_set(F.struct("w", "n", "kd", "kt", "kw")).alias("hits"))
     both = save(map_arrow(grouped, run, "doc bigint, t bigint, w int, n int, kd bigint, kt bigint, kw int, key bigint", 256), "runs")
-    wide = both.where("key IS NOT NULL").select("key", "doc", "t", "w", "n")
+    wide = both.where("key IS NOT NULL").select("key", "doc", "t", "w", "n", F.col("kw").alias("place"))
     # the earliest holder can end sooner than a later one: one of each range of ids is looked at
     edges = [r.edge for r in wide.select(F.explode(F.percentile_approx("doc", [k / RANGES for k in range(1, RANGES)], 1000)).alias("edge")).collect()]
-    part = sum(((F.col("doc") > e).cast("int") for e in edges), F.lit(0))
-    wide = wide.withColumn("part", part)
+    wide = wide.withColumn("part", sum(((F.col("doc") > e).cast("int") for e in edges), F.lit(0)))
     first = wide.groupBy("key", "part").agg(F.min(F.struct("doc", "t", "w")).alias("first")).select("key", F.col("part").alias("kept_part"), F.col("first.doc").alias("kd"), F.col("first.t").alias("kt"), F.col("first.w").alias("kw"))
     later = wide.join(first, "key").where("kept_part <= part AND (doc > kd OR doc = kd AND t > kt)")
+    # of each place the longest one that a document of the range holds
+    later = later.groupBy("doc", "t", "place", "kept_part").agg(F.max_by(F.struct("w", "n", "kd", "kt", "kw"), F.struct("n", "w")).alias("x")).select("doc", "t", "x.*")
     # one of those that lie alike in both documents is enough to grow from
     alike = later.groupBy("doc", "t", "kd", "kt", (F.col("kw") - F.col("w")).alias("shift")).agg(F.min(F.struct("w", "n")).alias("x"))
     return both.where("key IS NULL").drop("key").unionByName(alike.select("doc", "t", "x.w", "x.n", "kd", "kt", (F.col("x.w") + F.col("shift")).alias("kw")))
