@@ -340,6 +340,22 @@ def test_substrings(spark, odd, none):
     assert got == {(5, 0, len(LONG), 6000, 4)} and substring_dedup.repeated_spans(none).count() == 0
 
 
+def test_a_small_language_among_large_ones(spark):
+    """Its words are far rarer than the most frequent ones of the others, which fill the tables."""
+    import random
+
+    rng = random.Random(2)
+    letters = {"aa": "bdfg", "bb": "klmn", "cc": "prst", "small": "vwxz"}
+    word = lambda lang, k: "".join(rng.choice(letters[lang]) + "aeiou"[(k >> j) % 5] for j in range(4))
+    books = {lang: [word(lang, k) for k in range(300)] for lang in letters}
+    rows = [(k, " ".join(rng.choices(books[lang], k=60)), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 100 + ["small"] * 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df, n_words=40, n_grams=60)
+    tests = [(k, " ".join(rng.choices(books[lang], k=8)), lang) for k, lang in enumerate(["small", "aa", "bb", "cc"] * 10)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(tests, "doc_id bigint, text string, lang string"), model).collect()}
+    assert sum(got[k] == lang for k, _, lang in tests) >= 38
+
+
 def plain_repeats(rows, least=51):
     """Per document the words that lie in a passage of so many words that a document before it holds."""
     words = {d: [m.group().lower() for m in substring_dedup.WORD.finditer(t)] for d, t in rows}
@@ -552,6 +568,16 @@ def test_neighbours_of_large_numbers_and_clusters(spark, monkeypatch):
         assert np.allclose(mine.score, d[mine.vec_id.to_numpy()], rtol=1e-12)
 
 
+def test_bridges_reach_every_part():
+    """Far more parts than a node has places for bridges: one node near to all the others."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.zeros((1, 8)), rng.normal(size=(200, 8)) * 100])
+    wide = neighbours._bridge(x, np.full((len(x), 1), -1, np.int32))
+    assert (neighbours._parts(wide) == 0).all()
+    ring = np.concatenate([np.zeros((1, 64)), np.eye(64), -np.eye(64)])
+    assert (neighbours._parts(neighbours._bridge(ring, np.full((len(ring), 1), -1, np.int32))) == 0).all()
+
+
 def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (200, None), (300, [0.0, 0.0]), (400, [float("nan"), 1.0]), (500, [1.0, None]), (None, [1.0, 1.0]), (600, [1.0]), (7, [float("inf"), 0.0]), (0, [1.0, 0.0]), (8, [1.0, 2.0])]
     rows += [(k, [1.0, 0.0]) for k in range(1001, 1060)]

@@ -14,15 +14,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, table
+from .common import crc_mod, map_arrow, save, table
 
 #: Runs of letters; other alphanumerics (digits of any script) end a word.
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 LONGEST = 5
+#: Words and n-grams that each language has in the model, however frequent those of others are.
+OWN = 500
 
 
 @dataclass
@@ -85,7 +87,10 @@ def tables(word_counts: dict[str, dict[str, int]], docs_per_lang: dict[str, int]
         for k, lang in enumerate(langs):
             for x, c in counts[lang].items():
                 by[x][k] += c
-        top = sorted((x for x, v in by.items() if v.sum() >= least), key=lambda x: (-by[x].sum(), x))[:keep]
+        fit = [x for x, v in by.items() if v.sum() >= least]
+        top = dict.fromkeys(sorted(fit, key=lambda x: (-by[x].sum(), x))[:keep])
+        for lang in langs:  # a small language keeps its own
+            top |= dict.fromkeys(sorted((x for x in counts[lang] if by[x].sum() >= least), key=lambda x: (-counts[lang][x], x))[:OWN])
         totals = np.array([max(1, sum(counts[lang].values())) for lang in langs])
         return {x: np.log((by[x] + 0.5) / (totals + 0.5 * len(by))) for x in top}
 
@@ -107,7 +112,8 @@ def tables(word_counts: dict[str, dict[str, int]], docs_per_lang: dict[str, int]
 
 def fit(docs: DataFrame, per_lang: int = 1500, n_words: int = 40_000, n_grams: int = 60_000, max_langs: int = 10_000, id_col: str = "doc_id") -> Model:
     """Fit on labelled rows (id_col, text, lang): about per_lang documents of each of the max_langs most frequent
-    languages, and of the words in them that occur twice or more the 4 * n_words most frequent. Deterministic. The
+    languages, and of the words in them that occur twice or more the 4 * n_words most frequent, and the OWN most frequent of
+    each language, so that a small one has a model among any number of others. Deterministic. The
     sample and the sizes of the model are bounded by these parameters; whatever is predicted sees whole texts. Columns
     named lang_pred or score don't matter here; :func:`identify` replaces them where it keeps columns."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(id_col, "lang", "text")
@@ -127,9 +133,12 @@ def fit(docs: DataFrame, per_lang: int = 1500, n_words: int = 40_000, n_grams: i
 
     counts = map_arrow(chosen.select("lang", "text"), tallies, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    top = counts.where("n >= 2").orderBy(F.desc("n"), "lang", "word").limit(4 * n_words)
-    for r in top.toLocalIterator():
-        by[r.lang][r.word] = r.n
+    often = save(counts.where("n >= 2"), "word-counts")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    own = often.withColumn("r", rank).where(F.col("r") <= OWN).drop("r")
+    for part in (often.orderBy(F.desc("n"), "lang", "word").limit(4 * n_words), own):
+        for r in part.toLocalIterator():
+            by[r.lang][r.word] = r.n
     return tables(by, sizes, n_words, n_grams)
 
 

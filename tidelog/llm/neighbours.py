@@ -78,7 +78,7 @@ def _parts(links: np.ndarray) -> np.ndarray:
 def _bridge(x: np.ndarray, links: np.ndarray) -> np.ndarray:
     """links with bridges: each part gets one to the nearest node outside, round by round, until there is one part."""
     n = len(x)
-    bridges, used = np.full((n, BRIDGES), -1, np.int32), np.zeros(n, int)
+    bridges, used, room = np.full((n, BRIDGES), -1, np.int32), np.zeros(n, int), BRIDGES
     while True:
         part = _parts(np.concatenate([links, bridges], 1))
         if (part == 0).all():
@@ -87,17 +87,17 @@ def _bridge(x: np.ndarray, links: np.ndarray) -> np.ndarray:
         for at in range(0, n, BLOCK):
             d = squared(x[at : at + BLOCK], x)
             d[part[at : at + BLOCK, None] == part[None, :]] = np.inf
-            d[:, used >= BRIDGES] = np.inf
-            d[used[at : at + BLOCK] >= BRIDGES] = np.inf
+            d[:, used >= room] = np.inf
+            d[used[at : at + BLOCK] >= room] = np.inf
             near = d.argmin(1)
             for i, (j, g) in enumerate(zip(near, d[np.arange(len(d)), near], strict=True)):
                 p = int(part[at + i])
                 if np.isfinite(g) and (p not in best or (g, at + i, int(j)) < best[p]):
                     best[p] = (g, at + i, int(j))
         if not best:  # no free place: far more parts than nodes have bridges
-            return np.concatenate([links, bridges], 1)
+            bridges, room = np.concatenate([bridges, np.full((n, BRIDGES), -1, np.int32)], 1), room + BRIDGES
         for _, i, j in sorted(best.values()):
-            if used[i] < BRIDGES and used[j] < BRIDGES:
+            if used[i] < room and used[j] < room:
                 bridges[i, used[i]], bridges[j, used[j]] = j, i
                 used[[i, j]] += 1
 
