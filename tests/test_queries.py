@@ -180,3 +180,11 @@ def test_log_invariants(spark):
         assert {r.target_seq for r in fills} <= blank  # late labels fill, they never change
         named += len(fills)
     assert named
+
+
+def test_chains_of_any_length(spark, tmp_path):
+    from tidelog.operators.align import survivors
+
+    merges = [(k, k - 1) for k in range(1, 300)] + [(1000, 1001), (1001, 1000), (1002, 1001)]
+    got = {r.label: (r.survivor, r.hops) for r in survivors(spark.createDataFrame(merges, "label bigint, target bigint"), str(tmp_path / "s")).collect()}
+    assert all(got[k] == (0, k) for k in range(1, 300)) and {got[k][0] for k in (1000, 1001, 1002)} <= {1000, 1001}

@@ -59,3 +59,20 @@ def centroids(segs: DataFrame, by: str, weight: str) -> DataFrame:
 def ring_mean(segs: DataFrame, session: str, order: str, value: str, size: int = 24) -> DataFrame:
     w = Window.partitionBy(session).orderBy(order).rowsBetween(-(size - 1), 0)
     return segs.withColumn("ring_mean", F.avg(value).over(w))
+
+
+def survivors(merges: DataFrame, root: str) -> DataFrame:
+    """label, survivor, hops of merges (label, target), one for each label: where its chain ends. Chains are followed by
+    doubling, so the longest takes as many rounds as its length has bits; a chain into a cycle ends on it. Each round's
+    table lies below root."""
+    spark = merges.sparkSession
+    merges.select("label", "target", F.lit(1).cast("bigint").alias("hops")).write.parquet(f"{root}/0")
+    now = spark.read.parquet(f"{root}/0")
+    for turn in range(1, now.count().bit_length() + 1):
+        ahead = now.select(F.col("label").alias("target"), F.col("target").alias("further"), F.col("hops").alias("more"))
+        step = now.join(ahead, "target", "left")
+        step.select("label", F.coalesce("further", "target").alias("target"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("further").isNotNull().alias("moved")).write.parquet(f"{root}/{turn}")
+        now = spark.read.parquet(f"{root}/{turn}")
+        if now.where("moved").isEmpty():
+            break
+    return now.select("label", F.col("target").alias("survivor"), "hops")

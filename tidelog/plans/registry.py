@@ -364,15 +364,12 @@ def word_neighbour_label(spark, d):
 
 @query(
     """WITH RECURSIVE m AS (SELECT n_nationkey AS label, n_nationkey // 2 AS target FROM nation WHERE n_nationkey > 0),
-    r AS (SELECT label, target, 1 AS hops FROM m UNION ALL SELECT r.label, m.target, hops + 1 FROM r JOIN m ON r.target = m.label WHERE hops < 64)
+    r AS (SELECT label, target, 1 AS hops FROM m UNION ALL SELECT r.label, m.target, hops + 1 FROM r JOIN m ON r.target = m.label)
     SELECT label, arg_max(target, hops) AS survivor, max(hops)::BIGINT AS hops FROM r GROUP BY label"""
 )
 def merge_chain(spark, d):
     m = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("label"), F.expr("n_nationkey div 2").cast("bigint").alias("target")).where("label > 0")
-    q = """WITH RECURSIVE r(label, target, hops) AS (SELECT label, target, 1 FROM {m} UNION ALL
-      SELECT r.label, m.target, r.hops + 1 FROM r JOIN {m} m ON r.target = m.label WHERE r.hops < 64)
-      SELECT label, max_by(target, hops) AS survivor, cast(max(hops) AS bigint) AS hops FROM r GROUP BY label"""
-    return spark.sql(q, m=m)
+    return align.survivors(m, runner.shared_root(spark, "survivors"))
 
 
 @query(with_(SEG_SQL) + "SELECT session, i, round(avg(embedding[1]) OVER (PARTITION BY session ORDER BY i ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS ring_mean FROM seg")
