@@ -151,6 +151,8 @@ def test_recordings_of_a_stream(spark, frames, tmp_path):
     wavs = {r.session_id: parse_wav(bytes(r.wav)) for r in recordings(sink.chunks(spark)).collect()}
     whole = {r.session_id: b"".join(bytes(x.pcm) for x in r.x) for r in frames.where("kind = 'audio'").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "pcm"))).alias("x")).collect()}
     assert wavs == {k: (v, []) for k, v in whole.items()}
+    sink.write(spark, f"{tmp_path}/files")
+    assert {int(p.stem): parse_wav(p.read_bytes()) for p in (tmp_path / "files").glob("*.wav")} == wavs
 
 
 def test_pieces_in_keyed_state(spark, tmp_path):

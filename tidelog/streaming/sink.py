@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.protocol import encode
+from ..sources.recordings import write_recordings
 
 
 @dataclass
@@ -84,7 +85,7 @@ class FrameSink:
 @dataclass
 class RecordingSink:
     """For writeStream.foreachBatch: audio rows (session_id, chunk_no, pcm) kept once each; a repeated batch writes over
-    itself. :func:`recordings` of what :meth:`chunks` reads gives the files."""
+    itself. :meth:`write` makes a file of each session, without a session in one row."""
 
     path: str
 
@@ -94,3 +95,7 @@ class RecordingSink:
 
     def chunks(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path).drop("batch").dropDuplicates(["session_id", "chunk_no"])
+
+    def write(self, spark: SparkSession, folder: str) -> None:
+        session = F.col("session_id").cast("string").alias("session")
+        write_recordings(self.chunks(spark).select(session, "chunk_no", F.col("chunk").alias("pcm")), folder)
