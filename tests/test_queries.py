@@ -188,3 +188,7 @@ def test_chains_of_any_length(spark, tmp_path):
     merges = [(k, k - 1) for k in range(1, 300)] + [(1000, 1001), (1001, 1000), (1002, 1001)]
     got = {r.label: (r.survivor, r.hops) for r in survivors(spark.createDataFrame(merges, "label bigint, target bigint"), str(tmp_path / "s")).collect()}
     assert all(got[k] == (0, k) for k in range(1, 300)) and {got[k][0] for k in (1000, 1001, 1002)} <= {1000, 1001}
+
+
+def test_session_flags_keep_the_factor(spark):
+    assert all(r.factor > 0 for r in registry.QUERIES["session_flags"](spark, DATA).select("factor").collect())
