@@ -192,3 +192,33 @@ def test_chains_of_any_length(spark, tmp_path):
 
 def test_session_flags_keep_the_factor(spark):
     assert all(r.factor > 0 for r in registry.QUERIES["session_flags"](spark, DATA).select("factor").collect())
+
+
+def test_polish_leaves_a_currency_behind_a_number(spark, duck, tmp_path):
+    """The ninth and tenth word of a conversation are spoken numbers; the word behind them is a currency."""
+    text = " ".join(["word"] * 11 + ["dollar", "percent", "May", "first."])
+    spark.createDataFrame([(1, 0, "user", text), (2, 0, "user", text.replace("dollar", "euros"))], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.after for r in registry.QUERIES["polish_utterances"](spark, str(tmp_path)).collect()}
+    sql = registry.ORACLES["polish_utterances"].replace("FROM conversations", f"FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == {r[0]: r[2] for r in duck.sql(sql).fetchall()} and "25 dollar percent" in got[1] and "25 euros" in got[2]
+
+
+def test_a_pass_looks_at_its_own_words_only():
+    class Heard(list):
+        looked = 0
+
+        def __getitem__(self, key):
+            found = super().__getitem__(key)
+            Heard.looked += len(found) if isinstance(key, slice) else 1
+            return found
+
+        def __iter__(self):
+            Heard.looked += len(self)
+            return super().__iter__()
+
+    words = Heard({"text": f"w{k}", "audio_start": k * 0.3, "audio_end": (k + 1) * 0.3} for k in range(3000))
+    transcribe, Heard.looked = registry._transcriber(words), 0
+    for at in range(30, 900):
+        got = transcribe(at - 28.0, float(at))
+        assert got and all(w["audio_start"] >= at - 28.0 and w["audio_end"] <= at + 1e-6 for w in got) and got[-1]["text"] in (f"w{int(at / 0.3) - 1}"[:1], f"w{round(at / 0.3) - 1}"[:1])
+    assert Heard.looked < 870 * 100
