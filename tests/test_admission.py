@@ -73,3 +73,18 @@ def test_rolling_audio_is_the_end_of_what_came(spark):
     got = rolling_audio(frames, F.col("chunk_no") % 7 == 3, 0.5).collect()
     assert got and all(bytes(r.pcm) == by[r.session_id, r.chunk_no] for r in got)
     assert len(got) == sum(k % 7 == 3 for _, k in by)
+
+
+def test_rounds_of_a_chain_of_long_sessions(spark, tmp_path, monkeypatch):
+    """Sessions that fit so tightly that the first decides on the last: rounds grow with the bits of the number of buckets."""
+    import glob
+
+    from tidelog.operators import admission
+
+    monkeypatch.setattr(admission, "SESSIONS_LONG", 0.1)
+    monkeypatch.setattr("tidelog.plans.runner.shared_root", lambda spark, name: f"{tmp_path}/{name}")
+    rows = [(0, k, float(k), k + 2.0) for k in range(256)] + [(1, 1000 + k, k / 10, k / 10 + 7.05) for k in range(300)]
+    df = spark.createDataFrame(rows, "server int, session_id int, start double, end double")
+    got = {(r.server, r.session_id): r.admitted for r in admitted(df, 1, bucket_rows=3).collect()}
+    assert got == plain_sweep(rows, 1)
+    assert 2 <= len([p for p in glob.glob(f"{tmp_path}/admission/*") if not p.endswith("rows")]) <= 9
