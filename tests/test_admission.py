@@ -88,3 +88,16 @@ def test_rounds_of_a_chain_of_long_sessions(spark, tmp_path, monkeypatch):
     got = {(r.server, r.session_id): r.admitted for r in admitted(df, 1, bucket_rows=3).collect()}
     assert got == plain_sweep(rows, 1)
     assert 2 <= len([p for p in glob.glob(f"{tmp_path}/admission/*") if not p.endswith("rows")]) <= 9
+
+
+def test_rolling_scores_ship_no_audio(spark):
+    """Scores equal those of the tails, and only frames cross to Python, never tails."""
+    from tidelog.plans.audio import completeness_udf, rolling_audio, rolling_scores
+    from tidelog.streaming.models import SilenceTurns
+
+    pcm = F.unhex(F.repeat(F.when(F.col("id") % 3 == 0, "0100").otherwise("d007"), 640))
+    frames = spark.range(900).select((F.col("id") % 2).alias("session_id"), F.floor(F.col("id") / 2).alias("chunk_no"), pcm.alias("pcm"))
+    wanted = F.col("chunk_no") % 7 == 3
+    want = {(r.session_id, r.chunk_no): r.s for r in rolling_audio(frames, wanted, 0.8).select("session_id", "chunk_no", completeness_udf("silence", SilenceTurns)("text", "pcm").alias("s")).collect()}
+    scores = rolling_scores(frames, wanted, "silence", SilenceTurns, 0.8)
+    assert {(r.session_id, r.chunk_no): r.score for r in scores.collect()} == want and scores.columns == ["session_id", "chunk_no", "score"]
