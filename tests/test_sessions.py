@@ -273,3 +273,14 @@ def test_a_merge_compares_only_centroids_that_are_new(monkeypatch):
     plain = state.cosine
     monkeypatch.setattr(state, "cosine", lambda *a: calls.append(1) or plain(*a))
     assert t.observe(seg(7, 100.0)) == ("H", "") and len(calls) == 30 + 29
+
+
+def test_sessions_are_dealt_by_the_text_and_not_joined(spark, monkeypatch):
+    """However small their compressed rows are, words and audio stay in as many partitions as the text asks for."""
+    from tidelog.plans import audio
+    from tidelog.sources import adapters
+
+    monkeypatch.setattr(adapters, "TASK_LETTERS", 5_000)
+    parts = adapters.session_parts(spark, DATA)
+    assert parts > 4 and adapters.words(spark, DATA).rdd.getNumPartitions() == parts
+    assert audio.in_order(adapters.audio_frames(spark, DATA), parts).rdd.getNumPartitions() == parts

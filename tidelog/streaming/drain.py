@@ -70,7 +70,7 @@ def drained(rows: DataFrame, idle: float | None = None) -> DataFrame:
     return keyed(rows, PIECES, idle, PieceDrain, CHUNK)
 
 
-def drained_batch(rows: DataFrame) -> DataFrame:
+def drained_batch(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """The same of a table; a task holds one session's open word and the words of its last seconds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,5 +81,6 @@ def drained_batch(rows: DataFrame) -> DataFrame:
                     now, drain = key, Pieces()
                 yield _frame([chunk_of(drain, r) for r in chunk_dicts(group)])
 
-    dealt = rows.where("session_id IS NOT NULL").select(*(f.split()[0] for f in PIECES.split(", "))).repartition("session_id").sortWithinPartitions("session_id", "chunk_no")
+    kept = rows.where("session_id IS NOT NULL").select(*(f.split()[0] for f in PIECES.split(", ")))
+    dealt = (kept.repartition("session_id") if parts is None else kept.repartition(parts, "session_id")).sortWithinPartitions("session_id", "chunk_no")
     return dealt.mapInPandas(run, CHUNK)
