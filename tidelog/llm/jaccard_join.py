@@ -296,33 +296,39 @@ def _long_lists(sets: DataFrame, comp: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def _pivot_rounds(sets: DataFrame, long: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Resolves the lists; see the module's head."""
-    done, width, tested = None, PIVOTS, None
-    while True:
+    """Resolves the lists; see the module's head. Members of a list have a fixed turn in it, and pivots are those of the
+    next turns. A list's main component is the one that was largest behind the first round, with what it has merged with:
+    who is outside it now has been outside it in each round before, so that its turn tells whether it has been a pivot."""
+    turn = Window.partitionBy("h").orderBy(F.xxhash64("doc"), "doc")
+    long = save(long.withColumn("turn", F.row_number().over(turn)), "turns")
+    most = long.agg(F.max("turn").alias("m")).first().m or 0
+    main, before, width, tested = None, 0, PIVOTS, None
+    while before < most:
         now = long.join(comp.withColumnRenamed("id", "doc"), "doc")
-        sizes = now.groupBy("h", "c").agg(F.count("*").alias("k"))
-        largest = sizes.groupBy("h").agg(F.max(F.struct("k", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("x.c").alias("main"))
-        open_ = now.join(largest, "h")
-        # in the first round any member may be a pivot, later those outside the largest component
-        may = open_ if done is None else open_.where("c <> main").join(done, ["h", "doc"], "left_anti")
-        turn = Window.partitionBy("h").orderBy(F.xxhash64("doc"), "doc")
-        chosen = save(may.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= width).select("h", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("c").alias("pc"), F.col("bits").alias("pb")), "pivots")
-        if not chosen.limit(1).count():
-            return comp
+        if main is None:
+            apart = now.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+            open_, may = now.join(apart, "h"), F.lit(True)
+        else:
+            open_, may = now.join(main.join(comp.select("id", F.col("c").alias("main")), "id").drop("id"), "h"), F.col("c") != F.col("main")
+        ripe = may & (F.col("turn") > before) & (F.col("turn") <= width)
+        chosen = save(open_.where(ripe).select("h", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("c").alias("pc"), F.col("bits").alias("pb")), "pivots")
         # every pair meets in the list of its first common shingle; in another list it may be left out
         able = _reaches(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"), percent) & _near(F.col("n"), F.col("bits"), F.col("pn"), F.col("pb"), percent)
-        asked = open_.join(chosen, "h").where((F.col("c") != F.col("pc")) & able)
-        pairs = asked.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
-        pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        fresh = chosen.select("h", F.col("p").alias("doc"))
-        done = fresh if done is None else done.union(fresh)
-        width *= 4
-        if not pairs.limit(1).count():
-            continue
-        new = save(verify(sets, pairs, percent), "links")
-        old = comp.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
-        comp = save(components(comp, old.union(new)), "components")
+        if chosen.limit(1).count():
+            asked = open_.join(chosen, "h").where((F.col("c") != F.col("pc")) & able)
+            pairs = asked.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+            pairs = save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = pairs if tested is None else tested.union(pairs)
+            if pairs.limit(1).count():
+                new = save(verify(sets, pairs, percent), "links")
+                old = comp.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
+                comp = save(components(comp, old.union(new)), "components")
+        if main is None:
+            sizes = long.join(comp.withColumnRenamed("id", "doc"), "doc").groupBy("h", "c").agg(F.count("*").alias("k"))
+            largest = sizes.groupBy("h").agg(F.max(F.struct("k", "c")).alias("x"), F.count("*").alias("parts"))
+            main = save(largest.where("parts > 1").select("h", F.col("x.c").alias("id")), "mains")
+        before, width = width, width + 4 * (width - before)
+    return comp
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
