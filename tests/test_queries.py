@@ -222,3 +222,60 @@ def test_a_pass_looks_at_its_own_words_only():
         got = transcribe(at - 28.0, float(at))
         assert got and all(w["audio_start"] >= at - 28.0 and w["audio_end"] <= at + 1e-6 for w in got) and got[-1]["text"] in (f"w{int(at / 0.3) - 1}"[:1], f"w{round(at / 0.3) - 1}"[:1])
     assert Heard.looked < 870 * 100
+
+
+@pytest.mark.parametrize("name", ["recording_chunks", "mixed_turns", "gate_from_folder"])
+def test_files_of_one_wave_at_once(spark, duck, monkeypatch, name):
+    """Sessions are written, read and deleted in waves; the rows are those of all sessions."""
+    from pathlib import Path
+
+    from pyspark.sql import DataFrameWriter
+
+    from tidelog.sources import adapters
+
+    shared, saved = Path(spark.conf.get("spark.checkpoint.dir")), DataFrameWriter.parquet
+    before, seen = set(shared.rglob("*.wav")), []
+
+    def parquet(self, path, *args, **named):
+        seen.append(frozenset(set(shared.rglob("*.wav")) - before))
+        return saved(self, path, *args, **named)
+
+    monkeypatch.setattr(adapters, "WAVE_LETTERS", 10_000)
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", parquet)
+    mine, other = same_rows(registry.QUERIES[name](spark, DATA), duck, registry.ORACLES[name])
+    assert mine == other and len(seen) >= 3 and set(shared.rglob("*.wav")) == before
+    assert all(seen) and sum(map(len, seen)) == len(frozenset().union(*seen))  # no file in two waves
+
+
+def test_audio_of_a_clip_is_made_once(spark):
+    """Before, Spark put the expression of the audio where its seconds are asked for: at each of a clip's words."""
+    from tidelog.sources.fixtures import cut_clips
+
+    plan = cut_clips(registry._turn_clips(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unhex(") == 1
+
+
+def test_hypotheses_are_read_by_their_flat_parts():
+    import pyarrow as pa
+
+    word = lambda k: {"text": f"w{k}", "audio_start": 0.1 * k, "audio_end": 0.1 * k + 0.1, "confidence": 0.5}
+    lists = [[], [word(1), word(2)], None, [word(3)]]
+    kind = pa.list_(pa.struct([("text", pa.string()), ("audio_start", pa.float64()), ("audio_end", pa.float64()), ("confidence", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, kind)], names=["stable"])
+    assert registry._heard(batch, "stable") == [[], lists[1], [], lists[3]]
+    assert registry._heard(batch.slice(1, 3), "stable") == [lists[1], [], lists[3]]
+
+
+def test_commit_policy_over_batches(spark):
+    """The state of a session lasts from batch to batch."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = lambda s: sorted(map(tuple, registry.QUERIES["commit_policy"](s, DATA).collect()))
+    assert rows(own) == rows(spark)
+
+
+@pytest.mark.parametrize("name", ["wer_comparable", "wer_pairs", "corpus_wer"])
+def test_whole_texts_come_in_small_batches(spark, name):
+    own = spark.newSession()
+    registry.QUERIES[name](own, DATA)
+    assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= N.BATCH_BYTES

@@ -84,3 +84,16 @@ def test_written_files_are_whole(spark, folder, tmp_path):
     write_recordings(df, str(tmp_path / "out"))
     assert {p.stem: p.read_bytes() for p in (tmp_path / "out").rglob("*.wav")} == {k: wav_bytes(pcm) for k, pcm in files.items() if pcm}
     assert not list((tmp_path / "out").glob("_attempt*"))
+
+
+def test_short_files_share_a_task(tmp_path):
+    """Before, each file and each split was a task."""
+    from tidelog.sources.recordings import Chunked
+
+    for k in range(500):
+        (tmp_path / f"{k}.wav").write_bytes(wav_bytes(b"\1\0" * 50))
+    source = Chunked(str(tmp_path), 64, 40)
+    splits = source.splits(source.listed())
+    packs = source.packs(splits)
+    assert len(packs) < 70 < len(splits) and [s for p in packs for s in p.splits] == splits
+    assert sum(b.num_rows for p in packs for b in source.batches(p)) == 500 * 2

@@ -8,18 +8,24 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import chain
 
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..schema import SAMPLE_RATE
 
 CHUNKS = "path string, session string, chunk_no bigint, begin bigint, pcm binary, problems array<string>"
-#: Bytes of a file that one task reads, of a header that is looked through, and of a copy at a time.
+_ARROW = pa.schema([("path", pa.string()), ("session", pa.string()), ("chunk_no", pa.int64()), ("begin", pa.int64()), ("pcm", pa.binary()), ("problems", pa.list_(pa.string()))])
+#: Bytes of a file that one task reads, of a header that is looked through, and of a read or copy at a time.
 SPLIT_BYTES, HEADER_BYTES, BLOCK = 64 << 20, 1 << 16, 1 << 20
+#: What opening a file counts for where splits are dealt to tasks, tasks of a read at least, rows of a batch, and files moved at once.
+OPEN_BYTES, LEAST_TASKS, BATCH_ROWS, MOVES = 1 << 16, 32, 10_000, 16
 
 
 def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -60,6 +66,13 @@ class Split(InputPartition):
     last: int
 
 
+@dataclass
+class Pack(InputPartition):
+    """Splits that one task reads, one behind another: short files and splits don't cost a task each."""
+
+    splits: list[Split]
+
+
 @dataclass
 class Chunked:
     """What both readers do: list files, cut them into splits, read the chunks that begin in a split."""
@@ -76,6 +89,28 @@ class Chunked:
     def splits(self, files: list[tuple[int, str, int]]) -> list[Split]:
         return [Split(path, size, a, min(size, a + self.split_bytes)) for _, path, size in files for a in range(0, max(size, 1), self.split_bytes)]
 
+    def packs(self, splits: list[Split]) -> list[Pack]:
+        costs = [s.last - s.first + OPEN_BYTES for s in splits]
+        most, packs, held = min(SPLIT_BYTES, sum(costs) // LEAST_TASKS), [], 0
+        for s, cost in zip(splits, costs, strict=True):
+            if not packs or held + cost > most:
+                packs.append(Pack([]))
+                held = 0
+            packs[-1].splits.append(s)
+            held += cost
+        return packs
+
+    def batches(self, pack: Pack) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for row in chain.from_iterable(map(self.chunks, pack.splits)):
+            rows.append(row)
+            n += len(row[4] or b"")
+            if n >= BLOCK or len(rows) >= BATCH_ROWS:
+                yield _batch(rows)
+                rows, n = [], 0
+        if rows:
+            yield _batch(rows)
+
     def chunks(self, split: Split) -> Iterator[tuple]:
         fs, _ = file_system(self.root)
         session = split.path.rsplit("/", 1)[-1].removesuffix(".wav")
@@ -87,21 +122,28 @@ class Chunked:
                 return
             k = max(0, -(-(split.first - start) // self.chunk_bytes))
             at = start + k * self.chunk_bytes
-            while at < min(end, split.last):
-                pcm = f.read_at(min(self.chunk_bytes, end - at), at)
-                yield split.path, session, k, k * self.chunk_bytes // 2, pcm, []
-                k, at = k + 1, at + self.chunk_bytes
+            stop = min(end, split.last)
+            while at < stop:
+                n = min(max(1, BLOCK // self.chunk_bytes), -(-(stop - at) // self.chunk_bytes))
+                block = f.read_at(min(n * self.chunk_bytes, end - at), at)
+                for i in range(0, n * self.chunk_bytes, self.chunk_bytes):
+                    yield split.path, session, k, k * self.chunk_bytes // 2, block[i : i + self.chunk_bytes], []
+                    k, at = k + 1, at + self.chunk_bytes
+
+
+def _batch(rows: Iterable[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 class BatchReader(DataSourceReader):
     def __init__(self, source: Chunked) -> None:
         self.source = source
 
-    def partitions(self) -> list[Split]:
-        return self.source.splits(self.source.listed()) or [Split("", 0, 0, 0)]
+    def partitions(self) -> list[Pack]:
+        return self.source.packs(self.source.splits(self.source.listed())) or [Pack([])]
 
-    def read(self, partition: Split) -> Iterator[tuple]:
-        return self.source.chunks(partition) if partition.path else iter(())
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
+        return self.source.batches(partition)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -117,67 +159,78 @@ class StreamReader(DataSourceStreamReader):
         files = self.source.listed()
         return {"mtime": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Split]:
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
         place = lambda o: (o["mtime"], o["path"])
-        return self.source.splits([f for f in self.source.listed() if place(start) < f[:2] <= place(end)])
+        return self.source.packs(self.source.splits([f for f in self.source.listed() if place(start) < f[:2] <= place(end)]))
 
-    def read(self, partition: Split) -> Iterator[tuple]:
-        return self.source.chunks(partition)
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
+        return self.source.batches(partition)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    moves: list[tuple[str, str]]
+    folder: str
 
 
-class RecordingWriter(DataSourceWriter):
-    """One file for each session, of rows (session, chunk_no, pcm) that lie together and in order. Samples go to a file
-    beside it first, since a header says how many there are; files move to their place when the whole write is done."""
+class RecordingWriter(DataSourceArrowWriter):
+    """One file for each session, of rows (session, chunk_no, pcm) that lie together and in order. A header says how many
+    samples there are, so those of a short session wait in memory, and those of a longer one go to a file beside it first;
+    files move to their place when the whole write is done."""
 
     def __init__(self, root: str, overwrite: bool) -> None:
         self.root, self.overwrite = root.rstrip("/"), overwrite
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, base = file_system(self.root)
-        own, moves = f"{base}/_attempt-{uuid.uuid4().hex}", []
+        own = f"{base}/_attempt-{uuid.uuid4().hex}"
         fs.create_dir(own)
         now = out = None
-        n = 0
+        held, n = bytearray(), 0
 
         def done() -> None:
-            out.close()
-            with fs.open_input_file(f"{own}/{now}.pcm") as samples, fs.open_output_stream(f"{own}/{now}.wav", compression=None) as wav:
+            with fs.open_output_stream(f"{own}/{now}.wav", compression=None) as wav:
                 wav.write(header(n))
-                while block := samples.read(BLOCK):
-                    wav.write(block)
-            fs.delete_file(f"{own}/{now}.pcm")
-            moves.append((f"{own}/{now}.wav", f"{base}/{now}.wav"))
-
-        for row in iterator:
-            if out is None or str(row["session"]) != now:
                 if out is not None:
-                    done()
-                now, n = str(row["session"]), 0
-                out = fs.open_output_stream(f"{own}/{now}.pcm", compression=None)
-            if row["pcm"] is not None:
-                out.write(bytes(row["pcm"]))
-                n += len(row["pcm"])
-        if out is not None:
+                    out.close()
+                    with fs.open_input_file(f"{own}/{now}.pcm") as samples:
+                        while block := samples.read(BLOCK):
+                            wav.write(block)
+                wav.write(bytes(held))
+            if out is not None:
+                fs.delete_file(f"{own}/{now}.pcm")
+
+        for batch in iterator:
+            for session, pcm in zip(batch.column("session").to_pylist(), batch.column("pcm").to_pylist(), strict=True):
+                if str(session) != now:
+                    if now is not None:
+                        done()
+                    now, out, held, n = str(session), None, bytearray(), 0
+                held += pcm or b""
+                n += len(pcm or b"")
+                if len(held) >= BLOCK:
+                    out = out or fs.open_output_stream(f"{own}/{now}.pcm", compression=None)
+                    out.write(bytes(held))
+                    held = bytearray()
+        if now is not None:
             done()
-        return Written(moves)
+        return Written(own)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, base = file_system(self.root)
-        moves = [m for w in messages if w for m in w.moves]
-        for source, target in moves:
-            fs.move(source, target)
-        for folder in {source.rsplit("/", 1)[0] for source, _ in moves}:
+
+        def settle(folder: str) -> None:
+            for f in fs.get_file_info(arrow_fs.FileSelector(folder)):
+                fs.move(f.path, f"{base}/{f.base_name}")
             fs.delete_dir(folder)
 
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(settle, [w.folder for w in messages if w]))
+
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = file_system(self.root)
-        for folder in {m[0].rsplit("/", 1)[0] for w in messages if w for m in w.moves}:
-            fs.delete_dir(folder)
+        for w in messages:
+            if w:
+                fs.delete_dir(w.folder)
 
 
 class Recordings(DataSource):
@@ -203,15 +256,17 @@ class Recordings(DataSource):
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
         return StreamReader(self._chunked())
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return RecordingWriter(self.options["path"], overwrite)
 
 
-def write_recordings(chunks, path: str) -> None:
-    """A WAV file for each session of rows (session, chunk_no, pcm)."""
+def write_recordings(chunks, path: str, parts: int | None = None) -> None:
+    """A WAV file for each session of rows (session, chunk_no, pcm). parts: how many tasks write; else as Spark finds fit by
+    the compressed size, which for audio can be far too few."""
     chunks.sparkSession.dataSource.register(Recordings)
-    dealt = chunks.select("session", "chunk_no", "pcm").repartition("session").sortWithinPartitions("session", "chunk_no")
-    dealt.write.format("tidelog_recordings").mode("append").save(path)
+    rows = chunks.select("session", "chunk_no", "pcm")
+    dealt = rows.repartition("session") if parts is None else rows.repartition(parts, "session")
+    dealt.sortWithinPartitions("session", "chunk_no").write.format("tidelog_recordings").mode("append").save(path)
 
 
 def read_recordings(spark, path: str, seconds: float = 0.02, split_bytes: int = SPLIT_BYTES, stream: bool = False):
