@@ -46,32 +46,36 @@ def mixed(turns: DataFrame, gap: float = GAP, most: float = MOST_TURN, tail: flo
     return audio.unionByName(ends), truth
 
 
-def write_mixed(turns: DataFrame, path: str, **limits: float) -> None:
-    """path/audio/<session>.wav and path/truth/session_id=<session>."""
+def write_mixed(turns: DataFrame, path: str, parts: int | None = None, **limits: float) -> None:
+    """path/audio/<session>.wav, written by so many tasks, and path/truth/session_id=<session>."""
     audio, truth = mixed(turns, **limits)
-    write_recordings(audio, f"{path}/audio")
+    write_recordings(audio, f"{path}/audio", parts)
     write_truth(truth, f"{path}/truth")
 
 
 def cut_clips(clips: DataFrame) -> DataFrame:
     """stem, incomplete, complete, cut_after, cut_at, pcm and cut of clips (stem, pcm, words: text and audio_end): those of
     a fit length, cut behind the first function word in their middle."""
-    seconds = samples_of(F.col("pcm")) / SAMPLE_RATE
+    # a generator's rows are made once; Spark would put the expression of a clip's audio wherever its seconds are asked for,
+    # which is at each of its words
+    once = lambda df, name, c: df.select(*(x for x in df.columns if x != name), F.explode(F.array(c)).alias(name))
+    clips = once(once(clips, "pcm", F.col("pcm")), "seconds", samples_of(F.col("pcm")) / SAMPLE_RATE)
     bare = lambda w: F.regexp_replace(F.lower(w["text"]), r"^[.,]+|[.,]+$", "")
     inside = F.filter("words", lambda w: (w["audio_end"] / F.col("seconds")).between(*CUT) & bare(w).isin(*FUNCTION_WORDS))
-    fit = clips.withColumn("seconds", seconds).where(F.col("seconds").between(*CLIP_SECONDS) & (F.size("words") >= CLIP_WORDS))
+    fit = clips.where(F.col("seconds").between(*CLIP_SECONDS) & (F.size("words") >= CLIP_WORDS))
     found = fit.withColumn("at", F.get(inside, F.lit(0))).where("at IS NOT NULL")
     name = lambda kind: F.concat("stem", F.lit(f"_{kind}.wav")).alias(kind)
     upto = F.expr(f"substring(pcm, 1, CAST(at.audio_end * {SAMPLE_RATE} + 1e-6 AS INT) * 2)").alias("cut")
     return found.select("stem", name("incomplete"), name("complete"), F.col("at.text").alias("cut_after"), F.round("at.audio_end", 3).alias("cut_at"), "pcm", upto)
 
 
-def write_pairs(clips: DataFrame, path: str, tail: float = TAIL) -> None:
-    """path/index (JSON lines) and path/audio: each fit clip whole and cut, with silence behind both."""
+def write_pairs(clips: DataFrame, path: str, tail: float = TAIL, parts: int | None = None) -> None:
+    """path/index (JSON lines) and path/audio, written by so many tasks: each fit clip whole and cut, with silence behind
+    both."""
     items = cut_clips(clips)
     both = items.select(F.explode(F.array(F.struct(F.col("incomplete").alias("name"), F.col("cut").alias("pcm")), F.struct(F.col("complete").alias("name"), "pcm"))).alias("x"))
     rows = F.array(F.struct(F.lit(0).cast("bigint").alias("chunk_no"), F.col("x.pcm").alias("pcm")), F.struct(F.lit(1).cast("bigint").alias("chunk_no"), silence(tail).alias("pcm")))
-    write_recordings(both.select(F.regexp_replace("x.name", r"\.wav$", "").alias("session"), F.inline(rows)), f"{path}/audio")
+    write_recordings(both.select(F.regexp_replace("x.name", r"\.wav$", "").alias("session"), F.inline(rows)), f"{path}/audio", parts)
     items.drop("pcm", "cut").write.mode("overwrite").json(f"{path}/index")
 
 
@@ -82,16 +86,21 @@ def pair_scores(spark: SparkSession, path: str, name: str, make: Callable[[], Tu
     sides = F.array(*(F.struct(F.col(c).alias("file"), F.lit(c == "complete").alias("complete")) for c in ("incomplete", "complete")))
     asked = items.select("stem", F.inline(sides))
     audio = read_wavs(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "pcm", "problems")
-    both = asked.join(audio, "file", "left")
     bytes_left = F.greatest(F.octet_length("pcm") - int(tail * SAMPLE_RATE) * 2, F.lit(0))
-    speech = both.withColumn("pcm", F.when(F.col("pcm").isNotNull(), F.substring(F.col("pcm"), F.lit(1), bytes_left)))
-    problems = F.when(F.col("problems").isNull(), F.array(F.lit("no such file"))).otherwise(F.col("problems"))
+    speech = audio.withColumn("pcm", F.when(F.col("pcm").isNotNull(), F.substring(F.col("pcm"), F.lit(1), bytes_left)))
     score = completeness_udf(name, make)(F.lit(""), "pcm")
-    return speech.withColumn("score", score).select("stem", "complete", F.when(F.col("pcm").isNotNull(), F.col("score")).alias("score"), problems.alias("problems"))
+    scored = speech.withColumn("score", score).select("file", F.when(F.col("pcm").isNotNull(), F.col("score")).alias("score"), "problems")
+    # scores meet their items, audio stays where it is read
+    problems = F.when(F.col("problems").isNull(), F.array(F.lit("no such file"))).otherwise(F.col("problems"))
+    return asked.join(scored, "file", "left").select("stem", "complete", "score", problems.alias("problems"))
 
 
 def gate_report(spark: SparkSession, path: str, name: str, make: Callable[[], TurnDetector], policies: DataFrame, index: str = "index") -> DataFrame:
-    """The endpoint report of each policy over an index folder; clips without a score count in `unread`."""
-    scores = pair_scores(spark, path, name, make, index=index)
+    """The endpoint report of each policy over an index folder."""
+    return scores_report(pair_scores(spark, path, name, make, index=index), policies)
+
+
+def scores_report(scores: DataFrame, policies: DataFrame) -> DataFrame:
+    """The endpoint report of each policy over scores of clips; those without a score count in `unread`."""
     report = endpoint_report(scores.where("score IS NOT NULL").select("score", "complete"), policies)
     return report.crossJoin(F.broadcast(scores.agg(F.count_if(F.col("score").isNull()).alias("unread"))))  # one row
