@@ -37,7 +37,7 @@ class Commits:
 
     def _open(self, words: list[dict]) -> list[dict]:
         fresh = [w for w in words if w["audio_start"] + EPS >= self.frontier and (round(w["audio_start"], 4), w["text"]) not in self.seen]
-        return [w for _, w in sorted(enumerate(fresh), key=lambda x: (x[1]["audio_start"], x[0]))]
+        return sorted(fresh, key=lambda w: w["audio_start"]) if len(fresh) > 1 else fresh
 
     def _commit(self, words: list[dict]) -> list[dict]:
         out = []
@@ -47,7 +47,8 @@ class Commits:
             out.append(w)
             self.frontier = max(self.frontier, w["audio_end"])
             self.seen.add((round(w["audio_start"], 4), w["text"]))
-        self.seen = {k for k in self.seen if k[0] + 1 >= self.frontier}
+        if out:
+            self.seen = {k for k in self.seen if k[0] + 1 >= self.frontier}
         return out
 
     def take(self, stable: list[dict], tentative: list[dict], at: float, fragment: bool = False) -> list[dict]:
