@@ -161,3 +161,24 @@ def test_clustering_against_plain(spark):
     huge = spark.createDataFrame([(1, [1e9, 0.0, 0.0])], "vec_id bigint, embedding array<double>")
     with pytest.raises(Exception, match="leave a long"):
         clustering.cluster_vectors(huge, dims=3).collect()
+
+
+def test_terms_are_counted_in_their_task(monkeypatch):
+    """The runs of letters as the pattern says, and the same sums however often a task passes counts on."""
+    import collections
+    import re
+
+    from tidelog.llm import divergence
+
+    text = "Ünï-code A1b2 naïve\x00x\x7f y z \U0001f600end İK DON'T don't\n"
+    want = [m.encode() for m in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+    assert divergence.terms(text.encode()) == want and divergence.terms(None) == []
+    batches = [{"lang": ["a", "b"], "source": ["s", "s"], "text": [text.encode(), f"x y x w{k}".encode()]} for k in range(50)]
+    for most in (1, 20, 10_000):
+        monkeypatch.setattr(divergence, "MOST_HELD", most)
+        n, df = collections.Counter(), collections.Counter()
+        for out in divergence._counted(iter(batches)):
+            for lang, term, a, b in zip(out["lang"], out["term"], out["n"], out["df"], strict=True):
+                n[lang, term] += a
+                df[lang, term] += b
+        assert n["b", b"x"] == 100 and df["b", b"x"] == 50 and n["b", b"w7"] == 1 and sum(n.values()) == 50 * (4 + len(want))

@@ -5,45 +5,71 @@ All arithmetic is exact: probabilities are integers of 1e-9, and quotients are f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import string
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import chunks, map_arrow, save, table, text_binary
 from .decontamination import once
 
-#: A run of letters: any code point but the ASCII ones that are no letters.
-NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 ONE = 1_000_000_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Counts below it stay longs when multiplied by ONE.
+FEW = 2**63 // ONE - 2
+#: Bytes of text to lower case and blanks: what is left between blanks are the runs of letters, since code points beyond
+#: ASCII have no byte below 0x80.
+LETTERS = bytes(b | 32 if chr(b) in string.ascii_uppercase else b if b >= 128 or chr(b) in string.ascii_lowercase else 32 for b in range(256))
+#: Most terms that a task holds before it passes their counts on.
+MOST_HELD = 300_000
 #: Most groups of a language and source whose totals are sent to every task (16 bytes and a name each); more are joined.
 SENT_GROUPS = 100_000
 #: Copies of a language's totals where they are joined.
 SALTS = 32
 
 
-def terms(text: Column) -> Column:
-    """The runs of letters, A-Z lower-cased; an empty string can stand at either end."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), NOT_LETTERS)
+def terms(text: bytes | None) -> list[bytes]:
+    """The runs of letters of a text in UTF-8, A-Z lower-cased."""
+    return (text or b"").translate(LETTERS).split()
+
+
+def _counted(batches: Iterator[dict]) -> Iterator[dict]:
+    """Counts by lang and source, passed on whenever there are many: a task's memory doesn't grow with its texts."""
+    said: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+
+    def out() -> Iterator[dict]:
+        for (lang, source), (n, df) in said.items():
+            items = list(n)
+            for part in chunks({"term": items, "n": [n[x] for x in items], "df": [df[x] for x in items]}, 10_000):
+                yield {"lang": [lang] * len(part["n"]), "source": [source] * len(part["n"]), **part}
+        said.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+            words = terms(text)
+            n, df = said[lang, source]
+            n.update(words)
+            df.update(set(words))
+        if sum(len(n) for n, _ in said.values()) >= MOST_HELD:
+            yield from out()
+    yield from out()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), df (documents): added up before the shuffle. A term behind a NUL, which is
-    no letter, stands for one document that holds it."""
-    words = docs.select("lang", "source", once(terms(F.col("text"))).alias("w"))
-    held = F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit("\0"), x))
-    said = words.select("lang", "source", F.explode(F.concat("w", held)).alias("x"))
-    doc = F.col("x").startswith("\0")
-    said = said.select("lang", "source", F.when(doc, F.expr("substring(x, 2)")).otherwise(F.col("x")).alias("term"), doc.cast("bigint").alias("doc"))
-    return said.where("term <> ''").groupBy("lang", "source", "term").agg(F.sum(1 - F.col("doc")).alias("n"), F.sum("doc").alias("df"))
+    """lang, source, term, n (occurrences), df (documents): added up in each task before the shuffle."""
+    rows = docs.select("lang", "source", text_binary())
+    said = map_arrow(rows, _counted, "lang string, source string, term binary, n bigint, df bigint", 1000)
+    # bytes of one text's letters are whole code points
+    term = F.decode("term", "UTF-8").alias("term")
+    return said.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).select("lang", "source", term, "n", "df")
 
 
 def probability(n: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(1e9 (n + 2) / (total + 2 kept)), by decimals of 38 digits."""
+    """1 + floor(1e9 (n + 2) / (total + 2 kept)), by decimals of 38 digits where the product is no long."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return F.call_function("div", wide(n + 2) * F.lit(ONE).cast("decimal(10,0)"), wide(total + 2 * kept)) + 1
+    many = F.call_function("div", wide(n + 2) * F.lit(ONE).cast("decimal(10,0)"), wide(total + 2 * kept))
+    return F.when(n < FEW, F.call_function("div", (n + 2) * F.lit(ONE), total + 2 * kept)).otherwise(many) + 1
 
 
 def gap(p: Column, q: Column) -> Column:
