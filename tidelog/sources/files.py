@@ -3,13 +3,33 @@
 from __future__ import annotations
 
 import io
+import os
+import re
+import uuid
 import wave
+from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+def file_system(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path)
+
+
+def _rooted(path: str) -> str:
+    return path if ":/" in path else os.path.abspath(path)
+
+
+def _folder_name(value: str | None) -> str:
+    """A value as Spark names its partition."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+
 _WAV = T.StructType([T.StructField("pcm", T.BinaryType()), T.StructField("problems", T.ArrayType(T.StringType()))])
 
 
@@ -49,7 +69,22 @@ def pcm_chunks(df: DataFrame, seconds: float = 0.02, sample_rate: int = 16_000)
 def read_truth_turns(spark: SparkSession, path: str) -> DataFrame:
     """path, turn_idx, speaker, start, end from JSON files with a list turns."""
     schema = "turns array<struct<speaker:string,start:double,end:double>>"
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.input_file_name().alias("path"), "turns")
+    fs, base = file_system(_rooted(path))
+    info = fs.get_file_info(base)
+    below = [info] if info.is_file else fs.get_file_info(FileSelector(base, recursive=True))
+    hidden = lambda name: any(part[:1] in ("_", ".") for part in name.removeprefix(base).split("/"))
+    names = sorted(f.path for f in below if f.is_file and not hidden(f.path))
+    # a folder for each session: Spark would list each by a task of its own
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    root = _rooted(path)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = file_system(root)
+        for batch in batches:
+            text = [fs.open_input_file(n).readall().decode("utf-8", "replace") for n in batch["path"]]
+            yield pd.DataFrame({"path": batch["path"], "text": text})
+
+    raw = rows.mapInPandas(read, "path string, text string").select("path", F.from_json("text", schema)["turns"].alias("turns"))
     return raw.select("path", F.posexplode("turns").alias("turn_idx", "t")).select("path", "turn_idx", "t.*")
 
 
@@ -113,4 +148,23 @@ def write_truth(turns: DataFrame, path: str) -> None:
     """A JSON file for each session with its speakers and turns, as :func:`read_truth_turns` reads them."""
     items = F.sort_array(F.collect_list(F.struct("turn_idx", "speaker", "start", "end")))
     files = turns.groupBy("session_id").agg(F.sort_array(F.collect_set("speaker")).alias("speakers"), F.transform(items, lambda x: F.struct(x["speaker"].alias("speaker"), x["start"].alias("start"), x["end"].alias("end"))).alias("turns"))
-    files.repartition("session_id").write.mode("overwrite").partitionBy("session_id").json(path)
+    rows = files.select(F.col("session_id").cast("string").alias("name"), F.to_json(F.struct("speakers", "turns")).alias("text"))
+    root = _rooted(path)
+    fs, base = file_system(root)
+    if fs.get_file_info(base).type != FileType.NotFound:
+        fs.delete_dir(base)
+    fs.create_dir(base)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = file_system(root)
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                folder, part = f"{base}/session_id={_folder_name(name)}", f"_{uuid.uuid4().hex}"
+                fs.create_dir(folder)
+                with fs.open_output_stream(f"{folder}/{part}", compression=None) as out:
+                    out.write(f"{text}\n".encode())
+                fs.move(f"{folder}/{part}", f"{folder}/part-0.json")  # whole, however often a task starts
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    # a file costs its own bytes: Spark's commit moves each on the driver, one behind another
+    rows.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()

@@ -28,29 +28,30 @@ def samples_of(pcm: Column) -> Column:
     return (F.octet_length(pcm) / 2).cast("bigint")
 
 
-def mixed(turns: DataFrame, gap: float = GAP, most: float = MOST_TURN, tail: float = TAIL) -> tuple[DataFrame, DataFrame]:
-    """Audio rows (session, chunk_no, pcm) and truth (session_id, turn_idx, speaker, start, end) of turns (session_id,
-    turn_idx, speaker, pcm): cut to `most` seconds, one behind another with a gap, and silence at the end. A turn's place
-    is the sum of the samples before it; no task holds more than one turn."""
-    size = int(most * SAMPLE_RATE) * 2
-    cut = turns.select("session_id", "turn_idx", "speaker", F.when(F.octet_length("pcm") > size, F.substring("pcm", 1, size)).otherwise(F.col("pcm")).alias("pcm"))
+def mixed(turns: DataFrame, gap: float = GAP, most: float = MOST_TURN, tail: float = TAIL, pcm: Column | None = None, samples: Column | None = None) -> tuple[DataFrame, Column, DataFrame]:
+    """Audio rows (session, chunk_no and the rest), the expression of their audio, and truth (session_id, turn_idx, speaker,
+    start, end) of turns (session_id, turn_idx, speaker, pcm): cut to `most` seconds, one behind another with a gap, and
+    silence at the end. A turn's place is the sum of the samples before it; no row holds more than one turn. Where `pcm` and
+    `samples` are expressions of other columns of turns, audio is made of them where it is written, and nowhere else."""
+    made = F.col("pcm") if pcm is None else pcm
+    n = F.least(samples_of(made) if samples is None else samples, F.lit(int(most * SAMPLE_RATE))).cast("bigint")
     order = Window.partitionBy("session_id").orderBy("turn_idx")
-    places = cut.select("session_id", "turn_idx", "speaker", samples_of(F.col("pcm")).alias("n"))
     begin = F.coalesce(F.sum(F.col("n") + int(gap * SAMPLE_RATE)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = turns.withColumn("n", n).withColumn("at", begin).withColumn("last", F.lead("turn_idx").over(order).isNull())
     second = lambda n: F.round(n / SAMPLE_RATE, 3)
-    truth = places.withColumn("at", begin).select("session_id", "turn_idx", "speaker", second(F.col("at")).alias("start"), second(F.col("at") + F.col("n")).alias("end"))
-    session = F.col("session_id").cast("string").alias("session")
-    parts = F.array(F.struct((F.col("turn_idx") * 2).cast("bigint").alias("chunk_no"), "pcm"), F.struct((F.col("turn_idx") * 2 + 1).cast("bigint").alias("chunk_no"), silence(gap).alias("pcm")))
-    audio = cut.select(session, F.inline(parts))
-    ends = places.groupBy(session).agg((F.max("turn_idx") * 2 + 2).cast("bigint").alias("chunk_no")).withColumn("pcm", silence(tail))
-    return audio.unionByName(ends), truth
+    truth = placed.select("session_id", "turn_idx", "speaker", second(F.col("at")).alias("start"), second(F.col("at") + F.col("n")).alias("end"))
+    audio = placed.withColumn("session", F.col("session_id").cast("string")).withColumn("chunk_no", F.col("turn_idx").cast("bigint"))
+    whole = F.concat(F.substring(made, F.lit(1), (F.col("n") * 2).cast("int")), silence(gap), F.when(F.col("last"), silence(tail)).otherwise(F.lit(b"")))
+    return audio, whole, truth
 
 
-def write_mixed(turns: DataFrame, path: str, parts: int | None = None, **limits: float) -> None:
+def write_mixed(turns: DataFrame, path: str, parts: int | None = None, **limits) -> None:
     """path/audio/<session>.wav, written by so many tasks, and path/truth/session_id=<session>."""
-    audio, truth = mixed(turns, **limits)
-    write_recordings(audio, f"{path}/audio", parts)
+    turns = turns.persist()  # of both
+    audio, pcm, truth = mixed(turns, **limits)
+    write_recordings(audio, f"{path}/audio", parts, pcm)
     write_truth(truth, f"{path}/truth")
+    turns.unpersist()
 
 
 def cut_clips(clips: DataFrame) -> DataFrame:

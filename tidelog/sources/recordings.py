@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
@@ -260,13 +261,15 @@ class Recordings(DataSource):
         return RecordingWriter(self.options["path"], overwrite)
 
 
-def write_recordings(chunks, path: str, parts: int | None = None) -> None:
+def write_recordings(chunks, path: str, parts: int | None = None, pcm=None) -> None:
     """A WAV file for each session of rows (session, chunk_no, pcm). parts: how many tasks write; else as Spark finds fit by
-    the compressed size, which for audio can be far too few."""
+    the compressed size, which for audio can be far too few. pcm: an expression of other columns that makes the audio; it
+    is made behind the shuffle and the sort, which then carry those columns only."""
     chunks.sparkSession.dataSource.register(Recordings)
-    rows = chunks.select("session", "chunk_no", "pcm")
+    rows = chunks.select("session", "chunk_no", "pcm") if pcm is None else chunks
     dealt = rows.repartition("session") if parts is None else rows.repartition(parts, "session")
-    dealt.sortWithinPartitions("session", "chunk_no").write.format("tidelog_recordings").mode("append").save(path)
+    in_order = dealt.sortWithinPartitions("session", "chunk_no")
+    (in_order if pcm is None else in_order.select("session", "chunk_no", pcm.alias("pcm"))).write.format("tidelog_recordings").mode("append").save(path)
 
 
 def read_recordings(spark, path: str, seconds: float = 0.02, split_bytes: int = SPLIT_BYTES, stream: bool = False):
@@ -276,4 +279,25 @@ def read_recordings(spark, path: str, seconds: float = 0.02, split_bytes: int =
     return reader.format("tidelog_recordings").option("seconds", repr(seconds)).option("split_bytes", str(split_bytes)).load(path)
 
 
-__all__ = ["CHUNKS", "Recordings", "data_range", "header", "read_recordings", "write_recordings"]
+def sounding(chunks, samples: int = 160):
+    """session, begin and samples of each run of blocks, of so many samples, of chunks (session, begin, pcm) that are not
+    silent all through. A run ends with its chunk, so that rows are few and none is gathered; a chunk must begin with a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sessions, begins, lengths = [], [], []
+            for session, begin, pcm in zip(*(batch.column(c).to_pylist() for c in ("session", "begin", "pcm")), strict=True):
+                if not pcm:
+                    continue
+                blocks = np.maximum.reduceat(np.frombuffer(pcm, np.uint8), np.arange(0, len(pcm), 2 * samples)) > 0
+                edges = np.flatnonzero(np.diff(blocks, prepend=False, append=False)) * samples
+                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    sessions.append(session)
+                    begins.append(begin + a)
+                    lengths.append(min(b, len(pcm) // 2) - a)
+            yield pa.RecordBatch.from_arrays([pa.array(sessions, pa.string()), pa.array(begins, pa.int64()), pa.array(lengths, pa.int64())], names=["session", "begin", "samples"])
+
+    return chunks.select("session", "begin", "pcm").mapInArrow(run, "session string, begin bigint, samples bigint")
+
+
+__all__ = ["CHUNKS", "Recordings", "data_range", "header", "read_recordings", "sounding", "write_recordings"]
