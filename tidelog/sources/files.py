@@ -50,10 +50,14 @@ def wav_udf(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"pcm": [r[0] for r in rows], "problems": [r[1] for r in rows]})
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of every *.wav below path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
+
+
 def read_wavs(spark: SparkSession, path: str) -> DataFrame:
     """path, pcm, problems, seconds of every *.wav below path."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    return raw.select("path", wav_udf("content").alias("w")).select("path", "w.*").withColumn("seconds", F.octet_length("pcm") / 32_000.0)
+    return read_files(spark, path).select("path", wav_udf("content").alias("w")).select("path", "w.*").withColumn("seconds", F.octet_length("pcm") / 32_000.0)
 
 
 def pcm_chunks(df: DataFrame, seconds: float = 0.02, sample_rate: int = 16_000) -> DataFrame:

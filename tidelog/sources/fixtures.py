@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import FUNCTION_WORDS
 from ..operators.score import endpoint_report
-from ..plans.audio import completeness_udf
 from ..schema import SAMPLE_RATE
-from ..streaming.models import TurnDetector
-from .files import read_index, read_wavs, write_truth
+from ..streaming.models import TurnDetector, shared_model
+from .files import parse_wav, read_files, read_index, write_truth
 from .recordings import write_recordings
 
 #: Fixed values of the published fixtures: seconds between turns, most of a turn, behind all; of a clip; where it is cut.
@@ -54,30 +54,62 @@ def write_mixed(turns: DataFrame, path: str, parts: int | None = None, **limits)
     turns.unpersist()
 
 
-def cut_clips(clips: DataFrame) -> DataFrame:
-    """stem, incomplete, complete, cut_after, cut_at, pcm and cut of clips (stem, pcm, words: text and audio_end): those of
-    a fit length, cut behind the first function word in their middle."""
-    # a generator's rows are made once; Spark would put the expression of a clip's audio wherever its seconds are asked for,
-    # which is at each of its words
-    once = lambda df, name, c: df.select(*(x for x in df.columns if x != name), F.explode(F.array(c)).alias(name))
-    clips = once(once(clips, "pcm", F.col("pcm")), "seconds", samples_of(F.col("pcm")) / SAMPLE_RATE)
+def cut_places(clips: DataFrame) -> DataFrame:
+    """clips (stem, seconds, words: text and audio_end, and the rest) of a fit length with incomplete, complete, cut_after,
+    cut_at and cut_bytes: they are cut behind the first function word in their middle."""
     bare = lambda w: F.regexp_replace(F.lower(w["text"]), r"^[.,]+|[.,]+$", "")
     inside = F.filter("words", lambda w: (w["audio_end"] / F.col("seconds")).between(*CUT) & bare(w).isin(*FUNCTION_WORDS))
     fit = clips.where(F.col("seconds").between(*CLIP_SECONDS) & (F.size("words") >= CLIP_WORDS))
     found = fit.withColumn("at", F.get(inside, F.lit(0))).where("at IS NOT NULL")
     name = lambda kind: F.concat("stem", F.lit(f"_{kind}.wav")).alias(kind)
-    upto = F.expr(f"substring(pcm, 1, CAST(at.audio_end * {SAMPLE_RATE} + 1e-6 AS INT) * 2)").alias("cut")
-    return found.select("stem", name("incomplete"), name("complete"), F.col("at.text").alias("cut_after"), F.round("at.audio_end", 3).alias("cut_at"), "pcm", upto)
+    size = F.expr(f"CAST(at.audio_end * {SAMPLE_RATE} + 1e-6 AS INT) * 2").alias("cut_bytes")
+    return found.select(*clips.columns, name("incomplete"), name("complete"), F.col("at.text").alias("cut_after"), F.round("at.audio_end", 3).alias("cut_at"), size)
+
+
+def cut_clips(clips: DataFrame) -> DataFrame:
+    """stem, incomplete, complete, cut_after, cut_at, pcm and cut of clips (stem, pcm, words: text and audio_end, and their
+    seconds if they are known without the audio): those of a fit length, cut behind the first function word in their middle."""
+    # a generator's rows are made once; Spark would put the expression of a clip's audio wherever its seconds are asked for,
+    # which is at each of its words
+    once = lambda df, name, c: df.select(*(x for x in df.columns if x != name), F.explode(F.array(c)).alias(name))
+    known = "seconds" in clips.columns
+    if not known:
+        clips = once(once(clips, "pcm", F.col("pcm")), "seconds", samples_of(F.col("pcm")) / SAMPLE_RATE)
+    items = cut_places(clips)
+    items = once(items, "pcm", F.col("pcm")) if known else items
+    return items.select("stem", "incomplete", "complete", "cut_after", "cut_at", "pcm", F.expr("substring(pcm, 1, cut_bytes)").alias("cut"))
 
 
-def write_pairs(clips: DataFrame, path: str, tail: float = TAIL, parts: int | None = None) -> None:
+def write_pairs(clips: DataFrame, path: str, tail: float = TAIL, parts: int | None = None, pcm: Column | None = None) -> None:
     """path/index (JSON lines) and path/audio, written by so many tasks: each fit clip whole and cut, with silence behind
-    both."""
-    items = cut_clips(clips)
-    both = items.select(F.explode(F.array(F.struct(F.col("incomplete").alias("name"), F.col("cut").alias("pcm")), F.struct(F.col("complete").alias("name"), "pcm"))).alias("x"))
-    rows = F.array(F.struct(F.lit(0).cast("bigint").alias("chunk_no"), F.col("x.pcm").alias("pcm")), F.struct(F.lit(1).cast("bigint").alias("chunk_no"), silence(tail).alias("pcm")))
-    write_recordings(both.select(F.regexp_replace("x.name", r"\.wav$", "").alias("session"), F.inline(rows)), f"{path}/audio", parts)
-    items.drop("pcm", "cut").write.mode("overwrite").json(f"{path}/index")
+    both. Where `pcm` is an expression of other columns of clips and these say their seconds, audio is made where it is
+    written, of fit clips only."""
+    if pcm is None:
+        items, made = cut_clips(clips).withColumn("cut_bytes", F.octet_length("cut")).drop("cut"), F.col("pcm")
+    else:
+        items, made = cut_places(clips).drop("words").persist(), pcm  # of both
+    sides = F.array(F.struct(F.col("incomplete").alias("name"), F.col("cut_bytes").alias("most")), F.struct(F.col("complete").alias("name"), F.lit(None).cast("int").alias("most")))
+    both = items.select("*", F.inline(sides)).select(F.regexp_replace("name", r"\.wav$", "").alias("session"), F.lit(0).cast("bigint").alias("chunk_no"), "*")
+    side = F.concat(F.when(F.col("most").isNull(), made).otherwise(F.substring(made, F.lit(1), F.col("most"))), silence(tail))
+    write_recordings(both, f"{path}/audio", parts, side)
+    items.select("stem", "incomplete", "complete", "cut_after", "cut_at").write.mode("overwrite").json(f"{path}/index")
+    items.unpersist()
+
+
+def wav_scores_udf(name: str, make: Callable[[], TurnDetector], tail: float):
+    """The bytes of a WAV file to the score of its audio without so much at its end, or the reasons why it has none, in
+    one go: audio does not go back and forth between Spark and its workers."""
+    silent = int(tail * SAMPLE_RATE) * 2
+
+    @F.pandas_udf("score double, problems array<string>")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = shared_model(("turns", name), make)
+        for files in batches:
+            heard = [parse_wav(f) for f in files]
+            scores = [None if pcm is None else model.completeness("", pcm[: max(len(pcm) - silent, 0)]) for pcm, _ in heard]
+            yield pd.DataFrame({"score": pd.Series(scores, dtype=float), "problems": [p for _, p in heard]})
+
+    return scored
 
 
 def pair_scores(spark: SparkSession, path: str, name: str, make: Callable[[], TurnDetector], tail: float = TAIL, index: str = "index") -> DataFrame:
@@ -86,11 +118,7 @@ def pair_scores(spark: SparkSession, path: str, name: str, make: Callable[[], Tu
     items = read_index(spark, f"{path}/{index}", lines=not index.endswith(".json"))
     sides = F.array(*(F.struct(F.col(c).alias("file"), F.lit(c == "complete").alias("complete")) for c in ("incomplete", "complete")))
     asked = items.select("stem", F.inline(sides))
-    audio = read_wavs(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "pcm", "problems")
-    bytes_left = F.greatest(F.octet_length("pcm") - int(tail * SAMPLE_RATE) * 2, F.lit(0))
-    speech = audio.withColumn("pcm", F.when(F.col("pcm").isNotNull(), F.substring(F.col("pcm"), F.lit(1), bytes_left)))
-    score = completeness_udf(name, make)(F.lit(""), "pcm")
-    scored = speech.withColumn("score", score).select("file", F.when(F.col("pcm").isNotNull(), F.col("score")).alias("score"), "problems")
+    scored = read_files(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), wav_scores_udf(name, make, tail)("content").alias("w")).select("file", "w.*")
     # scores meet their items, audio stays where it is read
     problems = F.when(F.col("problems").isNull(), F.array(F.lit("no such file"))).otherwise(F.col("problems"))
     return asked.join(scored, "file", "left").select("stem", "complete", "score", problems.alias("problems"))
