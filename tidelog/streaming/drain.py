@@ -37,7 +37,7 @@ class PieceDrain(InOrder):
     values = {"clock": "at double, chunk_no bigint"}
 
     def __init__(self, idle_ms: int | None) -> None:
-        super().__init__(PIECES, idle_ms)
+        super().__init__(idle_ms)
 
     def load(self, session: int, rows: dict[str, list[tuple]] | None) -> dict:
         thing = {"session_id": session, "drain": Pieces(), "at": 0.0, "chunk_no": -1}
